@@ -32,9 +32,12 @@ def ascii_lower(c):
 
 
 def email_holders(customers: DataFrame) -> DataFrame:
-    """First (lowest-key) customer per folded e-mail: (email_key, holder_id)."""
+    """First customer per folded e-mail: (email_key, holder_id).  "First" is the
+    lowest numeric id suffix (insertion order of ``C%03d`` ids), then the id."""
+    order = F.struct(C.customer_id_number(F.col("customer_id").cast("string")).alias("n"),
+                     F.col("customer_id").alias("id"))
     return (customers.groupBy(ascii_lower("email").alias("email_key"))
-            .agg(F.min("customer_id").alias("holder_id")))
+            .agg(F.min(order)["id"].alias("holder_id")))
 
 
 def email_conflicts(requests: DataFrame, customers: DataFrame) -> DataFrame:
@@ -52,14 +55,17 @@ def max_customer_number(customers: DataFrame) -> DataFrame:
 
 
 def parse_customer_requests(requests: DataFrame) -> DataFrame:
-    """Names, stripped e-mail and membership from the bodies."""
+    """Names, stripped e-mail and membership from the bodies.
+    Fields are materialised stage by stage so each expression is built once."""
     p = F.col("payload")
-    names = C.choose_name(Q.str_or_blank(Q.field(p, "firstName")), Q.str_or_blank(Q.field(p, "lastName")),
-                          Q.str_or_blank(Q.field(p, "name")))
-    return requests.select("request_id", "arrived_at", names["firstname"].alias("firstname"),
-                           names["lastname"].alias("lastname"),
-                           C.py_strip(Q.str_or_blank(Q.field(p, "email"))).alias("email"),
-                           Q.truthy(Q.field(p, "rewardsMember")).alias("rewards_member"))
+    fields = {"_first": "firstName", "_last": "lastName", "_name": "name", "_email": "email", "_rew": "rewardsMember"}
+    df = requests.select("request_id", "arrived_at", *[Q.field(p, f).alias(c) for c, f in fields.items()])
+    df = df.select("request_id", "arrived_at", *[Q.str_or_blank(F.col(c)).alias(c) for c in fields if c != "_rew"],
+                   Q.truthy(F.col("_rew")).alias("rewards_member"))
+    df = df.select("request_id", "arrived_at", "rewards_member", C.py_strip("_email").alias("email"),
+                   C.choose_name("_first", "_last", "_name").alias("_names"))
+    return df.select("request_id", "arrived_at", F.col("_names.firstname").alias("firstname"),
+                     F.col("_names.lastname").alias("lastname"), "email", "rewards_member")
 
 
 def intake_customers(requests: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
@@ -73,7 +79,7 @@ def intake_customers(requests: DataFrame, customers: DataFrame) -> dict[str, Dat
     winners = (with_email.join(firsts, "email_key")
                .where(F.struct(*ARRIVAL) == F.col("_first")).drop("_first"))
     base = max_customer_number(customers).select("max_number").scalar()
-    numbered = consecutive_ids(winners, ARRIVAL, base, "_n").withColumn("new_id", C.customer_id_text("_n"))
+    numbered = consecutive_ids(winners, ARRIVAL, base, "new_n").withColumn("new_id", C.customer_id_text("new_n"))
     ids = numbered.select("email_key", "new_id", F.col("request_id").alias("_winner"))
     d = (r.join(holders, "email_key", "left").join(ids, "email_key", "left")
          .withColumn("reason", F.when(F.col("email") == "", F.lit(EMAIL_REQUIRED))

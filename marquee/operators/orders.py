@@ -45,18 +45,20 @@ def _max_or_zero(df: DataFrame, c: str) -> Column:
 
 
 def screen(requests: DataFrame, customers: DataFrame, showings: DataFrame) -> DataFrame:
-    """Steps 1-5 on parsed requests (request_id, arrived_at, payload)."""
+    """Steps 1-5 on parsed requests (request_id, arrived_at, payload).
+    Request fields are materialised first so each parse expression is built once."""
     p = F.col("payload")
-    showing, bad_s = Q.py_int(Q.field(p, "showingId"), 0)
-    qty, bad_q = Q.py_int(Q.field(p, "ticketQty"), 0)
-    cust = Q.field(p, "customerId")
-    df = requests.select(
-        "request_id", "arrived_at", "payload", showing.alias("showing_id"), qty.alias("ticket_qty"),
-        Q.text(cust).alias("customer_id"),
-        F.when(bad_s | bad_q, F.lit(BAD_NUMBER))
-        .when(~Q.truthy(cust), F.lit(CUSTOMER_REQUIRED))
-        .when((showing <= 0) | (qty <= 0), F.lit(SHOWING_AND_QTY_REQUIRED)).alias("_static"),
-        Q.items_crash(Q.field(p, "concessions")).alias("_crash"))
+    df = requests.select("request_id", "arrived_at", "payload", Q.field(p, "showingId").alias("_vs"),
+                         Q.field(p, "ticketQty").alias("_vq"), Q.field(p, "customerId").alias("_vc"),
+                         Q.field(p, "concessions").alias("_vi"))
+    showing, bad_s = Q.py_int(F.col("_vs"), 0)
+    qty, bad_q = Q.py_int(F.col("_vq"), 0)
+    df = df.select("request_id", "arrived_at", "payload", showing.alias("showing_id"), qty.alias("ticket_qty"),
+                   (bad_s | bad_q).alias("_bad"), Q.text(F.col("_vc")).alias("customer_id"),
+                   Q.truthy(F.col("_vc")).alias("_has_customer"), Q.items_crash(F.col("_vi")).alias("_crash"))
+    df = df.withColumn("_static", F.when(F.col("_bad"), F.lit(BAD_NUMBER))
+                       .when(~F.col("_has_customer"), F.lit(CUSTOMER_REQUIRED))
+                       .when((F.col("showing_id") <= 0) | (F.col("ticket_qty") <= 0), F.lit(SHOWING_AND_QTY_REQUIRED)))
     c = customers.select(F.col("customer_id").cast("string").alias("_cid"), F.col("customer_id").alias("_ckey"),
                          F.coalesce(F.col("rewards_member"), F.lit(False)).alias("member"))
     s = showings.select(F.col("showing_id").alias("_sid"), F.col("film_available_seats").cast("bigint").alias("seats0"))
@@ -64,7 +66,7 @@ def screen(requests: DataFrame, customers: DataFrame, showings: DataFrame) -> Da
     reason = F.coalesce(F.col("_static"),
                         F.when(F.col("_cid").isNull(), F.lit(CUSTOMER_NOT_FOUND)),
                         F.when(F.col("_sid").isNull(), F.lit(SHOWING_NOT_FOUND)))
-    return df.withColumn("reason", reason).drop("_cid", "_sid", "_static")
+    return df.withColumn("reason", reason).drop("_cid", "_sid", "_static", "_bad", "_has_customer")
 
 
 def decide(requests: DataFrame, customers: DataFrame, showings: DataFrame, concessions: DataFrame,

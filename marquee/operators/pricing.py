@@ -19,11 +19,12 @@ def usable_items(requests: DataFrame, concessions: DataFrame, payload: str = "pa
     """Items with a truthy id, an integer quantity > 0 and a known id.
     Returns (key, item_pos, concession_id, quantity, price)."""
     items = Q.explode_items(requests, payload, "concessions", (key,))
-    iid, qty = Q.field(F.col("item"), "id"), Q.field(F.col("item"), "qty")
-    q, bad = Q.py_int(qty, 0)
     items = (items.where(F.schema_of_variant("item").startswith("OBJECT"))
-             .select(key, "item_pos", Q.text(iid).alias("_item_id"), Q.truthy(iid).alias("_id_ok"),
-                     q.alias("quantity"), bad.alias("_bad"))
+             .select(key, "item_pos", Q.field(F.col("item"), "id").alias("_vid"),
+                     Q.field(F.col("item"), "qty").alias("_vq")))
+    q, bad = Q.py_int(F.col("_vq"), 0)
+    items = (items.select(key, "item_pos", Q.text(F.col("_vid")).alias("_item_id"),
+                          Q.truthy(F.col("_vid")).alias("_id_ok"), q.alias("quantity"), bad.alias("_bad"))
              .where(F.col("_id_ok") & ~F.col("_bad") & (F.col("quantity") > 0)))
     menu = concessions.select(F.col("concession_id"), F.col("concession_id").cast("string").alias("_item_id"),
                               F.col("concession_price").alias("price"))
