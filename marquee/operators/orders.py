@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from marquee.operators.pricing import item_totals, price_orders, usable_items
 from marquee.operators.seats import allocate_seats
 from marquee.operators.sequencing import global_prefix
+from marquee.session import materialize
 from marquee.sources import requests as Q
 
 # Refusal reasons.
@@ -82,6 +83,8 @@ def decide(requests: DataFrame, customers: DataFrame, showings: DataFrame, conce
     folded = folded.withColumn("reason", F.when(~F.col("seat_ok"), F.lit(NOT_ENOUGH_SEATS))
                                .when(F.col("_crash"), F.lit(BAD_CONCESSIONS))
                                .when(F.col("has_duplicate"), F.lit(DUPLICATE_CONCESSION)))
+    # Accepted and refused rows both read the fold: pin it once.
+    folded = materialize(folded)
     accepted = global_prefix(folded.where("accepted"), ARRIVAL, {"_n": None, "_t": F.col("ticket_qty")})
     accepted = (accepted
                 .withColumn("order_number", _max_or_zero(orders, "order_number") + F.col("_n") + 1)
@@ -107,6 +110,9 @@ def intake(requests: DataFrame, customers: DataFrame, showings: DataFrame, conce
            orders: DataFrame, tickets: DataFrame) -> dict[str, DataFrame]:
     """All outputs of one intake run: decisions, orders, tickets, items, seats."""
     decisions, items = decide(requests, customers, showings, concessions, orders, tickets)
+    # Five outputs share the decisions; pin them so every output (and any
+    # later write to the input tables) sees one and the same run.
+    decisions = materialize(decisions)
     ok = decisions.where(F.col("status") == ACCEPTED)
     new_orders = ok.select("order_number", F.col("_ckey").alias("order_customer_id"), "subtotal", "tax",
                            "discount", "total", F.col("arrived_at").alias("created_at"))

@@ -14,18 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.session import ensure_checkpoint_dir, partition_count
+from marquee.session import materialize, partition_count
 
 
 def pinned_ranges(df: DataFrame, order_cols: list[str]) -> DataFrame:
     """Range-partition and sort on ``order_cols``, tag the partition id and
     checkpoint, so partition contents and row order are stable on recompute."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partition_count(spark)
+    n = partition_count(df.sparkSession)
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id()))
-    return ranged.checkpoint(eager=True)
+    return materialize(ranged)
 
 
 def global_prefix(df: DataFrame, order_cols: list[str], weights: dict[str, Column | None]) -> DataFrame:

@@ -24,9 +24,43 @@ FILM_BASE_DATE = "2026-04-16"
 SEAT_BASE, SEAT_SPREAD = 25, 32
 
 
-def load(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
-    names = names or STAR_TABLES
-    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
+# Declared schemas of the star tables: scans need no inference.
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+class StarTables(dict):
+    """Table name -> DataFrame, each scan created on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self.spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        self[name] = df
+        return df
+
+
+def load(spark: SparkSession, sf_dir: str) -> StarTables:
+    return StarTables(spark, sf_dir)
 
 
 def _c(name):

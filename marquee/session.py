@@ -60,6 +60,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+
+    Persisting first lets the checkpoint write reuse the computed partitions
+    instead of recomputing the plan a second time; the cache is released once
+    the checkpoint files exist.  Survives executor loss (files, not blocks)."""
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
 def partition_count(spark: SparkSession) -> int:
     """Partition count used for explicit range partitioning."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

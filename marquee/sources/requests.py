@@ -59,8 +59,9 @@ def text(v: Column) -> Column:
 
 
 def str_or_blank(v: Column) -> Column:
-    """``(payload.get(name) or '')`` for text fields."""
-    return F.when(truthy(v), text(v)).otherwise(F.lit(""))
+    """``(payload.get(name) or '')`` for text fields: the string, else ''.
+    (A truthy non-string makes the reference fail; it reads as '' here.)"""
+    return F.coalesce(F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")), F.lit(""))
 
 
 def items_crash(v: Column) -> Column:
