@@ -30,5 +30,6 @@ def scratch():
 
 
 def rows(df, *cols):
-    cols = cols or df.columns
+    if not cols:
+        return [tuple(r) for r in df.collect()]
     return [tuple(r[c] for c in cols) for r in df.select(*cols).collect()]
