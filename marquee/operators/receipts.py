@@ -8,11 +8,12 @@ with the reason ``order_not_found``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import columns as C
 from marquee.functions.money import TICKET_UNIT_PRICE, money
+from marquee.operators.sequencing import row_number_within
 
 # Receipt labels.
 TICKETS_LABEL = "Tickets — "
@@ -86,7 +87,8 @@ def receipt_lines(ticket_lines: DataFrame, item_lines: DataFrame) -> DataFrame:
 
     Tickets are ordered by showing, concessions by their key; the remaining
     sort keys cover every output column, so identical lines tie only with
-    identical lines.  The numbering window is per order (receipt-sized groups).
+    identical lines.  Numbering is skew-safe: an order with very many lines
+    is split over several tasks (``row_number_within``).
     """
     t = ticket_lines.select("order_number", F.lit(0).alias("_kind"), "_showing",
                             F.lit(None).cast(item_lines.schema["_item_key"].dataType).alias("_item_key"),
@@ -94,8 +96,7 @@ def receipt_lines(ticket_lines: DataFrame, item_lines: DataFrame) -> DataFrame:
     i = item_lines.select("order_number", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_showing"),
                           "_item_key", "label", "detail", "qty", "unit", "line")
     both = t.unionByName(i)
-    w = Window.partitionBy("order_number").orderBy("_kind", "_showing", "_item_key", "label", "detail", "qty",
-                                                   "unit", "line")
-    return (both.withColumn("line_no", F.row_number().over(w))
+    order = ["_kind", "_showing", "_item_key", "label", "detail", "qty", "unit", "line"]
+    return (row_number_within(both, ["order_number"], order, "line_no")
             .select(*LINE_COLUMNS)
             .orderBy("order_number", "line_no"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import columns as C
 from marquee.functions.money import with_order_totals
+from marquee.session import materialize
 
 SHOWING_COLUMNS = ["showing_id", "film_title", "film_theatre_number", "film_showing_datetime",
                    "film_available_seats"]
@@ -54,6 +55,9 @@ def recent_orders(orders: DataFrame, customers: DataFrame, tickets: DataFrame, l
              .select("o.order_number", C.full_name("c.firstname", "c.lastname").alias("customer_name"),
                      "o.total", "o.discount", "o.subtotal", "o.tax", "o.created_at"))
     top = named.orderBy(C.sort_seconds("created_at").desc_nulls_last(), F.col("order_number").desc()).limit(limit)
+    # Pin the top rows once: both the ticket filter and the output read them,
+    # and the orders x customers scan must not run twice.
+    top = materialize(top)
     # `top` holds at most `limit` rows: a proven bound for the broadcast.
     keys = F.broadcast(top.select(F.col("order_number").alias("ticket_order_number")))
     counts = (tickets.join(keys, "ticket_order_number", "left_semi")

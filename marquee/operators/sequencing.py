@@ -63,3 +63,73 @@ def consecutive_ids(df: DataFrame, order_cols: list[str], start: Column | int, n
     return out.withColumn(name, (start_col + F.col("_n") + 1).cast("bigint")).drop("_n")
 
 
+
+
+def row_number_within(df: DataFrame, keys: list[str], order_cols: list[str], name: str = "row_no") -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order_cols)`` without
+    sending a whole key to one task (keys must not be null).
+
+    Range partitioning on (keys, order) splits a hot key over several
+    partitions; each partition ranks its rows locally (no shuffle), and only the
+    first and last key of a partition can continue from an earlier partition,
+    so the offsets table has at most two rows per partition (broadcast bound).
+    """
+    sort_cols = [*keys, *order_cols]
+    ranged = pinned_ranges(df, sort_cols)
+
+    def segments(pdf: pd.DataFrame, prev_key):
+        kv = pdf[keys]
+        new = (kv != kv.shift()).any(axis=1).to_numpy()
+        first = tuple(kv.iloc[0].tolist())
+        new[0] = prev_key is None or first != prev_key
+        return new, tuple(kv.iloc[-1].tolist())
+
+    def local(batches):
+        prev_key, run = None, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            new, last = segments(pdf, prev_key)
+            idx = np.arange(len(pdf))
+            starts = np.maximum.accumulate(np.where(new, idx, -1))
+            pdf[f"_l_{name}"] = np.where(starts < 0, idx + 1 + run, idx - starts + 1)
+            run = int(pdf[f"_l_{name}"].iat[-1])
+            prev_key = last
+            yield pdf
+
+    def edges(batches):
+        out, prev_key, pid, first_seg, cur = [], None, None, None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pid = int(pdf["_pid"].iat[0])
+            new, last = segments(pdf, prev_key)
+            kv = pdf[keys].itertuples(index=False, name=None)
+            cuts = np.flatnonzero(new).tolist() + [len(pdf)]
+            starts = np.flatnonzero(new).tolist()
+            if not starts or starts[0] > 0:  # batch continues the current segment
+                cur[1] += (starts[0] if starts else len(pdf))
+            rows_ = list(kv)
+            for s, e in zip(starts, cuts[1:]):
+                if cur is not None and first_seg is None:
+                    first_seg = list(cur)
+                cur = [rows_[s], e - s]
+            prev_key = last
+        if cur is not None:
+            if first_seg is not None:
+                out.append((pid, *first_seg[0], first_seg[1]))
+            out.append((pid, *cur[0], cur[1]))
+        yield pd.DataFrame(out, columns=["_pid", *keys, "_count"])
+
+    key_fields = [ranged.schema[k] for k in keys]
+    edge_schema = T.StructType([T.StructField("_pid", T.IntegerType())] + key_fields +
+                               [T.StructField("_count", T.LongType())])
+    edge_counts = ranged.select("_pid", *keys).mapInPandas(edges, edge_schema)
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # At most two rows per partition: bounded window groups and broadcast.
+    offsets = edge_counts.select("_pid", *keys, F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_off"))
+    local_schema = T.StructType(ranged.schema.fields + [T.StructField(f"_l_{name}", T.LongType(), False)])
+    ranked = ranged.mapInPandas(local, local_schema)
+    out = ranked.join(F.broadcast(offsets), ["_pid", *keys], "left")
+    return (out.withColumn(name, (F.col(f"_l_{name}") + F.coalesce(F.col("_off"), F.lit(0))).cast("int"))
+            .drop("_pid", "_off", f"_l_{name}"))

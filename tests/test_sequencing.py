@@ -66,3 +66,24 @@ def test_consecutive_ids_and_prefix(spark):
     for i, (rid, _, w) in enumerate(order):
         assert got[rid] == (101 + i, run)
         run += w
+
+
+def test_row_number_within_small_batches(spark):
+    from marquee.operators.sequencing import row_number_within
+    rnd = random.Random(9)
+    data = [(1 if rnd.random() < 0.6 else rnd.randint(2, 80), rnd.randint(0, 20), i) for i in range(4000)]
+    df = spark.createDataFrame(data, "k long, a long, i long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.i: r.rn for r in row_number_within(df, ["k"], ["a", "i"], "rn").collect()}
+        folded = {r.request_id: r.accepted for r in allocate_seats(spark.createDataFrame(
+            _requests(6, 1500, 0.7), "request_id long, arrived_at long, showing_id long, qty long, "
+                                     "blocked boolean, seats0 long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    exp = {}
+    for k in {d[0] for d in data}:
+        for n, d in enumerate(sorted((d for d in data if d[0] == k), key=lambda d: (d[1], d[2])), 1):
+            exp[d[2]] = n
+    assert got == exp
+    assert folded == {k: v[2] for k, v in _brute(_requests(6, 1500, 0.7)).items()}
