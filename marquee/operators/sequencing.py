@@ -17,13 +17,17 @@ from pyspark.sql import types as T
 from marquee.session import materialize, partition_count
 
 
-def pinned_ranges(df: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Range-partition and sort on ``order_cols``, tag the partition id and
-    checkpoint, so partition contents and row order are stable on recompute."""
+def pinned_ranges(df: DataFrame, order_cols: list[str], pin: bool = True) -> DataFrame:
+    """Range-partition and sort on ``order_cols`` and tag the partition id.
+
+    With ``pin`` the result is checkpointed, so partition contents survive any
+    recomputation.  Without it, consumers inside one query share the single
+    range exchange (exchange reuse), and a sort on a total order keeps each
+    partition's row order deterministic when a lost task is recomputed."""
     n = partition_count(df.sparkSession)
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id()))
-    return materialize(ranged)
+    return materialize(ranged) if pin else ranged
 
 
 def global_prefix(df: DataFrame, order_cols: list[str], weights: dict[str, Column | None]) -> DataFrame:
@@ -75,7 +79,7 @@ def row_number_within(df: DataFrame, keys: list[str], order_cols: list[str], nam
     so the offsets table has at most two rows per partition (broadcast bound).
     """
     sort_cols = [*keys, *order_cols]
-    ranged = pinned_ranges(df, sort_cols)
+    ranged = pinned_ranges(df, sort_cols, pin=False)
 
     def segments(pdf: pd.DataFrame, prev_key):
         kv = pdf[keys]
@@ -124,6 +128,7 @@ def row_number_within(df: DataFrame, keys: list[str], order_cols: list[str], nam
     key_fields = [ranged.schema[k] for k in keys]
     edge_schema = T.StructType([T.StructField("_pid", T.IntegerType())] + key_fields +
                                [T.StructField("_count", T.LongType())])
+
     edge_counts = ranged.select("_pid", *keys).mapInPandas(edges, edge_schema)
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # At most two rows per partition: bounded window groups and broadcast.
