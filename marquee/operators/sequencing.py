@@ -21,9 +21,9 @@ def pinned_ranges(df: DataFrame, order_cols: list[str], pin: bool = True) -> Dat
     """Range-partition and sort on ``order_cols`` and tag the partition id.
 
     With ``pin`` the result is checkpointed, so partition contents survive any
-    recomputation.  Without it, consumers inside one query share the single
-    range exchange (exchange reuse), and a sort on a total order keeps each
-    partition's row order deterministic when a lost task is recomputed."""
+    recomputation and several consumers see the same partition ids.  Without
+    it only a single consumer may depend on the partition ids (each exchange
+    samples its own range bounds)."""
     n = partition_count(df.sparkSession)
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id()))
@@ -79,7 +79,8 @@ def row_number_within(df: DataFrame, keys: list[str], order_cols: list[str], nam
     so the offsets table has at most two rows per partition (broadcast bound).
     """
     sort_cols = [*keys, *order_cols]
-    ranged = pinned_ranges(df, sort_cols, pin=False)
+    # Two passes read the partition ids: pin them (one range exchange, one sample).
+    ranged = pinned_ranges(df, sort_cols)
 
     def segments(pdf: pd.DataFrame, prev_key):
         kv = pdf[keys]
