@@ -72,17 +72,22 @@ def screen(requests: DataFrame, customers: DataFrame, showings: DataFrame) -> Da
 
 def decide(requests: DataFrame, customers: DataFrame, showings: DataFrame, concessions: DataFrame,
            orders: DataFrame, tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Return (decisions, usable items of accepted orders)."""
+    """Return (decisions, usable items of eligible orders).
+
+    All screened requests go through one pinned fold (ineligible ones pass
+    through untouched), so every decision comes from a single parse."""
     screened = screen(requests, customers, showings)
-    eligible = screened.where(F.col("reason").isNull())
-    items = usable_items(eligible, concessions)
-    priced = price_orders(eligible.drop("payload"), item_totals(items))
-    blocked = F.col("_crash") | F.col("has_duplicate")
-    folded = allocate_seats(priced.withColumn("_blocked", blocked), key="showing_id", order_cols=tuple(ARRIVAL),
-                            qty="ticket_qty", seats="seats0", blocked="_blocked")
-    folded = folded.withColumn("reason", F.when(~F.col("seat_ok"), F.lit(NOT_ENOUGH_SEATS))
-                               .when(F.col("_crash"), F.lit(BAD_CONCESSIONS))
-                               .when(F.col("has_duplicate"), F.lit(DUPLICATE_CONCESSION)))
+    items = usable_items(screened.where(F.col("reason").isNull()), concessions)
+    priced = price_orders(screened.drop("payload"), item_totals(items))
+    folded = allocate_seats(
+        priced.withColumn("_blocked", F.col("_crash") | F.col("has_duplicate"))
+        .withColumn("_eligible", F.col("reason").isNull()),
+        key="showing_id", order_cols=tuple(ARRIVAL), qty="ticket_qty", seats="seats0", blocked="_blocked",
+        eligible="_eligible")
+    folded = folded.withColumn("reason", F.coalesce(
+        F.col("reason"),
+        F.when(~F.col("seat_ok"), F.lit(NOT_ENOUGH_SEATS)).when(F.col("_crash"), F.lit(BAD_CONCESSIONS))
+        .when(F.col("has_duplicate"), F.lit(DUPLICATE_CONCESSION))))
     # Accepted and refused rows both read the fold: pin it once.
     folded = materialize(folded)
     accepted = global_prefix(folded.where("accepted"), ARRIVAL, {"_n": None, "_t": F.col("ticket_qty")})
@@ -92,27 +97,25 @@ def decide(requests: DataFrame, customers: DataFrame, showings: DataFrame, conce
     acc = accepted.select(*ARRIVAL, F.lit(ACCEPTED).alias("status"), F.lit(None).cast("string").alias("reason"),
                           "order_number", "first_ticket_id", "customer_id", "_ckey", "showing_id", "ticket_qty",
                           "subtotal", "discount", "tax", "total", F.col("member").alias("rewards_discount_applied"))
-    late = folded.where(~F.col("accepted")).select(
-        *ARRIVAL, F.lit(REFUSED).alias("status"), "reason", F.lit(None).cast("bigint").alias("order_number"),
-        F.lit(None).cast("bigint").alias("first_ticket_id"), "customer_id", "_ckey", "showing_id", "ticket_qty",
-        *[F.lit(None).cast("decimal(10,2)").alias(c) for c in ("subtotal", "discount", "tax", "total")],
-        F.lit(None).cast("boolean").alias("rewards_discount_applied"))
-    early = screened.where(F.col("reason").isNotNull()).select(
+    refused = folded.where(~F.col("accepted")).select(
         *ARRIVAL, F.lit(REFUSED).alias("status"), "reason", F.lit(None).cast("bigint").alias("order_number"),
         F.lit(None).cast("bigint").alias("first_ticket_id"), "customer_id", "_ckey", "showing_id", "ticket_qty",
         *[F.lit(None).cast("decimal(10,2)").alias(c) for c in ("subtotal", "discount", "tax", "total")],
         F.lit(None).cast("boolean").alias("rewards_discount_applied"))
-    decisions = acc.unionByName(late).unionByName(early)
-    return decisions, items
+    return acc.unionByName(refused), items
 
 
 def intake(requests: DataFrame, customers: DataFrame, showings: DataFrame, concessions: DataFrame,
-           orders: DataFrame, tickets: DataFrame) -> dict[str, DataFrame]:
-    """All outputs of one intake run: decisions, orders, tickets, items, seats."""
+           orders: DataFrame, tickets: DataFrame, pin: bool = True) -> dict[str, DataFrame]:
+    """All outputs of one intake run: decisions, orders, tickets, items, seats.
+
+    With ``pin`` (needed when the outputs are written back into the input
+    tables) the decisions are checkpointed, so every output sees one run even
+    after ``orders``/``tickets`` have grown.  Read-only callers may skip it:
+    the decisions are then recomputed deterministically from pinned parts."""
     decisions, items = decide(requests, customers, showings, concessions, orders, tickets)
-    # Five outputs share the decisions; pin them so every output (and any
-    # later write to the input tables) sees one and the same run.
-    decisions = materialize(decisions)
+    if pin:
+        decisions = materialize(decisions)
     ok = decisions.where(F.col("status") == ACCEPTED)
     new_orders = ok.select("order_number", F.col("_ckey").alias("order_customer_id"), "subtotal", "tax",
                            "discount", "total", F.col("arrived_at").alias("created_at"))

@@ -44,10 +44,23 @@ def _transfer(s0: int, q: np.ndarray, b: np.ndarray) -> list[int]:
     return rem.tolist()
 
 
+def _edge(pid, cur):
+    """Edge-table row of a segment: (pid, key, initial seats, transfer table)."""
+    if cur[1] is None:  # no eligible row: identity
+        return (pid, cur[0], None, [])
+    return (pid, cur[0], cur[1], _transfer(cur[1], np.concatenate(cur[2]), np.concatenate(cur[3])))
+
+
 def allocate_seats(df: DataFrame, key: str = "showing_id", order_cols=("arrived_at", "request_id"),
-                   qty: str = "qty", seats: str = "seats0", blocked: str = "blocked") -> DataFrame:
+                   qty: str = "qty", seats: str = "seats0", blocked: str = "blocked",
+                   eligible: str | None = None) -> DataFrame:
     """Add ``seats_before`` (seats left when the request is reached), ``seat_ok``
-    (quantity fits) and ``accepted`` (fits and not blocked)."""
+    (quantity fits) and ``accepted`` (fits and not blocked).  Rows whose
+    ``eligible`` column is false pass through untouched (null seat columns,
+    not accepted) and take no part in the fold."""
+    if eligible is None:
+        df = df.withColumn("_elig", F.lit(True))
+        eligible = "_elig"
     sort_cols = [key, *order_cols]
     ranged = pinned_ranges(df, sort_cols)
     key_type = ranged.schema[key].dataType
@@ -58,34 +71,39 @@ def allocate_seats(df: DataFrame, key: str = "showing_id", order_cols=("arrived_
             if pdf.empty:
                 continue
             pid = int(pdf["_pid"].iat[0])
+            el = pdf[eligible].fillna(False).to_numpy(dtype=bool)
             keys = pdf[key].to_numpy()
-            q = pdf[qty].to_numpy(dtype=np.int64)
-            b = pdf[blocked].to_numpy(dtype=bool)
-            s0 = pdf[seats].to_numpy(dtype=np.int64)
+            q = pdf[qty].fillna(0).to_numpy(dtype=np.int64)
+            b = pdf[blocked].fillna(False).to_numpy(dtype=bool)
+            s0 = pdf[seats].fillna(-1).to_numpy(dtype=np.int64)
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
                 if cur is not None and cur[0] != keys[s]:
                     if not first_done:
-                        out.append((pid, cur[0], cur[1], _transfer(cur[1], np.concatenate(cur[2]),
-                                                                   np.concatenate(cur[3]))))
+                        out.append(_edge(pid, cur))
                         first_done = True
                     cur = None
                 if cur is None:
-                    cur = [keys[s], int(s0[s]), [], []]
-                cur[2].append(q[s:e])
-                cur[3].append(b[s:e])
+                    cur = [keys[s], None, [], []]
+                m = el[s:e]
+                if m.any():
+                    if cur[1] is None:
+                        cur[1] = int(s0[s:e][m][0])
+                    cur[2].append(q[s:e][m])
+                    cur[3].append(b[s:e][m])
         if cur is not None:
-            out.append((pid, cur[0], cur[1], _transfer(cur[1], np.concatenate(cur[2]), np.concatenate(cur[3]))))
+            out.append(_edge(pid, cur))
         yield pd.DataFrame(out, columns=["_pid", key, "_s0", "_table"])
 
     table_schema = T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField(key, key_type),
                                  T.StructField("_s0", T.LongType()),
                                  T.StructField("_table", T.ArrayType(T.LongType()))])
-    tables = ranged.select("_pid", key, qty, seats, blocked).mapInPandas(edge_tables, table_schema)
+    tables = ranged.select("_pid", key, qty, seats, blocked, eligible).mapInPandas(edge_tables, table_schema)
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pid")
-        cur = int(pdf["_s0"].iat[0])
+        known = pdf["_s0"].dropna()
+        cur = int(known.iat[0]) if len(known) else 0
         starts = []
         for tbl in pdf["_table"]:
             starts.append(cur)
@@ -103,17 +121,24 @@ def allocate_seats(df: DataFrame, key: str = "showing_id", order_cols=("arrived_
     keep = [f.name for f in ranged.schema.fields if f.name != "_pid"]
 
     def replay(batches):
-        cur_key, rem = object(), 0
+        cur_key, rem = object(), None
         for pdf in batches:
             keys = pdf[key].tolist()
-            q = pdf[qty].astype("int64").tolist()
-            b = pdf[blocked].astype(bool).tolist()
-            s0 = pdf[seats].astype("int64").tolist()
+            el = pdf[eligible].fillna(False).astype(bool).tolist()
+            q = pdf[qty].fillna(0).astype("int64").tolist()
+            b = pdf[blocked].fillna(False).astype(bool).tolist()
+            s0 = pdf[seats].fillna(-1).astype("int64").tolist()
             st = pdf["_start"].tolist()
             before, ok, acc = [], [], []
             for i, k in enumerate(keys):
                 if k != cur_key:
-                    cur_key = k
+                    cur_key, rem = k, None
+                if not el[i]:
+                    before.append(None)
+                    ok.append(None)
+                    acc.append(False)
+                    continue
+                if rem is None:
                     v = st[i]
                     rem = s0[i] if v is None or (isinstance(v, float) and math.isnan(v)) else int(v)
                 before.append(rem)

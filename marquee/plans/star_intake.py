@@ -253,7 +253,8 @@ def _intake(t) -> dict[str, DataFrame]:
         F.col("s_suppkey").alias("showing_id"),
         (F.lit(V.SEAT_BASE) + F.col("s_suppkey") % V.SEAT_SPREAD).cast("int").alias("film_available_seats"))
     return OR.intake(purchase_requests(t, with_variants=True), customers, showings, _menu(t),
-                     V.orders_from_orders(t["orders"]), V.tickets_from_lineitem(t["lineitem"], "l_partkey"))
+                     V.orders_from_orders(t["orders"]), V.tickets_from_lineitem(t["lineitem"], "l_partkey"),
+                     pin=False)
 
 
 _MA = _money_sql("member")
