@@ -45,6 +45,7 @@ def booking(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "customers": Q.booking_customers(t["customers"]),
         "showings": Q.showing_schedule(t["showings"], t["films"]),
         "concessions": Q.booking_concessions(t["concessions"]),
+        "options": Q.booking_options(t["customers"], t["showings"], t["films"], t["concessions"]),
     }
 
 

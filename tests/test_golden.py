@@ -95,3 +95,13 @@ def test_audits_find_problems(spark, seed):
     assert rows(a["pk_duplicates"], "table_name", "key_value", "n_rows") == [("tickets", "1", 2)]
     assert rows(a["fk_orphans"], "child_table", "fk_column", "key_value") == [
         ("tickets", "ticket_customer_id", "C999")]
+
+
+def test_booking_labels(seed):
+    opts = rows(cinema.booking(seed)["options"], "list_name", "value", "label")
+    labels = {(k, v): l for k, v, l in opts}
+    assert labels[("customers", "C001")] == "Ethan Walker (C001)"
+    assert labels[("showings", "10")] == "Elio | Theatre 5 | 2026-04-17 10:00:00"
+    assert labels[("concessions", "CN014")] == "Nachos (Medium) — $7.5"
+    assert labels[("concessions", "CN001")] == "Popcorn (Regular) — $5"
+    assert len(opts) == 20 + 15 + 20
