@@ -91,3 +91,10 @@ def test_streaming_intake_is_idempotent(spark, scratch):
     assert read_table(spark, root, "orders").count() == 11
     assert rows(spark.read.parquet(os.path.join(root, DECISIONS)).orderBy("request_id"), "reason") == [
         (None,), ("not_enough_seats",)]
+
+
+def test_explorer_view(spark, seed):
+    from marquee.plans.registry import explorer_view
+    shifts = explorer_view(cinema_datasets(seed)["shifts"]())
+    got = {r["shift_id"]: (r["showing_id"], r["shift_start_datetime"]) for r in shifts.collect()}
+    assert got["12"] == ("—", "2026-04-17 21:00:00")
