@@ -44,7 +44,12 @@ def blank_to_null(c) -> Column:
 def split_full_name(c) -> Column:
     """struct(first, last) from a full name; blank -> Guest Customer,
     one word -> <word> Customer, else split at the first whitespace run."""
-    s = F.coalesce(py_strip(col(c)), F.lit(""))
+    return split_stripped(F.coalesce(py_strip(col(c)), F.lit("")))
+
+
+def split_stripped(s: Column) -> Column:
+    """G4 on text already stripped and not null (stage the strip as its own
+    column when the input is an expensive expression)."""
     parts = F.split(s, f"{PY_WS_CLASS}+", 2)
     first = F.when(s == "", F.lit(GUEST_FIRST)).otherwise(parts.getItem(0))
     last = (F.when(s == "", F.lit(GUEST_LAST))

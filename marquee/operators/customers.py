@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import columns as C
 from marquee.operators.sequencing import consecutive_ids
+from marquee.session import materialize
 from marquee.sources import requests as Q
 
 # Refusal reasons.
@@ -62,15 +63,25 @@ def parse_customer_requests(requests: DataFrame) -> DataFrame:
     df = requests.select("request_id", "arrived_at", *[Q.field(p, f).alias(c) for c, f in fields.items()])
     df = df.select("request_id", "arrived_at", *[Q.str_or_blank(F.col(c)).alias(c) for c in fields if c != "_rew"],
                    Q.truthy(F.col("_rew")).alias("rewards_member"))
-    df = df.select("request_id", "arrived_at", "rewards_member", C.py_strip("_email").alias("email"),
-                   C.choose_name("_first", "_last", "_name").alias("_names"))
-    return df.select("request_id", "arrived_at", F.col("_names.firstname").alias("firstname"),
-                     F.col("_names.lastname").alias("lastname"), "email", "rewards_member")
+    # Strip every text once, then decide the names from the stripped columns.
+    df = df.select("request_id", "arrived_at", "rewards_member",
+                   *[F.coalesce(C.py_strip(c), F.lit("")).alias(c) for c in ("_first", "_last", "_name", "_email")])
+    df = df.select("request_id", "arrived_at", "rewards_member", "_first", "_last", F.col("_email").alias("email"),
+                   C.split_stripped(F.col("_name")).alias("_parsed"))
+    given = (F.col("_first") != "") | (F.col("_last") != "")
+    return df.select(
+        "request_id", "arrived_at",
+        F.when(given, F.when(F.col("_first") != "", F.col("_first")).otherwise(F.lit(C.GUEST_FIRST)))
+        .otherwise(F.col("_parsed.firstname")).alias("firstname"),
+        F.when(given, F.when(F.col("_last") != "", F.col("_last")).otherwise(F.lit(C.GUEST_LAST)))
+        .otherwise(F.col("_parsed.lastname")).alias("lastname"),
+        "email", "rewards_member")
 
 
 def intake_customers(requests: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
     """Decide a batch of parsed customer requests; return decisions and new rows."""
-    r = parse_customer_requests(requests).withColumn("email_key", ascii_lower("email"))
+    # Four branches read the parsed requests: parse once and pin (narrow rows).
+    r = materialize(parse_customer_requests(requests).withColumn("email_key", ascii_lower("email")))
     holders = email_holders(customers)
     with_email = r.where(F.col("email") != "")
     # First arrival per e-mail among requests not already held by a customer.

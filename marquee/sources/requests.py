@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def parse_bodies(df: DataFrame, body: str = "body", out: str = "payload") -> DataFrame:
-    """Add ``out``: the body as VARIANT when it is a JSON object, else null."""
-    v = F.try_parse_json(F.col(body))
-    return df.withColumn(out, F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+    """Add ``out``: the body as VARIANT when it is a JSON object, else null.
+    (Two steps, so each body is parsed once.)"""
+    parsed = df.withColumn("_parsed", F.try_parse_json(F.col(body)))
+    return (parsed.withColumn(out, F.when(F.schema_of_variant("_parsed").startswith("OBJECT"), F.col("_parsed")))
+            .drop("_parsed"))
 
 
 def field(v: Column, name: str) -> Column:
