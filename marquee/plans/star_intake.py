@@ -48,9 +48,10 @@ FROM s""")
 def name_parse(t):
     """Blank, one-word and padded multi-word names."""
     n = _full_names(t["customer"])
-    parts = C.split_full_name("full_name")
-    return n.select("customer_id", "full_name", parts["firstname"].alias("firstname"),
-                    parts["lastname"].alias("lastname"))
+    stripped = n.withColumn("_t", F.coalesce(C.py_strip("full_name"), F.lit("")))  # strip once per row
+    parts = stripped.withColumn("_p", C.split_stripped(F.col("_t")))
+    return parts.select("customer_id", "full_name", F.col("_p.firstname").alias("firstname"),
+                        F.col("_p.lastname").alias("lastname"))
 
 
 @query("email_duplicates", _with(c=V.CUSTOMERS_FROM_CUSTOMER) + """,
