@@ -105,17 +105,9 @@ def decide(requests: DataFrame, customers: DataFrame, showings: DataFrame, conce
     return acc.unionByName(refused), items
 
 
-def intake(requests: DataFrame, customers: DataFrame, showings: DataFrame, concessions: DataFrame,
-           orders: DataFrame, tickets: DataFrame, pin: bool = True) -> dict[str, DataFrame]:
-    """All outputs of one intake run: decisions, orders, tickets, items, seats.
-
-    With ``pin`` (needed when the outputs are written back into the input
-    tables) the decisions are checkpointed, so every output sees one run even
-    after ``orders``/``tickets`` have grown.  Read-only callers may skip it:
-    the decisions are then recomputed deterministically from pinned parts."""
-    decisions, items = decide(requests, customers, showings, concessions, orders, tickets)
-    if pin:
-        decisions = materialize(decisions)
+def outputs(decisions: DataFrame, items: DataFrame, showings: DataFrame) -> dict[str, DataFrame]:
+    """Orders, tickets, items and the seat snapshot implied by decisions
+    (internal form, with ``first_ticket_id`` and the customer key ``_ckey``)."""
     ok = decisions.where(F.col("status") == ACCEPTED)
     new_orders = ok.select("order_number", F.col("_ckey").alias("order_customer_id"), "subtotal", "tax",
                            "discount", "total", F.col("arrived_at").alias("created_at"))
@@ -126,10 +118,30 @@ def intake(requests: DataFrame, customers: DataFrame, showings: DataFrame, conce
         F.col("showing_id").alias("ticket_showing_id"), F.col("order_number").alias("ticket_order_number"))
     new_items = (items.join(ok.select("request_id", "order_number"), "request_id")
                  .select("order_number", "concession_id", F.col("quantity").cast("int").alias("quantity")))
-    taken = ok.groupBy(F.col("showing_id").alias("_sid")).agg(F.sum("ticket_qty").alias("_taken"))
-    seats = (showings.join(taken, showings.showing_id == taken._sid, "left")
-             .withColumn("film_available_seats",
-                         (F.col("film_available_seats") - F.coalesce(F.col("_taken"), F.lit(0))).cast("int"))
-             .drop("_sid", "_taken"))
     return {"decisions": decisions.select(*DECISION_COLUMNS), "orders": new_orders, "tickets": new_tickets,
-            "items": new_items, "seats": seats}
+            "items": new_items, "seats": seats_left(showings, ok)}
+
+
+def seats_left(showings: DataFrame, accepted: DataFrame) -> DataFrame:
+    """A10: seats minus the accepted quantity per showing (aggregated first)."""
+    taken = accepted.groupBy(F.col("showing_id").alias("_sid")).agg(F.sum("ticket_qty").alias("_taken"))
+    return (showings.join(taken, showings.showing_id == taken._sid, "left")
+            .withColumn("film_available_seats",
+                        (F.col("film_available_seats") - F.coalesce(F.col("_taken"), F.lit(0))).cast("int"))
+            .drop("_sid", "_taken"))
+
+
+def intake(requests: DataFrame, customers: DataFrame, showings: DataFrame, concessions: DataFrame,
+           orders: DataFrame, tickets: DataFrame, pin: bool = True) -> dict[str, DataFrame]:
+    """All outputs of one intake run: decisions, orders, tickets, items, seats.
+
+    With ``pin`` (needed when the outputs are written back into the input
+    tables) the decisions are checkpointed, so every output sees one run even
+    after ``orders``/``tickets`` have grown.  Read-only callers may skip it:
+    the decisions are then recomputed deterministically from pinned parts."""
+    decisions, items = decide(requests, customers, showings, concessions, orders, tickets)
+    if pin:
+        decisions = materialize(decisions)
+    out = outputs(decisions, items, showings)
+    out["internal"] = decisions
+    return out

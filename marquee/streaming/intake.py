@@ -1,9 +1,16 @@
 """Order intake as a Structured Streaming job (``foreachBatch``).
 
-Each micro-batch of requests runs the same batch operator (P2) against the
-current store: seats, order numbers and ticket ids continue from the stored
-tables.  The batch id is recorded beside the tables after the writes, so a
-replayed batch (after a failure) is recognised and skipped.
+Each micro-batch runs the batch operator (P2) against the current store:
+seats, order numbers and ticket ids continue from what is stored.  The job is
+safe to replay after a failure at any point of a batch:
+
+1. the batch's decisions are recorded first (with their order numbers and
+   ticket ids); a replay finds them and reuses them instead of deciding again;
+2. orders, tickets and items are appended with an anti-join on their keys, so
+   writing them again adds nothing;
+3. the stream never rewrites ``showings``: the seats in effect are the stored
+   seats minus the accepted quantities of all recorded decisions;
+4. the batch id is recorded last; a fully applied batch is skipped.
 """
 
 from __future__ import annotations
@@ -11,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.operators.orders import intake
+from marquee.operators.orders import intake, outputs, seats_left
+from marquee.operators.pricing import usable_items
+from marquee.schema import PRIMARY_KEYS
 from marquee.sources.requests import parse_bodies
-from marquee.sources.sinks import append_rows, replace_table
+from marquee.sources.sinks import conform_to
 from marquee.sources.tables import read_table, table_path
 
 REQUEST_SCHEMA = "request_id bigint, arrived_at timestamp_ntz, body string"
@@ -21,25 +30,54 @@ BATCHES = "_order_batches"
 DECISIONS = "_order_decisions"
 
 
-def _done_batches(spark: SparkSession, root: str) -> set[int]:
+def _read_or_none(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     try:
-        return {r[0] for r in spark.read.parquet(table_path(root, BATCHES)).select("batch_id").collect()}
+        return spark.read.parquet(table_path(root, name))
     except Exception:  # nothing recorded yet
-        return set()
+        return None
+
+
+def current_showings(spark: SparkSession, root: str) -> DataFrame:
+    """Stored showings with the seats taken by recorded stream decisions removed."""
+    showings = read_table(spark, root, "showings")
+    recorded = _read_or_none(spark, root, DECISIONS)
+    if recorded is None:
+        return showings
+    return seats_left(showings, recorded.where(F.col("status") == "accepted"))
 
 
-def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """Run P2 on one micro-batch and apply its writes to the store."""
+def _append_new(df: DataFrame, root: str, table: str) -> None:
+    """Append only rows whose primary key is not stored yet."""
+    spark = df.sparkSession
+    keys = list(PRIMARY_KEYS[table])
+    stored = read_table(spark, root, table).select(*keys)
+    conform_to(df, table).join(stored, keys, "left_anti").write.mode("append").parquet(table_path(root, table))
+
+
+def process_batch(batch: DataFrame, batch_id: int, root: str, record: bool = True) -> None:
+    """Run P2 on one micro-batch and apply its writes to the store (replay-safe).
+    ``record=False`` stops before the batch id is recorded (a crash at the last step)."""
     spark = batch.sparkSession
-    if batch_id in _done_batches(spark, root):
+    done = _read_or_none(spark, root, BATCHES)
+    if done is not None and done.where(F.col("batch_id") == batch_id).limit(1).count():
+        return
+    requests = parse_bodies(batch)
+    t = {n: read_table(spark, root, n) for n in ("customers", "concessions", "orders", "tickets")}
+    recorded = _read_or_none(spark, root, DECISIONS)
+    mine = None if recorded is None else recorded.where(F.col("batch_id") == batch_id)
+    if mine is None or not mine.limit(1).count():
+        out = intake(requests, t["customers"], current_showings(spark, root), t["concessions"], t["orders"],
+                     t["tickets"])
+        out["internal"].withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(
+            table_path(root, DECISIONS))
+        mine = _read_or_none(spark, root, DECISIONS).where(F.col("batch_id") == batch_id)
+    items = usable_items(requests, t["concessions"])
+    out = outputs(mine.drop("batch_id"), items, read_table(spark, root, "showings"))
+    _append_new(out["orders"], root, "orders")
+    _append_new(out["tickets"], root, "tickets")
+    _append_new(out["items"], root, "order_concessions")
+    if not record:
         return
-    t = {n: read_table(spark, root, n) for n in ("customers", "showings", "concessions", "orders", "tickets")}
-    out = intake(parse_bodies(batch), t["customers"], t["showings"], t["concessions"], t["orders"], t["tickets"])
-    out["decisions"].withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table_path(root, DECISIONS))
-    append_rows(out["orders"], root, "orders")
-    append_rows(out["tickets"], root, "tickets")
-    append_rows(out["items"], root, "order_concessions")
-    replace_table(out["seats"], root, "showings")
     spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(table_path(root, BATCHES))
 
 
