@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Checkpoint files of frames that are no longer referenced are removed.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Kryo makes checkpoint writes and cached blocks of internal rows cheaper.
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
 
