@@ -67,8 +67,6 @@ def consecutive_ids(df: DataFrame, order_cols: list[str], start: Column | int, n
     return out.withColumn(name, (start_col + F.col("_n") + 1).cast("bigint")).drop("_n")
 
 
-
-
 def row_number_within(df: DataFrame, keys: list[str], order_cols: list[str], name: str = "row_no") -> DataFrame:
     """``row_number() OVER (PARTITION BY keys ORDER BY order_cols)`` without
     sending a whole key to one task (keys must not be null).
@@ -137,5 +135,6 @@ def row_number_within(df: DataFrame, keys: list[str], order_cols: list[str], nam
     local_schema = T.StructType(ranged.schema.fields + [T.StructField(f"_l_{name}", T.LongType(), False)])
     ranked = ranged.mapInPandas(local, local_schema)
     out = ranked.join(F.broadcast(offsets), ["_pid", *keys], "left")
-    return (out.withColumn(name, (F.col(f"_l_{name}") + F.coalesce(F.col("_off"), F.lit(0))).cast("int"))
+    # BIGINT: a hot key at scale can hold more than 2**31 rows.
+    return (out.withColumn(name, (F.col(f"_l_{name}") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint"))
             .drop("_pid", "_off", f"_l_{name}"))

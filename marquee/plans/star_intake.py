@@ -284,9 +284,9 @@ rec AS (SELECT showing_id, rn, request_id, q <= seats0 AS ok,
         FROM rec r JOIN el e ON e.showing_id = r.showing_id AND e.rn = r.rn + 1),
 fold AS (SELECT el.*, rec.ok, rec.ok AND NOT el.dup AS accepted FROM el JOIN rec USING (request_id)),
 acc AS (SELECT *, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY arrived_at, request_id) AS order_number,
-               (SELECT max(l_orderkey * 8 + l_linenumber) FROM lineitem) + 1
+               CAST((SELECT max(l_orderkey * 8 + l_linenumber) FROM lineitem) + 1
                  + coalesce(sum(q) OVER (ORDER BY arrived_at, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-                 AS first_ticket_id
+                 AS BIGINT) AS first_ticket_id
         FROM fold WHERE accepted),
 decisions AS (
   SELECT request_id, arrived_at, 'accepted' AS status, CAST(NULL AS VARCHAR) AS reason, order_number,
