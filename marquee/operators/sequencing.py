@@ -107,16 +107,17 @@ def row_number_within(df: DataFrame, keys: list[str], order_cols: list[str], nam
                 continue
             pid = int(pdf["_pid"].iat[0])
             new, last = segments(pdf, prev_key)
-            kv = pdf[keys].itertuples(index=False, name=None)
-            cuts = np.flatnonzero(new).tolist() + [len(pdf)]
-            starts = np.flatnonzero(new).tolist()
-            if not starts or starts[0] > 0:  # batch continues the current segment
-                cur[1] += (starts[0] if starts else len(pdf))
-            rows_ = list(kv)
-            for s, e in zip(starts, cuts[1:]):
-                if cur is not None and first_seg is None:
-                    first_seg = list(cur)
-                cur = [rows_[s], e - s]
+            starts, n = np.flatnonzero(new), len(pdf)
+            if not len(starts) or starts[0] > 0:  # batch continues the current segment
+                cur[1] += int(starts[0]) if len(starts) else n
+            if len(starts):
+                # Only a partition's first and last segments can cross a partition edge.
+                if first_seg is None:
+                    if cur is not None:
+                        first_seg = list(cur)
+                    elif len(starts) > 1:
+                        first_seg = [tuple(pdf[keys].iloc[starts[0]].tolist()), int(starts[1] - starts[0])]
+                cur = [tuple(pdf[keys].iloc[starts[-1]].tolist()), int(n - starts[-1])]
             prev_key = last
         if cur is not None:
             if first_seg is not None:
