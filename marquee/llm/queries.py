@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import op6_mixing, op8_urls
+from marquee.llm import op1_tokens, op6_mixing, op8_urls, op9_packing
 from marquee.llm.common import read
+from marquee.llm.tokens import public_path
+
+
+def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = op1_tokens.write_shards(read(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
+    return op1_tokens.read_ids(shards, digest=True)
 
 
 def op6_mixing_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +23,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_urls.judge(pages, op8_urls.spam_list(pages))
 
 
-QUERIES = {f.__name__: f for f in (op6_mixing_entropy_balancing, op8_url_filter)}
+def op9_packing_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_packing.pack(read(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op6_mixing_entropy_balancing, op8_url_filter, op9_packing_cutting_stock)}
 SQL = {"op8_url_filter": op8_urls.SQL}
