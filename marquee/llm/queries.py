@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import op1_tokens, op6_mixing, op8_urls, op9_packing
+from marquee.llm import op1_tokens, op2_toxicity, op6_mixing, op8_urls, op9_packing, op10_rules
 from marquee.llm.common import read
 from marquee.llm.tokens import public_path
 
@@ -14,6 +14,10 @@ def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_tokens.read_ids(shards, digest=True)
 
 
+def op2_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_mixing_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_mixing.mix(read(spark, sf_dir, "documents")).drop("rate", "copies")
 
@@ -27,5 +31,9 @@ def op9_packing_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_packing.pack(read(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op6_mixing_entropy_balancing, op8_url_filter, op9_packing_cutting_stock)}
+def op10_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_toxicity_string_kernel, op6_mixing_entropy_balancing, op8_url_filter, op9_packing_cutting_stock, op10_quality_decision_list)}
 SQL = {"op8_url_filter": op8_urls.SQL}
