@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import op1_tokens, op2_toxicity, op3_warc, op4_vectors, op6_mixing, op7_minhash, op8_urls, op9_packing, op10_rules
+from marquee.llm import op1_tokens, op2_toxicity, op3_warc, op4_vectors, op5_lm, op6_mixing, op7_minhash, op8_urls, op9_packing, op10_rules
 from marquee.llm.common import read
 from marquee.llm.tokens import public_path
 
@@ -26,6 +26,10 @@ def op4_spherical_kmeans_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return op4_vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_mixing.mix(read(spark, sf_dir, "documents")).drop("rate", "copies")
 
@@ -47,5 +51,5 @@ def op10_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_toxicity_string_kernel, op3_warc_chunks, op4_spherical_kmeans_duplicates, op6_mixing_entropy_balancing, op7_minhash_coordinate_join, op8_url_filter, op9_packing_cutting_stock, op10_quality_decision_list)}
+QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_toxicity_string_kernel, op3_warc_chunks, op4_spherical_kmeans_duplicates, op5_recurrent_lm, op6_mixing_entropy_balancing, op7_minhash_coordinate_join, op8_url_filter, op9_packing_cutting_stock, op10_quality_decision_list)}
 SQL = {"op8_url_filter": op8_urls.SQL}
