@@ -18,7 +18,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,13 +64,13 @@ def with_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return s.withColumn("target", F.least(F.col("most"), F.lit(level) * F.col("weight")))
 
 
-def _rate(cap: float):
+def _rate() -> Column:
     z = F.col("size") / F.col("mean")
-    tilted = F.least(F.lit(cap), F.exp(F.least(F.col("lam") * z, F.lit(700.0))))
-    return F.when(F.col("size") == 0, 0.0).when(F.col("target") >= F.col("most"), F.lit(cap)).when(F.col("target") <= 0, 0.0).otherwise(tilted)
+    tilted = F.least(F.col("cap"), F.exp(F.least(F.col("lam") * z, F.lit(700.0))))
+    return F.when(F.col("size") == 0, 0.0).when(F.col("target") >= F.col("most"), F.col("cap")).when(F.col("target") <= 0, 0.0).otherwise(tilted)
 
 
-def multipliers(docs: DataFrame, sources: DataFrame, small: bool, cap: float = CAP) -> DataFrame:
+def multipliers(docs: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
     """Adds lam, the multiplier of each source, to ``sources``."""
     hint = F.broadcast if small else (lambda x: x)
     hist = pin(docs.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
@@ -79,8 +79,8 @@ def multipliers(docs: DataFrame, sources: DataFrame, small: bool, cap: float = C
     keep = state.columns
     for _ in range(MAX_STEPS):
         x = hist.join(hint(state.withColumnRenamed("source", "key")), F.col("source").eqNullSafe(F.col("key")), "inner")
-        rate, words = _rate(cap), F.col("n") * F.col("size")
-        slope = F.when(rate < cap, words * rate * F.col("size") / F.col("mean")).otherwise(0.0)
+        rate, words = _rate(), F.col("n") * F.col("size")
+        slope = F.when(rate < F.col("cap"), words * rate * F.col("size") / F.col("mean")).otherwise(0.0)
         got = x.groupBy("source").agg(F.sum(words * rate).alias("got"), F.sum(slope).alias("slope")).withColumnRenamed("source", "key")
         y = state.join(hint(got), F.col("source").eqNullSafe(F.col("key")), "left")
         off = F.when((F.col("target") <= 0) | (F.col("target") >= F.col("most")), 0.0).otherwise(F.coalesce("got", F.lit(0.0)) - F.col("target"))
@@ -95,25 +95,31 @@ def multipliers(docs: DataFrame, sources: DataFrame, small: bool, cap: float = C
     return state
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, taken, rate, copies for each row of ``docs`` (doc_id, source, text)."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = pin(pick(docs, "doc_id", "source", "text").select("doc_id", "source", size.alias("size")), "sizes")
-    sources = pin(with_targets(ranked_sources(base), weights, share, cap), "targets")
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    """Adds rate, whole (copies in any case) and rank: a document's number in [0, 1), fixed by its id, less the rate's fraction."""
+    number = F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    rows = rows.withColumn("rate", _rate()).withColumn("whole", F.floor("rate").cast("long"))
+    return rows.withColumn("rank", number - (F.col("rate") - F.col("whole")))
+
+
+def source_plan(base: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, bool]:
+    """For each source of ``base`` (doc_id, source, size): key, source_size, target, most, mean, cap, lam, and cut: a document
+    whose rank is below it is taken once more.  The flag says that the table is small enough to broadcast."""
+    sources = pin(with_targets(ranked_sources(base), weights, share, cap).withColumn("cap", F.lit(float(cap))), "targets")
     small = sources.count() <= BROADCAST_SOURCES
     hint = F.broadcast if small else (lambda x: x)
-    solved = pin(multipliers(base, sources, small, cap), "multipliers").withColumnRenamed("source", "key")
-    rated = base.join(hint(solved), F.col("source").eqNullSafe(F.col("key"))).withColumn("rate", _rate(cap))
-    # A document's number in [0, 1) is fixed by its id; the whole part of the rate is taken in any case.
-    number = F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    rated = rated.withColumn("whole", F.floor("rate").cast("long")).withColumn("rank", number - (F.col("rate") - F.col("whole")))
-    rated = pin(rated.select("doc_id", "source", "size", "source_size", "target", "rate", "whole", "rank"), "rates")
+    solved = pin(multipliers(base, sources, small), "multipliers").withColumnRenamed("source", "key")
+    rated = pin(_drawn(base.join(hint(solved), F.col("source").eqNullSafe(F.col("key")))).select("key", "size", "target", "rate", "whole", "rank"), "rates")
     open_ = F.col("rate") > F.col("whole")
-    cut = rated.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("need")).select(F.col("source").alias("key"), "need", F.lit(-1.0).alias("from"))
+    cut = rated.groupBy("key").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("need")).withColumn("from", F.lit(-1.0))
     width = 2.0
     for k in range(ROUNDS):  # the cut lies in [from, from + width)
         width /= BINS
-        x = rated.where(open_).join(hint(cut), F.col("source").eqNullSafe(F.col("key")))
+        x = rated.where(open_).select(F.col("key").alias("source"), "size", "rank").join(hint(cut), F.col("source").eqNullSafe(F.col("key")))
         bin_ = F.floor((F.col("rank") - F.col("from")) / F.lit(width))
         sums = x.where((bin_ >= 0) & (bin_ < BINS)).groupBy("key", "need", "from", bin_.alias("bin")).agg(F.sum("size").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
@@ -128,6 +134,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
             bins = bins + F.when(F.col("over") - F.col("need") < F.col("need") - used, 1).otherwise(0)
         moved = F.when(F.coalesce("used", "over").isNull(), 0).otherwise(bins) * F.lit(width)
         cut = pin(new.select("key", (F.col("need") - used).alias("need"), (F.col("from") + moved).alias("from")), "cut")
-    extra = (open_ & (F.col("rank") < F.col("from"))).cast("long")
-    out = rated.join(hint(cut), F.col("source").eqNullSafe(F.col("key"))).withColumn("copies", F.col("whole") + extra)
+    plan = solved.join(hint(cut.select(F.col("key").alias("key2"), F.col("from").alias("cut"))), F.col("key").eqNullSafe(F.col("key2"))).drop("key2")
+    return pin(plan, "plan"), small
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    """Adds the plan of each row's source, rate and copies to ``rows`` (doc_id, source, size)."""
+    drawn = _drawn(rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("key"))))
+    extra = ((F.col("rate") > F.col("whole")) & (F.col("rank") < F.col("cut"))).cast("long")
+    return drawn.withColumn("copies", F.col("whole") + extra)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """doc_id, size, source_size, target, taken, rate, copies for each row of ``docs`` (doc_id, source, text)."""
+    base = pin(pick(docs, "doc_id", "source", "text").select("doc_id", "source", _size(F.col("text")).alias("size")), "sizes")
+    out = with_copies(base, *source_plan(base, weights, share, cap))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
+    base = pin(pick(docs, "doc_id", "source", "text").select("doc_id", "source", _size(F.col("text")).alias("size")), "sizes")
+    plan, small = source_plan(base, weights, share, cap)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), _size(docs["text"]).alias("size"))
+    times = with_copies(rows, plan, small).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return times.select("_row.*")

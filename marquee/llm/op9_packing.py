@@ -150,8 +150,8 @@ def places(patterns: list[tuple[int, np.ndarray]], classes: np.ndarray) -> tuple
     return {c: tuple(np.array(col, np.int64) for col in zip(*r, strict=True)) for c, r in runs.items() if r}, at
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int = SEQUENCE, unit: int = UNIT) -> DataFrame:
-    """doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32 of each piece."""
+def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int = SEQUENCE, unit: int = UNIT, keep_ids: bool = False) -> DataFrame:
+    """doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32 of each piece; with ``keep_ids`` also ids."""
     cut = pin(pieces(docs, vocabulary, end_id, sequence, unit), "pieces")
     counts = pin(cut.groupBy("class", "shard").agg(F.count("*").alias("n")), "classes")
     before = Window.partitionBy("class").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,10 +171,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int =
                 past = rank[at] - first[r]
                 seq[at], slot[at] = begin[r] + past // each[r], (sequence - c) * sequence + past % each[r]
             crc = [zlib.crc32(x.as_buffer()) for x in batch.column(6)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:6], pa.array(crc, pa.int64()), pa.array(seq), pa.array(slot)],
-                                             ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id", "slot"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:6], pa.array(crc, pa.int64()), pa.array(seq), pa.array(slot), *batch.columns[6 : 6 + keep_ids]],
+                                             ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id", "slot", *["ids"] * keep_ids])
 
     ranked = cut.join(firsts, ["class", "shard"]).select("class", (F.col("rank") + F.col("first")).alias("rank"), "doc_id", "start", "length", "doc_tokens", "ids")
-    placed = ranked.mapInArrow(assign, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, sequence_id long, slot long")
+    placed = ranked.mapInArrow(assign, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, sequence_id long, slot long" + ", ids binary" * keep_ids)
     upto = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(upto), F.lit(0))).drop("slot")
