@@ -37,6 +37,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def keeping_columns(docs: DataFrame, needs: tuple[str, ...], rows_of) -> DataFrame:
+    """``rows_of`` a frame in which only the columns ``needs`` have their names; it drops or repeats rows, and
+    all columns come back as they were, whatever they are called."""
+    cols = docs.columns
+    names = [c if c in needs and cols.index(c) == i else f"_other{i}" for i, c in enumerate(cols)]
+    return rows_of(docs.toDF(*names)).select(*names).toDF(*cols)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column's text, modulo ``n`` (a null counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

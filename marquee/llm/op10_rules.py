@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_mod, pick
+from marquee.llm.common import crc_mod, keeping_columns, pick
 
 #: The most labelled rows that the list is learned from (those of the smallest hash of their id).
 MAX_LABELLED = 20_000
@@ -180,5 +180,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
     rules, s = learned_rules(docs, labels), lambda c: F.col(f"_stats.{c}")
-    kept = docs.withColumn("_stats", stats(F.col("text"))).where(~base_failed(s) & ~reject_expression(rules, features(s)))
-    return kept.drop("_stats")
+    kept = ~base_failed(s) & ~reject_expression(rules, features(s))
+    return keeping_columns(docs, ("text",), lambda d: d.withColumn("_stats", stats(F.col("text"))).where(kept))

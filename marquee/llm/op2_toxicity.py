@@ -27,10 +27,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_mod, pick, worker_store
+from marquee.llm.common import crc_mod, keeping_columns, pick, worker_store
 
 #: The most toxic and the most other labelled documents that are learned from (those of the smallest hash of their id).
 MAX_TOXIC, MAX_CLEAN = 2_000, 4_000
@@ -275,5 +275,4 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     score = scorer(learned(docs, labels))
-    kept: Column = F.col("_score") < 0.5
-    return docs.withColumn("_score", score(F.col("text"))).where(kept).drop("_score")
+    return keeping_columns(docs, ("text",), lambda d: d.withColumn("_score", score(F.col("text"))).where(F.col("_score") < 0.5))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import WORD, pick, pin
+from marquee.llm.common import WORD, keeping_columns, pick, pin
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -156,6 +156,10 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
     base = pin(pick(docs, "doc_id", "source", "text").select("doc_id", "source", _size(F.col("text")).alias("size")), "sizes")
     plan, small = source_plan(base, weights, share, cap)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), _size(docs["text"]).alias("size"))
-    times = with_copies(rows, plan, small).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return times.select("_row.*")
+
+    def taken(d: DataFrame) -> DataFrame:
+        rows = d.select(F.struct(*d.columns).alias("_row"), "doc_id", "source", _size(F.col("text")).alias("size"))
+        times = with_copies(rows, plan, small).where("copies > 0")
+        return times.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+
+    return keeping_columns(docs, ("doc_id", "source", "text"), taken)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import pick, pin, worker_store
+from marquee.llm.common import keeping_columns, pick, pin, worker_store
 from marquee.llm.components import components
 
 COORDINATES, MATCHES = 48, 30
@@ -245,4 +245,4 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE)
     near = near_duplicates(docs, percent, width)
     gone = pin(near.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     small = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda x: x)
-    return docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+    return keeping_columns(docs, ("doc_id",), lambda d: d.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti"))
