@@ -101,16 +101,23 @@ def is_datelike(c) -> Column:
             | (F.instr(t, "T") > 0) & (F.length(t) >= 19))
 
 
-def display_datetime(c) -> Column:
-    """Date-time text for display; null/empty -> dash; date-like text
-    that parses -> fixed pattern; everything else passes through."""
+def display_cell(c) -> Column:
+    """G14 in a table cell: null -> dash; date-like text that parses -> fixed
+    pattern; everything else, the empty text and a date alone included, passes through."""
     t = col(c)
     parsed = parse_datetime(t)
-    return (F.when(t.isNull() | (t == ""), F.lit(DASH))
+    return (F.when(t.isNull(), F.lit(DASH))
             .when(is_datelike(t) & parsed.isNotNull(), F.date_format(parsed, DISPLAY_PATTERN))
             .otherwise(t))
 
 
+def display_datetime(c) -> Column:
+    """G14 on dashboard and order pages: text that parses as a date or date-time
+    -> fixed pattern; everything else passes through, with no dash."""
+    t = col(c)
+    return F.coalesce(F.date_format(parse_datetime(t), DISPLAY_PATTERN), t)
+
+
 def customer_id_number(c) -> Column:
     """Numeric suffix of ``C<digits>`` ids; null for other ids."""
     digits = F.regexp_extract(col(c), CUSTOMER_ID_PATTERN, 1)

@@ -16,8 +16,8 @@ from marquee.schema import FOREIGN_KEYS, PRIMARY_KEYS, required_columns
 
 
 def _key_text(cols: list[str]):
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols]) if len(cols) > 1 \
-        else F.col(cols[0]).cast("string")
+    """Key columns as text; a null part reads NULL, so that different keys have different texts."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in cols])
 
 
 def pk_duplicates(df: DataFrame, table: str, keys: list[str] | tuple[str, ...]) -> DataFrame:
@@ -47,15 +47,15 @@ def null_audit(df: DataFrame, table: str, required: list[str]) -> DataFrame:
             .select(F.lit(table).alias("table_name"), "column_name", F.col("null_count").cast("bigint")))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
+def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
 def audit_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All three audits over the 12 venue tables."""
     return {
-        "pk_duplicates": _union([pk_duplicates(tables[t], t, k) for t, k in PRIMARY_KEYS.items()]),
-        "fk_orphans": _union([fk_orphans(tables[fk.child], fk.column, tables[fk.parent], fk.parent_column,
+        "pk_duplicates": union_all([pk_duplicates(tables[t], t, k) for t, k in PRIMARY_KEYS.items()]),
+        "fk_orphans": union_all([fk_orphans(tables[fk.child], fk.column, tables[fk.parent], fk.parent_column,
                                          fk.child, fk.parent) for fk in FOREIGN_KEYS]),
-        "null_audit": _union([null_audit(tables[t], t, required_columns(t)) for t in PRIMARY_KEYS]),
+        "null_audit": union_all([null_audit(tables[t], t, required_columns(t)) for t in PRIMARY_KEYS]),
     }

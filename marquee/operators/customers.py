@@ -34,17 +34,17 @@ def ascii_lower(c):
 
 def email_holders(customers: DataFrame) -> DataFrame:
     """First customer per folded e-mail: (email_key, holder_id).  "First" is the
-    lowest numeric id suffix (insertion order of ``C%03d`` ids), then the id."""
-    order = F.struct(C.customer_id_number(F.col("customer_id").cast("string")).alias("n"),
-                     F.col("customer_id").alias("id"))
+    lowest numeric id suffix (insertion order of ``C%03d`` ids); ids of another form come after, by id."""
+    n = C.customer_id_number(F.col("customer_id").cast("string"))
+    order = F.struct(n.isNull().alias("other"), n.alias("n"), F.col("customer_id").alias("id"))
     return (customers.groupBy(ascii_lower("email").alias("email_key"))
             .agg(F.min(order)["id"].alias("holder_id")))
 
 
 def email_conflicts(requests: DataFrame, customers: DataFrame) -> DataFrame:
     """Requests whose e-mail matches an existing customer, case-insensitively.
-    Customers are reduced to one row per e-mail before the join."""
-    holders = email_holders(customers)
+    Customers are reduced to one row per e-mail, pinned so that a hot e-mail's requests can be split."""
+    holders = materialize(email_holders(customers))
     return (requests.join(holders, ascii_lower("email") == holders.email_key)
             .select("request_id", "email", F.col("holder_id").alias("existing_customer_id")))
 
@@ -80,30 +80,34 @@ def parse_customer_requests(requests: DataFrame) -> DataFrame:
 
 def intake_customers(requests: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
     """Decide a batch of parsed customer requests; return decisions and new rows."""
-    # Four branches read the parsed requests: parse once and pin (narrow rows).
+    # Parsed requests are read twice: parse once and pin (narrow rows).
     r = materialize(parse_customer_requests(requests).withColumn("email_key", ascii_lower("email")))
-    holders = email_holders(customers)
-    with_email = r.where(F.col("email") != "")
-    # First arrival per e-mail among requests not already held by a customer.
-    firsts = (with_email.join(holders, "email_key", "left_anti")
-              .groupBy("email_key").agg(F.min(F.struct(*ARRIVAL)).alias("_first")))
-    winners = (with_email.join(firsts, "email_key")
-               .where(F.struct(*ARRIVAL) == F.col("_first")).drop("_first"))
+    # One row per e-mail: its first arrival (aggregated map-side, so a hot e-mail is no hot task) and its holder.
+    firsts = (r.where(F.col("email") != "").groupBy("email_key").agg(F.min(F.struct(*ARRIVAL)).alias("first"))
+              .join(email_holders(customers), "email_key", "left"))
+    firsts = materialize(firsts.select("email_key", "holder_id", *[F.col(f"first.{c}").alias(c) for c in ARRIVAL]))
     base = max_customer_number(customers).select("max_number").scalar()
-    numbered = consecutive_ids(winners, ARRIVAL, base, "new_n").withColumn("new_id", C.customer_id_text("new_n"))
-    ids = numbered.select("email_key", "new_id", F.col("request_id").alias("_winner"))
-    d = (r.join(holders, "email_key", "left").join(ids, "email_key", "left")
-         .withColumn("reason", F.when(F.col("email") == "", F.lit(EMAIL_REQUIRED))
-                     .when(F.col("holder_id").isNotNull() | (F.col("_winner") != F.col("request_id")),
-                           F.lit(DUPLICATE_EMAIL)))
-         .withColumn("status", F.when(F.col("reason").isNull(), F.lit(ACCEPTED)).otherwise(F.lit(REFUSED)))
-         .withColumn("customer_id", F.when(F.col("email") == "", F.lit(None).cast("string"))
-                     .otherwise(F.coalesce(F.col("holder_id").cast("string"), F.col("new_id")))))
+    numbered = consecutive_ids(firsts.where(F.col("holder_id").isNull()).select("email_key", *ARRIVAL), ARRIVAL, base, "new_n")
+    new = numbered.select("email_key", C.customer_id_text("new_n").alias("new_id"), F.col("request_id").alias("_winner"))
+    # Pinned, so that the join below splits the rows of an e-mail sent very often; blanks never enter it.
+    lookup = materialize(firsts.drop(*ARRIVAL).join(new, "email_key", "left"))
+    known = r.where(F.col("email") != "").join(lookup, "email_key")
+    known = (known.withColumn("reason", F.when(F.col("holder_id").isNotNull() | (F.col("_winner") != F.col("request_id")),
+                                               F.lit(DUPLICATE_EMAIL)))
+             .withColumn("customer_id", F.coalesce(F.col("holder_id").cast("string"), F.col("new_id"))))
+    blank = r.where(F.col("email") == "").withColumns({"reason": F.lit(EMAIL_REQUIRED), "customer_id": F.lit(None).cast("string")})
+    columns = [*r.columns, "reason", "customer_id"]
+    d = known.select(*columns).unionByName(blank.select(*columns))
+    d = d.withColumn("status", F.when(F.col("reason").isNull(), F.lit(ACCEPTED)).otherwise(F.lit(REFUSED)))
     decisions = d.select("request_id", "arrived_at", "status", "reason", "customer_id", "firstname", "lastname",
                          "email", "rewards_member")
-    new_rows = decisions.where(F.col("status") == ACCEPTED).select(
+    return {"decisions": decisions, "customers": new_customers(decisions)}
+
+
+def new_customers(decisions: DataFrame) -> DataFrame:
+    """The customer rows of accepted decisions."""
+    return decisions.where(F.col("status") == ACCEPTED).select(
         "customer_id", "firstname", "lastname", "email", F.lit(None).cast("string").alias("phone"),
         F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("gender"),
         F.lit(None).cast("string").alias("home_city"), "rewards_member",
         F.lit(None).cast("string").alias("pref_pymt_method"))
-    return {"decisions": decisions, "customers": new_rows}

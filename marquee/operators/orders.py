@@ -10,6 +10,7 @@ Rules, in the order the reference tests them (first failure wins):
  7 unusable items are dropped
  8 item list not iterable                        -> bad_concessions (no seats taken)
  9 same concession twice                         -> duplicate_concession (no seats taken)
+10 amounts or an item quantity beyond the columns -> amount_too_large (no seats taken)
 Accepted orders get consecutive order numbers in arrival order, one ticket per
 seat with consecutive ids, their items, and the seats come off the showing.
 """
@@ -34,6 +35,7 @@ SHOWING_NOT_FOUND = "showing_not_found"
 NOT_ENOUGH_SEATS = "not_enough_seats"
 BAD_CONCESSIONS = "bad_concessions"
 DUPLICATE_CONCESSION = "duplicate_concession"
+AMOUNT_TOO_LARGE = "amount_too_large"
 ACCEPTED, REFUSED = "accepted", "refused"
 
 ARRIVAL = ["arrived_at", "request_id"]
@@ -74,22 +76,23 @@ def decide(requests: DataFrame, customers: DataFrame, showings: DataFrame, conce
            orders: DataFrame, tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Return (decisions, usable items of eligible orders).
 
-    All screened requests go through one pinned fold (ineligible ones pass
-    through untouched), so every decision comes from a single parse."""
+    The screened and priced requests are pinned once.  The seat fold sees the eligible ones
+    only, and of them the columns that it needs (none is ever null); its verdicts are joined back."""
     screened = screen(requests, customers, showings)
     items = usable_items(screened.where(F.col("reason").isNull()), concessions)
     priced = price_orders(screened.drop("payload"), item_totals(items))
-    folded = allocate_seats(
-        priced.withColumn("_blocked", F.col("_crash") | F.col("has_duplicate"))
-        .withColumn("_eligible", F.col("reason").isNull()),
-        key="showing_id", order_cols=tuple(ARRIVAL), qty="ticket_qty", seats="seats0", blocked="_blocked",
-        eligible="_eligible")
-    folded = folded.withColumn("reason", F.coalesce(
+    priced = materialize(priced).withColumn("_row", F.monotonically_increasing_id())
+    seated = allocate_seats(
+        priced.where(F.col("reason").isNull()).select(
+            "_row", *ARRIVAL, "showing_id", "ticket_qty", "seats0",
+            (F.col("_crash") | F.col("has_duplicate") | F.col("too_large")).alias("_blocked")),
+        key="showing_id", order_cols=tuple(ARRIVAL), qty="ticket_qty", seats="seats0", blocked="_blocked")
+    folded = priced.join(seated.select("_row", "seat_ok", F.col("accepted").alias("_accepted")), "_row", "left")
+    folded = folded.withColumn("accepted", F.coalesce("_accepted", F.lit(False))).withColumn("reason", F.coalesce(
         F.col("reason"),
         F.when(~F.col("seat_ok"), F.lit(NOT_ENOUGH_SEATS)).when(F.col("_crash"), F.lit(BAD_CONCESSIONS))
-        .when(F.col("has_duplicate"), F.lit(DUPLICATE_CONCESSION))))
-    # Accepted and refused rows both read the fold: pin it once.
-    folded = materialize(folded)
+        .when(F.col("has_duplicate"), F.lit(DUPLICATE_CONCESSION))
+        .when(F.col("too_large"), F.lit(AMOUNT_TOO_LARGE))))
     accepted = global_prefix(folded.where("accepted"), ARRIVAL, {"_n": None, "_t": F.col("ticket_qty")})
     accepted = (accepted
                 .withColumn("order_number", _max_or_zero(orders, "order_number") + F.col("_n") + 1)

@@ -7,12 +7,17 @@ one join with the concession table (the reference looks each item up alone).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.money import TICKET_UNIT_PRICE, money, rewards_discount, tax_of, total_of
 from marquee.sources import requests as Q
 
+#: The largest subtotal whose total with tax fits DECIMAL(10,2), and the largest quantity of an item.
+LARGEST_SUBTOTAL, LARGEST_INT = Decimal("92592592.58"), 2**31 - 1
+
 
 def usable_items(requests: DataFrame, concessions: DataFrame, payload: str = "payload",
                  key: str = "request_id") -> DataFrame:
@@ -32,24 +37,32 @@ def usable_items(requests: DataFrame, concessions: DataFrame, payload: str = "pa
 
 
 def item_totals(items: DataFrame, key: str = "request_id") -> DataFrame:
-    """Per request, the concession subtotal, the usable item count and
-    whether one concession appears twice (a composite-key violation)."""
+    """Per request, the concession subtotal (exact, however large), the usable item
+    count, the largest quantity and whether one concession appears twice (a composite-key violation)."""
     return items.groupBy(key).agg(
-        F.sum(money(F.col("price") * F.col("quantity"))).alias("concession_subtotal"),
+        F.sum(F.col("price") * F.col("quantity").cast("decimal(19,0)")).alias("concession_subtotal"),
+        F.max("quantity").alias("max_quantity"),
         F.count(F.lit(1)).alias("item_count"),
         (F.count(F.lit(1)) > F.countDistinct("concession_id")).alias("has_duplicate"))
 
 
 def price_orders(requests: DataFrame, totals: DataFrame, ticket_qty: str = "ticket_qty",
                  member: str = "member", key: str = "request_id") -> DataFrame:
-    """Add subtotal, discount, tax, total (DECIMAL(10,2)) and the item facts."""
+    """Add subtotal, discount, tax, total (DECIMAL(10,2)) and the item facts.
+
+    Amounts are summed in a wide decimal; a request whose total would not fit, or with an item
+    quantity beyond INT, gets null amounts and ``too_large``, and no other request is touched."""
     df = requests.join(totals, key, "left")
-    conc = F.coalesce(F.col("concession_subtotal"), F.lit(0).cast("decimal(10,2)"))
-    subtotal = money(F.col(ticket_qty) * F.lit(TICKET_UNIT_PRICE) + conc)
-    return (df.withColumn("concession_subtotal", money(conc))
+    conc = F.coalesce(F.col("concession_subtotal"), F.lit(0)).cast("decimal(36,2)")
+    df = df.withColumn("_wide", F.col(ticket_qty).cast("decimal(19,0)") * F.lit(TICKET_UNIT_PRICE) + conc)
+    fits = (F.abs("_wide") <= F.lit(LARGEST_SUBTOTAL)) & (F.abs(conc) <= F.lit(LARGEST_SUBTOTAL))
+    return (df.withColumn("too_large", F.coalesce(~fits, F.lit(False)) | (F.coalesce("max_quantity", F.lit(0)) > LARGEST_INT))
+            .withColumn("_conc", conc)
+            .withColumn("subtotal", money(F.when(~F.col("too_large"), F.col("_wide"))))
+            .withColumn("concession_subtotal", money(F.when(~F.col("too_large"), F.col("_conc"))))
             .withColumn("item_count", F.coalesce(F.col("item_count"), F.lit(0)).cast("bigint"))
             .withColumn("has_duplicate", F.coalesce(F.col("has_duplicate"), F.lit(False)))
-            .withColumn("subtotal", subtotal)
             .withColumn("discount", rewards_discount("subtotal", F.coalesce(F.col(member), F.lit(False))))
             .withColumn("tax", tax_of("subtotal"))
-            .withColumn("total", total_of("subtotal", "discount")))
+            .withColumn("total", total_of("subtotal", "discount"))
+            .drop("_wide", "_conc", "max_quantity"))

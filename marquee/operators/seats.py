@@ -31,7 +31,8 @@ from marquee.operators.sequencing import pinned_ranges
 
 
 def _transfer(s0: int, q: np.ndarray, b: np.ndarray) -> list[int]:
-    """Seats left after the segment for every possible start 0..s0."""
+    """Seats left after the segment for every possible start 0..s0, as breakpoints
+    (start, seats left): from one to the next, a seat more at the start is a seat more left."""
     if s0 < 0:
         return []
     rem = np.arange(s0 + 1, dtype=np.int64)
@@ -41,7 +42,17 @@ def _transfer(s0: int, q: np.ndarray, b: np.ndarray) -> list[int]:
             continue
         rem = np.where(rem >= qi, rem - qi, rem)
         top = int(rem.max())
-    return rem.tolist()
+    at = np.r_[0, np.flatnonzero(np.diff(rem) != 1) + 1]
+    return np.column_stack([at, rem[at]]).ravel().tolist()
+
+
+def _after(table, start: int) -> int:
+    """Seats left after a segment that begins with ``start`` seats."""
+    t = np.asarray(table, np.int64).reshape(-1, 2)
+    if not len(t) or start < 0:
+        return start
+    at, left = t[np.searchsorted(t[:, 0], start, side="right") - 1]
+    return int(left + start - at)
 
 
 def _edge(pid, cur):
@@ -107,8 +118,8 @@ def allocate_seats(df: DataFrame, key: str = "showing_id", order_cols=("arrived_
         starts = []
         for tbl in pdf["_table"]:
             starts.append(cur)
-            if tbl is not None and len(tbl) > 0 and 0 <= cur < len(tbl):
-                cur = int(tbl[cur])
+            if tbl is not None:
+                cur = _after(tbl, cur)
         return pd.DataFrame({"_pid": pdf["_pid"].to_numpy(), key: pdf[key].to_numpy(), "_start": starts})
 
     start_schema = T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField(key, key_type),

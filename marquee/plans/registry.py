@@ -28,4 +28,4 @@ def explorer_view(df: DataFrame) -> DataFrame:
 
     from marquee.functions import columns as C
 
-    return df.select([C.display_datetime(F.col(c).cast("string")).alias(c) for c in df.columns])
+    return df.select([C.display_cell(F.col(c).cast("string")).alias(c) for c in df.columns])

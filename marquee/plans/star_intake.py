@@ -16,12 +16,15 @@ from marquee.operators import orders as OR
 from marquee.operators.pricing import item_totals, price_orders, usable_items
 from marquee.plans import star_views as V
 from marquee.plans.registry import dataset_by_name
-from marquee.plans.star import _with, query
+from marquee.plans.star import SQL, _with, query
 from marquee.sources import requests as RQ
 from marquee.sources.conform import conform_customers
 
 # Fixed values of the binding (shared with the oracle SQL).
-MENU_LIMIT = 80          # concessions = parts with p_partkey < 80
+FAR = 10_000_000         # added to a key, it names nobody
+SHOWING_MARGIN, ITEM_MARGIN = 4, 50  # requests name so many showings and parts beyond the last
+FAR_CUSTOMER_MOD, FAR_CUSTOMER_AT = 83, 8
+HUGE_QTY_MOD, HUGE_QTY_AT, HUGE_ITEM_AT, HUGE_QTY = 101, 9, 10, 20_000_000  # far beyond all seats and amounts
 BAD_QTY_MOD, BAD_QTY_AT, TEXT_QTY_AT = 97, 5, 6
 NO_CUSTOMER_MOD, NO_CUSTOMER_AT = 89, 7
 
@@ -54,16 +57,16 @@ def name_parse(t):
                         F.col("_p.lastname").alias("lastname"))
 
 
-@query("email_duplicates", _with(c=V.CUSTOMERS_FROM_CUSTOMER) + """,
-ex AS (SELECT lower(email) AS k, min(customer_id) AS existing_customer_id FROM c WHERE customer_id % 2 = 0 GROUP BY 1),
-rq AS (SELECT customer_id AS request_id, upper(email) AS email FROM c WHERE customer_id % 2 = 1)
-SELECT rq.request_id, rq.email, ex.existing_customer_id FROM rq JOIN ex ON lower(rq.email) = ex.k""")
+@query("email_duplicates", """
+WITH told AS (SELECT c_custkey, lower(c_mktsegment) || '.' || c_nationkey || '@mail.com' AS email FROM customer),
+asked AS (SELECT c_custkey AS request_id, upper(CASE c_custkey % 3 WHEN 0 THEN 'new.' ELSE '' END || email) AS email FROM told)
+SELECT request_id, email, (SELECT min(c_custkey) FROM told WHERE told.email = lower(asked.email)) AS existing_customer_id
+FROM asked WHERE lower(email) IN (SELECT email FROM told)""")
 def email_duplicates(t):
-    """Upper-cased e-mails of odd customers against even customers."""
+    """All customers' e-mails in upper case, a third of them changed, against all customers."""
     c = V.customers_from_customer(t["customer"])
-    requests = c.where(F.col("customer_id") % 2 == 1).select(F.col("customer_id").alias("request_id"),
-                                                             F.upper("email").alias("email"))
-    return CU.email_conflicts(requests, c.where(F.col("customer_id") % 2 == 0))
+    changed = F.concat(F.when(F.col("customer_id") % 3 == 0, "new.").otherwise(""), F.col("email"))
+    return CU.email_conflicts(c.select(F.col("customer_id").alias("request_id"), F.upper(changed).alias("email")), c)
 
 
 def _display_raw(events: DataFrame) -> DataFrame:
@@ -84,16 +87,16 @@ WITH r AS (SELECT event_id,
 d AS (SELECT *, regexp_matches(raw_value, '^\d{4}-\d{2}-\d{2}T') OR regexp_matches(raw_value, '^\d{4}-\d{2}-\d{2} ')
                OR (strpos(raw_value, 'T') > 0 AND length(raw_value) >= 19) AS is_datelike FROM r)
 SELECT event_id, raw_value, is_datelike,
-       CASE WHEN raw_value IS NULL OR raw_value = '' THEN '—'
-            WHEN is_datelike AND TRY_CAST(raw_value AS TIMESTAMP) IS NOT NULL
-              THEN strftime(TRY_CAST(raw_value AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')
-            ELSE raw_value END AS display_value
+       CASE WHEN raw_value IS NULL THEN '—'
+            WHEN is_datelike THEN coalesce(strftime(TRY_CAST(raw_value AS TIMESTAMP), '%Y-%m-%d %H:%M:%S'), raw_value)
+            ELSE raw_value END AS cell_value,
+       coalesce(strftime(TRY_CAST(raw_value AS TIMESTAMP), '%Y-%m-%d %H:%M:%S'), raw_value) AS display_value
 FROM d""")
 def display_values(t):
-    """Event times as text, with null, empty and malformed variants."""
+    """Event times as text, with null, empty and malformed variants, by both display rules."""
     r = _display_raw(t["events"])
     return r.select("event_id", "raw_value", C.is_datelike("raw_value").alias("is_datelike"),
-                    C.display_datetime("raw_value").alias("display_value"))
+                    C.display_cell("raw_value").alias("cell_value"), C.display_datetime("raw_value").alias("display_value"))
 
 
 @query("next_customer_id", r"""
@@ -119,7 +122,8 @@ def signup_requests(events: DataFrame) -> DataFrame:
         F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.concat(F.lit("Cher"), u))
         .otherwise(F.concat(F.lit("Ana"), u, F.lit("  de la Cruz"))).alias("name"),
         F.when(k % 5 == 0, F.concat(F.lit("First"), u)).alias("firstName"),
-        F.when(k % 13 == 0, F.lit("  ")).otherwise(F.concat(F.lit("  user"), u, F.lit("@mail.com "))).alias("email"),
+        F.when(k % 13 == 0, F.lit("  ")).otherwise(F.concat(F.lit("  user"), (F.col("user_id") + F.when(k % 3 == 0, 0)
+            .otherwise(FAR)).cast("string"), F.lit("@mail.com "))).alias("email"),
         (F.col("value") > 50).alias("rewardsMember")))
     raw = events.where(F.col("event_type") == "signup").select(k.alias("request_id"), F.col("ts").alias("arrived_at"),
                                                                body.alias("body"))
@@ -127,12 +131,12 @@ def signup_requests(events: DataFrame) -> DataFrame:
 
 
 def _existing_for_signup(customer: DataFrame) -> DataFrame:
-    return customer.where(F.col("c_custkey") % 2 == 0).select(
+    return customer.select(
         C.customer_id_text("c_custkey").alias("customer_id"),
         F.concat(F.lit("USER"), F.col("c_custkey").cast("string"), F.lit("@MAIL.COM")).alias("email"))
 
 
-@query("customer_intake", """
+@query("customer_intake", f"""
 WITH rq AS (
   SELECT event_id AS request_id, ts AS arrived_at,
     CASE WHEN event_id % 5 = 0 THEN 'First' || CAST(user_id AS VARCHAR)
@@ -140,12 +144,12 @@ WITH rq AS (
          WHEN event_id % 4 = 1 THEN 'Cher' || CAST(user_id AS VARCHAR)
          ELSE 'Ana' || CAST(user_id AS VARCHAR) END AS firstname,
     CASE WHEN event_id % 5 = 0 OR event_id % 4 IN (0, 1) THEN 'Customer' ELSE 'de la Cruz' END AS lastname,
-    CASE WHEN event_id % 13 = 0 THEN '' ELSE 'user' || CAST(user_id AS VARCHAR) || '@mail.com' END AS email,
+    CASE WHEN event_id % 13 = 0 THEN '' ELSE 'user' || (user_id + CASE event_id % 3 WHEN 0 THEN 0 ELSE {FAR} END) || '@mail.com' END AS email,
     value > 50 AS rewards_member
   FROM events WHERE event_type = 'signup'),
 ex AS (SELECT lower('USER' || CAST(c_custkey AS VARCHAR) || '@MAIL.COM') AS k, min(c_custkey) AS holder
-       FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1),
-base AS (SELECT coalesce(max(c_custkey), 0) AS m FROM customer WHERE c_custkey % 2 = 0),
+       FROM customer GROUP BY 1),
+base AS (SELECT coalesce(max(c_custkey), 0) AS m FROM customer),
 j AS (SELECT rq.*, lower(rq.email) AS k, ex.holder FROM rq LEFT JOIN ex ON lower(rq.email) = ex.k),
 w AS (SELECT request_id, k, arrived_at FROM (
         SELECT request_id, k, arrived_at, row_number() OVER (PARTITION BY k ORDER BY arrived_at, request_id) AS rn
@@ -169,12 +173,15 @@ def customer_intake(t):
 def purchase_requests(t: dict[str, DataFrame], with_variants: bool) -> DataFrame:
     """Purchase events as JSON order bodies (text built column by column)."""
     e = t["events"].where(F.col("event_type") == "purchase")
-    k, u = F.col("event_id"), F.col("user_id").cast("string")
-    qty = (F.lit(1) + F.floor("value") % 12).cast("bigint")
-    n_sup = t["supplier"].select(F.count(F.lit(1))).scalar()
+    k = F.col("event_id")
+    u = (F.col("user_id") + F.when(k % FAR_CUSTOMER_MOD == FAR_CUSTOMER_AT, FAR).otherwise(0)).cast("string")
+    qty = F.when(k % HUGE_QTY_MOD == HUGE_QTY_AT, HUGE_QTY).otherwise(F.lit(1) + F.floor("value") % 12).cast("bigint")
+    n_sup, n_part = (t[n].select(F.count(F.lit(1))).scalar() for n in ("supplier", "part"))
     k1 = F.get_json_object("props", "$.k").cast("bigint")
-    items = F.concat(F.lit('[{"id": '), k1.cast("string"), F.lit(', "qty": '), (k % 3 + 1).cast("string"),
-                     F.lit('}, {"id": '), (F.floor("value") % 100).cast("string"), F.lit(', "qty": '),
+    k2 = F.when(k % 10 == 3, k1).otherwise(k * 7 % (n_part + ITEM_MARGIN))
+    q1 = F.when(k % HUGE_QTY_MOD == HUGE_ITEM_AT, HUGE_QTY).otherwise(k % 3 + 1)
+    items = F.concat(F.lit('[{"id": '), k1.cast("string"), F.lit(', "qty": '), q1.cast("string"),
+                     F.lit('}, {"id": '), k2.cast("string"), F.lit(', "qty": '),
                      (k % 4).cast("string"), F.lit("}]"))
     if with_variants:
         qty_json = (F.when(k % BAD_QTY_MOD == BAD_QTY_AT, F.lit('"x"'))
@@ -184,29 +191,32 @@ def purchase_requests(t: dict[str, DataFrame], with_variants: bool) -> DataFrame
             .otherwise(F.concat(F.lit('"customerId": '), u, F.lit(", ")))
     else:
         qty_json, cust = qty.cast("string"), F.concat(F.lit('"customerId": '), u, F.lit(", "))
-    body = F.concat(F.lit("{"), cust, F.lit('"showingId": '), (k % n_sup).cast("string"), F.lit(', "ticketQty": '),
+    body = F.concat(F.lit("{"), cust, F.lit('"showingId": '), (k % (n_sup + SHOWING_MARGIN)).cast("string"), F.lit(', "ticketQty": '),
                     qty_json, F.lit(', "concessions": '), items, F.lit("}"))
     return RQ.parse_bodies(e.select(k.alias("request_id"), F.col("ts").alias("arrived_at"), body.alias("body")))
 
 
 def _menu(t):
-    return V.concessions_from_part(t["part"].where(F.col("p_partkey") < MENU_LIMIT))
+    return V.concessions_from_part(t["part"])
 
 
 PRICING_CTES = f"""menu AS (SELECT p_partkey AS concession_id, CAST(p_retailprice AS DECIMAL(10,2)) AS price
-         FROM part WHERE p_partkey < {MENU_LIMIT}),
+         FROM part),
 items AS (SELECT request_id, k1 AS concession_id, q1 AS qty FROM rq UNION ALL SELECT request_id, k2, q2 FROM rq),
 kept AS (SELECT i.request_id, i.concession_id, i.qty, m.price FROM items i JOIN menu m ON m.concession_id = i.concession_id
          WHERE i.concession_id <> 0 AND i.qty > 0),
 agg AS (SELECT request_id, count(*) AS item_count, count(DISTINCT concession_id) AS n_distinct,
-          sum(CAST(qty * price AS DECIMAL(10,2))) AS conc FROM kept GROUP BY 1)"""
+          sum(CAST(qty AS DECIMAL(18,0)) * price) AS conc FROM kept GROUP BY 1)"""
 
-RQ_SQL = f"""rq AS (SELECT event_id AS request_id, ts AS arrived_at, user_id,
-         event_id % (SELECT count(*) FROM supplier) AS showing_id,
-         1 + CAST(floor(value) AS BIGINT) % 12 AS q,
+RQ_SQL = f"""rq AS (SELECT event_id AS request_id, ts AS arrived_at,
+         user_id + CASE event_id % {FAR_CUSTOMER_MOD} WHEN {FAR_CUSTOMER_AT} THEN {FAR} ELSE 0 END AS user_id,
+         event_id % (SELECT count(*) + {SHOWING_MARGIN} FROM supplier) AS showing_id,
+         CASE event_id % {HUGE_QTY_MOD} WHEN {HUGE_QTY_AT} THEN {HUGE_QTY} ELSE 1 + CAST(floor(value) AS BIGINT) % 12 END AS q,
          event_id % {BAD_QTY_MOD} = {BAD_QTY_AT} AS bad_qty, event_id % {NO_CUSTOMER_MOD} = {NO_CUSTOMER_AT} AS no_customer,
-         CAST(json_extract(props, '$.k') AS BIGINT) AS k1, 1 + event_id % 3 AS q1,
-         CAST(floor(value) AS BIGINT) % 100 AS k2, event_id % 4 AS q2
+         CAST(json_extract(props, '$.k') AS BIGINT) AS k1,
+         CASE event_id % {HUGE_QTY_MOD} WHEN {HUGE_ITEM_AT} THEN {HUGE_QTY} ELSE 1 + event_id % 3 END AS q1,
+         CASE event_id % 10 WHEN 3 THEN CAST(json_extract(props, '$.k') AS BIGINT)
+              ELSE event_id * 7 % (SELECT count(*) + {ITEM_MARGIN} FROM part) END AS k2, event_id % 4 AS q2
        FROM events WHERE event_type = 'purchase')"""
 
 
@@ -216,6 +226,7 @@ def _money_sql(member: str, sub: str = "subtotal") -> dict[str, str]:
             "total": f"CAST({sub} * 1.08 - {disc} AS DECIMAL(10,2))"}
 
 
+LARGEST = "92592592.58"  # with tax it still fits DECIMAL(10,2)
 _M = _money_sql("member")
 
 
@@ -225,8 +236,8 @@ WITH {RQ_SQL},
 mem AS (SELECT c_custkey, c_acctbal >= {V.MEMBER_BALANCE} AS member FROM customer),
 p AS (SELECT rq.request_id, rq.q AS ticket_qty, coalesce(agg.item_count, 0) AS item_count,
         coalesce(agg.item_count > agg.n_distinct, false) AS has_duplicate,
-        CAST(coalesce(agg.conc, 0) AS DECIMAL(10,2)) AS concession_subtotal,
-        CAST(rq.q * 12.00 + coalesce(agg.conc, 0) AS DECIMAL(10,2)) AS subtotal, coalesce(mem.member, false) AS member
+        CASE WHEN rq.q * 12.00 + coalesce(agg.conc, 0) <= {LARGEST} THEN CAST(coalesce(agg.conc, 0) AS DECIMAL(10,2)) END AS concession_subtotal,
+        CASE WHEN rq.q * 12.00 + coalesce(agg.conc, 0) <= {LARGEST} THEN CAST(rq.q * 12.00 + coalesce(agg.conc, 0) AS DECIMAL(10,2)) END AS subtotal, coalesce(mem.member, false) AS member
       FROM rq LEFT JOIN agg USING (request_id) LEFT JOIN mem ON mem.c_custkey = rq.user_id)
 SELECT request_id, ticket_qty, item_count, has_duplicate, CAST(concession_subtotal AS DOUBLE) AS concession_subtotal,
        CAST(subtotal AS DOUBLE) AS subtotal, CAST({_M['discount']} AS DOUBLE) AS discount,
@@ -249,8 +260,8 @@ def order_pricing(t):
 
 
 def _intake(t) -> dict[str, DataFrame]:
-    customers = V.customers_from_customer(t["customer"].where(F.col("c_acctbal") > 0))
-    showings = t["supplier"].where(F.col("s_acctbal") > 0).select(
+    customers = V.customers_from_customer(t["customer"])
+    showings = t["supplier"].select(
         F.col("s_suppkey").alias("showing_id"),
         (F.lit(V.SEAT_BASE) + F.col("s_suppkey") % V.SEAT_SPREAD).cast("int").alias("film_available_seats"))
     return OR.intake(purchase_requests(t, with_variants=True), customers, showings, _menu(t),
@@ -262,27 +273,28 @@ _MA = _money_sql("member")
 INTAKE_SQL = f"""
 WITH RECURSIVE {RQ_SQL},
 {PRICING_CTES},
-cust AS (SELECT c_custkey, c_acctbal >= {V.MEMBER_BALANCE} AS member FROM customer WHERE c_acctbal > 0),
+cust AS (SELECT c_custkey, c_acctbal >= {V.MEMBER_BALANCE} AS member FROM customer),
 shows AS (SELECT s_suppkey AS showing_id, CAST({V.SEAT_BASE} + s_suppkey % {V.SEAT_SPREAD} AS BIGINT) AS seats0
-          FROM supplier WHERE s_acctbal > 0),
+          FROM supplier),
 s1 AS (SELECT rq.*, CASE WHEN bad_qty THEN 'bad_number'
                          WHEN no_customer OR user_id = 0 THEN 'customer_required'
                          WHEN rq.showing_id <= 0 OR q <= 0 THEN 'showing_and_qty_required'
                          WHEN cust.c_custkey IS NULL THEN 'customer_not_found'
                          WHEN shows.showing_id IS NULL THEN 'showing_not_found' END AS reason0,
               cust.member, shows.seats0, coalesce(agg.item_count > agg.n_distinct, false) AS dup,
-              CAST(rq.q * 12.00 + coalesce(agg.conc, 0) AS DECIMAL(10,2)) AS subtotal
+              rq.q * 12.00 + coalesce(agg.conc, 0) > {LARGEST} AS huge,
+              CASE WHEN rq.q * 12.00 + coalesce(agg.conc, 0) <= {LARGEST} THEN CAST(rq.q * 12.00 + coalesce(agg.conc, 0) AS DECIMAL(10,2)) END AS subtotal
        FROM rq LEFT JOIN cust ON cust.c_custkey = rq.user_id LEFT JOIN shows ON shows.showing_id = rq.showing_id
        LEFT JOIN agg USING (request_id)),
 el AS (SELECT *, row_number() OVER (PARTITION BY showing_id ORDER BY arrived_at, request_id) AS rn
        FROM s1 WHERE reason0 IS NULL),
 rec AS (SELECT showing_id, rn, request_id, q <= seats0 AS ok,
-               CASE WHEN q <= seats0 AND NOT dup THEN seats0 - q ELSE seats0 END AS after FROM el WHERE rn = 1
+               CASE WHEN q <= seats0 AND NOT dup AND NOT huge THEN seats0 - q ELSE seats0 END AS after FROM el WHERE rn = 1
         UNION ALL
         SELECT e.showing_id, e.rn, e.request_id, e.q <= r.after,
-               CASE WHEN e.q <= r.after AND NOT e.dup THEN r.after - e.q ELSE r.after END
+               CASE WHEN e.q <= r.after AND NOT e.dup AND NOT e.huge THEN r.after - e.q ELSE r.after END
         FROM rec r JOIN el e ON e.showing_id = r.showing_id AND e.rn = r.rn + 1),
-fold AS (SELECT el.*, rec.ok, rec.ok AND NOT el.dup AS accepted FROM el JOIN rec USING (request_id)),
+fold AS (SELECT el.*, rec.ok, rec.ok AND NOT el.dup AND NOT el.huge AS accepted FROM el JOIN rec USING (request_id)),
 acc AS (SELECT *, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY arrived_at, request_id) AS order_number,
                CAST((SELECT max(l_orderkey * 8 + l_linenumber) FROM lineitem) + 1
                  + coalesce(sum(q) OVER (ORDER BY arrived_at, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
@@ -295,7 +307,7 @@ decisions AS (
          CAST({_MA['tax']} AS DOUBLE) AS tax, CAST({_MA['total']} AS DOUBLE) AS total, member AS rewards_discount_applied
   FROM acc
   UNION ALL
-  SELECT request_id, arrived_at, 'refused', CASE WHEN NOT ok THEN 'not_enough_seats' ELSE 'duplicate_concession' END,
+  SELECT request_id, arrived_at, 'refused', CASE WHEN NOT ok THEN 'not_enough_seats' WHEN dup THEN 'duplicate_concession' ELSE 'amount_too_large' END,
          NULL, CAST(user_id AS VARCHAR), showing_id, q, NULL, NULL, NULL, NULL, NULL
   FROM fold WHERE NOT accepted
   UNION ALL
@@ -366,22 +378,9 @@ def conform_old_layout(t):
     return conformed.withColumn("customer_id", F.col("customer_id").cast("bigint"))
 
 
-def _star_overview(t) -> dict:
-    from marquee.plans import star
-    names = {"customers": star.overview_customers, "employees": star.employee_list, "shifts": star.shift_board,
-             "films": star.film_list, "theatres": star.theatre_list, "showings": star.showing_schedule,
-             "orders": star.order_ledger, "tickets": star.ticket_detail, "concessions": star.concession_list,
-             "topFilms": star.top_films, "concessionSales": star.concession_units}
-    return {k: (lambda fn=fn: fn(t)) for k, fn in names.items()}
-
-
-def _top_films_sql():
-    from marquee.plans import star
-    return star.SQL["top_films"]
-
-
-@query("dataset_by_name", _top_films_sql())
+@query("dataset_by_name", SQL["concession_units"])
 def dataset_by_name_query(t):
-    """The overview set named 'topFilms', picked from the registry."""
-    spark = t["customer"].sparkSession
-    return dataset_by_name(spark, _star_overview(t), "topFilms")
+    """The overview set named 'concessionSales', picked from the registry."""
+    from marquee.plans import star
+    names = {"topFilms": star.top_films, "concessions": star.concession_list, "concessionSales": star.concession_units}
+    return dataset_by_name(t["customer"].sparkSession, {k: (lambda fn=fn: fn(t)) for k, fn in names.items()}, "concessionSales")

@@ -168,14 +168,14 @@ def employees_from_supplier(supplier: DataFrame) -> DataFrame:
         F.when(_c("s_acctbal") > 5000, "Department Supervisor").when(_c("s_acctbal") > 0, "Usher")
         .otherwise("Trainee").alias("job_title"),
         F.when(_c("s_suppkey") % 3 == 0, "Part time").otherwise("Full time").alias("status"),
-        _c("s_nationkey").alias("supervisor_id"), _c("s_nationkey").alias("department_id"))
+        F.when(_c("s_suppkey") % 5 != 0, _c("s_nationkey")).alias("supervisor_id"), _c("s_nationkey").alias("department_id"))
 
 
 EMPLOYEES_FROM_SUPPLIER = """SELECT s_suppkey AS employee_id, split_part(s_name, '#', 1) AS firstname,
   split_part(s_name, '#', 2) AS lastname,
   CASE WHEN s_acctbal > 5000 THEN 'Department Supervisor' WHEN s_acctbal > 0 THEN 'Usher' ELSE 'Trainee' END AS job_title,
   CASE WHEN s_suppkey % 3 = 0 THEN 'Part time' ELSE 'Full time' END AS status,
-  s_nationkey AS supervisor_id, s_nationkey AS department_id FROM supplier"""
+  CASE WHEN s_suppkey % 5 <> 0 THEN s_nationkey END AS supervisor_id, s_nationkey AS department_id FROM supplier"""
 
 
 def employees_by_region(supplier: DataFrame, nation: DataFrame) -> DataFrame:
@@ -205,13 +205,12 @@ DEPARTMENTS_FROM_REGION = "SELECT r_regionkey AS department_id, r_name AS depart
 
 
 def supervisors_from_nation(nation: DataFrame) -> DataFrame:
-    return (nation.where(_c("n_nationkey") % 5 != 0)
-            .select(_c("n_nationkey").alias("supervisor_id"), _c("n_name").alias("firstname"),
-                    F.lit("Lead").alias("lastname"), _c("n_regionkey").alias("department_id")))
+    return nation.select(_c("n_nationkey").alias("supervisor_id"), _c("n_name").alias("firstname"),
+                         F.lit("Lead").alias("lastname"), _c("n_regionkey").alias("department_id"))
 
 
 SUPERVISORS_FROM_NATION = """SELECT n_nationkey AS supervisor_id, n_name AS firstname, 'Lead' AS lastname,
-  n_regionkey AS department_id FROM nation WHERE n_nationkey % 5 <> 0"""
+  n_regionkey AS department_id FROM nation"""
 
 
 def employees_from_customer(customer: DataFrame) -> DataFrame:
@@ -228,20 +227,23 @@ def shifts_from_events(events: DataFrame) -> DataFrame:
         F.when(_c("event_type").isin("view", "click"), (_c("event_id") % 100).cast("int")).alias("showing_id"),
         _c("ts").alias("shift_start_datetime"),
         (_c("ts") + F.make_dt_interval(F.lit(0), F.lit(4))).alias("shift_end_datetime"),
-        (_c("user_id") % 25).cast("int").alias("shift_department_id"))
+        F.when(_c("user_id") % 6 != 0, (_c("user_id") % 25).cast("int")).alias("shift_department_id"))
 
 
 SHIFTS_FROM_EVENTS = """SELECT event_id AS shift_id, user_id AS employee_id,
   CASE WHEN event_type IN ('view', 'click') THEN CAST(event_id % 100 AS INTEGER) END AS showing_id,
   ts AS shift_start_datetime, ts + INTERVAL 4 HOUR AS shift_end_datetime,
-  CAST(user_id % 25 AS INTEGER) AS shift_department_id FROM events"""
+  CASE WHEN user_id % 6 <> 0 THEN CAST(user_id % 25 AS INTEGER) END AS shift_department_id FROM events"""
 
 
-def departments_outside_region0(nation: DataFrame) -> DataFrame:
-    return departments_from_nation(nation.where(_c("n_regionkey") != 0))
+def concessions_from_customer(customer: DataFrame) -> DataFrame:
+    return customer.select(_c("c_custkey").alias("concession_id"), _c("c_name").alias("concession_name"),
+                           _c("c_mktsegment").alias("concession_size"))
 
 
-DEPARTMENTS_OUTSIDE_REGION0 = DEPARTMENTS_FROM_NATION + " WHERE n_regionkey <> 0"
+def order_concessions_from_events(events: DataFrame) -> DataFrame:
+    return events.select(_c("event_id").alias("order_number"), _c("user_id").alias("concession_id"),
+                         F.floor("value").cast("int").alias("quantity"))
 
 
 # ---- theatres, concessions, orders, tickets ---------------------------------------

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LARGEST = 2**63 - 1
+
 
 def parse_bodies(df: DataFrame, body: str = "body", out: str = "payload") -> DataFrame:
     """Add ``out``: the body as VARIANT when it is a JSON object, else null.
@@ -23,10 +25,6 @@ def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$[\"{name}\"]", "variant")
 
 
-def is_json_null(v: Column) -> Column:
-    return F.coalesce(F.is_variant_null(v), F.lit(False))
-
-
 def kind(v: Column) -> Column:
     """Type name of a VARIANT value (``VOID`` for JSON null)."""
     return F.schema_of_variant(v)
@@ -49,7 +47,13 @@ def py_int(v: Column, default: int = 0) -> tuple[Column, Column]:
     Numbers truncate toward zero, booleans give 0/1, strings must hold an
     integer; null, fractional strings, arrays and objects fail."""
     t = kind(v)
-    num = F.try_variant_get(v, "$", "bigint")
+    # Text as Python reads it: white space around, a sign, digits that single underscores may part.
+    written = F.try_variant_get(v, "$", "string")
+    digits = F.when(written.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.regexp_replace(written, r"[\s_]", ""))
+    # Whole numbers beyond BIGINT are kept at its ends: every later test has the same outcome for them.
+    far = lambda x: F.when(x > 0, F.lit(LARGEST)).otherwise(F.lit(-LARGEST))
+    number = F.coalesce(F.try_variant_get(v, "$", "bigint"), far(F.try_variant_get(v, "$", "double")))
+    num = F.when(t == "STRING", F.when(digits.isNotNull(), F.coalesce(digits.try_cast("bigint"), far(digits.try_cast("double"))))).otherwise(number)
     value = F.when(v.isNull(), F.lit(default).cast("bigint")).otherwise(num)
     failed = v.isNotNull() & ((t == "VOID") | num.isNull() | t.startswith("ARRAY") | t.startswith("OBJECT"))
     return F.when(~failed, value), failed

@@ -6,19 +6,19 @@ written beside it and swapped in only after the write job has finished.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.schema import DEFAULTS, SCHEMAS
-from marquee.sources.tables import table_path
+from marquee.sources.tables import NEXT, OLD, file_system, recover_table, table_path
 
 
 def write_named_json(sets: dict[str, DataFrame], root: str, mode: str = "overwrite") -> list[str]:
-    """One JSON folder per named result set (rows keep their columns; an
-    empty set still writes its folder)."""
+    """One JSON folder per named result set (rows keep all their columns, also
+    null ones; an empty set still writes its folder)."""
     written = []
     for name, df in sets.items():
-        df.write.mode(mode).json(f"{root.rstrip('/')}/{name}")
+        df.write.mode(mode).option("ignoreNullFields", "false").json(f"{root.rstrip('/')}/{name}")
         written.append(name)
     return written
 
@@ -43,29 +43,15 @@ def append_rows(df: DataFrame, root: str, table: str) -> None:
     conform_to(df, table).write.mode("append").parquet(table_path(root, table))
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def replace_table(df: DataFrame, root: str, table: str) -> None:
-    """A10: write a new snapshot of a table beside the old one, then swap."""
+    """A10: write a new snapshot of a table beside the old one, then swap by renames.
+    A crash at any point leaves the old or the new snapshot (``tables.recover_table``)."""
     spark = df.sparkSession
+    recover_table(spark, root, table)
     target = table_path(root, table)
-    staged = target + "__next"
-    conform_to(df, table).write.mode("overwrite").parquet(staged)
-    fs, old = _fs(spark, target)
-    _, new = _fs(spark, staged)
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.rename(new, old)
-
-
-def seats_after(showings: DataFrame, tickets_taken: DataFrame) -> DataFrame:
-    """A10 as a join: seats minus the accepted quantity per showing."""
-    taken = tickets_taken.groupBy(F.col("showing_id").alias("_sid")).agg(F.sum("qty").alias("_taken"))
-    return (showings.join(taken, showings.showing_id == taken._sid, "left")
-            .withColumn("film_available_seats",
-                        (F.col("film_available_seats") - F.coalesce(F.col("_taken"), F.lit(0))).cast("int"))
-            .drop("_sid", "_taken"))
+    conform_to(df, table).write.mode("overwrite").parquet(target + NEXT)
+    fs, path = file_system(spark, target)
+    if fs.exists(path):
+        fs.rename(path, file_system(spark, target + OLD)[1])
+    fs.rename(file_system(spark, target + NEXT)[1], path)
+    fs.delete(file_system(spark, target + OLD)[1], True)

@@ -18,6 +18,7 @@ from marquee.sources import seed
 
 SCHEMA_VERSION = 2
 META = "_meta"
+NEXT, OLD = "__next", "__old"
 
 
 def table_path(root: str, name: str) -> str:
@@ -26,6 +27,7 @@ def table_path(root: str, name: str) -> str:
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A1: typed scan of one table (explicit schema, nothing inferred)."""
+    recover_table(spark, root, name)
     return spark.read.schema(SCHEMAS[name]).parquet(table_path(root, name))
 
 
@@ -54,11 +56,10 @@ def write_tables(frames: dict[str, DataFrame], root: str, mode: str = "overwrite
 
 
 def stored_version(spark: SparkSession, root: str) -> int:
-    try:
-        row = spark.read.parquet(table_path(root, META)).agg(F.max("version")).first()
-        return int(row[0]) if row and row[0] is not None else 0
-    except Exception:  # no store yet
+    """The recorded schema version; 0 only if none was ever recorded.  A version that cannot be read is an error."""
+    if not exists(spark, table_path(root, META)):
         return 0
+    return int(spark.read.schema("version int").parquet(table_path(root, META)).agg(F.max("version")).first()[0] or 0)
 
 
 def init_store(spark: SparkSession, root: str, version: int = SCHEMA_VERSION) -> str:
@@ -76,13 +77,33 @@ def init_store(spark: SparkSession, root: str, version: int = SCHEMA_VERSION) ->
 
 def drop_tables(spark: SparkSession, root: str) -> list[str]:
     """A5: remove the tables children first, skipping absent ones."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = []
     for name in list(reversed(LOAD_ORDER)) + [META]:
-        path = jvm.org.apache.hadoop.fs.Path(table_path(root, name))
-        fs = path.getFileSystem(conf)
+        fs, path = file_system(spark, table_path(root, name))
         if fs.exists(path):
             fs.delete(path, True)
             dropped.append(name)
     return dropped
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system and path object of ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def recover_table(spark: SparkSession, root: str, name: str) -> None:
+    """Finish a snapshot swap that was cut off: the new snapshot if it is complete, else the old one."""
+    target = table_path(root, name)
+    fs, path = file_system(spark, target)
+    if fs.exists(path):
+        return
+    for beside in (NEXT, OLD):
+        if exists(spark, f"{target}{beside}/_SUCCESS"):
+            fs.rename(file_system(spark, target + beside)[1], path)
+            return

@@ -5,7 +5,9 @@ seats, order numbers and ticket ids continue from what is stored.  The job is
 safe to replay after a failure at any point of a batch:
 
 1. the batch's decisions are recorded first (with their order numbers and
-   ticket ids); a replay finds them and reuses them instead of deciding again;
+   ticket ids) in a folder of the batch, overwritten until its success marker
+   is there; a replay reuses a complete record instead of deciding again, and
+   decides again over an incomplete one;
 2. orders, tickets and items are appended with an anti-join on their keys, so
    writing them again adds nothing;
 3. the stream never rewrites ``showings``: the seats in effect are the stored
@@ -18,39 +20,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.operators.customers import intake_customers, new_customers
 from marquee.operators.orders import intake, outputs, seats_left
 from marquee.operators.pricing import usable_items
 from marquee.schema import PRIMARY_KEYS
 from marquee.sources.requests import parse_bodies
 from marquee.sources.sinks import conform_to
-from marquee.sources.tables import read_table, table_path
+from marquee.sources.tables import exists, file_system, read_table, table_path
 
 REQUEST_SCHEMA = "request_id bigint, arrived_at timestamp_ntz, body string"
 BATCHES = "_order_batches"
 DECISIONS = "_order_decisions"
+TAKEN = "_seats_taken"
+CUSTOMER_DECISIONS = "_customer_decisions"
 
 
-def _read_or_none(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(table_path(root, name))
-    except Exception:  # nothing recorded yet
-        return None
+def _recorded(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Folders of the batches whose record is complete."""
+    fs, path = file_system(spark, table_path(root, name))
+    if not fs.exists(path):
+        return []
+    folders = [f"{table_path(root, name)}/{s.getPath().getName()}" for s in fs.listStatus(path)]
+    return sorted(f for f in folders if exists(spark, f"{f}/_SUCCESS"))
+
+
+def _batch_path(root: str, name: str, batch_id: int) -> str:
+    return f"{table_path(root, name)}/batch-{batch_id}"
 
 
 def current_showings(spark: SparkSession, root: str) -> DataFrame:
-    """Stored showings with the seats taken by recorded stream decisions removed."""
+    """Stored showings with the seats taken by recorded stream decisions removed.
+    Each batch records the seats that it took by showing, so no decision is read again."""
     showings = read_table(spark, root, "showings")
-    recorded = _read_or_none(spark, root, DECISIONS)
-    if recorded is None:
+    taken = _recorded(spark, root, TAKEN)
+    if not taken:
         return showings
-    return seats_left(showings, recorded.where(F.col("status") == "accepted"))
+    return seats_left(showings, spark.read.schema("showing_id int, ticket_qty bigint").parquet(*taken))
 
 
 def _append_new(df: DataFrame, root: str, table: str) -> None:
-    """Append only rows whose primary key is not stored yet."""
+    """Append only rows whose primary key is not stored yet.  Of the stored keys only those in the
+    batch's range are read (``orders`` and ``tickets`` are numbered upwards, so old files are skipped)."""
     spark = df.sparkSession
     keys = list(PRIMARY_KEYS[table])
-    stored = read_table(spark, root, table).select(*keys)
+    low = df.agg(F.min(keys[0])).first()[0]
+    if low is None:
+        return
+    stored = read_table(spark, root, table).select(*keys).where(F.col(keys[0]) >= F.lit(low))
     conform_to(df, table).join(stored, keys, "left_anti").write.mode("append").parquet(table_path(root, table))
 
 
@@ -58,33 +74,42 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, record: bool = Tru
     """Run P2 on one micro-batch and apply its writes to the store (replay-safe).
     ``record=False`` stops before the batch id is recorded (a crash at the last step)."""
     spark = batch.sparkSession
-    done = _read_or_none(spark, root, BATCHES)
-    if done is not None and done.where(F.col("batch_id") == batch_id).limit(1).count():
+    if exists(spark, f"{_batch_path(root, BATCHES, batch_id)}/_SUCCESS"):
         return
     requests = parse_bodies(batch)
     t = {n: read_table(spark, root, n) for n in ("customers", "concessions", "orders", "tickets")}
-    recorded = _read_or_none(spark, root, DECISIONS)
-    mine = None if recorded is None else recorded.where(F.col("batch_id") == batch_id)
-    if mine is None or not mine.limit(1).count():
-        out = intake(requests, t["customers"], current_showings(spark, root), t["concessions"], t["orders"],
-                     t["tickets"])
-        out["internal"].withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(
-            table_path(root, DECISIONS))
-        mine = _read_or_none(spark, root, DECISIONS).where(F.col("batch_id") == batch_id)
+    decisions = _batch_path(root, DECISIONS, batch_id)
+    if not exists(spark, f"{decisions}/_SUCCESS"):
+        out = intake(requests, t["customers"], current_showings(spark, root), t["concessions"], t["orders"], t["tickets"])
+        out["internal"].write.mode("overwrite").parquet(decisions)
+    mine = spark.read.parquet(decisions)
+    accepted = mine.where(F.col("status") == "accepted")
+    by_showing = accepted.groupBy(F.col("showing_id").cast("int").alias("showing_id")).agg(F.sum("ticket_qty").alias("ticket_qty"))
+    by_showing.write.mode("overwrite").parquet(_batch_path(root, TAKEN, batch_id))
     items = usable_items(requests, t["concessions"])
-    out = outputs(mine.drop("batch_id"), items, read_table(spark, root, "showings"))
+    out = outputs(mine, items, read_table(spark, root, "showings"))
     _append_new(out["orders"], root, "orders")
     _append_new(out["tickets"], root, "tickets")
     _append_new(out["items"], root, "order_concessions")
     if not record:
         return
-    spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(table_path(root, BATCHES))
+    spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").parquet(_batch_path(root, BATCHES, batch_id))
+
+
+def process_customers(batch: DataFrame, batch_id: int, root: str) -> None:
+    """P3 on one micro-batch: decide, record, append the accepted customers (replay-safe like orders)."""
+    spark = batch.sparkSession
+    decisions = _batch_path(root, CUSTOMER_DECISIONS, batch_id)
+    if not exists(spark, f"{decisions}/_SUCCESS"):
+        decided = intake_customers(parse_bodies(batch), read_table(spark, root, "customers"))["decisions"]
+        decided.write.mode("overwrite").parquet(decisions)
+    _append_new(new_customers(spark.read.parquet(decisions)), root, "customers")
 
 
-def start(spark: SparkSession, source_dir: str, root: str, checkpoint: str, available_now: bool = True):
-    """Stream JSON-lines request files from ``source_dir`` into the store."""
+def start(spark: SparkSession, source_dir: str, root: str, checkpoint: str, available_now: bool = True, process=process_batch):
+    """Stream JSON-lines request files from ``source_dir`` into the store (``process``: orders, or ``process_customers``)."""
     stream = spark.readStream.schema(REQUEST_SCHEMA).json(source_dir)
-    writer = (stream.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, root))
+    writer = (stream.writeStream.foreachBatch(lambda df, bid: process(df, bid, root))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

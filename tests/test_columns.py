@@ -31,8 +31,11 @@ def test_ids_and_text(spark):
 def test_display_datetime(spark):
     df = spark.createDataFrame([(None,), ("",), ("2026-04-17T12:00:00",), ("2026-04-17 12:00:00.5",),
                                 ("2026-04-17",), ("TBD later in Theatre 2",)], "v string")
+    assert rows(df.select(C.display_cell("v"))) == [
+        ("—",), ("",), ("2026-04-17 12:00:00",), ("2026-04-17 12:00:00",), ("2026-04-17",),
+        ("TBD later in Theatre 2",)]
     assert rows(df.select(C.display_datetime("v"))) == [
-        ("—",), ("—",), ("2026-04-17 12:00:00",), ("2026-04-17 12:00:00",), ("2026-04-17",),
+        (None,), ("",), ("2026-04-17 12:00:00",), ("2026-04-17 12:00:00",), ("2026-04-17 00:00:00",),
         ("TBD later in Theatre 2",)]
 
 

@@ -54,6 +54,23 @@ def test_number_coercion(spark, seed):
     assert got == [("accepted", 2), ("accepted", 3), ("accepted", 1)]
 
 
+def test_one_oversized_request_harms_no_other(spark, seed):
+    far = {"id": "CN001", "qty": 20_000_000}
+    out = _orders(spark, seed, [{"customerId": "C002", "showingId": 1, "ticketQty": 1},
+                                {"customerId": "C002", "showingId": 1, "ticketQty": 10_000_000},
+                                {"customerId": "C404", "showingId": 1, "ticketQty": 10_000_000},
+                                {"customerId": "C002", "showingId": 1, "ticketQty": 1, "concessions": [far]},
+                                {"customerId": "C002", "showingId": 1, "ticketQty": 9_007_199_254_740_993},
+                                {"customerId": "C002", "showingId": 1, "ticketQty": 1e30},
+                                {"customerId": "C002", "showingId": 1, "ticketQty": "1_0"},
+                                {"customerId": "C002", "showingId": 9_007_199_254_740_993, "ticketQty": 1}])
+    assert _reasons(out) == {1: None, 2: "not_enough_seats", 3: "customer_not_found", 4: "amount_too_large", 5: "not_enough_seats",
+                             6: "not_enough_seats", 7: None, 8: "showing_not_found"}
+    got = {r["request_id"]: r for r in out["decisions"].collect()}
+    assert got[5]["ticket_qty"] == 9_007_199_254_740_993 and got[8]["showing_id"] == 9_007_199_254_740_993
+    assert out["orders"].count() == 2 and out["tickets"].count() == 11
+
+
 def test_seat_race_on_showing_7(spark, seed):
     out = _orders(spark, seed, [{"customerId": "C002", "showingId": 7, "ticketQty": 12},
                                 {"customerId": "C004", "showingId": 7, "ticketQty": 12},
@@ -126,3 +143,8 @@ def test_next_id_edges(spark, seed):
     assert rows(CU.max_customer_number(many)) == [(999, "C1000")]
     none = spark.createDataFrame([("X5", "b@x")], "customer_id string, email string")
     assert rows(CU.max_customer_number(none)) == [(0, "C001")]
+
+
+def test_first_holder_is_the_lowest_number(spark):
+    c = spark.createDataFrame([("X9", "a@x"), ("C010", "A@x"), ("C001", "a@X")], "customer_id string, email string")
+    assert rows(CU.email_holders(c), "email_key", "holder_id") == [("a@x", "C001")]

@@ -4,8 +4,10 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from conftest import rows
 
+from marquee.operators.orders import seats_left
 from marquee.plans.registry import cinema_datasets, dataset_by_name
 from marquee.sources import sinks
 from marquee.sources.conform import conform_customers, conform_orders, conform_shifts
@@ -30,12 +32,41 @@ def test_append_json_and_snapshot(spark, scratch):
     sinks.append_rows(spark.createDataFrame([(11, "C001", 1)], "order_number long, concession_id string, x int")
                       .drop("x"), root, "order_concessions")
     assert rows(read_table(spark, root, "order_concessions").where("order_number = 11"), "quantity") == [(1,)]
-    taken = spark.createDataFrame([(7, 5)], "showing_id int, qty long")
-    sinks.replace_table(sinks.seats_after(t["showings"], taken), root, "showings")
+    taken = spark.createDataFrame([(7, 5)], "showing_id int, ticket_qty long")
+    sinks.replace_table(seats_left(t["showings"], taken), root, "showings")
     assert rows(read_table(spark, root, "showings").where("showing_id = 7"), "film_available_seats") == [(15,)]
     out = os.path.join(scratch, "json")
     sinks.write_named_json({"films": t["films"], "empty": t["films"].limit(0)}, out)
     assert len(spark.read.json(os.path.join(out, "films")).collect()) == 10
+    sinks.write_named_json({"theatres": t["theatres"]}, out)
+    lines = spark.read.text(os.path.join(out, "theatres")).collect()
+    assert all(set(json.loads(r.value)) == set(t["theatres"].columns) for r in lines)  # nulls keep their keys
+
+
+def test_unreadable_version_drops_nothing(spark, scratch):
+    root = os.path.join(scratch, "store")
+    init_store(spark, root)
+    meta = os.path.join(root, "_meta")
+    for name in os.listdir(meta):
+        if name.endswith(".parquet"):
+            with open(os.path.join(meta, name), "w") as f:
+                f.write("damaged")
+    with pytest.raises(Exception):
+        init_store(spark, root)
+    assert read_table(spark, root, "customers").count() == 20
+
+
+def test_cut_off_swap_is_finished(spark, scratch):
+    root = os.path.join(scratch, "store")
+    init_store(spark, root)
+    films = os.path.join(root, "films")
+    os.rename(films, films + "__old")  # a crash between the two renames, with no new snapshot
+    assert read_table(spark, root, "films").count() == 10
+    read_table(spark, root, "films").limit(3).write.parquet(films + "__next")
+    os.rename(films, films + "__old")  # and with one
+    assert read_table(spark, root, "films").count() == 3
+    sinks.replace_table(read_table(spark, root, "films"), root, "films")
+    assert read_table(spark, root, "films").count() == 3 and not os.path.exists(films + "__old")
 
 
 def test_conform_old_layout(spark):
@@ -100,7 +131,7 @@ def test_streaming_intake(spark, scratch):
     batch = spark.read.schema("request_id bigint, arrived_at timestamp_ntz, body string").json(src)
     process_batch(batch, 0, root)          # a fully applied batch is skipped
     assert _state(spark, root) == (11, 27, 13, [(8,)])
-    assert rows(spark.read.parquet(os.path.join(root, DECISIONS)).orderBy("request_id"), "reason") == [
+    assert rows(spark.read.parquet(os.path.join(root, DECISIONS, "batch-0")).orderBy("request_id"), "reason") == [
         (None,), ("not_enough_seats",)]
 
 
@@ -116,6 +147,32 @@ def test_streaming_replay_after_crash(spark, scratch):
     assert _state(spark, root) == (11, 27, 13, [(8,)])
 
 
+def test_incomplete_decisions_are_decided_again(spark, scratch):
+    from marquee.streaming.intake import DECISIONS, process_batch
+    root, src = os.path.join(scratch, "store"), os.path.join(scratch, "requests")
+    init_store(spark, root)
+    _write_requests(src, REQS)
+    batch = spark.read.schema("request_id bigint, arrived_at timestamp_ntz, body string").json(src)
+    half = os.path.join(root, DECISIONS, "batch-0")
+    spark.range(1).write.parquet(half)            # a record that was cut off: no success marker
+    os.remove(os.path.join(half, "_SUCCESS"))
+    process_batch(batch, 0, root)
+    assert _state(spark, root) == (11, 27, 13, [(8,)])
+
+
+def test_streaming_customers(spark, scratch):
+    from marquee.streaming.intake import process_customers, start
+    root, src = os.path.join(scratch, "store"), os.path.join(scratch, "requests")
+    init_store(spark, root)
+    bodies = [{"name": "Ana Lima", "email": "ana@x.org"}, {"name": "Ana L", "email": "ANA@x.org"}, {"email": ""}]
+    _write_requests(src, [{"request_id": i, "arrived_at": f"2026-04-17T09:00:0{i}", "body": json.dumps(b)} for i, b in enumerate(bodies)])
+    start(spark, src, root, os.path.join(scratch, "ckpt"), process=process_customers).awaitTermination(300)
+    assert rows(read_table(spark, root, "customers").where("customer_id = 'C021'"), "firstname", "email") == [("Ana", "ana@x.org")]
+    batch = spark.read.schema("request_id bigint, arrived_at timestamp_ntz, body string").json(src)
+    process_customers(batch, 0, root)             # a replay adds nothing
+    assert read_table(spark, root, "customers").count() == 21
+
+
 def test_explorer_view(spark, seed):
     from marquee.plans.registry import explorer_view
     shifts = explorer_view(cinema_datasets(seed)["shifts"]())
