@@ -102,14 +102,17 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
         p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
         best = (1e-9, None, None)
         for f, v in x.items():
-            for t in np.unique(np.quantile(v[inside & bad], np.linspace(0, 1, CUTS))):
-                for op in ("<=", ">"):
-                    ok = inside & (v <= t if op == "<=" else v > t)
-                    p, n = (ok & bad).sum(), (ok & ~bad).sum()
-                    if p >= MIN_COVER:
-                        gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
-                        if gain > best[0]:
-                            best = (gain, (f, op, float(t)), ok)
+            values = np.unique(v[inside])
+            at = np.searchsorted(values, np.unique(np.quantile(v[inside & bad], np.linspace(0, 1, CUTS), method="nearest")))
+            # Thresholds lie midway between a bad row's value and the next value below or above.
+            cuts = [(op, (values[i] + values[j]) / 2) for op, step in ((">", -1), ("<=", 1)) for i in at for j in [i + step] if 0 <= j < len(values)]
+            for op, t in cuts:
+                ok = inside & (v <= t if op == "<=" else v > t)
+                p, n = (ok & bad).sum(), (ok & ~bad).sum()
+                if p >= MIN_COVER:
+                    gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
+                    if gain > best[0]:
+                        best = (gain, (f, op, float(t)), ok)
         if best[1] is None:
             break
         rule.append(best[1])
