@@ -60,7 +60,7 @@ def parse_customer_requests(requests: DataFrame) -> DataFrame:
     Fields are materialised stage by stage so each expression is built once."""
     p = F.col("payload")
     fields = {"_first": "firstName", "_last": "lastName", "_name": "name", "_email": "email", "_rew": "rewardsMember"}
-    df = requests.select("request_id", "arrived_at", *[Q.field(p, f).alias(c) for c, f in fields.items()])
+    df = requests.select("request_id", Q.arrival("arrived_at"), *[Q.field(p, f).alias(c) for c, f in fields.items()])
     df = df.select("request_id", "arrived_at", *[Q.str_or_blank(F.col(c)).alias(c) for c in fields if c != "_rew"],
                    Q.truthy(F.col("_rew")).alias("rewards_member"))
     # Strip every text once, then decide the names from the stripped columns.
@@ -101,7 +101,13 @@ def intake_customers(requests: DataFrame, customers: DataFrame) -> dict[str, Dat
     d = d.withColumn("status", F.when(F.col("reason").isNull(), F.lit(ACCEPTED)).otherwise(F.lit(REFUSED)))
     decisions = d.select("request_id", "arrived_at", "status", "reason", "customer_id", "firstname", "lastname",
                          "email", "rewards_member")
-    return {"decisions": decisions, "customers": new_customers(decisions)}
+    return {"decisions": decisions, "responses": responses(decisions), "customers": new_customers(decisions)}
+
+
+def responses(decisions: DataFrame) -> DataFrame:
+    """What an accepted request is answered with."""
+    return decisions.where(F.col("status") == ACCEPTED).select(
+        F.col("customer_id").alias("customerId"), "firstname", "lastname", "email")
 
 
 def new_customers(decisions: DataFrame) -> DataFrame:

@@ -48,10 +48,10 @@ def _max_or_zero(df: DataFrame, c: str) -> Column:
 
 
 def screen(requests: DataFrame, customers: DataFrame, showings: DataFrame) -> DataFrame:
-    """Steps 1-5 on parsed requests (request_id, arrived_at, payload).
+    """Steps 1-5 on parsed requests (request_id, arrived_at, payload); a request without arrival time arrives now.
     Request fields are materialised first so each parse expression is built once."""
     p = F.col("payload")
-    df = requests.select("request_id", "arrived_at", "payload", Q.field(p, "showingId").alias("_vs"),
+    df = requests.select("request_id", Q.arrival("arrived_at"), "payload", Q.field(p, "showingId").alias("_vs"),
                          Q.field(p, "ticketQty").alias("_vq"), Q.field(p, "customerId").alias("_vc"),
                          Q.field(p, "concessions").alias("_vi"))
     showing, bad_s = Q.py_int(F.col("_vs"), 0)
@@ -121,10 +121,18 @@ def outputs(decisions: DataFrame, items: DataFrame, showings: DataFrame) -> dict
         F.col("showing_id").alias("ticket_showing_id"), F.col("order_number").alias("ticket_order_number"))
     new_items = (items.join(ok.select("request_id", "order_number"), "request_id")
                  .select("order_number", "concession_id", F.col("quantity").cast("int").alias("quantity")))
-    return {"decisions": decisions.select(*DECISION_COLUMNS), "orders": new_orders, "tickets": new_tickets,
+    return {"decisions": decisions.select(*DECISION_COLUMNS), "responses": responses(decisions), "orders": new_orders, "tickets": new_tickets,
             "items": new_items, "seats": seats_left(showings, ok)}
 
 
+def responses(decisions: DataFrame) -> DataFrame:
+    """What an accepted request is answered with."""
+    return decisions.where(F.col("status") == ACCEPTED).select(
+        F.col("order_number").alias("orderNumber"), "subtotal", "tax", "discount", "total",
+        F.col("rewards_discount_applied").alias("rewardsDiscountApplied"),
+        F.concat(F.lit("/receipt/"), F.col("order_number").cast("string")).alias("receiptUrl"))
+
+
 def seats_left(showings: DataFrame, accepted: DataFrame) -> DataFrame:
     """A10: seats minus the accepted quantity per showing (aggregated first)."""
     taken = accepted.groupBy(F.col("showing_id").alias("_sid")).agg(F.sum("ticket_qty").alias("_taken"))

@@ -246,22 +246,17 @@ def _js_number(c):
 
 def booking_options(customers: DataFrame, showings: DataFrame, films: DataFrame,
                     concessions: DataFrame) -> DataFrame:
-    """The booking form's option labels, one list per picker:
+    """The booking form's option labels, (list_name, value, label) for each picker:
     ``<full name> (<id>)``, ``<title> | Theatre <n> | <time>`` and
-    ``<name> (<size or —>) — $<price>``; (list_name, position, value, label)."""
-    cust = booking_customers(customers)
-    c = cust.select(F.lit("customers").alias("list_name"), F.col("customer_id").cast("string").alias("value"),
-                    C.label(F.col("full_name"), " (", F.col("customer_id").cast("string"), ")").alias("label"),
-                    F.col("full_name").alias("_k1"), F.col("customer_id").cast("string").alias("_k2"))
-    sched = showing_schedule(showings, films)
-    s = sched.select(F.lit("showings").alias("list_name"), F.col("showing_id").cast("string").alias("value"),
-                     C.label(F.col("film_title"), " | Theatre ", F.col("film_theatre_number").cast("string"), " | ",
-                             F.date_format("film_showing_datetime", C.DISPLAY_PATTERN)).alias("label"),
-                     F.col("film_showing_datetime").cast("string").alias("_k1"),
-                     F.col("showing_id").cast("string").alias("_k2"))
-    k = booking_concessions(concessions)
-    i = k.select(F.lit("concessions").alias("list_name"), F.col("concession_id").cast("string").alias("value"),
-                 C.label(F.col("concession_name"), " (", C.or_dash("concession_size"), ") — $",
-                         _js_number("concession_price")).alias("label"),
-                 F.col("concession_name").alias("_k1"), F.col("concession_id").cast("string").alias("_k2"))
-    return c.unionByName(s).unionByName(i).drop("_k1", "_k2")
+    ``<name> (<size or —>) — $<price>``.  The lists have no order here; the pickers' own result sets do."""
+    c = customers.select(F.lit("customers").alias("list_name"), F.col("customer_id").cast("string").alias("value"),
+                         C.label(C.full_name("firstname", "lastname"), " (", F.col("customer_id").cast("string"), ")").alias("label"))
+    s, f = showings.alias("s"), films.alias("f")
+    s = s.join(f, F.col("s.film_id") == F.col("f.film_id")).select(
+        F.lit("showings").alias("list_name"), F.col("s.showing_id").cast("string").alias("value"),
+        C.label(F.col("f.film_title"), " | Theatre ", F.col("s.film_theatre_number").cast("string"), " | ",
+                F.date_format("s.film_showing_datetime", C.DISPLAY_PATTERN)).alias("label"))
+    i = concessions.select(F.lit("concessions").alias("list_name"), F.col("concession_id").cast("string").alias("value"),
+                           C.label(F.col("concession_name"), " (", C.or_dash("concession_size"), ") — $",
+                                   _js_number("concession_price")).alias("label"))
+    return c.unionByName(s).unionByName(i)

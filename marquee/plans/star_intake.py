@@ -169,6 +169,13 @@ def customer_intake(t):
     return CU.intake_customers(signup_requests(t["events"]), _existing_for_signup(t["customer"]))["decisions"]
 
 
+@query("customer_responses", f"""SELECT customer_id AS "customerId", firstname, lastname, email
+FROM ({SQL["customer_intake"]}) WHERE status = 'accepted'""")
+def customer_responses(t):
+    """What accepted customer requests are answered with."""
+    return CU.intake_customers(signup_requests(t["events"]), _existing_for_signup(t["customer"]))["responses"]
+
+
 # ---- P1 pricing, P2 intake ------------------------------------------------------------
 def purchase_requests(t: dict[str, DataFrame], with_variants: bool) -> DataFrame:
     """Purchase events as JSON order bodies (text built column by column)."""
@@ -324,6 +331,15 @@ def intake_decisions(t):
     return _intake(t)["decisions"]
 
 
+@query("order_responses", INTAKE_SQL + """
+SELECT order_number AS "orderNumber", subtotal, tax, discount, total, rewards_discount_applied AS "rewardsDiscountApplied",
+       '/receipt/' || order_number AS "receiptUrl"
+FROM decisions WHERE status = 'accepted'""")
+def order_responses(t):
+    """What accepted order requests are answered with."""
+    return _intake(t)["responses"]
+
+
 @query("intake_orders", INTAKE_SQL + """
 SELECT d.order_number, a.user_id AS order_customer_id, d.subtotal, d.tax, d.discount, d.total,
        d.arrived_at AS created_at

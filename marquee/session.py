@@ -77,8 +77,3 @@ def materialize(df):
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
-
-
-def partition_count(spark: SparkSession) -> int:
-    """Partition count used for explicit range partitioning."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

@@ -20,6 +20,11 @@ def parse_bodies(df: DataFrame, body: str = "body", out: str = "payload") -> Dat
             .drop("_parsed"))
 
 
+def arrival(name: str) -> Column:
+    """The arrival time, or the present if there is none."""
+    return F.coalesce(F.col(name), F.current_timestamp().cast("timestamp_ntz")).alias(name)
+
+
 def field(v: Column, name: str) -> Column:
     """Field value as VARIANT; SQL null when missing (JSON null stays a VARIANT null)."""
     return F.try_variant_get(v, f"$[\"{name}\"]", "variant")
