@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,21 @@ def worker_store(name: str) -> dict:
     """A dict that lives as long as the Python worker process.
 
     The package's functions travel by value, so their module globals are new in each task; what a
-    worker may use again in later tasks (tokenizers, words seen) is kept in a module of its own."""
+    worker may use again in later tasks (tokenizers, words seen) is kept in a module of its own.
+    Only the last name's store is kept: what an earlier operator held is freed."""
     module = sys.modules.setdefault("_marquee_llm_worker", types.ModuleType("_marquee_llm_worker"))
-    return module.__dict__.setdefault(name, {})
+    if getattr(module, "of", None) != name:
+        module.of, module.store = name, {}
+    return module.store
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Jobs that run inside send at most so many rows at a time to a Python worker (rows that hold whole texts or sets)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

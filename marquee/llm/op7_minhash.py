@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import keeping_columns, pick, pin, worker_store
+from marquee.llm.common import batch_rows, keeping_columns, pick, pin, worker_store
 from marquee.llm.components import components
 
 COORDINATES, MATCHES = 48, 30
@@ -33,7 +33,9 @@ SHINGLE, PERCENT = 3, 85
 BLOCK = 64
 #: Tables of ids up to this many rows (16 bytes each) are broadcast.
 BROADCAST_IDS = 1 << 20
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 17
+#: Rows that a Python worker gets at a time.
+ROWS = 1_000
 SEED = 20_240_607
 
 
@@ -221,6 +223,11 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, width: in
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
+    with batch_rows(docs.sparkSession, ROWS):  # every job with Python runs in here
+        return _near_duplicates(docs, percent, width)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, width: int) -> DataFrame:
     rows = pin(signed(docs, width), "signed")
     sets = rows.where("n_shingles > 0 and doc_id is not null")
     classes = pin(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("pairs").alias("pairs")), "classes")
