@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marquee.llm import files, simple8b
-from marquee.llm.common import pick, pin, shared_path
+from marquee.llm.common import batch_rows, pick, pin, shared_path
 from marquee.llm.tokens import Encoder
 
 MAGIC = b"S8B1"
 END_ID = 2
+#: Texts that a Python worker gets at a time.
+ROWS = 1_000
 
 
 class ShardWriter:
@@ -116,7 +118,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     placed = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    shards = pin(placed.mapInArrow(write, "shard long, path string, docs long, ids long"), "shards")
+    with batch_rows(docs.sparkSession, ROWS):
+        shards = pin(placed.mapInArrow(write, "shard long, path string, docs long, ids long"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return shards.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import pick, pin
+from marquee.llm.common import batch_rows, pick, pin
 from marquee.llm.tokens import Encoder
 
 SEQUENCE, UNIT, END_ID = 2048, 16, 1
 #: The linear program ends within this share of its optimum, or after so many new patterns.
 GAP, MAX_COLUMNS = 1e-3, 4000
+#: Rows (whole texts, or pieces with their ids) that a Python worker gets at a time.
+ROWS = 1_000
 PIECES = "shard long, class int, rank long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -152,7 +154,9 @@ def places(patterns: list[tuple[int, np.ndarray]], classes: np.ndarray) -> tuple
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int = SEQUENCE, unit: int = UNIT, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32 of each piece; with ``keep_ids`` also ids."""
-    cut = pin(pieces(docs, vocabulary, end_id, sequence, unit), "pieces")
+    spark = docs.sparkSession
+    with batch_rows(spark, ROWS):
+        cut = pin(pieces(docs, vocabulary, end_id, sequence, unit), "pieces")
     counts = pin(cut.groupBy("class", "shard").agg(F.count("*").alias("n")), "classes")
     before = Window.partitionBy("class").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     firsts = pin(counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "firsts")
@@ -176,5 +180,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int =
 
     ranked = cut.join(firsts, ["class", "shard"]).select("class", (F.col("rank") + F.col("first")).alias("rank"), "doc_id", "start", "length", "doc_tokens", "ids")
     placed = ranked.mapInArrow(assign, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, sequence_id long, slot long" + ", ids binary" * keep_ids)
+    with batch_rows(spark, ROWS):
+        placed = pin(placed, "placed")
     upto = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(upto), F.lit(0))).drop("slot")

@@ -11,14 +11,17 @@ import re
 
 from marquee.llm.common import worker_store
 
-#: Distinct parts kept per worker process (about 200 bytes each); beyond it the store is emptied.
-KEPT_PARTS = 1 << 19
+#: Distinct parts in each of the two generations kept per worker process (about 200 bytes each).
+KEPT_PARTS = 1 << 17
 LATIN_END = "ɐ"
 _SPACE = "\t-\r \x85\xa0  -     　"
 _SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Any white space but a single blank or line feed between two other characters (or at the start).
 _ODD_SPACE = re.compile(rb"[\t\x0b\x0c\r]|[ \n][ \n]|[ \n]\Z|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
+#: Letters, then ASCII marks but the apostrophe: two pre-tokens.
+_MARKED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)\Z")
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one from 256."""
@@ -40,8 +43,11 @@ class Encoder:
         self.drops_space = spec["normalizer"] is not None  # the vocabulary of lower-case words
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.lead = "" if self.drops_space else self.letters[32]  # the blank before a word
+        self.line_feed = self._whole("\n")
         self.known: dict = {}
-        self.ends = {bytes([b]): self._whole(chr(b)) for b in b".,;:!?"}
+        self.older: dict = {}
+        self.ends: dict = {}  # runs of marks after a word
 
     @staticmethod
     def of(path: str) -> "Encoder":
@@ -53,42 +59,53 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, lead: str, word: bytes):
-        """The ids of a word of Latin letters; None if it is something else."""
+    def _name(self, word: bytes):
+        """How the vocabulary writes a word of Latin letters (one pre-token, composed already); None if it is something else."""
         if word.isalpha():
-            name = word.lower().decode() if self.drops_space else word.decode()
-        elif self.drops_space:  # accents may be composed first
+            return (word.lower() if self.drops_space else word).decode()
+        text = word.decode().lower() if self.drops_space else word.decode()
+        if not text.isalpha() or max(text) >= LATIN_END:
             return None
-        else:
-            text = word.decode()
-            if not text.isalpha() or max(text) >= LATIN_END:
-                return None
-            name = word.decode("latin-1").translate(self.letters)
-        return _packed([t.id for t in self.model.tokenize(lead + name)])
+        return text.encode().decode("latin-1").translate(self.letters)
 
     def _part(self, part: bytes) -> bytes:
         """``part`` stands after a blank, unless it starts with a line feed (in the vocabulary of words it stands alone)."""
-        lead = "" if self.drops_space else self.letters[32]
-        out = self._word(lead, part)
-        if out is None and (end := self.ends.get(part[-1:])) and (head := self._word(lead, part[:-1])):
+        fresh = part[:1] == b"\n"  # a line feed is a token of its own before a letter
+        word, lead, before = (part[1:], "", self.line_feed) if fresh else (part, self.lead, b"")
+        ids = lambda name: before + _packed([t.id for t in self.model.tokenize(lead + name)])
+        if name := self._name(word):
+            return ids(name)
+        out = None
+        if (m := _MARKED.match(word)) and (name := self._name(m[1])):
+            if (end := self.ends.get(m[2])) is None:
+                end = self.ends[m[2]] = self._whole(m[2].decode())
+            key = b"\n" + m[1] if fresh else m[1]
+            if (head := self._seen(key)) is None:
+                head = self.known[key] = ids(name)
             out = head + end
         if out is None:
             text = part.decode()
             out = self._whole(text if self.drops_space or text[0] == "\n" else " " + text)
         return out
 
+    def _seen(self, part):
+        got = self.known.get(part)
+        return self.older.get(part) if got is None else got
+
     def _all(self, parts, one) -> bytes:
         known = self.known
         got = [known.get(p) for p in parts]
         if None in got:
-            if len(known) > KEPT_PARTS:
-                known.clear()
+            if len(known) > KEPT_PARTS:  # two generations: what is still in use moves to the new one
+                self.older, self.known = known, {}
+                known = self.known
             for i, x in enumerate(got):
                 if x is None:
                     p = parts[i]
-                    if (x := known.get(p)) is None:
-                        x = known[p] = one(p)
-                    got[i] = x
+                    x = self._seen(p)
+                    got[i] = known[p] = one(p) if x is None else x
+            if len(self.ends) > KEPT_PARTS:
+                self.ends.clear()
         return b"".join(got)
 
     def encode(self, text: bytes) -> bytes:
