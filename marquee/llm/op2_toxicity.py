@@ -20,6 +20,7 @@ other columns are ignored by ``scored`` and kept by ``filtered``.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from dataclasses import dataclass
 from functools import cache
@@ -39,7 +40,8 @@ LANDMARKS, ROUNDS = 200, 4
 MAX_UNITS = 6_000
 LOWEST, HIGHEST = -2.0, 1.0
 TOP = 3
-KEPT_WORDS = 1 << 19
+#: Words whose margins a worker keeps, and texts that it scores at a time.
+KEPT_WORDS, TEXTS = 1 << 18, 256
 CODES = 64
 #: Subsequences are numbered modulo this prime.
 SLOTS = 1_048_573
@@ -93,7 +95,7 @@ def by_length(all_units: list[tuple[int, ...]]):
     lengths = np.fromiter(map(len, all_units), np.int32, len(all_units))
     for n in np.unique(lengths):
         places = np.flatnonzero(lengths == n)
-        block = max(1, 2_000_000 // len(_triples(int(n))[1])) if n >= ORDER else len(places)
+        block = max(1, 500_000 // len(_triples(int(n))[1])) if n >= ORDER else len(places)
         for i in range(0, len(places), block):
             p = places[i : i + block]
             yield p, np.array([all_units[j] for j in p], np.int64)
@@ -108,7 +110,6 @@ def highest(margins) -> list[float]:
 class Machine:
     """weight of each subsequence, offset, and the logistic function of a text's highest margins."""
 
-    name: str
     weight: np.ndarray
     offset: float
     slopes: np.ndarray
@@ -152,23 +153,23 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.05) ->
     return w[:-1], float(w[-1])
 
 
-def train(texts: list[bytes], toxic: np.ndarray, name: str = "machine") -> Machine | None:
+def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
     """A machine from labelled texts; None without both kinds."""
     if not toxic.any() or toxic.all():
         return None
+    number: dict[tuple, int] = {}  # units by number, in order of appearance
     bags = []
     for t in texts:
         words = t.split()
-        bags.append(sorted({u for w in {*words, *spelled(words)} for u in units(w)}))
-    seen: dict[tuple, list[int]] = {}
-    for bag, bad in zip(bags, toxic, strict=True):
-        for u in bag:
-            seen.setdefault(u, [0, 0])[int(bad)] += 1
-    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
-    rate = {u: (b + 0.1) / (n_bad + 1) / ((g + 0.1) / (n_good + 1)) for u, (g, b) in seen.items()}
+        found = {number.setdefault(u, len(number)) for w in sorted({*words, *spelled(words)}) for u in units(w)}
+        bags.append(np.array(sorted(found), np.int32))
+    distinct = list(number)
+    good, bad = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(g for g, k in zip(bags, toxic, strict=True) if k == kind)]), minlength=len(distinct)) for kind in (False, True))
+    del number
+    rate = (bad + 0.1) / (toxic.sum() + 1) / ((good + 0.1) / ((~toxic).sum() + 1))
     # First witnesses: units of three toxic documents or more, ten times as usual there as in others.
-    witnesses = {u: c[1] for u, c in seen.items() if c[1] >= 3 and rate[u] >= 10}
-    counter = sorted((u for u, c in seen.items() if c[0] >= 1 and rate[u] < 3), key=lambda u: (-seen[u][0], u))
+    witnesses = {int(u): int(bad[u]) for u in np.flatnonzero((bad >= 3) & (rate >= 10))}
+    counter = sorted(np.flatnonzero((good >= 1) & (rate < 3)).tolist(), key=lambda u: (-good[u], u))
     if not witnesses or not counter:
         return None
     rng = np.random.default_rng(0)
@@ -176,10 +177,10 @@ def train(texts: list[bytes], toxic: np.ndarray, name: str = "machine") -> Machi
     rare = counter[MAX_UNITS // 2 :]
     others = set(common) | {rare[i] for i in rng.permutation(len(rare))[: MAX_UNITS // 2]}
     usual = [counter[i] for i in rng.permutation(min(len(counter), 4 * LANDMARKS))[: LANDMARKS // 4]]
-    distinct, hard = sorted(seen), []
+    hard: list[int] = []
     for _ in range(ROUNDS):
         top = sorted(witnesses, key=lambda u: (-witnesses[u], u))[: LANDMARKS // 2]
-        marks = list(dict.fromkeys(top + usual + hard[: LANDMARKS // 4]))
+        marks = [distinct[u] for u in dict.fromkeys(top + usual + hard[: LANDMARKS // 4])]
         which = np.unique(np.concatenate([embed(c)[0].ravel() for _, c in by_length(marks)]))
         places_of = np.full(SLOTS, len(which))
         places_of[which] = np.arange(len(which))
@@ -187,26 +188,26 @@ def train(texts: list[bytes], toxic: np.ndarray, name: str = "machine") -> Machi
         values, vectors = np.linalg.eigh(landmark @ landmark.T)
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T  # K_mm^-1/2
         pos, neg = sorted(witnesses), sorted(others - witnesses.keys())
-        x = np.vstack([_kernel_rows(part, places_of, len(which)) @ landmark.T @ root for u in (pos, neg) for part in (u[i : i + 512] for i in range(0, len(u), 512))])
+        x = np.vstack([_kernel_rows([distinct[k] for k in u[i : i + 512]], places_of, len(which)) @ landmark.T @ root for u in (pos, neg) for i in range(0, len(u), 512)])
         y = np.append(np.ones(len(pos)), -np.ones(len(neg)))
         # A unit counts by the documents it stands in, and both classes alike.
-        cost = np.sqrt(np.array([seen[u][int(k > 0)] + 1.0 for u, k in zip([*pos, *neg], y, strict=True)]))
+        cost = np.sqrt(np.append(bad[pos], good[neg]) + 1.0)
         for k in (y > 0, y < 0):
             cost[k] *= len(y) / 2 / cost[k].sum()
         w, offset = _svm(x, y, cost)
-        weight = np.zeros(SLOTS)
+        weight = np.zeros(SLOTS, np.float32)
         weight[which] = (root @ w) @ landmark
-        machine = Machine(name, weight, offset, np.zeros(TOP), 0.0)
-        margin = dict(zip(distinct, machine.margins(distinct), strict=True))
-        for bag, bad in zip(bags, toxic, strict=True):
-            if bad and bag:
-                u = max(bag, key=lambda v: (margin[v], v))
+        machine = Machine(weight, offset, np.zeros(TOP), 0.0)
+        margin = machine.margins(distinct)
+        for bag, kind in zip(bags, toxic, strict=True):
+            if kind and len(bag):
+                u = int(bag[np.argmax(margin[bag])])
                 if rate[u] >= 3:
                     witnesses[u] = witnesses.get(u, 0) + 1
-        worst = sorted((u for u in distinct if margin[u] > -0.5 and seen[u][0] and rate[u] < 3), key=lambda u: (-min(margin[u], 1) * seen[u][0], u))
+        worst = sorted(np.flatnonzero((margin > -0.5) & (good > 0) & (rate < 3)).tolist(), key=lambda u: (-min(margin[u], 1) * good[u], u))
         others |= set(worst[: MAX_UNITS // 2])
         hard = worst
-    x = np.array([highest([margin[u] for u in bag]) for bag in bags])
+    x = np.array([highest(margin[bag].tolist()) for bag in bags])
     x, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(TOP + 1)
     for _ in range(60):  # logistic fit by Newton steps; weights below zero are held at zero
         p = 1 / (1 + np.exp(-(x @ w)))
@@ -232,26 +233,33 @@ def learned(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
     got = rows.select("doc_id", "toxic", F.col("text").cast("binary").alias("text")).toArrow().sort_by("doc_id")
     texts = [x or b"" for x in got.column("text").to_pylist()]
-    return train(texts, np.array(got.column("toxic").to_pylist(), bool), name=f"toxic-{hash(tuple(got.column('doc_id').to_pylist()))}")
+    return train(texts, np.array(got.column("toxic").to_pylist(), bool))
 
 
 def scorer(machine: Machine | None):
     """A function from a text column to its score column."""
+    name = machine and hashlib.sha1(machine.weight.tobytes() + repr((machine.offset, machine.slopes.tolist(), machine.shift)).encode()).hexdigest()
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         if machine is None:
             return pa.array(np.zeros(len(texts)))
-        known = worker_store("margins").setdefault(machine.name, {})
+        store = worker_store("margins")  # of one machine at a time
+        if store.get("name") != name:
+            store.clear()
+            store.update(name=name, known={})
+        known = store["known"]
+        out = [probabilities(texts[i : i + TEXTS], known) for i in range(0, len(texts), TEXTS)]
+        return pa.array(np.concatenate([np.zeros(0), *out]))
+
+    def probabilities(texts: pa.Array, known: dict) -> np.ndarray:
         bags = []
         for x in texts:
             words = (x.as_py() or b"").split()
-            bag = set(words)
-            bag.update(spelled(words))
-            bags.append(bag)
+            bags.append({*words, *spelled(words)})
         if len(known) > KEPT_WORDS:
             known.clear()
-        new = list(set().union(*bags).difference(known)) if bags else []
+        new = list(set().union(*bags).difference(known))
         owners, pieces = [], []
         for i, w in enumerate(new):
             for u in units(w):
@@ -260,7 +268,7 @@ def scorer(machine: Machine | None):
         best = np.full(len(new), LOWEST)
         np.maximum.at(best, np.array(owners, np.int64), machine.margins(pieces))
         known.update(zip(new, best.tolist(), strict=True))
-        return pa.array(machine.probability(np.array([highest(heapq.nlargest(TOP, map(known.__getitem__, b))) for b in bags]).reshape(-1, TOP)))
+        return machine.probability(np.array([highest(heapq.nlargest(TOP, map(known.__getitem__, b))) for b in bags]))
 
     return lambda text: score(text.cast("binary"))
 
