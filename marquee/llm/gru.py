@@ -38,34 +38,57 @@ def initial(counts: np.ndarray, seed: int = 0) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def step(p, table, symbols, h):
     """Next state, and what the backward pass needs. ``table``: each symbol's input to the gates."""
     x, a = table[symbols], h @ p["u"]
-    zr = _sigmoid(x[:, : 2 * STATE] + a[:, : 2 * STATE])
-    z, r = zr[:, :STATE], zr[:, STATE:]
-    n = np.tanh(x[:, 2 * STATE :] + r * a[:, 2 * STATE :])
-    return n + z * (h - n), (h, z, r, n, a[:, 2 * STATE :])
+    gates, n = x[:, : 2 * STATE], x[:, 2 * STATE :]
+    gates += a[:, : 2 * STATE]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r, an = gates[:, :STATE], gates[:, STATE:], a[:, 2 * STATE :]
+    n += r * an
+    np.tanh(n, out=n)
+    out = h - n
+    out *= z
+    out += n
+    return out, (h, z, r, n, an)
+
+
+def _by_class(h, symbols):
+    """Order of the rows by class, the bounds of each class in it, the states in that order and the members."""
+    cls = symbols // MEMBERS
+    order = np.argsort(cls, kind="stable")
+    return cls, order, np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist(), h[order], (symbols % MEMBERS)[order]
+
 
+def _chosen(logits, which):
+    """Natural log of the softmax at one place of each row."""
+    logits -= logits.max(axis=1, keepdims=True)
+    picked = logits[np.arange(len(logits)), which]
+    return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
 
-def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+def _softmax_error(logits, which, weight):
+    """Gradient of the weighted negative log of the softmax at one place of each row."""
+    logits -= logits.max(axis=1, keepdims=True)
+    d = np.exp(logits, out=logits)
+    d *= (weight / d.sum(axis=1))[:, None]
+    d[np.arange(len(d)), which] -= weight
+    return d
 
 
 def log_probability(p, h, symbols):
     """Natural log probability of each symbol given its state (rows of ``h``)."""
-    cls, member = symbols // MEMBERS, symbols % MEMBERS
-    out = _log_softmax(h @ p["cw"] + p["cb"])[np.arange(len(h)), cls]
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    cls, order, ends, by_class, member = _by_class(h, symbols)
+    out = _chosen(h @ p["cw"] + p["cb"], cls)
+    inside = np.empty(len(h), out.dtype)
     for c in range(CLASSES):
-        at = order[ends[c] : ends[c + 1]]
-        if len(at):
-            out[at] += _log_softmax(h[at] @ p["mw"][c] + p["mb"][c])[np.arange(len(at)), member[at]]
+        a, b = ends[c], ends[c + 1]
+        if a < b:
+            inside[a:b] = _chosen(by_class[a:b] @ p["mw"][c] + p["mb"][c], member[a:b])
+    out[order] += inside
     return out
 
 
@@ -73,48 +96,52 @@ def gradient(p, g, symbols_in, symbols_out, mask, h):
     """Adds to ``g`` the gradient over one window (time x rows); returns the last state (truncated there)."""
     steps, rows = symbols_in.shape
     table = p["e"] @ p["w"] + p["b"]
-    states, kept = [], []
+    before, z, r, n, an = (np.empty((steps, rows, STATE), F4) for _ in range(5))
+    hs = np.empty((steps, rows, STATE), F4)
     for t in range(steps):
-        h, k = step(p, table, symbols_in[t], h)
-        h = h.astype(F4)
-        states.append(h)
-        kept.append(k)
-    hs, out, weight = np.concatenate(states), symbols_out.ravel(), mask.ravel().astype(F4) / max(1, mask.sum())
-    cls, member = out // MEMBERS, out % MEMBERS
-    d = np.exp(_log_softmax(hs @ p["cw"] + p["cb"]))
-    d[np.arange(len(d)), cls] -= 1
-    d *= weight[:, None]
-    g["cw"] += hs.T @ d
+        hs[t], (before[t], z[t], r[t], n[t], an[t]) = step(p, table, symbols_in[t], h)
+        h = hs[t]
+    flat, weight = hs.reshape(-1, STATE), mask.ravel().astype(F4) / F4(max(1, mask.sum()))
+    cls, order, ends, by_class, member = _by_class(flat, symbols_out.ravel())
+    d = _softmax_error(flat @ p["cw"] + p["cb"], cls, weight)
+    g["cw"] += flat.T @ d
     g["cb"] += d.sum(axis=0)
-    dh_out = d @ p["cw"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    dh_out, inside, weight = d @ p["cw"].T, np.empty_like(flat), weight[order]
     for c in range(CLASSES):
-        at = order[ends[c] : ends[c + 1]]
-        if len(at):
-            d = np.exp(_log_softmax(hs[at] @ p["mw"][c] + p["mb"][c]))
-            d[np.arange(len(at)), member[at]] -= 1
-            d *= weight[at, None]
-            g["mw"][c] += hs[at].T @ d
+        a, b = ends[c], ends[c + 1]
+        if a < b:
+            d = _softmax_error(by_class[a:b] @ p["mw"][c] + p["mb"][c], member[a:b], weight[a:b])
+            g["mw"][c] += by_class[a:b].T @ d
             g["mb"][c] += d.sum(axis=0)
-            dh_out[at] += d @ p["mw"][c].T
+            inside[a:b] = d @ p["mw"][c].T
+        else:
+            inside[a:b] = 0
+    dh_out[order] += inside
     dh_out = dh_out.reshape(steps, rows, STATE)
-    dh, dtable = np.zeros((rows, STATE), F4), np.zeros_like(table)
+    # What each gate passes back for a unit of the state's gradient.
+    to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), an * r * (1 - r)
+    da, dn = np.empty((steps, rows, 3 * STATE), F4), np.empty((steps, rows, STATE), F4)
+    back, dh = p["u"].T, np.zeros((rows, STATE), F4)
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, an = kept[t]
         dh = dh + dh_out[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        dx = np.concatenate([dz, dr, dn], axis=1)
-        g["u"] += before.T @ da
-        np.add.at(dtable, symbols_in[t], dx)
-        dh = dh * z + da @ p["u"].T
+        np.multiply(dh, to_n[t], out=dn[t])
+        np.multiply(dh, to_z[t], out=da[t, :, :STATE])
+        np.multiply(dn[t], to_r[t], out=da[t, :, STATE : 2 * STATE])
+        np.multiply(dn[t], r[t], out=da[t, :, 2 * STATE :])
+        dh = dh * z[t] + da[t] @ back
+    da = da.reshape(-1, 3 * STATE)
+    g["u"] += before.reshape(-1, STATE).T @ da
+    dx = da
+    dx[:, 2 * STATE :] = dn.reshape(-1, STATE)
+    used = symbols_in.ravel()
+    order = np.argsort(used, kind="stable")
+    firsts = np.flatnonzero(np.diff(used[order], prepend=-1))
+    dtable = np.zeros_like(table)
+    dtable[used[order[firsts]]] = np.add.reduceat(dx[order], firsts)
     g["b"] += dtable.sum(axis=0)
     g["w"] += p["e"].T @ dtable
     g["e"] += dtable @ p["w"].T
-    return h
+    return h.copy()
 
 
 def train(flat: np.ndarray, stretches: list[np.ndarray], start: int, window: int = 16, rows: int = 64, rate: float = 0.01) -> np.ndarray:
@@ -167,7 +194,6 @@ def score(flat: np.ndarray, texts: list[np.ndarray], start: int, window: int = 3
                 break
             h = h[:n] if n < len(h) else h
             h, _ = step(p, table, before[:n], h)
-            h = h.astype(F4)
             before = now[t]
             states.append(h)
             symbols.append(before[:n])
