@@ -4,8 +4,8 @@ A text is a bag of units: its words (lower case, letters alone) and runs of
 single letters joined.  Two units are alike by the subsequences of four letters (the mark before a word counts as one) that they share, each weighted by
 DECAY to the length it spans in either unit, so that gaps and inserted characters weaken a match but do not end it.
 
-Training, on a bounded sample of labelled documents at the driver: units that mark toxic documents are
-witnesses, units of clean documents are the other class; landmarks are drawn from both; units are mapped to
+Training, on a bounded sample of labelled documents at the driver: units that mark toxic documents, whoever their
+neighbours, are witnesses, units of clean documents are the other class; landmarks are drawn from both; units are mapped to
 the landmarks' space (K_mm^-1/2 k_m(x)) and a linear machine with squared hinge loss is fitted.  Each further
 round takes as witness the highest unit of each toxic document and as counter-examples the highest of clean ones.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import zlib
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
@@ -158,16 +159,29 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
     if not toxic.any() or toxic.all():
         return None
     number: dict[tuple, int] = {}  # units by number, in order of appearance
-    bags = []
-    for t in texts:
-        words = t.split()
-        found = {number.setdefault(u, len(number)) for w in sorted({*words, *spelled(words)}) for u in units(w)}
-        bags.append(np.array(sorted(found), np.int32))
+    of_word: dict[bytes, tuple[int, ...]] = {}
+    bags, seen = [], ([], [])
+    for t, kind in zip(texts, toxic, strict=True):
+        words, found = t.split(), []
+        for i, w in enumerate(words):
+            if (got := of_word.get(w)) is None:
+                got = of_word[w] = tuple(number.setdefault(u, len(number)) for u in units(w))
+            if got:
+                place = zlib.crc32(b" ".join((*words[max(0, i - 1) : i], *words[i + 1 : i + 2])))
+                found += [(u << 32) + place for u in got]
+        for w in spelled(words):
+            found += [(number.setdefault(u, len(number)) << 32) + zlib.crc32(t[:64]) for u in units(w)]
+        found = np.unique(np.array(found, np.int64))
+        bags.append(np.unique(found >> 32).astype(np.int32))
+        seen[int(kind)].append(found)
     distinct = list(number)
-    good, bad = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(g for g, k in zip(bags, toxic, strict=True) if k == kind)]), minlength=len(distinct)) for kind in (False, True))
+    # A unit counts by the different neighbours that it has in documents of a kind: the words of a text that was copied
+    # many times count once, a word put into many texts counts for each.
+    good, bad = (np.bincount((np.unique(np.concatenate(f)) >> 32).astype(np.int64), minlength=len(distinct)) for f in seen)
+    del of_word, seen
     del number
     rate = (bad + 0.1) / (toxic.sum() + 1) / ((good + 0.1) / ((~toxic).sum() + 1))
-    # First witnesses: units of three toxic documents or more, ten times as usual there as in others.
+    # First witnesses: units with three neighbours or more in toxic documents, ten times as usual there as in others.
     witnesses = {int(u): int(bad[u]) for u in np.flatnonzero((bad >= 3) & (rate >= 10))}
     counter = sorted(np.flatnonzero((good >= 1) & (rate < 3)).tolist(), key=lambda u: (-good[u], u))
     if not witnesses or not counter:
@@ -190,7 +204,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
         pos, neg = sorted(witnesses), sorted(others - witnesses.keys())
         x = np.vstack([_kernel_rows([distinct[k] for k in u[i : i + 512]], places_of, len(which)) @ landmark.T @ root for u in (pos, neg) for i in range(0, len(u), 512)])
         y = np.append(np.ones(len(pos)), -np.ones(len(neg)))
-        # A unit counts by the documents it stands in, and both classes alike.
+        # A unit counts by its neighbours, and both classes alike.
         cost = np.sqrt(np.append(bad[pos], good[neg]) + 1.0)
         for k in (y > 0, y < 0):
             cost[k] *= len(y) / 2 / cost[k].sum()
@@ -202,7 +216,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
         for bag, kind in zip(bags, toxic, strict=True):
             if kind and len(bag):
                 u = int(bag[np.argmax(margin[bag])])
-                if rate[u] >= 3:
+                if rate[u] >= 3 and bad[u] >= 3:
                     witnesses[u] = witnesses.get(u, 0) + 1
         worst = sorted(np.flatnonzero((margin > -0.5) & (good > 0) & (rate < 3)).tolist(), key=lambda u: (-min(margin[u], 1) * good[u], u))
         others |= set(worst[: MAX_UNITS // 2])
@@ -233,7 +247,11 @@ def learned(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
     got = rows.select("doc_id", "toxic", F.col("text").cast("binary").alias("text")).toArrow().sort_by("doc_id")
     texts = [x or b"" for x in got.column("text").to_pylist()]
-    return train(texts, np.array(got.column("toxic").to_pylist(), bool))
+    machine = train(texts, toxic := np.array(got.column("toxic").to_pylist(), bool))
+    if machine is not None:  # the sample has more toxic documents than the labels have
+        n = known.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("*").alias("all")).first()
+        machine.shift += float(np.log(n["toxic"] / (n["all"] - n["toxic"])) - np.log(toxic.sum() / (~toxic).sum()))
+    return machine
 
 
 def scorer(machine: Machine | None):
