@@ -1,15 +1,18 @@
-"""Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells.
-
-Equal vectors are one class from here on.  Centroids are fitted on a bounded sample; every class goes to its PROBES
-nearest cells, and classes that share a cell are compared there, in blocks of BLOCK x BLOCK by matrix products in
-double precision.  A pair that shares several cells counts in the first of them only.  A block yields each vector's
-count of links and links that span what it connects, never all pairs; components of the links give the groups, whose
-smallest vec_id is kept.
-
-A pair is found if the two share a cell: of random pairs at cosine 0.9 exactly, in 64 independent dimensions, 99.9 %
-do (tests measure recall against brute force); closer pairs do all but surely.  Centroids nearer than CENTRE_GAP to
-one another are merged, so that a large group of copies cannot fill the cells of its own with one cell each.  Cells may
-be of any size: a large one only has more blocks.
+"""Embedding near-duplicates: spherical k-means cells, blocked cosine products within and between cells.
+
+Equal vectors are one class from here on.  Centroids are fitted on a bounded sample; the nearest one is a class's home,
+and classes of one home are compared there, in blocks of BLOCK x BLOCK by matrix products in double precision.  A class
+also visits every later cell that could hold a vector linked with it, and is compared with those at home there, so that
+each pair of the table meets once or is ruled out.  A block yields each vector's count of links and links that span what
+it connects, never all pairs; components of the links give the groups, whose smallest vec_id is kept.
+
+Two bounds rule a cell out for a vector, both exact.  Its members are within the cell's radius of its centre: by the
+triangle inequality, a vector farther from the centre than radius and link angle together links with none.  And its
+members are nearer to its centre than to the vector's own: a vector farther than the link angle from the plane midway
+links with none.  Centroids thus decide the work, never the result: clustered vectors visit few cells, vectors without
+any structure visit up to all of them (every pair is then multiplied).  Centroids nearer than CENTRE_GAP to one another
+are merged, so that a large group of copies cannot fill the cells of its own with one cell each.  Cells may be of any
+size: a large one only has more blocks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
 vectors of different lengths; repeated rows are vectors of their own that link; a null vec_id is judged alone
@@ -27,10 +30,14 @@ from marquee.llm.common import pick, pin
 from marquee.llm.components import components
 
 THRESHOLD = 0.9
-PROBES, BLOCK = 6, 256
+BLOCK = 1_024
+#: What is added to an angle or a distance before a bound is trusted.
+SLACK = 1e-6
 #: Vectors that centroids are fitted on (those of the smallest hash), and the most centroids.
 MAX_SAMPLE, MAX_CELLS = 20_000, 4_096
-PER_CELL, ROUNDS, CENTRE_GAP = 250, 8, 0.8
+PER_CELL, ROUNDS, CENTRE_GAP = 1_024, 8, 0.8
+#: Vectors that are compared with all centres at a time.
+AT_ONCE = 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -61,52 +68,68 @@ def valid(v):
     return v.isNotNull() & F.coalesce(F.forall(v, fine) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def placed(classes: DataFrame) -> DataFrame:
-    """class, rep, weight, v and the class's cells; lengths other than the usual one have a single cell."""
+def placed(classes: DataFrame, threshold: float) -> DataFrame:
+    """class, rep, weight, v, home and cells (home and those visited); lengths other than the usual one have a single cell."""
     usual = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     d, n = (usual["d"], usual["n"]) if usual else (0, 0)
     got = classes.where(F.size("v") == d).orderBy(F.xxhash64("v"), "class").limit(MAX_SAMPLE).select("v").toArrow().column("v")
     sample = unit(got.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)) if n else np.zeros((0, 1))
     centres = centroids(sample, int(min(MAX_CELLS, max(1, n // PER_CELL)))) if n else sample
-    probes = min(PROBES, len(centres))
 
-    def nearest(batches):
+    def products(v):
+        """Places of the vectors of the usual length, and their products with all centres, AT_ONCE at a time."""
+        at = np.flatnonzero(np.diff(v.offsets.to_numpy()) == d)
+        for k in range(0, len(at), AT_ONCE):
+            part = at[k : k + AT_ONCE]
+            yield part, unit(v.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)) @ centres.T
+
+    def settle(batches):
+        for batch in batches:
+            home, angle = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for part, x in products(batch.column(3)):
+                home[part] = x.argmax(axis=1)
+                angle[part] = np.arccos(np.clip(x.max(axis=1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(home), pa.array(angle)], ["class", "rep", "weight", "v", "home", "angle"])
+
+    kind = f"class long, rep long, weight long, v array<{classes.schema['v'].dataType.elementType.simpleString()}>, home int"
+    settled = pin(classes.select("class", "rep", "weight", "v").mapInArrow(settle, f"{kind}, angle double"), "homes")
+    radius = np.full(len(centres), -np.inf)  # a cell that is nobody's home is not visited
+    for r in settled.where(F.size("v") == d).groupBy("home").agg(F.max("angle").alias("angle")).collect():  # MAX_CELLS rows
+        radius[r["home"]] = r["angle"]
+    link = np.arccos(np.clip(threshold, -1, 1))
+    farthest = radius + link + SLACK
+    least = np.where(farthest < 0, np.inf, np.where(farthest < np.pi, np.cos(np.clip(farthest, 0, np.pi)), -np.inf))
+    reach = np.sin(link) if link < np.pi / 2 else np.inf
+
+    def visit(batches):
+        number = np.arange(len(centres))
         for batch in batches:
-            v = batch.column(3)
-            size = np.diff(v.offsets.to_numpy())
-            cells = [[0]] * len(v)
-            at = np.flatnonzero(size == d)
-            if len(at):
-                x = unit(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)) @ centres.T
-                top = np.sort(np.argpartition(-x, probes - 1, axis=1)[:, :probes], axis=1)
-                for i, row in zip(at, top.tolist(), strict=True):
-                    cells[i] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cells, pa.list_(pa.int32()))], ["class", "rep", "weight", "v", "cells"])
+            home = batch.column(4).to_numpy()
+            cells = [[h] for h in home.tolist()]
+            for part, x in products(batch.column(3)):
+                own = home[part]
+                apart = np.sqrt(np.maximum(0, 2 - 2 * centres[own] @ centres.T))
+                may = (number[None, :] > own[:, None]) & (x >= least[None, :] - SLACK)
+                may &= x[np.arange(len(own)), own][:, None] - x <= reach * apart + SLACK
+                for i, row in zip(part.tolist(), may, strict=True):
+                    cells[i] += np.flatnonzero(row).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cells, pa.list_(pa.int32()))], ["class", "rep", "weight", "v", "home", "cells"])
 
-    kind = classes.schema["v"].dataType.elementType.simpleString()
-    return classes.select("class", "rep", "weight", "v").mapInArrow(nearest, f"class long, rep long, weight long, v array<{kind}>, cells array<int>")
+    return settled.drop("angle").mapInArrow(visit, f"{kind}, cells array<int>")
 
 
 def block_links(group: pa.Table, threshold: float) -> pa.Table:
     """Links between the two blocks (or within the one) of a group: class, links (weighted count), or a, b (a spanning link)."""
-    cell, i, j = (group.column(c)[0].as_py() for c in ("cell", "i", "j"))
+    i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
     mine = group.column("block").to_numpy()
     d = group.column("d")[0].as_py()
     v = unit(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
     ids, rep, weight = (group.column(c).to_numpy() for c in ("class", "rep", "weight"))
-    cells = np.array([c + [-1] * (PROBES - len(c)) for c in group.column("cells").to_pylist()])
     left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
     x, y = np.nonzero(v[left] @ v[right].T >= threshold)
     x, y = left[x], right[y]
     if i == j:
         x, y = x[x < y], y[x < y]
-    # The first cell that both are in counts the pair.
-    first = np.full(len(x), np.iinfo(np.int64).max)
-    for a in range(cells.shape[1]):
-        for b in range(cells.shape[1]):
-            same = (cells[x, a] == cells[y, b]) & (cells[x, a] >= 0)
-            first[same] = np.minimum(first[same], cells[x, a][same])
-    x, y = x[first == cell], y[first == cell]
     count = np.bincount(x, weight[y], len(ids)) + np.bincount(y, weight[x], len(ids))
     parent = np.arange(len(ids))
 
@@ -136,12 +159,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     good = rows.where("ok")
     classes = good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = pin(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    cells = pin(placed(classes).withColumn("d", F.size("v")), "cells")
-    posted = cells.withColumn("cell", F.explode("cells"))
-    sizes = pin(posted.groupBy("d", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")  # MAX_CELLS rows a length
-    posted = posted.join(sizes, ["d", "cell"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("d", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "rep", "weight", "v", "cells")
+    cells = pin(placed(classes, threshold).withColumn("d", F.size("v")), "cells")
+    posted = cells.withColumn("cell", F.explode("cells")).withColumn("here", F.col("cell") == F.col("home"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = pin(posted.groupBy("d", "cell").agg(blocks(F.count_if("here")).alias("own"), blocks(F.count_if(~F.col("here"))).alias("visiting")), "sizes")  # MAX_CELLS rows a length
+    posted = posted.join(sizes, ["d", "cell"])
+    # Blocks of those at home come first and meet all blocks; visitors' blocks meet those of home only.
+    mine = F.pmod(F.xxhash64("class"), F.when(F.col("here"), F.col("own")).otherwise(F.col("visiting"))).cast("int")
+    posted = posted.withColumn("block", F.when(F.col("here"), mine).otherwise(F.col("own") + mine))
+    met = F.col("own") + F.when(F.col("here"), F.col("visiting")).otherwise(0)
+    dealt = posted.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    dealt = dealt.select("d", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "rep", "weight", "v")
     found = pin(dealt.groupBy("d", "cell", "i", "j").applyInArrow(lambda t: block_links(t, threshold), "class long, links long, a long, b long"), "links")
     counts = pin(found.where("links is not null").groupBy("class").agg(F.sum("links").alias("links")), "counts")
     merged = components(_with_shared_ids(found.where("a is not null").select("a", "b"), good, classes))

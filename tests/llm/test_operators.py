@@ -200,6 +200,22 @@ def test_op4_against_brute_force(spark):
     assert op4_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_op4_finds_all_pairs_among_many_cells(spark, monkeypatch):
+    """Pairs just above the threshold, without other structure, in some 150 cells: the nearest cells of the two often differ."""
+    for name, n in (("PER_CELL", 8), ("MAX_SAMPLE", 300), ("BLOCK", 128)):
+        monkeypatch.setattr(op4_vectors, name, n)
+    rng, cos = np.random.default_rng(40), 0.8001
+    one, aside = (op4_vectors.unit(rng.normal(size=(600, 64))) for _ in range(2))
+    aside = op4_vectors.unit(aside - (aside * one).sum(axis=1, keepdims=True) * one)
+    vectors = np.concatenate([one, cos * one + np.sqrt(1 - cos**2) * aside])
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in collected(op4_vectors.near_duplicates(df, 0.8))}
+    pairs = np.argwhere(np.triu(vectors @ vectors.T >= 0.8, 1)).tolist()
+    deg, root = Counter(i for p in pairs for i in p), linked(len(vectors), pairs)
+    assert len(pairs) >= 600
+    assert [i for i in range(len(vectors)) if (got[i]["n_links"], got[i]["component_id"]) != (deg[i], root[i])] == []
+
+
 def test_op5_base_and_model(docs):
     rows = collected(op5_lm.score(clashing(docs)))
     toks = [(i, [*words(t), b""], zlib.crc32(str(i).encode()) % 7 == 2) for i, t, _ in texts()]
