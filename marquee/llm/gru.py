@@ -4,6 +4,9 @@ Symbols are dealt to classes of equal number: P(symbol | state) = P(class | stat
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import islice
+
 import numpy as np
 
 SYMBOLS, CLASSES, EMBED, STATE = 1024, 32, 16, 24
@@ -144,30 +147,40 @@ def gradient(p, g, symbols_in, symbols_out, mask, h):
     return h.copy()
 
 
-def train(flat: np.ndarray, stretches: list[np.ndarray], start: int, window: int = 16, rows: int = 64, rate: float = 0.01) -> np.ndarray:
-    """One pass of truncated backpropagation (Adam) over stretches of symbols; states are carried from window to window."""
+def train(flat: np.ndarray, texts: Iterable[np.ndarray], start: int, window: int = 16, rows: int = 64, rate: float = 0.01) -> tuple[np.ndarray, int]:
+    """One pass of truncated backpropagation (Adam) over whole texts of symbols, and the number of symbols.
+
+    ``rows`` texts are read side by side, a window at a time, each with its state carried on; where one ends, the next
+    begins.  A window of few symbols, when few texts are left, takes a smaller step."""
     flat = flat.copy()
     p, grad = views(flat), np.zeros_like(flat)
-    g, m, v, k = views(grad), np.zeros_like(flat), np.zeros_like(flat), 0
-    for i in range(0, len(stretches), rows):
-        part = stretches[i : i + rows]
-        longest = -(-max(map(len, part)) // window) * window
-        out, mask = np.zeros((longest, len(part)), np.int64), np.zeros((longest, len(part)), bool)
-        for j, s in enumerate(part):
-            out[: len(s), j], mask[: len(s), j] = s, True
-        into = np.vstack([np.full((1, len(part)), start), out[:-1]])
-        h = np.zeros((len(part), STATE), F4)
-        for t in range(0, longest, window):
-            grad[:] = 0
-            h = gradient(p, g, into[t : t + window], out[t : t + window], mask[t : t + window], h)
-            norm = float(np.sqrt((grad**2).sum()))
-            if norm > 1:
-                grad /= norm
-            k += 1
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            flat -= F4(rate) * (m / F4(1 - 0.9**k)) / (np.sqrt(v / F4(1 - 0.99**k)) + F4(1e-6))
-    return flat
+    g, m, v, k, n = views(grad), np.zeros_like(flat), np.zeros_like(flat), 0, 0
+    texts, live, at = iter(texts), [], []
+    before, h = np.zeros(0, np.int64), np.zeros((0, STATE), F4)
+    while True:
+        going = [j for j, s in enumerate(live) if at[j] < len(s)]
+        new = list(islice((s for s in texts if len(s)), rows - len(going)))
+        live, at = [live[j] for j in going] + new, [at[j] for j in going] + [0] * len(new)
+        if not live:
+            return flat, n
+        before = np.concatenate([before[going], np.full(len(new), start)])
+        h = np.concatenate([h[going], np.zeros((len(new), STATE), F4)])
+        out, mask = np.zeros((window, len(live)), np.int64), np.zeros((window, len(live)), bool)
+        for j, s in enumerate(live):
+            part = s[at[j] : at[j] + window]
+            out[: len(part), j], mask[: len(part), j] = part, True
+            at[j] += len(part)
+        grad[:] = 0
+        h = gradient(p, g, np.vstack([before[None, :], out[:-1]]), out, mask, h)
+        before = out[-1]
+        norm = float(np.sqrt((grad**2).sum()))
+        if norm > 1:
+            grad /= norm
+        k, now = k + 1, int(mask.sum())
+        n += now
+        m += 0.1 * (grad - m)
+        v += 0.01 * (grad * grad - v)
+        flat -= F4(rate * min(1, now / (window * 32)) ** 0.5) * (m / F4(1 - 0.9**k)) / (np.sqrt(v / F4(1 - 0.99**k)) + F4(1e-6))
 
 
 def score(flat: np.ndarray, texts: list[np.ndarray], start: int, window: int = 32) -> np.ndarray:

@@ -4,9 +4,10 @@ Word counts are taken over all training documents.  The SYMBOLS - 2 most frequen
 network's symbols; a word that is no symbol has the probability of OTHER times its add-one share of the words that
 are none, so that all counts of the corpus take part in a score.
 
-Training: every training document gives a stretch of its symbols from a place fixed by its id; each partition trains
-a copy of the network on its stretches by truncated backpropagation, copies are averaged by their numbers of symbols,
-ROUNDS times.  Scoring reads whole documents, the state carried from window to window.
+Training: the network reads every training document whole, once, its state carried from window to window.  The
+documents are dealt to ROUNDS rounds by a hash of their id; in each round every partition trains a copy of the network
+by truncated backpropagation on its documents of the round, and the copies are averaged by their numbers of symbols.
+Scoring reads whole documents, the state carried from window to window.
 
 Counts of the KNOWN most frequent words travel to the workers (a bounded table); the rest of a document's words are
 joined with the counts table, so that neither the vocabulary nor a document's words meet in one task.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from marquee.llm import gru
 from marquee.llm.common import crc_mod, pick, pin
 
-KNOWN, STRETCH, ROUNDS = 100_000, 48, 3
+KNOWN, ROUNDS = 100_000, 3
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 300_000
 END = b""  # no word is empty
@@ -87,41 +88,33 @@ def _ranks(place: dict, words: list[bytes]) -> np.ndarray:
     return np.array([place.get(w, -1) for w in words], np.int64)
 
 
-def stretches(docs: DataFrame, vocabulary) -> DataFrame:
-    """symbols: of each row of ``docs`` (doc_id, text), up to STRETCH in a row."""
-
-    def cut(batches):
-        import zlib
+def sequences(docs: DataFrame, vocabulary) -> DataFrame:
+    """round, symbols (16-bit numbers) of each row of ``docs`` (doc_id, text), whole."""
 
+    def read(batches):
         vocab = vocabulary.value
         place = {w: i for i, w in enumerate(vocab.words[: vocab.in_network])}
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = (text.as_py() or b"").lower().split()
-                at = zlib.crc32(str(doc_id).encode()) % max(1, len(words) + 2 - STRETCH)
-                part = vocab.symbols(_ranks(place, words[at : at + STRETCH]))
-                out.append((part if at + STRETCH > len(words) else part[:-1]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int16()))], ["symbols"])
+            out = [vocab.symbols(_ranks(place, (text.as_py() or b"").lower().split())).astype(np.int16).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["round", "symbols"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "symbols array<smallint>")
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("round"), "text").mapInArrow(read, "round int, symbols binary")
 
 
 def trained(parts: DataFrame, flat: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """The network after ``rounds`` of training copies by partition and averaging them."""
+    """The network after ``rounds`` of training copies by partition on the round's ``parts`` and averaging them."""
     spark = parts.sparkSession
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
 
         def fit(batches, sent=sent, k=k):
-            mine = [np.array(x, np.int64) for b in batches for x in b.column(0).to_pylist()]
-            if mine:
-                new = gru.train(sent.value, mine, 0, rate=0.01 / (1 + k))
-                n = sum(map(len, mine))
+            new, n = gru.train(sent.value, (np.frombuffer(x.as_buffer(), np.int16) for b in batches for x in b.column(0)), 0, rate=0.01 / (1 + k))
+            if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(gru.SIZE)), pa.array(new.astype(np.float64) * n), pa.array(np.full(gru.SIZE, n, np.float64))], ["at", "w", "n"])
 
         # One row per weight: copies are summed by Spark, the driver gets the network alone.
-        mean = parts.mapInArrow(fit, "at long, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
+        copies = parts.where(F.col("round") == k).select("symbols").mapInArrow(fit, "at long, w double, n double")
+        mean = copies.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
         if mean.num_rows:
             flat = np.zeros(gru.SIZE, np.float32)
             flat[mean.column("at").to_numpy()] = mean.column("w").to_numpy()
@@ -169,7 +162,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = pin(word_counts(training), "counts")
     vocab = Vocabulary(counts)
     vocabulary = sc.broadcast(vocab)
-    parts = pin(stretches(training, vocabulary), "stretches")
+    parts = pin(sequences(training, vocabulary), "sequences")
     network = sc.broadcast(trained(parts, gru.initial(vocab.symbol_counts)))
     scored = pin(_scored(rows, vocabulary, network), "scored")
     rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))

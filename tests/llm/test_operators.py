@@ -230,6 +230,35 @@ def test_op5_base_and_model(docs):
     assert op5_lm.score(docs.limit(0)).count() == 0
 
 
+def test_op5_training_covers_whole_texts(spark, monkeypatch):
+    """The rounds' texts together are all texts, whole; the network trains on each symbol of them once."""
+    from marquee.llm import gru
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(n))) for i, n in enumerate([0, 1, 47, 48, 49, 1000, 3, 16, 15])] + [(None, "w1 w2"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    vocab = op5_lm.Vocabulary(op5_lm.word_counts(df))
+    got = collected(op5_lm.sequences(df, spark.sparkContext.broadcast(vocab)))
+    place = {w: i for i, w in enumerate(vocab.words)}
+    exp = [vocab.symbols(np.array([place[w] for w in (t or "").lower().encode().split()], np.int64)).tolist() for _, t in rows]
+    assert sorted(np.frombuffer(r["symbols"], np.int16).tolist() for r in got) == sorted(exp)
+    assert {r["round"] for r in got} == set(range(op5_lm.ROUNDS))
+    seen, lanes = [], {}
+    def watch(p, g, into, out, mask, h):
+        for j in range(out.shape[1]):
+            if not h[j].any():  # a new text begins without a state
+                seen.append([])
+                assert into[0, j] == 0
+            else:
+                assert into[0, j] == seen[lanes[h[j, 0]]][-1]
+            at = lanes[h[j, 0]] if h[j].any() else len(seen) - 1
+            seen[at] += out[mask[:, j], j].tolist()
+            h[j] = at + 1
+            lanes[h[j, 0]] = at
+        return h
+    monkeypatch.setattr(gru, "gradient", watch)
+    _, n = gru.train(gru.initial(vocab.symbol_counts), (np.array(x, np.int16) for x in exp), 0, rows=3)
+    assert sorted(seen) == sorted(exp) and n == sum(map(len, exp))
+
+
 def test_gru_gradient_and_carried_state():
     from marquee.llm import gru
     rng = np.random.default_rng(0)
