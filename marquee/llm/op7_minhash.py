@@ -2,11 +2,12 @@
 
 Every document's set of 3-word shingles gives COORDINATES minimum hashes.  Documents with equal sets are one class
 from here on.  A class is posted under each (coordinate, value) pair that others share; a link of the wanted
-similarity needs MATCHES equal coordinates (but for a chance of about 2 in 100,000 at the threshold itself), so two
-linked classes share one of the COORDINATES - MATCHES + 1 rarest pairs of each: only this prefix is posted.
+similarity needs a number of equal coordinates that follows from the similarity (``matches_at``: a pair at the threshold
+itself has fewer with a chance of at most MISS; below a similarity of about 0.2 not even one is that sure), so two linked
+classes share one of the COORDINATES - matches + 1 rarest pairs of each: only this prefix is posted.
 
 First merging: in each posting all are paired with the smallest id, its head; pairs whose signatures collide in
-MATCHES coordinates are confirmed on full sets; the links give components.  Then skip merging: classes that shared a
+that many coordinates are confirmed on full sets; the links give components.  Then skip merging: classes that shared a
 posting met the same head, so a head's members that are not in its component are compared with all its members,
 in blocks of BLOCK x BLOCK classes by products of their shingle incidence.  What is in one component already is not
 compared again.  Blocks yield links that span what they connect, never all pairs.
@@ -18,6 +19,7 @@ gives an empty result; other columns are ignored by ``near_duplicates`` and kept
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from marquee.llm.common import batch_rows, keeping_columns, pick, pin, worker_store
 from marquee.llm.components import components
 
-COORDINATES, MATCHES = 48, 30
+COORDINATES, MISS = 48, 5e-5
 SHINGLE, PERCENT = 3, 85
 BLOCK = 64
 #: Tables of ids up to this many rows (16 bytes each) are broadcast.
@@ -118,6 +120,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return sets if sets.select("rep").distinct().count() == sets.count() else pin(sets.dropDuplicates(["rep"]), "full_sets")
 
 
+def matches_at(percent: int, coordinates: int = COORDINATES) -> int:
+    """The most equal coordinates that a pair at the threshold has but for a chance of MISS (binomial); one at least."""
+    p, below = percent / 100, 0.0
+    for m in range(coordinates):
+        below += math.comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)  # the chance of m or fewer
+        if below > MISS:
+            return max(1, m)
+    return coordinates
+
+
 def similar(inter, a, b, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
@@ -193,8 +205,9 @@ def blocked_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return both.groupBy("head", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, width: int = SHINGLE, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, width: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
     """a, b: links between ``classes`` (rep, key, pairs) that connect all that similar sets connect."""
+    matches = matches_at(percent, coordinates)
     posted = pin(classes.select("rep", F.explode("pairs").alias("pair")), "posted")
     shared = pin(posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     common = posted.join(shared, "pair").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("common"))  # COORDINATES at most

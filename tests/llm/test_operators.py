@@ -337,6 +337,27 @@ def test_op7_against_brute_force(docs, width, percent):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == sorted(i for i, _, _ in texts() if exp[i][1] == i)
 
 
+def test_op7_pairs_at_the_threshold_of_80(spark):
+    """Pairs at similarity 0.8 exactly that have 27 to 29 equal coordinates; no other text shares any."""
+    seeds, rows = op7_minhash._seeds(op7_minhash.COORDINATES), []
+    for s in (305, 376, 1946, 2286):
+        pair = [[f"w{s}x{i}" for i in range(49)] for _ in range(2)]
+        pair[1][24] = "other"
+        rows += [(2 * s + k, " ".join(ws)) for k, ws in enumerate(pair)]
+        mine, its = (op7_minhash.signature(op7_minhash.shingles(t.encode(), 5), seeds) for _, t in rows[-2:])
+        assert 27 <= (mine == its).sum() < 30
+    kept = op7_minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 80, 5)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows[::2])
+
+
+def test_op7_bound_on_missed_pairs():
+    assert op7_minhash.matches_at(85) == 30 and op7_minhash.matches_at(100) == 48
+    for percent in (60, 70, 80, 85, 95):
+        m, p = op7_minhash.matches_at(percent), percent / 100
+        miss = lambda m, p=p: sum(math.comb(48, k) * p**k * (1 - p) ** (48 - k) for k in range(m))
+        assert miss(m) <= 5e-5 < miss(m + 1)
+
+
 def test_op7_group_larger_than_blocks(spark):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(300)]
