@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import op1_tokens, op2_toxicity, op3_warc, op4_vectors, op5_lm, op6_mixing, op7_minhash, op8_urls, op9_packing, op10_rules
+from marquee.llm import op1_tokens, op2_toxicity, op3_warc, op4_vectors, op5_lm, op6_mixing, op7_minhash, op8_urls, op9_packing, op10_rules, op11_languages, op12_repair, op13_whitening
 from marquee.llm.common import read
 from marquee.llm.tokens import public_path
 
@@ -51,5 +51,17 @@ def op10_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_toxicity_string_kernel, op3_warc_chunks, op4_spherical_kmeans_duplicates, op5_recurrent_lm, op6_mixing_entropy_balancing, op7_minhash_coordinate_join, op8_url_filter, op9_packing_cutting_stock, op10_quality_decision_list)}
+def op11_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_languages.identify(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_repair.repair(read(spark, sf_dir, "conversations"))[0]
+
+
+def op13_whitening_qdwh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_toxicity_string_kernel, op3_warc_chunks, op4_spherical_kmeans_duplicates, op5_recurrent_lm, op6_mixing_entropy_balancing, op7_minhash_coordinate_join, op8_url_filter, op9_packing_cutting_stock, op10_quality_decision_list, op11_language_mixture, op12_conversation_repair, op13_whitening_qdwh)}
 SQL = {"op8_url_filter": op8_urls.SQL}
