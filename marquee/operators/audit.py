@@ -1,43 +1,82 @@
 """Integrity audits in place of enforced constraints.
 
-Each audit is one scan plus, for keys, a partial (map-side) aggregation before
-the shuffle; orphan checks aggregate the child by key first so only distinct
-key values reach the anti join.
+Keys and references are audited as one multiset of tagged keys: every key of every
+table (or reference) becomes a row (tag, typed key), all are reduced by one partial
+aggregation and one shuffle, and no table is joined.  A table is scanned once, however
+many keys and references it takes part in.  Keys stay numbers where they are numbers;
+text is made of the findings only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.schema import FOREIGN_KEYS, PRIMARY_KEYS, required_columns
 
-
-def _key_text(cols: list[str]):
-    """Key columns as text; a null part reads NULL, so that different keys have different texts."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in cols])
-
-
-def pk_duplicates(df: DataFrame, table: str, keys: list[str] | tuple[str, ...]) -> DataFrame:
-    """Key values held by more than one row."""
-    keys = list(keys)
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-            .where(F.col("n_rows") > 1)
-            .select(F.lit(table).alias("table_name"), _key_text(keys).alias("key_value"), "n_rows"))
-
-
-def fk_orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str,
-               child_name: str, parent_name: str) -> DataFrame:
-    """C14: non-null child key values with no parent row, with their row counts."""
-    per_key = (child.where(F.col(column).isNotNull())
-               .groupBy(F.col(column).alias("_k")).agg(F.count(F.lit(1)).alias("n_rows")))
-    parents = parent.select(F.col(parent_column).alias("_k"))
-    return (per_key.join(parents, "_k", "left_anti")
-            .select(F.lit(child_name).alias("child_table"), F.lit(column).alias("fk_column"),
-                    F.lit(parent_name).alias("parent_table"), F.col("_k").cast("string").alias("key_value"),
-                    "n_rows"))
+INTEGERS = {"tinyint", "smallint", "int", "bigint"}
+
+
+def _is_integer(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.simpleString() in INTEGERS
+
+
+def _literal_of(tag: str, names: Sequence[str]) -> Column:
+    """The name that belongs to each value of ``tag`` (0, 1, ...)."""
+    return F.element_at(F.array(*map(F.lit, names)), F.col(tag) + 1)
+
+
+def key_duplicates(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]]) -> DataFrame:
+    """Key values held by more than one row, of all tables at once: (table_name, key_value, n_rows).
+
+    Null parts are equal to one another and read NULL in the text."""
+    names = list(keys)
+    slots: dict[str, list[str]] = {}  # of each table, where its key's parts stand: l0, l1, ... (numbers), s0, s1, ... (text)
+    for name in names:
+        slots[name], used = [], {"l": 0, "s": 0}
+        for c in keys[name]:
+            kind = "l" if _is_integer(tables[name], c) else "s"
+            slots[name].append(f"{kind}{used[kind]}")
+            used[kind] += 1
+    columns = sorted({s for ss in slots.values() for s in ss})
+    kind_of = lambda slot: "bigint" if slot[0] == "l" else "string"
+    frames = []
+    for tag, name in enumerate(names):
+        part = dict(zip(slots[name], keys[name], strict=True))
+        frames.append(tables[name].select(F.lit(tag).alias("tag"), *[(F.col(part[s]) if s in part else F.lit(None)).cast(kind_of(s)).alias(s) for s in columns]))
+    found = union_all(frames).groupBy("tag", *columns).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
+    text = None
+    for tag, name in enumerate(names):
+        one = F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("NULL")) for s in slots[name]])
+        text = F.when(F.col("tag") == tag, one) if text is None else text.when(F.col("tag") == tag, one)
+    return found.select(_literal_of("tag", names).alias("table_name"), text.alias("key_value"), "n_rows")
+
+
+def orphans(tables: dict[str, DataFrame], references: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """C14: non-null child keys without a parent row, of all references (child, column, parent, key) at once:
+    (child_table, fk_column, parent_table, key_value, n_rows)."""
+    entries: dict[str, list[tuple[int, str, bool]]] = {}  # of each table: reference, column, whether as parent
+    numbers = []
+    for tag, (child, column, parent, key) in enumerate(references):
+        numbers.append(_is_integer(tables[child], column) and _is_integer(tables[parent], key))
+        entries.setdefault(child, []).append((tag, column, False))
+        entries.setdefault(parent, []).append((tag, key, True))
+    kinds = ([("l", "bigint")] if any(numbers) else []) + ([("s", "string")] if not all(numbers) else [])
+    frames = []
+    for table, uses in entries.items():
+        rows = [F.struct(F.lit(tag).alias("tag"), *[(F.col(column) if (kind == "l") == numbers[tag] else F.lit(None)).cast(dtype).alias(kind) for kind, dtype in kinds],
+                         F.lit(0 if as_parent else 1).cast("bigint").alias("child"), F.lit(int(as_parent)).alias("parent"))
+                for tag, column, as_parent in uses]
+        frames.append(tables[table].select(F.inline(F.array(*rows))))
+    slots = [kind for kind, _ in kinds]
+    known = union_all(frames).where(F.coalesce(*[F.col(s).cast("string") for s in slots]).isNotNull() if len(slots) > 1 else F.col(slots[0]).isNotNull())
+    found = known.groupBy("tag", *slots).agg(F.sum("child").alias("n_rows"), F.max("parent").alias("parent")).where("parent = 0")
+    named = lambda i: _literal_of("tag", [r[i] for r in references])
+    return found.select(named(0).alias("child_table"), named(1).alias("fk_column"), named(2).alias("parent_table"),
+                        F.coalesce(*[F.col(s).cast("string") for s in slots]).alias("key_value"), "n_rows")
 
 
 def null_audit(df: DataFrame, table: str, required: list[str]) -> DataFrame:
@@ -54,8 +93,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def audit_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All three audits over the 12 venue tables."""
     return {
-        "pk_duplicates": union_all([pk_duplicates(tables[t], t, k) for t, k in PRIMARY_KEYS.items()]),
-        "fk_orphans": union_all([fk_orphans(tables[fk.child], fk.column, tables[fk.parent], fk.parent_column,
-                                         fk.child, fk.parent) for fk in FOREIGN_KEYS]),
+        "pk_duplicates": key_duplicates(tables, PRIMARY_KEYS),
+        "fk_orphans": orphans(tables, [(fk.child, fk.column, fk.parent, fk.parent_column) for fk in FOREIGN_KEYS]),
         "null_audit": union_all([null_audit(tables[t], t, required_columns(t)) for t in PRIMARY_KEYS]),
     }

@@ -4,7 +4,7 @@ Within a batch the requests are decided as if sent one at a time in arrival
 order: the first arrival of an e-mail (case folded as SQLite folds: ASCII
 only) wins unless an existing customer holds it; later ones are refused with
 the holder's id.  Winners get consecutive ``C%03d`` ids after the highest
-existing numeric id.
+existing numeric id.  Every row is a request of its own, whatever its request_id.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import columns as C
-from marquee.operators.sequencing import consecutive_ids
+from marquee.operators.orders import answer_of
+from marquee.operators.sequencing import global_prefix
 from marquee.session import materialize
 from marquee.sources import requests as Q
 
@@ -21,6 +22,9 @@ from marquee.sources import requests as Q
 EMAIL_REQUIRED = "email_required"
 DUPLICATE_EMAIL = "duplicate_email"
 ACCEPTED, REFUSED = "accepted", "refused"
+# The answers to refused requests (status, error).
+ANSWERS = {EMAIL_REQUIRED: (400, "Email is required."), DUPLICATE_EMAIL: (409, "A customer with that email already exists.")}
+CREATED = 201
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -81,18 +85,18 @@ def parse_customer_requests(requests: DataFrame) -> DataFrame:
 def intake_customers(requests: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
     """Decide a batch of parsed customer requests; return decisions and new rows."""
     # Parsed requests are read twice: parse once and pin (narrow rows).
-    r = materialize(parse_customer_requests(requests).withColumn("email_key", ascii_lower("email")))
+    r = parse_customer_requests(requests).withColumn("email_key", ascii_lower("email"))
+    r = materialize(r.withColumn("_row", F.monotonically_increasing_id()))
     # One row per e-mail: its first arrival (aggregated map-side, so a hot e-mail is no hot task) and its holder.
-    firsts = (r.where(F.col("email") != "").groupBy("email_key").agg(F.min(F.struct(*ARRIVAL)).alias("first"))
+    arrival = [*ARRIVAL, "_row"]
+    firsts = (r.where(F.col("email") != "").groupBy("email_key").agg(F.min(F.struct(*arrival)).alias("first"))
               .join(email_holders(customers), "email_key", "left"))
-    firsts = materialize(firsts.select("email_key", "holder_id", *[F.col(f"first.{c}").alias(c) for c in ARRIVAL]))
+    firsts = firsts.select("email_key", "holder_id", *[F.col(f"first.{c}").alias(c) for c in arrival])
     base = max_customer_number(customers).select("max_number").scalar()
-    numbered = consecutive_ids(firsts.where(F.col("holder_id").isNull()).select("email_key", *ARRIVAL), ARRIVAL, base, "new_n")
-    new = numbered.select("email_key", C.customer_id_text("new_n").alias("new_id"), F.col("request_id").alias("_winner"))
-    # Pinned, so that the join below splits the rows of an e-mail sent very often; blanks never enter it.
-    lookup = materialize(firsts.drop(*ARRIVAL).join(new, "email_key", "left"))
+    numbered = global_prefix(firsts, arrival, {"_n": F.when(F.col("holder_id").isNull(), 1)})
+    lookup = numbered.select("email_key", "holder_id", F.when(F.col("holder_id").isNull(), C.customer_id_text(base + F.col("_n") + 1)).alias("new_id"), F.col("_row").alias("_winner"))
     known = r.where(F.col("email") != "").join(lookup, "email_key")
-    known = (known.withColumn("reason", F.when(F.col("holder_id").isNotNull() | (F.col("_winner") != F.col("request_id")),
+    known = (known.withColumn("reason", F.when(F.col("holder_id").isNotNull() | (F.col("_winner") != F.col("_row")),
                                                F.lit(DUPLICATE_EMAIL)))
              .withColumn("customer_id", F.coalesce(F.col("holder_id").cast("string"), F.col("new_id"))))
     blank = r.where(F.col("email") == "").withColumns({"reason": F.lit(EMAIL_REQUIRED), "customer_id": F.lit(None).cast("string")})
@@ -101,7 +105,15 @@ def intake_customers(requests: DataFrame, customers: DataFrame) -> dict[str, Dat
     d = d.withColumn("status", F.when(F.col("reason").isNull(), F.lit(ACCEPTED)).otherwise(F.lit(REFUSED)))
     decisions = d.select("request_id", "arrived_at", "status", "reason", "customer_id", "firstname", "lastname",
                          "email", "rewards_member")
-    return {"decisions": decisions, "responses": responses(decisions), "customers": new_customers(decisions)}
+    return {"decisions": decisions, "responses": responses(decisions), "answers": answers(decisions), "customers": new_customers(decisions)}
+
+
+def answers(decisions: DataFrame) -> DataFrame:
+    """What each request is answered with: the status, the error text and the holder's id of refused ones, the
+    customer of accepted ones."""
+    ok = F.col("status") == ACCEPTED
+    return decisions.select("request_id", "arrived_at", F.when(ok, CREATED).otherwise(answer_of(ANSWERS, 0)).alias("http_status"), answer_of(ANSWERS, 1).alias("error"),
+                            F.col("customer_id").alias("customerId"), *[F.when(ok, F.col(c)).alias(c) for c in ("firstname", "lastname", "email")])
 
 
 def responses(decisions: DataFrame) -> DataFrame:

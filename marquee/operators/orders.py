@@ -13,6 +13,10 @@ Rules, in the order the reference tests them (first failure wins):
 10 amounts or an item quantity beyond the columns -> amount_too_large (no seats taken)
 Accepted orders get consecutive order numbers in arrival order, one ticket per
 seat with consecutive ids, their items, and the seats come off the showing.
+
+Every row is a request of its own, as every call is to the reference: a body sent twice,
+under one request_id or two, is two orders (the second may find no seats).  Requests of
+equal arrival and id are taken in the order in which they are read.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.pricing import item_totals, price_orders, usable_items
+from marquee.operators.pricing import price_orders, usable_items, with_items
 from marquee.operators.seats import allocate_seats
 from marquee.operators.sequencing import global_prefix
 from marquee.session import materialize
@@ -38,6 +42,20 @@ DUPLICATE_CONCESSION = "duplicate_concession"
 AMOUNT_TOO_LARGE = "amount_too_large"
 ACCEPTED, REFUSED = "accepted", "refused"
 
+# The answers to refused requests (status, error); a failure inside the reference has no error text.
+ANSWERS = {
+    BAD_NUMBER: (400, "Showing and ticket quantity must be valid numbers."),
+    CUSTOMER_REQUIRED: (400, "Customer is required."),
+    SHOWING_AND_QTY_REQUIRED: (400, "Showing and ticket quantity are required."),
+    CUSTOMER_NOT_FOUND: (404, "Customer not found."),
+    SHOWING_NOT_FOUND: (404, "Showing not found."),
+    NOT_ENOUGH_SEATS: (400, "Not enough seats available for this showing."),
+    BAD_CONCESSIONS: (500, None),
+    DUPLICATE_CONCESSION: (500, None),
+    AMOUNT_TOO_LARGE: (500, None),
+}
+CREATED = 201
+
 ARRIVAL = ["arrived_at", "request_id"]
 DECISION_COLUMNS = ["request_id", "arrived_at", "status", "reason", "order_number", "customer_id", "showing_id",
                     "ticket_qty", "subtotal", "discount", "tax", "total", "rewards_discount_applied"]
@@ -49,14 +67,14 @@ def _max_or_zero(df: DataFrame, c: str) -> Column:
 
 def screen(requests: DataFrame, customers: DataFrame, showings: DataFrame) -> DataFrame:
     """Steps 1-5 on parsed requests (request_id, arrived_at, payload); a request without arrival time arrives now.
-    Request fields are materialised first so each parse expression is built once."""
+    ``_row`` tells rows apart.  Request fields are materialised first so each parse expression is built once."""
     p = F.col("payload")
-    df = requests.select("request_id", Q.arrival("arrived_at"), "payload", Q.field(p, "showingId").alias("_vs"),
+    df = requests.select(F.monotonically_increasing_id().alias("_row"), "request_id", Q.arrival("arrived_at"), "payload", Q.field(p, "showingId").alias("_vs"),
                          Q.field(p, "ticketQty").alias("_vq"), Q.field(p, "customerId").alias("_vc"),
                          Q.field(p, "concessions").alias("_vi"))
     showing, bad_s = Q.py_int(F.col("_vs"), 0)
     qty, bad_q = Q.py_int(F.col("_vq"), 0)
-    df = df.select("request_id", "arrived_at", "payload", showing.alias("showing_id"), qty.alias("ticket_qty"),
+    df = df.select("_row", "request_id", "arrived_at", "payload", showing.alias("showing_id"), qty.alias("ticket_qty"),
                    (bad_s | bad_q).alias("_bad"), Q.text(F.col("_vc")).alias("customer_id"),
                    Q.truthy(F.col("_vc")).alias("_has_customer"), Q.items_crash(F.col("_vi")).alias("_crash"))
     df = df.withColumn("_static", F.when(F.col("_bad"), F.lit(BAD_NUMBER))
@@ -73,44 +91,38 @@ def screen(requests: DataFrame, customers: DataFrame, showings: DataFrame) -> Da
 
 
 def decide(requests: DataFrame, customers: DataFrame, showings: DataFrame, concessions: DataFrame,
-           orders: DataFrame, tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Return (decisions, usable items of eligible orders).
+           orders: DataFrame, tickets: DataFrame) -> DataFrame:
+    """The decision on each request, in internal form (with first_ticket_id, the customer key and the usable items).
 
-    The screened and priced requests are pinned once.  The seat fold sees the eligible ones
-    only, and of them the columns that it needs (none is ever null); its verdicts are joined back."""
+    The screened and priced requests are pinned once.  The seat fold and the numbering see the eligible ones
+    only, and of them the columns that they need (none is ever null); their verdicts are joined back."""
     screened = screen(requests, customers, showings)
-    items = usable_items(screened.where(F.col("reason").isNull()), concessions)
-    priced = price_orders(screened.drop("payload"), item_totals(items))
-    priced = materialize(priced).withColumn("_row", F.monotonically_increasing_id())
+    # The items of requests that are refused already are not read.
+    screened = screened.withColumn("payload", F.when(F.col("reason").isNull(), F.col("payload")))
+    priced = materialize(price_orders(with_items(screened, concessions)))
+    arrival = [*ARRIVAL, "_row"]
     seated = allocate_seats(
         priced.where(F.col("reason").isNull()).select(
-            "_row", *ARRIVAL, "showing_id", "ticket_qty", "seats0",
+            *arrival, "showing_id", "ticket_qty", "seats0",
             (F.col("_crash") | F.col("has_duplicate") | F.col("too_large")).alias("_blocked")),
-        key="showing_id", order_cols=tuple(ARRIVAL), qty="ticket_qty", seats="seats0", blocked="_blocked")
-    folded = priced.join(seated.select("_row", "seat_ok", F.col("accepted").alias("_accepted")), "_row", "left")
-    folded = folded.withColumn("accepted", F.coalesce("_accepted", F.lit(False))).withColumn("reason", F.coalesce(
-        F.col("reason"),
-        F.when(~F.col("seat_ok"), F.lit(NOT_ENOUGH_SEATS)).when(F.col("_crash"), F.lit(BAD_CONCESSIONS))
-        .when(F.col("has_duplicate"), F.lit(DUPLICATE_CONCESSION))
-        .when(F.col("too_large"), F.lit(AMOUNT_TOO_LARGE))))
-    accepted = global_prefix(folded.where("accepted"), ARRIVAL, {"_n": None, "_t": F.col("ticket_qty")})
-    accepted = (accepted
-                .withColumn("order_number", _max_or_zero(orders, "order_number") + F.col("_n") + 1)
-                .withColumn("first_ticket_id", _max_or_zero(tickets, "ticket_id") + F.col("_t") + 1))
-    acc = accepted.select(*ARRIVAL, F.lit(ACCEPTED).alias("status"), F.lit(None).cast("string").alias("reason"),
-                          "order_number", "first_ticket_id", "customer_id", "_ckey", "showing_id", "ticket_qty",
-                          "subtotal", "discount", "tax", "total", F.col("member").alias("rewards_discount_applied"))
-    refused = folded.where(~F.col("accepted")).select(
-        *ARRIVAL, F.lit(REFUSED).alias("status"), "reason", F.lit(None).cast("bigint").alias("order_number"),
-        F.lit(None).cast("bigint").alias("first_ticket_id"), "customer_id", "_ckey", "showing_id", "ticket_qty",
-        *[F.lit(None).cast("decimal(10,2)").alias(c) for c in ("subtotal", "discount", "tax", "total")],
-        F.lit(None).cast("boolean").alias("rewards_discount_applied"))
-    return acc.unionByName(refused), items
-
-
-def outputs(decisions: DataFrame, items: DataFrame, showings: DataFrame) -> dict[str, DataFrame]:
-    """Orders, tickets, items and the seat snapshot implied by decisions
-    (internal form, with ``first_ticket_id`` and the customer key ``_ckey``)."""
+        key="showing_id", order_cols=tuple(arrival), qty="ticket_qty", seats="seats0", blocked="_blocked")
+    one = F.when(F.col("accepted"), 1)
+    numbered = global_prefix(seated.select(*arrival, "ticket_qty", "seat_ok", "accepted"), arrival, {"_n": one, "_t": one * F.col("ticket_qty")})
+    out = priced.join(numbered.select("_row", "seat_ok", "accepted", "_n", "_t"), "_row", "left")
+    accepted = F.coalesce("accepted", F.lit(False))
+    reason = F.coalesce(F.col("reason"), F.when(accepted, None).when(~F.col("seat_ok"), NOT_ENOUGH_SEATS).when(F.col("_crash"), BAD_CONCESSIONS)
+                        .when(F.col("has_duplicate"), DUPLICATE_CONCESSION).when(F.col("too_large"), AMOUNT_TOO_LARGE))
+    of_accepted = lambda c: F.when(accepted, c)
+    return out.select(
+        *ARRIVAL, F.when(accepted, ACCEPTED).otherwise(REFUSED).alias("status"), reason.alias("reason"),
+        of_accepted(_max_or_zero(orders, "order_number") + F.col("_n") + 1).alias("order_number"),
+        of_accepted(_max_or_zero(tickets, "ticket_id") + F.col("_t") + 1).alias("first_ticket_id"),
+        "customer_id", "_ckey", "showing_id", "ticket_qty", *[of_accepted(F.col(c)).alias(c) for c in ("subtotal", "discount", "tax", "total")],
+        of_accepted(F.col("member")).alias("rewards_discount_applied"), of_accepted(F.col("items")).alias("items"))
+
+
+def outputs(decisions: DataFrame, showings: DataFrame) -> dict[str, DataFrame]:
+    """Orders, tickets, items, answers and the seat snapshot implied by decisions (internal form)."""
     ok = decisions.where(F.col("status") == ACCEPTED)
     new_orders = ok.select("order_number", F.col("_ckey").alias("order_customer_id"), "subtotal", "tax",
                            "discount", "total", F.col("arrived_at").alias("created_at"))
@@ -119,10 +131,31 @@ def outputs(decisions: DataFrame, items: DataFrame, showings: DataFrame) -> dict
         "_ckey", "showing_id", "order_number").select(
         (F.col("first_ticket_id") + F.col("_i")).alias("ticket_id"), F.col("_ckey").alias("ticket_customer_id"),
         F.col("showing_id").alias("ticket_showing_id"), F.col("order_number").alias("ticket_order_number"))
-    new_items = (items.join(ok.select("request_id", "order_number"), "request_id")
-                 .select("order_number", "concession_id", F.col("quantity").cast("int").alias("quantity")))
-    return {"decisions": decisions.select(*DECISION_COLUMNS), "responses": responses(decisions), "orders": new_orders, "tickets": new_tickets,
-            "items": new_items, "seats": seats_left(showings, ok)}
+    new_items = usable_items(ok, "order_number").select("order_number", "concession_id", F.col("quantity").cast("int").alias("quantity"))
+    return {"decisions": decisions.select(*DECISION_COLUMNS), "responses": responses(decisions), "answers": answers(decisions),
+            "orders": new_orders, "tickets": new_tickets, "items": new_items, "seats": seats_left(showings, ok)}
+
+
+def answer_of(reasons: dict, field: int):
+    """The part ``field`` of the answer to each reason."""
+    out = None
+    for reason, answer in reasons.items():
+        test = F.col("reason") == reason
+        out = F.when(test, F.lit(answer[field])) if out is None else out.when(test, F.lit(answer[field]))
+    return out
+
+
+def answers(decisions: DataFrame) -> DataFrame:
+    """What each request is answered with: the status, the error text of refused ones, the order of accepted ones."""
+    ok = F.col("status") == ACCEPTED
+    return decisions.select(
+        "request_id", "arrived_at", F.when(ok, CREATED).otherwise(answer_of(ANSWERS, 0)).alias("http_status"), answer_of(ANSWERS, 1).alias("error"),
+        F.col("order_number").alias("orderNumber"), "subtotal", "tax", "discount", "total",
+        F.col("rewards_discount_applied").alias("rewardsDiscountApplied"), _receipt_url().alias("receiptUrl"))
+
+
+def _receipt_url() -> Column:
+    return F.concat(F.lit("/receipt/"), F.col("order_number").cast("string"))
 
 
 def responses(decisions: DataFrame) -> DataFrame:
@@ -130,7 +163,7 @@ def responses(decisions: DataFrame) -> DataFrame:
     return decisions.where(F.col("status") == ACCEPTED).select(
         F.col("order_number").alias("orderNumber"), "subtotal", "tax", "discount", "total",
         F.col("rewards_discount_applied").alias("rewardsDiscountApplied"),
-        F.concat(F.lit("/receipt/"), F.col("order_number").cast("string")).alias("receiptUrl"))
+        _receipt_url().alias("receiptUrl"))
 
 
 def seats_left(showings: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -150,9 +183,9 @@ def intake(requests: DataFrame, customers: DataFrame, showings: DataFrame, conce
     tables) the decisions are checkpointed, so every output sees one run even
     after ``orders``/``tickets`` have grown.  Read-only callers may skip it:
     the decisions are then recomputed deterministically from pinned parts."""
-    decisions, items = decide(requests, customers, showings, concessions, orders, tickets)
+    decisions = decide(requests, customers, showings, concessions, orders, tickets)
     if pin:
         decisions = materialize(decisions)
-    out = outputs(decisions, items, showings)
+    out = outputs(decisions, showings)
     out["internal"] = decisions
     return out

@@ -82,12 +82,13 @@ def receipt_item_lines(order_concessions: DataFrame, concessions: DataFrame,
                     F.col("c.concession_id").alias("_item_key")))
 
 
-def receipt_lines(ticket_lines: DataFrame, item_lines: DataFrame) -> DataFrame:
+def receipt_lines(ticket_lines: DataFrame, item_lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Ticket lines first, then concession lines, numbered per order.
 
     Tickets are ordered by showing, concessions by their key; the remaining
     sort keys cover every output column, so identical lines tie only with
-    identical lines.  Numbering is skew-safe: an order with very many lines
+    identical lines.  ``sizes`` (order_number, n) bounds the lines of an order from above,
+    without the joins that the lines took; an order with very many lines
     is split over several tasks (``row_number_within``).
     """
     t = ticket_lines.select("order_number", F.lit(0).alias("_kind"), "_showing",
@@ -95,8 +96,11 @@ def receipt_lines(ticket_lines: DataFrame, item_lines: DataFrame) -> DataFrame:
                             "label", "detail", "qty", "unit", "line")
     i = item_lines.select("order_number", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_showing"),
                           "_item_key", "label", "detail", "qty", "unit", "line")
-    both = t.unionByName(i)
     order = ["_kind", "_showing", "_item_key", "label", "detail", "qty", "unit", "line"]
-    return (row_number_within(both, ["order_number"], order, "line_no")
-            .select(*LINE_COLUMNS)
-            .orderBy("order_number", "line_no"))
+    return row_number_within(t.unionByName(i), ["order_number"], order, "line_no", sizes).select(*LINE_COLUMNS)
+
+
+def line_bounds(tickets: DataFrame, order_concessions: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """order_number, n: at least the number of lines of each order, counted from its tickets and items alone."""
+    of = lambda df, key: _only(df, key, wanted).groupBy(F.col(key).alias("order_number")).agg(F.count(F.lit(1)).alias("n"))
+    return of(tickets, "ticket_order_number").unionByName(of(order_concessions, "order_number"))

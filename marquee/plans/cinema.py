@@ -64,7 +64,7 @@ def receipts(t: dict[str, DataFrame], wanted: DataFrame | None = None) -> dict[s
     tickets = R.receipt_ticket_lines(t["tickets"], t["showings"], t["films"], wanted)
     items = R.receipt_item_lines(t["order_concessions"], t["concessions"], wanted)
     out = {"header": R.receipt_header(t["orders"], t["customers"], wanted),
-           "lines": R.receipt_lines(tickets, items)}
+           "lines": R.receipt_lines(tickets, items, R.line_bounds(t["tickets"], t["order_concessions"], wanted))}
     if wanted is not None:
         out["missing"] = R.missing_receipts(t["orders"], t["customers"], wanted)
     return out

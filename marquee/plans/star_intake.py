@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marquee.functions import columns as C
 from marquee.operators import customers as CU
 from marquee.operators import orders as OR
-from marquee.operators.pricing import item_totals, price_orders, usable_items
+from marquee.operators.pricing import price_orders, with_items
 from marquee.plans import star_views as V
 from marquee.plans.registry import dataset_by_name
 from marquee.plans.star import SQL, _with, query
@@ -27,6 +27,13 @@ FAR_CUSTOMER_MOD, FAR_CUSTOMER_AT = 83, 8
 HUGE_QTY_MOD, HUGE_QTY_AT, HUGE_ITEM_AT, HUGE_QTY = 101, 9, 10, 20_000_000  # far beyond all seats and amounts
 BAD_QTY_MOD, BAD_QTY_AT, TEXT_QTY_AT = 97, 5, 6
 NO_CUSTOMER_MOD, NO_CUSTOMER_AT = 89, 7
+REPEAT_MOD, REPEAT_BELOW, REPEAT_SPAN = 20, 8, 4  # of 20 events the first eight carry the id of one in four: request ids repeat
+REQUEST_ID_SQL = f"CASE WHEN event_id % {REPEAT_MOD} < {REPEAT_BELOW} THEN event_id - event_id % {REPEAT_SPAN} ELSE event_id END"
+
+
+def _request_id():
+    k = F.col("event_id")
+    return F.when(k % REPEAT_MOD < REPEAT_BELOW, k - k % REPEAT_SPAN).otherwise(k)
 
 
 # ---- G3-G6 names, B6/C12 e-mails, G7/G14 display, D10/G8 ids ----------------------
@@ -125,7 +132,7 @@ def signup_requests(events: DataFrame) -> DataFrame:
         F.when(k % 13 == 0, F.lit("  ")).otherwise(F.concat(F.lit("  user"), (F.col("user_id") + F.when(k % 3 == 0, 0)
             .otherwise(FAR)).cast("string"), F.lit("@mail.com "))).alias("email"),
         (F.col("value") > 50).alias("rewardsMember")))
-    raw = events.where(F.col("event_type") == "signup").select(k.alias("request_id"), F.col("ts").alias("arrived_at"),
+    raw = events.where(F.col("event_type") == "signup").select(_request_id().alias("request_id"), F.col("ts").alias("arrived_at"),
                                                                body.alias("body"))
     return RQ.parse_bodies(raw)
 
@@ -138,7 +145,7 @@ def _existing_for_signup(customer: DataFrame) -> DataFrame:
 
 @query("customer_intake", f"""
 WITH rq AS (
-  SELECT event_id AS request_id, ts AS arrived_at,
+  SELECT event_id AS row_key, {REQUEST_ID_SQL} AS request_id, ts AS arrived_at,
     CASE WHEN event_id % 5 = 0 THEN 'First' || CAST(user_id AS VARCHAR)
          WHEN event_id % 4 = 0 THEN 'Guest'
          WHEN event_id % 4 = 1 THEN 'Cher' || CAST(user_id AS VARCHAR)
@@ -151,13 +158,13 @@ ex AS (SELECT lower('USER' || CAST(c_custkey AS VARCHAR) || '@MAIL.COM') AS k, m
        FROM customer GROUP BY 1),
 base AS (SELECT coalesce(max(c_custkey), 0) AS m FROM customer),
 j AS (SELECT rq.*, lower(rq.email) AS k, ex.holder FROM rq LEFT JOIN ex ON lower(rq.email) = ex.k),
-w AS (SELECT request_id, k, arrived_at FROM (
-        SELECT request_id, k, arrived_at, row_number() OVER (PARTITION BY k ORDER BY arrived_at, request_id) AS rn
+w AS (SELECT row_key, request_id, k, arrived_at FROM (
+        SELECT row_key, request_id, k, arrived_at, row_number() OVER (PARTITION BY k ORDER BY arrived_at, request_id, row_key) AS rn
         FROM j WHERE email <> '' AND holder IS NULL) WHERE rn = 1),
-wn AS (SELECT k, request_id AS winner,
-         printf('C%03d', (SELECT m FROM base) + row_number() OVER (ORDER BY arrived_at, request_id)) AS new_id FROM w),
+wn AS (SELECT k, row_key AS winner,
+         printf('C%03d', (SELECT m FROM base) + row_number() OVER (ORDER BY arrived_at, request_id, row_key)) AS new_id FROM w),
 d AS (SELECT j.*, CASE WHEN j.email = '' THEN 'email_required'
-                       WHEN j.holder IS NOT NULL OR wn.winner <> j.request_id THEN 'duplicate_email' END AS reason,
+                       WHEN j.holder IS NOT NULL OR wn.winner <> j.row_key THEN 'duplicate_email' END AS reason,
              CASE WHEN j.email = '' THEN NULL WHEN j.holder IS NOT NULL THEN printf('C%03d', j.holder)
                   ELSE wn.new_id END AS customer_id
       FROM j LEFT JOIN wn ON wn.k = j.k)
@@ -200,7 +207,7 @@ def purchase_requests(t: dict[str, DataFrame], with_variants: bool) -> DataFrame
         qty_json, cust = qty.cast("string"), F.concat(F.lit('"customerId": '), u, F.lit(", "))
     body = F.concat(F.lit("{"), cust, F.lit('"showingId": '), (k % (n_sup + SHOWING_MARGIN)).cast("string"), F.lit(', "ticketQty": '),
                     qty_json, F.lit(', "concessions": '), items, F.lit("}"))
-    return RQ.parse_bodies(e.select(k.alias("request_id"), F.col("ts").alias("arrived_at"), body.alias("body")))
+    return RQ.parse_bodies(e.select(_request_id().alias("request_id"), F.col("ts").alias("arrived_at"), body.alias("body")))
 
 
 def _menu(t):
@@ -209,13 +216,13 @@ def _menu(t):
 
 PRICING_CTES = f"""menu AS (SELECT p_partkey AS concession_id, CAST(p_retailprice AS DECIMAL(10,2)) AS price
          FROM part),
-items AS (SELECT request_id, k1 AS concession_id, q1 AS qty FROM rq UNION ALL SELECT request_id, k2, q2 FROM rq),
-kept AS (SELECT i.request_id, i.concession_id, i.qty, m.price FROM items i JOIN menu m ON m.concession_id = i.concession_id
+items AS (SELECT row_key, k1 AS concession_id, q1 AS qty FROM rq UNION ALL SELECT row_key, k2, q2 FROM rq),
+kept AS (SELECT i.row_key, i.concession_id, i.qty, m.price FROM items i JOIN menu m ON m.concession_id = i.concession_id
          WHERE i.concession_id <> 0 AND i.qty > 0),
-agg AS (SELECT request_id, count(*) AS item_count, count(DISTINCT concession_id) AS n_distinct,
+agg AS (SELECT row_key, count(*) AS item_count, count(DISTINCT concession_id) AS n_distinct,
           sum(CAST(qty AS DECIMAL(18,0)) * price) AS conc FROM kept GROUP BY 1)"""
 
-RQ_SQL = f"""rq AS (SELECT event_id AS request_id, ts AS arrived_at,
+RQ_SQL = f"""rq AS (SELECT event_id AS row_key, {REQUEST_ID_SQL} AS request_id, ts AS arrived_at,
          user_id + CASE event_id % {FAR_CUSTOMER_MOD} WHEN {FAR_CUSTOMER_AT} THEN {FAR} ELSE 0 END AS user_id,
          event_id % (SELECT count(*) + {SHOWING_MARGIN} FROM supplier) AS showing_id,
          CASE event_id % {HUGE_QTY_MOD} WHEN {HUGE_QTY_AT} THEN {HUGE_QTY} ELSE 1 + CAST(floor(value) AS BIGINT) % 12 END AS q,
@@ -245,7 +252,7 @@ p AS (SELECT rq.request_id, rq.q AS ticket_qty, coalesce(agg.item_count, 0) AS i
         coalesce(agg.item_count > agg.n_distinct, false) AS has_duplicate,
         CASE WHEN rq.q * 12.00 + coalesce(agg.conc, 0) <= {LARGEST} THEN CAST(coalesce(agg.conc, 0) AS DECIMAL(10,2)) END AS concession_subtotal,
         CASE WHEN rq.q * 12.00 + coalesce(agg.conc, 0) <= {LARGEST} THEN CAST(rq.q * 12.00 + coalesce(agg.conc, 0) AS DECIMAL(10,2)) END AS subtotal, coalesce(mem.member, false) AS member
-      FROM rq LEFT JOIN agg USING (request_id) LEFT JOIN mem ON mem.c_custkey = rq.user_id)
+      FROM rq LEFT JOIN agg USING (row_key) LEFT JOIN mem ON mem.c_custkey = rq.user_id)
 SELECT request_id, ticket_qty, item_count, has_duplicate, CAST(concession_subtotal AS DOUBLE) AS concession_subtotal,
        CAST(subtotal AS DOUBLE) AS subtotal, CAST({_M['discount']} AS DOUBLE) AS discount,
        CAST({_M['tax']} AS DOUBLE) AS tax, CAST({_M['total']} AS DOUBLE) AS total
@@ -259,9 +266,9 @@ def order_pricing(t):
     qty, _ = RQ.py_int(F.col("_vq"), 0)
     cust = V.customers_from_customer(t["customer"]).select(
         F.col("customer_id").cast("string").alias("_cid"), F.col("rewards_member").alias("member"))
-    base = (req.select("request_id", "payload", qty.alias("ticket_qty"), RQ.text(F.col("_vc")).alias("_c"))
+    base = (req.select(F.monotonically_increasing_id().alias("_row"), "request_id", "payload", qty.alias("ticket_qty"), RQ.text(F.col("_vc")).alias("_c"))
             .join(cust, F.col("_c") == F.col("_cid"), "left"))
-    priced = price_orders(base.drop("payload", "_c", "_cid"), item_totals(usable_items(base, _menu(t))))
+    priced = price_orders(with_items(base.drop("_c", "_cid"), _menu(t)))
     return priced.select("request_id", "ticket_qty", "item_count", "has_duplicate", "concession_subtotal",
                          "subtotal", "discount", "tax", "total")
 
@@ -292,19 +299,19 @@ s1 AS (SELECT rq.*, CASE WHEN bad_qty THEN 'bad_number'
               rq.q * 12.00 + coalesce(agg.conc, 0) > {LARGEST} AS huge,
               CASE WHEN rq.q * 12.00 + coalesce(agg.conc, 0) <= {LARGEST} THEN CAST(rq.q * 12.00 + coalesce(agg.conc, 0) AS DECIMAL(10,2)) END AS subtotal
        FROM rq LEFT JOIN cust ON cust.c_custkey = rq.user_id LEFT JOIN shows ON shows.showing_id = rq.showing_id
-       LEFT JOIN agg USING (request_id)),
-el AS (SELECT *, row_number() OVER (PARTITION BY showing_id ORDER BY arrived_at, request_id) AS rn
+       LEFT JOIN agg USING (row_key)),
+el AS (SELECT *, row_number() OVER (PARTITION BY showing_id ORDER BY arrived_at, request_id, row_key) AS rn
        FROM s1 WHERE reason0 IS NULL),
-rec AS (SELECT showing_id, rn, request_id, q <= seats0 AS ok,
+rec AS (SELECT showing_id, rn, row_key, q <= seats0 AS ok,
                CASE WHEN q <= seats0 AND NOT dup AND NOT huge THEN seats0 - q ELSE seats0 END AS after FROM el WHERE rn = 1
         UNION ALL
-        SELECT e.showing_id, e.rn, e.request_id, e.q <= r.after,
+        SELECT e.showing_id, e.rn, e.row_key, e.q <= r.after,
                CASE WHEN e.q <= r.after AND NOT e.dup AND NOT e.huge THEN r.after - e.q ELSE r.after END
         FROM rec r JOIN el e ON e.showing_id = r.showing_id AND e.rn = r.rn + 1),
-fold AS (SELECT el.*, rec.ok, rec.ok AND NOT el.dup AND NOT el.huge AS accepted FROM el JOIN rec USING (request_id)),
-acc AS (SELECT *, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY arrived_at, request_id) AS order_number,
+fold AS (SELECT el.*, rec.ok, rec.ok AND NOT el.dup AND NOT el.huge AS accepted FROM el JOIN rec USING (row_key)),
+acc AS (SELECT *, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY arrived_at, request_id, row_key) AS order_number,
                CAST((SELECT max(l_orderkey * 8 + l_linenumber) FROM lineitem) + 1
-                 + coalesce(sum(q) OVER (ORDER BY arrived_at, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 + coalesce(sum(q) OVER (ORDER BY arrived_at, request_id, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                  AS BIGINT) AS first_ticket_id
         FROM fold WHERE accepted),
 decisions AS (
@@ -340,10 +347,35 @@ def order_responses(t):
     return _intake(t)["responses"]
 
 
+def _answer_sql(reasons: dict, field: int) -> str:
+    quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
+    return "CASE reason " + " ".join(f"WHEN '{r}' THEN {quoted(a[field])}" for r, a in reasons.items()) + " END"
+
+
+@query("order_answers", INTAKE_SQL + f"""
+SELECT request_id, arrived_at, CASE status WHEN 'accepted' THEN {OR.CREATED} ELSE {_answer_sql(OR.ANSWERS, 0)} END AS http_status,
+       {_answer_sql(OR.ANSWERS, 1)} AS error, order_number AS "orderNumber", subtotal, tax, discount, total,
+       rewards_discount_applied AS "rewardsDiscountApplied", '/receipt/' || order_number AS "receiptUrl"
+FROM decisions""")
+def order_answers(t):
+    """The answer to every order request, refused ones included."""
+    return _intake(t)["answers"]
+
+
+@query("customer_answers", f"""
+SELECT request_id, arrived_at, CASE status WHEN 'accepted' THEN {CU.CREATED} ELSE {_answer_sql(CU.ANSWERS, 0)} END AS http_status,
+       {_answer_sql(CU.ANSWERS, 1)} AS error, customer_id AS "customerId", CASE status WHEN 'accepted' THEN firstname END AS firstname,
+       CASE status WHEN 'accepted' THEN lastname END AS lastname, CASE status WHEN 'accepted' THEN email END AS email
+FROM ({SQL["customer_intake"]})""")
+def customer_answers(t):
+    """The answer to every customer request, refused ones with the holder's id included."""
+    return CU.intake_customers(signup_requests(t["events"]), _existing_for_signup(t["customer"]))["answers"]
+
+
 @query("intake_orders", INTAKE_SQL + """
 SELECT d.order_number, a.user_id AS order_customer_id, d.subtotal, d.tax, d.discount, d.total,
        d.arrived_at AS created_at
-FROM decisions d JOIN acc a USING (request_id)""")
+FROM decisions d JOIN acc a USING (order_number)""")
 def intake_orders(t):
     """Accepted orders numbered after the existing ones."""
     return _intake(t)["orders"]
@@ -358,7 +390,7 @@ def intake_tickets(t):
 
 
 @query("intake_items", INTAKE_SQL + """
-SELECT a.order_number, k.concession_id, CAST(k.qty AS INTEGER) AS quantity FROM acc a JOIN kept k USING (request_id)""")
+SELECT a.order_number, k.concession_id, CAST(k.qty AS INTEGER) AS quantity FROM acc a JOIN kept k USING (row_key)""")
 def intake_items(t):
     """The usable items of accepted orders."""
     return _intake(t)["items"]

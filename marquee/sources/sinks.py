@@ -1,7 +1,7 @@
 """Sinks: named result sets as JSON (A8), appends (A9), seat snapshots (A10).
 
-A snapshot is never written over the path it is read from: the new version is
-written beside it and swapped in only after the write job has finished.
+A snapshot is never written over the path it is read from: it gets a numbered folder of
+its own, which counts from the moment its success marker is written.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.schema import DEFAULTS, SCHEMAS
-from marquee.sources.tables import NEXT, OLD, file_system, recover_table, table_path
+from marquee.sources.tables import SNAPSHOTS, current_path, remove, table_path, version_path, versions
 
 
 def write_named_json(sets: dict[str, DataFrame], root: str, mode: str = "overwrite") -> list[str]:
@@ -40,18 +40,24 @@ def conform_to(df: DataFrame, table: str) -> DataFrame:
 
 def append_rows(df: DataFrame, root: str, table: str) -> None:
     """Append rows to a stored table."""
-    conform_to(df, table).write.mode("append").parquet(table_path(root, table))
+    conform_to(df, table).write.mode("append").parquet(current_path(df.sparkSession, root, table))
+
+
+def append_batch(df: DataFrame, root: str, table: str, batch: str) -> None:
+    """Append the rows of one batch as a whole, in a folder of its own.  Appending the batch again replaces
+    what the first time wrote, so that no stored row has to be read to find out what is there already."""
+    conform_to(df, table).write.mode("overwrite").parquet(f"{current_path(df.sparkSession, root, table)}/{batch}")
 
 
 def replace_table(df: DataFrame, root: str, table: str) -> None:
-    """A10: write a new snapshot of a table beside the old one, then swap by renames.
-    A crash at any point leaves the old or the new snapshot (``tables.recover_table``)."""
-    spark = df.sparkSession
-    recover_table(spark, root, table)
-    target = table_path(root, table)
-    conform_to(df, table).write.mode("overwrite").parquet(target + NEXT)
-    fs, path = file_system(spark, target)
-    if fs.exists(path):
-        fs.rename(path, file_system(spark, target + OLD)[1])
-    fs.rename(file_system(spark, target + NEXT)[1], path)
-    fs.delete(file_system(spark, target + OLD)[1], True)
+    """A10: write a new snapshot of a table.  A crash at any point leaves the old or the new snapshot in effect, and a
+    folder that was cut off never counts.  The snapshot before stays for those who are reading it; older ones go.
+    Of two writers at once the second fails: both would write the same number."""
+    spark, folder = df.sparkSession, table_path(root, table) + SNAPSHOTS
+    before = versions(spark, folder)
+    new = max(before, default=0) + 1
+    conform_to(df, table).write.mode("errorifexists").parquet(version_path(folder, new))
+    last = max((v for v, done in before.items() if done), default=0)
+    for v in before:
+        if v != last:
+            remove(spark, version_path(folder, v))

@@ -1,8 +1,10 @@
 """Typed scans, seed load, version-gated rebuild and drops (A1, A3, A4, A5).
 
 A table store is a folder holding one Parquet folder per table plus a
-``_meta`` table with the schema version.  Writers never read and overwrite
-the same path in one job: snapshots go to a new folder (see ``sinks``).
+``_meta`` table with the schema version.  A table's folder may hold folders of
+batches (each written as a whole by one stream batch).  A table that has been
+replaced has numbered snapshots beside its folder; readers take the newest one that
+is complete, so that a writer never touches what a reader may be reading.
 """
 
 from __future__ import annotations
@@ -18,17 +20,36 @@ from marquee.sources import seed
 
 SCHEMA_VERSION = 2
 META = "_meta"
-NEXT, OLD = "__next", "__old"
+SNAPSHOTS, VERSION = "__snapshots", "v-"
 
 
 def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def versions(spark: SparkSession, folder: str) -> dict[int, bool]:
+    """The numbered folders in ``folder``, and whether each is complete (its success marker is written last)."""
+    fs, path = file_system(spark, folder)
+    if not fs.exists(path):
+        return {}
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return {int(n.removeprefix(VERSION)): exists(spark, f"{folder}/{n}/_SUCCESS") for n in names if n.startswith(VERSION) and n.removeprefix(VERSION).isdigit()}
+
+
+def version_path(folder: str, version: int) -> str:
+    return f"{folder}/{VERSION}{version:010d}"
+
+
+def current_path(spark: SparkSession, root: str, name: str) -> str:
+    """Where a table's rows are: its newest complete snapshot, else its folder."""
+    folder = table_path(root, name) + SNAPSHOTS
+    complete = [v for v, done in versions(spark, folder).items() if done]
+    return version_path(folder, max(complete)) if complete else table_path(root, name)
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A1: typed scan of one table (explicit schema, nothing inferred)."""
-    recover_table(spark, root, name)
-    return spark.read.schema(SCHEMAS[name]).parquet(table_path(root, name))
+    """A1: typed scan of one table (explicit schema, nothing inferred), batch folders included."""
+    return spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(current_path(spark, root, name))
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -79,13 +100,23 @@ def drop_tables(spark: SparkSession, root: str) -> list[str]:
     """A5: remove the tables children first, skipping absent ones."""
     dropped = []
     for name in list(reversed(LOAD_ORDER)) + [META]:
-        fs, path = file_system(spark, table_path(root, name))
-        if fs.exists(path):
-            fs.delete(path, True)
+        # Snapshots first: a drop that is cut off never brings back rows that a snapshot has replaced.
+        found = [remove(spark, table_path(root, name) + SNAPSHOTS), remove(spark, table_path(root, name))]
+        if any(found):
             dropped.append(name)
     return dropped
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Remove a folder if it is there; one that stays is an error."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return False
+    if not fs.delete(p, True) and fs.exists(p):
+        raise OSError(f"cannot remove {path}")
+    return True
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop file system and path object of ``path``."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -96,14 +127,3 @@ def exists(spark: SparkSession, path: str) -> bool:
     fs, p = file_system(spark, path)
     return fs.exists(p)
 
-
-def recover_table(spark: SparkSession, root: str, name: str) -> None:
-    """Finish a snapshot swap that was cut off: the new snapshot if it is complete, else the old one."""
-    target = table_path(root, name)
-    fs, path = file_system(spark, target)
-    if fs.exists(path):
-        return
-    for beside in (NEXT, OLD):
-        if exists(spark, f"{target}{beside}/_SUCCESS"):
-            fs.rename(file_system(spark, target + beside)[1], path)
-            return

@@ -1,18 +1,22 @@
 """Order intake as a Structured Streaming job (``foreachBatch``).
 
-Each micro-batch runs the batch operator (P2) against the current store:
-seats, order numbers and ticket ids continue from what is stored.  The job is
-safe to replay after a failure at any point of a batch:
-
-1. the batch's decisions are recorded first (with their order numbers and
-   ticket ids) in a folder of the batch, overwritten until its success marker
-   is there; a replay reuses a complete record instead of deciding again, and
-   decides again over an incomplete one;
-2. orders, tickets and items are appended with an anti-join on their keys, so
-   writing them again adds nothing;
-3. the stream never rewrites ``showings``: the seats in effect are the stored
-   seats minus the accepted quantities of all recorded decisions;
-4. the batch id is recorded last; a fully applied batch is skipped.
+Each micro-batch runs the batch operator (P2).  What it needs of the past is kept as state:
+the seats taken per showing, and the highest order number and ticket id.  A batch reads the
+state that the batch before left and writes its own beside it, so the files that a batch
+lists and reads do not grow with the number of batches.  While the stream runs, it is the
+only writer of orders, tickets, items and showings.
+
+The job is safe to replay after a failure at any point of a batch:
+
+1. the batch's decisions are recorded first (with their order numbers, ticket ids and
+   items) in a folder of the batch, overwritten until its success marker is there; a replay
+   reuses a complete record instead of deciding again, and decides again over an incomplete one;
+2. orders, tickets and items of a batch are written as a whole in folders of its own inside
+   the tables: writing them again replaces them;
+3. the stream never rewrites ``showings``: the seats in effect are the stored seats minus
+   those that the state names;
+4. the state after the batch is written from the state before it, which stays until then;
+5. the batch id is recorded last; a fully applied batch is skipped.
 """
 
 from __future__ import annotations
@@ -22,52 +26,68 @@ from pyspark.sql import functions as F
 
 from marquee.operators.customers import intake_customers, new_customers
 from marquee.operators.orders import intake, outputs, seats_left
-from marquee.operators.pricing import usable_items
-from marquee.schema import PRIMARY_KEYS
 from marquee.sources.requests import parse_bodies
-from marquee.sources.sinks import conform_to
-from marquee.sources.tables import exists, file_system, read_table, table_path
+from marquee.sources.sinks import append_batch
+from marquee.sources.tables import exists, read_table, remove, table_path, version_path, versions
 
 REQUEST_SCHEMA = "request_id bigint, arrived_at timestamp_ntz, body string"
 BATCHES = "_order_batches"
 DECISIONS = "_order_decisions"
-TAKEN = "_seats_taken"
+STATE = "_order_state"
 CUSTOMER_DECISIONS = "_customer_decisions"
+#: State: the seats taken of a showing, or (no showing) the highest number given out.
+STATE_SCHEMA = "name string, showing_id int, amount bigint"
+SEATS, ORDERS, TICKETS = "seats", "orders", "tickets"
 
 
-def _recorded(spark: SparkSession, root: str, name: str) -> list[str]:
-    """Folders of the batches whose record is complete."""
-    fs, path = file_system(spark, table_path(root, name))
-    if not fs.exists(path):
-        return []
-    folders = [f"{table_path(root, name)}/{s.getPath().getName()}" for s in fs.listStatus(path)]
-    return sorted(f for f in folders if exists(spark, f"{f}/_SUCCESS"))
+def _batch_name(batch_id: int) -> str:
+    return f"batch-{batch_id}"
 
 
 def _batch_path(root: str, name: str, batch_id: int) -> str:
-    return f"{table_path(root, name)}/batch-{batch_id}"
+    return f"{table_path(root, name)}/{_batch_name(batch_id)}"
+
+
+def _initial_state(spark: SparkSession, root: str) -> DataFrame:
+    """Before the first batch: no seats taken, and the highest numbers stored."""
+    top = lambda name, table, column: read_table(spark, root, table).agg(F.coalesce(F.max(column), F.lit(0)).alias("amount")).select(
+        F.lit(name).alias("name"), F.lit(None).cast("int").alias("showing_id"), "amount")
+    return top(ORDERS, "orders", "order_number").unionByName(top(TICKETS, "tickets", "ticket_id"))
+
+
+def state_path(spark: SparkSession, root: str, batch_id: int | None = None) -> str:
+    """The newest complete state (before a batch: version n is the state before batch n).  The first one is
+    written before any batch writes a row, so it never counts a batch's own rows."""
+    folder = table_path(root, STATE)
+    if batch_id is not None and exists(spark, f"{version_path(folder, batch_id)}/_SUCCESS"):
+        return version_path(folder, batch_id)
+    complete = [v for v, done in versions(spark, folder).items() if done and (batch_id is None or v <= batch_id)]
+    if not complete:
+        _initial_state(spark, root).write.mode("overwrite").parquet(version_path(folder, 0))
+    return version_path(folder, max(complete, default=0))
+
+
+def _state(spark: SparkSession, root: str, batch_id: int | None = None) -> DataFrame:
+    return spark.read.schema(STATE_SCHEMA).parquet(state_path(spark, root, batch_id))
+
+
+def _showings(spark: SparkSession, root: str, state: DataFrame) -> DataFrame:
+    taken = state.where(F.col("name") == SEATS).select("showing_id", F.col("amount").alias("ticket_qty"))
+    return seats_left(read_table(spark, root, "showings"), taken)
 
 
 def current_showings(spark: SparkSession, root: str) -> DataFrame:
-    """Stored showings with the seats taken by recorded stream decisions removed.
-    Each batch records the seats that it took by showing, so no decision is read again."""
-    showings = read_table(spark, root, "showings")
-    taken = _recorded(spark, root, TAKEN)
-    if not taken:
-        return showings
-    return seats_left(showings, spark.read.schema("showing_id int, ticket_qty bigint").parquet(*taken))
-
-
-def _append_new(df: DataFrame, root: str, table: str) -> None:
-    """Append only rows whose primary key is not stored yet.  Of the stored keys only those in the
-    batch's range are read (``orders`` and ``tickets`` are numbered upwards, so old files are skipped)."""
-    spark = df.sparkSession
-    keys = list(PRIMARY_KEYS[table])
-    low = df.agg(F.min(keys[0])).first()[0]
-    if low is None:
-        return
-    stored = read_table(spark, root, table).select(*keys).where(F.col(keys[0]) >= F.lit(low))
-    conform_to(df, table).join(stored, keys, "left_anti").write.mode("append").parquet(table_path(root, table))
+    """Stored showings with the seats taken by the stream removed."""
+    return _showings(spark, root, _state(spark, root))
+
+
+def _state_after(before: DataFrame, accepted: DataFrame) -> DataFrame:
+    seats = accepted.select(F.lit(SEATS).alias("name"), F.col("showing_id").cast("int").alias("showing_id"), F.col("ticket_qty").alias("amount"))
+    top = lambda name, c: accepted.agg(F.max(c).alias("amount")).where("amount is not null").select(
+        F.lit(name).alias("name"), F.lit(None).cast("int").alias("showing_id"), "amount")
+    marks = top(ORDERS, F.col("order_number")).unionByName(top(TICKETS, F.col("first_ticket_id") + F.col("ticket_qty") - 1))
+    amount = F.when(F.first("name") == SEATS, F.sum("amount")).otherwise(F.max("amount"))
+    return before.unionByName(seats).unionByName(marks).groupBy("name", "showing_id").agg(amount.alias("amount"))
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str, record: bool = True) -> None:
@@ -76,24 +96,25 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, record: bool = Tru
     spark = batch.sparkSession
     if exists(spark, f"{_batch_path(root, BATCHES, batch_id)}/_SUCCESS"):
         return
-    requests = parse_bodies(batch)
-    t = {n: read_table(spark, root, n) for n in ("customers", "concessions", "orders", "tickets")}
+    state = _state(spark, root, batch_id)
     decisions = _batch_path(root, DECISIONS, batch_id)
     if not exists(spark, f"{decisions}/_SUCCESS"):
-        out = intake(requests, t["customers"], current_showings(spark, root), t["concessions"], t["orders"], t["tickets"])
+        mark = lambda name, column: state.where(F.col("name") == name).select(F.col("amount").alias(column))
+        out = intake(parse_bodies(batch), read_table(spark, root, "customers"), _showings(spark, root, state), read_table(spark, root, "concessions"),
+                     mark(ORDERS, "order_number"), mark(TICKETS, "ticket_id"), pin=False)
         out["internal"].write.mode("overwrite").parquet(decisions)
     mine = spark.read.parquet(decisions)
-    accepted = mine.where(F.col("status") == "accepted")
-    by_showing = accepted.groupBy(F.col("showing_id").cast("int").alias("showing_id")).agg(F.sum("ticket_qty").alias("ticket_qty"))
-    by_showing.write.mode("overwrite").parquet(_batch_path(root, TAKEN, batch_id))
-    items = usable_items(requests, t["concessions"])
-    out = outputs(mine, items, read_table(spark, root, "showings"))
-    _append_new(out["orders"], root, "orders")
-    _append_new(out["tickets"], root, "tickets")
-    _append_new(out["items"], root, "order_concessions")
+    out = outputs(mine, read_table(spark, root, "showings"))
+    for name, table in (("orders", "orders"), ("tickets", "tickets"), ("items", "order_concessions")):
+        append_batch(out[name], root, table, _batch_name(batch_id))
+    folder = table_path(root, STATE)
+    _state_after(state, mine.where(F.col("status") == "accepted")).write.mode("overwrite").parquet(version_path(folder, batch_id + 1))
     if not record:
         return
     spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").parquet(_batch_path(root, BATCHES, batch_id))
+    for v in versions(spark, folder):  # the state before stays for those who are reading it
+        if v < batch_id:
+            remove(spark, version_path(folder, v))
 
 
 def process_customers(batch: DataFrame, batch_id: int, root: str) -> None:
@@ -103,7 +124,7 @@ def process_customers(batch: DataFrame, batch_id: int, root: str) -> None:
     if not exists(spark, f"{decisions}/_SUCCESS"):
         decided = intake_customers(parse_bodies(batch), read_table(spark, root, "customers"))["decisions"]
         decided.write.mode("overwrite").parquet(decisions)
-    _append_new(new_customers(spark.read.parquet(decisions)), root, "customers")
+    append_batch(new_customers(spark.read.parquet(decisions)), root, "customers", _batch_name(batch_id))
 
 
 def start(spark: SparkSession, source_dir: str, root: str, checkpoint: str, available_now: bool = True, process=process_batch):

@@ -112,6 +112,37 @@ def test_duplicate_and_broken_items_take_no_seats(spark, seed):
     assert dict(rows(out["seats"], "showing_id", "film_available_seats"))[7] == 0
 
 
+def test_one_request_id_sent_twice_is_two_requests(spark, seed):
+    body = json.dumps({"customerId": "C002", "showingId": 7, "ticketQty": 9, "concessions": [{"id": "CN001", "qty": 1}, {"id": "CN003", "qty": 2}]})
+    data = [(5, T0, body), (5, T0 + dt.timedelta(seconds=1), body), (5, T0 + dt.timedelta(seconds=2), body), (6, T0 + dt.timedelta(seconds=3), body.replace("9", "1")),
+            (6, T0 + dt.timedelta(seconds=3), body.replace("9", "1"))]
+    req = parse_bodies(spark.createDataFrame(data, "request_id bigint, arrived_at timestamp_ntz, body string"))
+    out = OR.intake(req, seed["customers"], seed["showings"], seed["concessions"], seed["orders"], seed["tickets"])
+    got = rows(out["decisions"].orderBy("arrived_at", "order_number"), "request_id", "reason", "order_number")
+    assert got == [(5, None, 11), (5, None, 12), (5, "not_enough_seats", None), (6, None, 13), (6, None, 14)]
+    assert out["tickets"].count() == 20 and out["tickets"].select("ticket_id").distinct().count() == 20
+    assert sorted(rows(out["items"], "order_number", "concession_id", "quantity")) == [(n, c, q) for n in (11, 12, 13, 14) for c, q in (("CN001", 1), ("CN003", 2))]
+    mail = [(1, T0 + dt.timedelta(seconds=i), json.dumps({"name": "A", "email": e})) for i, e in enumerate(["a@x", "A@x", "b@x"])]
+    req = parse_bodies(spark.createDataFrame(mail, "request_id bigint, arrived_at timestamp_ntz, body string"))
+    got = rows(CU.intake_customers(req, seed["customers"])["decisions"].orderBy("arrived_at"), "reason", "customer_id")
+    assert got == [(None, "C021"), ("duplicate_email", "C021"), (None, "C022")]
+
+
+def test_answers_to_all_requests(spark, seed):
+    item = {"id": "CN001", "qty": 1}
+    out = _orders(spark, seed, [{"customerId": "C002", "showingId": 1, "ticketQty": "x"}, {"showingId": 1, "ticketQty": 1}, {"customerId": "C002"},
+                                {"customerId": "C404", "showingId": 1, "ticketQty": 1}, {"customerId": "C002", "showingId": 99, "ticketQty": 1},
+                                {"customerId": "C002", "showingId": 7, "ticketQty": 999}, {"customerId": "C002", "showingId": 7, "ticketQty": 1, "concessions": [item, item]},
+                                {"customerId": "C002", "showingId": 7, "ticketQty": 1}])
+    got = rows(out["answers"].orderBy("request_id"), "http_status", "error", "orderNumber", "receiptUrl")
+    assert got == [(400, "Showing and ticket quantity must be valid numbers.", None, None), (400, "Customer is required.", None, None),
+                   (400, "Showing and ticket quantity are required.", None, None), (404, "Customer not found.", None, None), (404, "Showing not found.", None, None),
+                   (400, "Not enough seats available for this showing.", None, None), (500, None, None, None), (201, None, 11, "/receipt/11")]
+    out = _customers(spark, seed, [{"name": "A"}, {"name": "Dupe", "email": "ETHAN.WALKER@mail.com"}, {"name": "Ana B", "email": "ana@x"}])
+    got = rows(out["answers"].orderBy("request_id"), "http_status", "error", "customerId", "firstname", "email")
+    assert got == [(400, "Email is required.", None, None, None), (409, "A customer with that email already exists.", "C001", None, None), (201, None, "C021", "Ana", "ana@x")]
+
+
 def _customers(spark, seed, bodies, existing=None):
     return CU.intake_customers(_requests(spark, bodies), existing if existing is not None else seed["customers"])
 

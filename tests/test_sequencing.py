@@ -3,9 +3,11 @@ with one hot key holding a large share of the rows."""
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marquee.operators import seats
 from marquee.operators.seats import allocate_seats
 from marquee.operators.sequencing import consecutive_ids, global_prefix
 
@@ -68,22 +70,87 @@ def test_consecutive_ids_and_prefix(spark):
         run += w
 
 
-def test_row_number_within_small_batches(spark):
-    from marquee.operators.sequencing import row_number_within
+def test_numbering_keeps_large_and_null_ids(spark):
+    """Numbers above 2^53, nulls, text and late years pass unchanged."""
+    data = [(i, 2**53 + 1 + i if i % 3 else None, f"t{i}", "9999-12-31 23:59:59", i % 5 if i % 4 else None) for i in range(500)]
+    df = spark.createDataFrame(data, "rid long, big long, t string, late string, w long").selectExpr("rid", "big", "t", "cast(late as timestamp_ntz) late", "w")
+    out = global_prefix(df, ["rid"], {"n": None, "s": F.col("w")})
+    assert "InPandas" not in out._jdf.queryExecution().toString() and dict(out.dtypes)["big"] == "bigint"
+    run = 0
+    for r, d in zip(out.selectExpr("rid", "big", "t", "cast(late as string) late", "n", "s").orderBy("rid").collect(), data, strict=True):
+        assert tuple(r) == (*d[:4], d[0], run)
+        run += d[4] or 0
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 50])
+def test_row_number_within_a_hot_key(spark, monkeypatch, hot_rows):
+    from marquee.operators import sequencing
+    monkeypatch.setattr(sequencing, "HOT_ROWS", hot_rows)
     rnd = random.Random(9)
     data = [(1 if rnd.random() < 0.6 else rnd.randint(2, 80), rnd.randint(0, 20), i) for i in range(4000)]
     df = spark.createDataFrame(data, "k long, a long, i long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = sequencing.row_number_within(df, ["k"], ["a", "i"], "rn")
+        got = [(r.k, r.rn, r.i) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    exp = []
+    for k in sorted({d[0] for d in data}):
+        exp += [(k, n, d[2]) for n, d in enumerate(sorted((d for d in data if d[0] == k), key=lambda d: (d[1], d[2])), 1)]
+    assert got == exp  # also in order
+    if hot_rows > len(data):
+        assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange rangepartitioning") == 1
+
+
+def test_seat_functions_compose():
+    rnd = random.Random(3)
+    for _ in range(200):
+        s0 = rnd.randint(0, 40)
+        q = np.array([rnd.randint(1, 15) for _ in range(rnd.randint(0, 30))], np.int64)
+        b = np.array([rnd.random() < 0.2 for _ in q], bool)
+
+        def left(start, q=q, b=b):
+            for x, blocked in zip(q, b):
+                if x <= start and not blocked:
+                    start -= int(x)
+            return start
+
+        k = rnd.randint(0, len(q))
+        whole = seats.transfer(s0, q, b)
+        parts = seats.compose(seats.transfer(s0, q[:k], b[:k]), seats.transfer(s0, q[k:], b[k:]), s0)
+        for start in range(s0 + 1):
+            assert seats.after(whole, start) == seats.after(parts, start) == left(start)
+            before, ok, rem = seats.fold(start, q, b)
+            now = start
+            for x, blocked, y, fits in zip(q, b, before, ok):
+                assert (y, fits) == (now, x <= now)
+                now -= int(x) if x <= now and not blocked else 0
+            assert rem == now
+
+
+def test_seat_fold_of_a_hot_showing_over_many_ranges(spark, monkeypatch):
+    """50,000 seats over many ranges: neighbours are merged in a tree, few functions to a task."""
+    monkeypatch.setattr(seats, "FAN", 4)
+    rnd = random.Random(12)
+    data = [(i, i // 3, 1 if i % 10 else 2, rnd.choice([1, 2, 3, 90, 40_000]), rnd.random() < 0.05, 50_000) for i in range(30_000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = allocate_seats(spark.createDataFrame(data, "request_id long, arrived_at long, showing_id long, qty long, blocked boolean, seats0 long"))
+        got = {r.request_id: (r.seats_before, r.seat_ok, r.accepted) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == _brute(data)
+
+
+def test_seat_fold_small_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = {r.i: r.rn for r in row_number_within(df, ["k"], ["a", "i"], "rn").collect()}
         folded = {r.request_id: r.accepted for r in allocate_seats(spark.createDataFrame(
             _requests(6, 1500, 0.7), "request_id long, arrived_at long, showing_id long, qty long, "
                                      "blocked boolean, seats0 long")).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    exp = {}
-    for k in {d[0] for d in data}:
-        for n, d in enumerate(sorted((d for d in data if d[0] == k), key=lambda d: (d[1], d[2])), 1):
-            exp[d[2]] = n
-    assert got == exp
     assert folded == {k: v[2] for k, v in _brute(_requests(6, 1500, 0.7)).items()}

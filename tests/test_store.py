@@ -56,17 +56,29 @@ def test_unreadable_version_drops_nothing(spark, scratch):
     assert read_table(spark, root, "customers").count() == 20
 
 
-def test_cut_off_swap_is_finished(spark, scratch):
+def test_snapshots_survive_crashes_and_readers(spark, scratch):
+    from marquee.sources.tables import SNAPSHOTS, version_path, versions
     root = os.path.join(scratch, "store")
     init_store(spark, root)
-    films = os.path.join(root, "films")
-    os.rename(films, films + "__old")  # a crash between the two renames, with no new snapshot
-    assert read_table(spark, root, "films").count() == 10
-    read_table(spark, root, "films").limit(3).write.parquet(films + "__next")
-    os.rename(films, films + "__old")  # and with one
+    folder = os.path.join(root, "films" + SNAPSHOTS)
+    reader = read_table(spark, root, "films")
+    sinks.replace_table(reader.limit(3), root, "films")
+    assert read_table(spark, root, "films").count() == 3 and reader.count() == 10   # a reader keeps what it has found
+    reader = read_table(spark, root, "films")
+    half = version_path(folder, 2)
+    read_table(spark, root, "films").limit(1).write.parquet(half)
+    os.remove(os.path.join(half, "_SUCCESS"))                                       # a writer that was cut off
     assert read_table(spark, root, "films").count() == 3
-    sinks.replace_table(read_table(spark, root, "films"), root, "films")
-    assert read_table(spark, root, "films").count() == 3 and not os.path.exists(films + "__old")
+    sinks.replace_table(read_table(spark, root, "films").limit(2), root, "films")   # reads the table that it replaces
+    assert read_table(spark, root, "films").count() == 2 and reader.count() == 3
+    assert versions(spark, folder) == {1: True, 3: True}                            # the leftover folder is gone
+    sinks.append_rows(read_table(spark, root, "films").limit(1), root, "films")
+    assert read_table(spark, root, "films").count() == 3
+    sinks.append_batch(read_table(spark, root, "films").limit(1), root, "films", "batch-7")
+    sinks.append_batch(read_table(spark, root, "films").limit(1), root, "films", "batch-7")
+    assert read_table(spark, root, "films").count() == 4                            # a batch appended twice is there once
+    assert "films" in drop_tables(spark, root) and not os.path.exists(folder)
+    assert init_store(spark, root) == "rebuilt" and read_table(spark, root, "films").count() == 10
 
 
 def test_conform_old_layout(spark):
@@ -160,6 +172,32 @@ def test_incomplete_decisions_are_decided_again(spark, scratch):
     assert _state(spark, root) == (11, 27, 13, [(8,)])
 
 
+def test_files_of_a_batch_do_not_grow(spark, scratch):
+    """The state that a batch reads and lists stays the same size; repeated ids and replays of late batches change nothing."""
+    from marquee.sources.tables import table_path, versions
+    from marquee.streaming import intake as stream
+    root, schema = os.path.join(scratch, "store"), "request_id bigint, arrived_at timestamp_ntz, body string"
+    init_store(spark, root)
+    body = json.dumps({"customerId": "C002", "showingId": 7, "ticketQty": 3})
+    seen = []
+    for b in range(8):
+        batch = spark.createDataFrame([(1, dt.datetime(2026, 4, 17, 9, b), body)], schema)  # one request id in every batch
+        seen.append((len(stream._state(spark, root, b).inputFiles()), len(versions(spark, table_path(root, stream.STATE)))))
+        stream.process_batch(batch, b, root, record=b != 5)
+        if b == 5:
+            stream.process_batch(batch, b, root)
+    assert max(seen[3:]) == min(seen[3:]) and seen[-1][1] <= 2
+    assert _state(spark, root) == (16, 33, 12, [(2,)])                              # six orders of three seats, then none fits
+    last = spark.read.parquet(os.path.join(root, stream.DECISIONS, "batch-7"))
+    assert rows(last, "reason") == [("not_enough_seats",)]
+    numbers = [r[0] for r in rows(read_table(spark, root, "orders").where("order_number > 10").orderBy("order_number"), "order_number")]
+    assert numbers == list(range(11, 17))
+    assert read_table(spark, root, "tickets").agg({"ticket_id": "max"}).first()[0] == 33
+    from marquee.operators.audit import audit_all
+    audit = audit_all(read_tables(spark, root))                                     # the store holds its keys and references
+    assert audit["pk_duplicates"].count() == audit["fk_orphans"].count() == 0
+
+
 def test_streaming_customers(spark, scratch):
     from marquee.streaming.intake import process_customers, start
     root, src = os.path.join(scratch, "store"), os.path.join(scratch, "requests")
