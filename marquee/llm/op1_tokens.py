@@ -38,23 +38,23 @@ class ShardWriter:
         self.file.write(MAGIC)
         self.blocks, self.docs = [], []
 
-    def add(self, doc_id, ids: bytes) -> None:
-        self.docs.append((doc_id, len(ids) // 4))
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        self.docs.append((doc_id, len(ids)))
         self.held.append(ids)
         self.size += len(ids)
-        if self.size >= 4 * simple8b.BLOCK:
+        if self.size >= simple8b.BLOCK:
             self._flush(last=False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.held), "<u4")
+        ids = np.concatenate([np.zeros(0, "<u4"), *self.held])
         end = len(ids) if last else len(ids) // simple8b.BLOCK * simple8b.BLOCK
         for i in range(0, end, simple8b.BLOCK):
             part = ids[i : min(end, i + simple8b.BLOCK)]
             words, places, values = simple8b.pack(part)
             self.blocks.append((self.file.at, len(words), len(places), len(part)))
             self.file.write(words.astype("<u8").tobytes() + places.astype("<u4").tobytes() + values.astype("<u8").tobytes())
-        rest = ids[end:].tobytes()
-        self.held, self.size = ([rest] if rest else []), len(rest)
+        rest = ids[end:].copy()
+        self.held, self.size = [rest], len(rest)
 
     def close(self) -> tuple[int, int]:
         self._flush(last=True)
@@ -101,7 +101,7 @@ def read_shard(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """Encodes every text of ``docs`` (doc_id, text) into shard files; returns shard, path, docs, ids, start (ids before it)."""
     folder = shared_path(docs.sparkSession, "tokens")
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -109,9 +109,10 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
         encoder, shard, out = Encoder.of(vocabulary), TaskContext.get().partitionId(), None
         path = f"{folder}/shard-{shard:06d}.s8b"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            texts = [t.as_py() or b"" for t in batch.column(1)]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
                 out = out or ShardWriter(path)
-                out.add(doc_id, encoder.encode(text.as_py() or b"") + end)
+                out.add(doc_id, np.concatenate([ids, end]))
         if out:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path], "docs": pa.array([n_docs], pa.int64()), "ids": pa.array([n_ids], pa.int64())})

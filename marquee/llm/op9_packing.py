@@ -32,13 +32,13 @@ SEQUENCE, UNIT, END_ID = 2048, 16, 1
 GAP, MAX_COLUMNS = 1e-3, 4000
 #: Rows (whole texts, or pieces with their ids) that a Python worker gets at a time.
 ROWS = 1_000
-PIECES = "shard long, class int, rank long, doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "shard long, class int, rank long, doc_id long, start long, length long, doc_tokens long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int = SEQUENCE, unit: int = UNIT) -> DataFrame:
-    """The pieces of each row of ``docs`` (doc_id, text): ids are little-endian unsigned 32-bit integers;
-    class is the length in units, rank counts the shard's pieces of a class."""
-    end = end_id.to_bytes(4, "little")
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int = SEQUENCE, unit: int = UNIT, keep_ids: bool = False) -> DataFrame:
+    """The pieces of each row of ``docs`` (doc_id, text), with their ids (little-endian unsigned 32-bit integers) if
+    ``keep_ids``; class is the length in units, rank counts the shard's pieces of a class."""
+    end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -46,17 +46,18 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int
         encoder, shard, ranks = Encoder.of(vocabulary), TaskContext.get().partitionId(), {}
         rows, held = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or b"") + end
-                n = len(ids) // 4
+            texts = [t.as_py() or b"" for t in batch.column(1)]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
+                ids = np.concatenate([ids, end])
+                n = len(ids)
                 for start in range(0, n, sequence):
-                    piece = ids[4 * start : 4 * (start + sequence)]
-                    kind = -(-len(piece) // (4 * unit))
+                    piece = ids[start : start + sequence]
+                    kind = -(-len(piece) // unit)
                     rank = ranks.get(kind, 0)
                     ranks[kind] = rank + 1
-                    rows.append((shard, kind, rank, doc_id, start, len(piece) // 4, n, piece))
-                held += len(ids)
-                if held >= 1 << 22:
+                    rows.append((shard, kind, rank, doc_id, start, len(piece), n, zlib.crc32(piece), *[piece.tobytes()] * keep_ids))
+                held += n if keep_ids else 0
+                if held >= 1 << 20 or len(rows) >= 10_000:
                     yield made(rows)
                     rows, held = [], 0
         if rows:
@@ -64,11 +65,12 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int
 
     def made(rows) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "class", "rank", "doc_id", "start", "length", "doc_tokens", "ids"])
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6, *[pa.binary()] * keep_ids]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+                                          ["shard", "class", "rank", "doc_id", "start", "length", "doc_tokens", "ids_crc32", *["ids"] * keep_ids])
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(cut, PIECES)
+    return rows.mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
 
 
 def best_pattern(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -156,7 +158,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int =
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32 of each piece; with ``keep_ids`` also ids."""
     spark = docs.sparkSession
     with batch_rows(spark, ROWS):
-        cut = pin(pieces(docs, vocabulary, end_id, sequence, unit), "pieces")
+        cut = pin(pieces(docs, vocabulary, end_id, sequence, unit, keep_ids), "pieces")
     counts = pin(cut.groupBy("class", "shard").agg(F.count("*").alias("n")), "classes")
     before = Window.partitionBy("class").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     firsts = pin(counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "firsts")
@@ -174,13 +176,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int =
                 r = np.searchsorted(first, rank[at], side="right") - 1
                 past = rank[at] - first[r]
                 seq[at], slot[at] = begin[r] + past // each[r], (sequence - c) * sequence + past % each[r]
-            crc = [zlib.crc32(x.as_buffer()) for x in batch.column(6)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:6], pa.array(crc, pa.int64()), pa.array(seq), pa.array(slot), *batch.columns[6 : 6 + keep_ids]],
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:7], pa.array(seq), pa.array(slot), *batch.columns[7:]],
                                              ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id", "slot", *["ids"] * keep_ids])
 
-    ranked = cut.join(firsts, ["class", "shard"]).select("class", (F.col("rank") + F.col("first")).alias("rank"), "doc_id", "start", "length", "doc_tokens", "ids")
+    ranked = cut.join(firsts, ["class", "shard"]).select("class", (F.col("rank") + F.col("first")).alias("rank"), "doc_id", "start", "length", "doc_tokens", "ids_crc32", *["ids"] * keep_ids)
     placed = ranked.mapInArrow(assign, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, sequence_id long, slot long" + ", ids binary" * keep_ids)
-    with batch_rows(spark, ROWS):
+    with batch_rows(spark, ROWS if keep_ids else 10_000):
         placed = pin(placed, "placed")
     upto = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(upto), F.lit(0))).drop("slot")

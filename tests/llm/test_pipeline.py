@@ -97,7 +97,7 @@ def test_empty_tables(spark, sf_dir, tmp_path):
 
 def test_one_query_for_each_operator():
     numbers = [int(n[2:].split("_")[0]) for n in llm.QUERIES]
-    assert sorted(numbers) == list(range(1, 11)) and set(llm.SQL) <= set(llm.QUERIES)
+    assert sorted(numbers) == list(range(1, 14)) and set(llm.SQL) <= set(llm.QUERIES)
 
 
 def test_entry_without_this_folder():
