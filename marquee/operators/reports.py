@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from marquee.functions import columns as C
 from marquee.functions.money import with_order_totals
-from marquee.session import materialize
 
-SHOWING_COLUMNS = ["showing_id", "film_title", "film_theatre_number", "film_showing_datetime",
-                   "film_available_seats"]
+#: Orders looked up next when the newest ones have no customer (so many times more), and the most that are broadcast.
+DEEPER, MANY_ORDERS = 16, 100_000
 
 
 def _count(df: DataFrame):
@@ -47,25 +46,31 @@ def showing_schedule(showings: DataFrame, films: DataFrame) -> DataFrame:
 def recent_orders(orders: DataFrame, customers: DataFrame, tickets: DataFrame, limit: int = 12) -> DataFrame:
     """The newest orders with their ticket counts.
 
-    The limit is taken before the left join (same rows, since grouping is by
-    the order key), so only the tickets of those orders are counted.
+    Orders count only with a customer, but joining all of them for the newest few is
+    waste: the newest ``limit`` are taken and looked up, then more of them as long as
+    too few have a customer.  The rows found (``limit`` at most) are constants of the
+    plan, and only their tickets are counted.
     """
-    o, c = orders.alias("o"), customers.alias("c")
-    named = (o.join(c, F.col("c.customer_id") == F.col("o.order_customer_id"))
-             .select("o.order_number", C.full_name("c.firstname", "c.lastname").alias("customer_name"),
-                     "o.total", "o.discount", "o.subtotal", "o.tax", "o.created_at"))
-    top = named.orderBy(C.sort_seconds("created_at").desc_nulls_last(), F.col("order_number").desc()).limit(limit)
-    # Pin the top rows once: both the ticket filter and the output read them,
-    # and the orders x customers scan must not run twice.
-    top = materialize(top)
-    # `top` holds at most `limit` rows: a proven bound for the broadcast.
+    newest_first = [C.sort_seconds("created_at").desc_nulls_last(), F.col("order_number").desc()]
+    n = limit
+    while True:
+        newest = orders.orderBy(*newest_first).limit(n)
+        o, c = newest.alias("o"), customers.alias("c")
+        named = (c.join(F.broadcast(o) if n <= MANY_ORDERS else o, F.col("c.customer_id") == F.col("o.order_customer_id"))
+                 .select("o.order_number", C.full_name("c.firstname", "c.lastname").alias("customer_name"),
+                         "o.total", "o.discount", "o.subtotal", "o.tax", "o.created_at"))
+        found = named.orderBy(*newest_first).limit(limit).collect()  # at most ``limit`` rows
+        if len(found) == limit or newest.count() < n:
+            break
+        n *= DEEPER
+    top = orders.sparkSession.createDataFrame(found, named.schema)
     keys = F.broadcast(top.select(F.col("order_number").alias("ticket_order_number")))
     counts = (tickets.join(keys, "ticket_order_number", "left_semi")
               .groupBy("ticket_order_number").agg(F.count("ticket_id").alias("ticket_count")))
     return (top.join(F.broadcast(counts), top.order_number == counts.ticket_order_number, "left")
             .select(*[top[c] for c in top.columns],
                     F.coalesce(counts.ticket_count, F.lit(0)).alias("ticket_count"))
-            .orderBy(C.sort_seconds("created_at").desc_nulls_last(), F.col("order_number").desc()))
+            .orderBy(*newest_first))
 
 
 def customer_list(customers: DataFrame) -> DataFrame:

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from marquee.functions import columns as C
 from marquee.operators import customers as CU
+from marquee.operators.audit import union_all
 from marquee.operators import orders as OR
 from marquee.operators.pricing import price_orders, with_items
 from marquee.plans import star_views as V
 from marquee.plans.registry import dataset_by_name
 from marquee.plans.star import SQL, _with, query
 from marquee.sources import requests as RQ
-from marquee.sources.conform import conform_customers
+from marquee.sources.conform import conform_concessions, conform_customers, conform_orders, conform_shifts
 
 # Fixed values of the binding (shared with the oracle SQL).
 FAR = 10_000_000         # added to a key, it names nobody
@@ -426,9 +427,50 @@ def conform_old_layout(t):
     return conformed.withColumn("customer_id", F.col("customer_id").cast("bigint"))
 
 
+# Fixed values of the binding: rows of the older layout (even keys), and those that lack a required value.
+NO_EMAIL_MOD, NO_TOTAL_MOD = 50, 10
+
+
+@query("conform_mixed_layouts", f"""
+SELECT 'customers' AS table_name, CAST(c_custkey AS VARCHAR) AS row_key, 'City ' || c_nationkey AS value,
+       CASE WHEN c_custkey % {NO_EMAIL_MOD} = 0 THEN 'missing: email' END AS reason FROM customer
+UNION ALL
+SELECT 'orders', CAST(o_orderkey AS VARCHAR),
+       CAST(CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_totalprice AS DECIMAL(10,2))
+                 WHEN o_orderkey % {NO_TOTAL_MOD} > 0 THEN CAST(round(CAST(CAST(o_totalprice AS DECIMAL(10,2)) + CASE o_orderstatus WHEN 'F' THEN 1.00 ELSE 0 END AS DOUBLE) / 1.08, 2) AS DECIMAL(10,2)) END AS VARCHAR),
+       CASE WHEN o_orderkey % {NO_TOTAL_MOD} = 0 THEN 'missing: subtotal, tax, total' END FROM orders
+UNION ALL
+SELECT 'shifts', CAST(event_id AS VARCHAR), CASE WHEN user_id % 6 <> 0 THEN CAST(user_id % 25 AS VARCHAR) END,
+       CASE WHEN user_id % 6 = 0 THEN 'missing: shift_department_id' END FROM events
+UNION ALL
+SELECT 'concessions', CAST(p_partkey AS VARCHAR), CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS VARCHAR), NULL FROM part""")
+def conform_mixed_layouts(t):
+    """Rows of both layouts conformed, with the reject reasons: customers, orders, shifts and concessions."""
+    text = lambda c: F.col(c).cast("string")
+    c = V.customers_from_customer(t["customer"]).withColumn("email", F.when(F.col("customer_id") % NO_EMAIL_MOD != 0, F.col("email")))
+    even = F.col("customer_id") % 2 == 0
+    customers = c.where(~even).unionByName(c.where(even).withColumnRenamed("home_city", "city").drop("rewards_member"), allowMissingColumns=True)
+    o, even = t["orders"], F.col("o_orderkey") % 2 == 0
+    shared = [F.col("o_orderkey").alias("order_number"), F.col("o_custkey").cast("string").alias("order_customer_id"), F.col("o_orderdate").alias("created_at")]
+    amount = F.col("o_totalprice").cast("decimal(10,2)")
+    new = o.where(~even).select(*shared, amount.alias("subtotal"))
+    old = o.where(even).select(*shared, F.when(F.col("o_orderkey") % NO_TOTAL_MOD != 0, amount).alias("order_total"),
+                               F.when(F.col("o_orderstatus") == "F", 1).cast("decimal(10,2)").alias("order_discount"))
+    part, even = V.concessions_from_part(t["part"]), F.col("concession_id") % 2 == 0
+    concessions = part.where(~even).unionByName(part.where(even).withColumn("stock", F.lit(1)), allowMissingColumns=True)
+    done = {"customers": ("customer_id", "home_city", conform_customers(customers)),
+            "orders": ("order_number", "subtotal", conform_orders(new.unionByName(old, allowMissingColumns=True), derive_subtotal=True)),
+            "shifts": ("shift_id", "shift_department_id", conform_shifts(V.shifts_from_events(t["events"]))),
+            "concessions": ("concession_id", "concession_price", conform_concessions(concessions))}
+    out = []
+    for name, (key, value, (kept, rejected)) in done.items():
+        for df, reason in ((kept, F.lit(None).cast("string")), (rejected, F.col("reason"))):
+            out.append(df.select(F.lit(name).alias("table_name"), text(key).alias("row_key"), text(value).alias("value"), reason.alias("reason")))
+    return union_all(out)
+
+
 @query("dataset_by_name", SQL["concession_units"])
 def dataset_by_name_query(t):
     """The overview set named 'concessionSales', picked from the registry."""
     from marquee.plans import star
-    names = {"topFilms": star.top_films, "concessions": star.concession_list, "concessionSales": star.concession_units}
-    return dataset_by_name(t["customer"].sparkSession, {k: (lambda fn=fn: fn(t)) for k, fn in names.items()}, "concessionSales")
+    return dataset_by_name(t.spark, star.overview_sets(t), "concessionSales")

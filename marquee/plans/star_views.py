@@ -126,11 +126,6 @@ def showings_from_lineitem(lineitem: DataFrame) -> DataFrame:
         _c("l_quantity").cast("int").alias("film_available_seats"))
 
 
-SHOWINGS_FROM_LINEITEM = """SELECT l_orderkey * 8 + l_linenumber AS showing_id, l_partkey AS film_id,
-  l_suppkey AS film_theatre_number, l_shipdate AS film_showing_datetime,
-  CAST(l_quantity AS INTEGER) AS film_available_seats FROM lineitem"""
-
-
 # ---- people --------------------------------------------------------------------
 def email_of(segment, nation):
     return F.concat(F.lower(segment), F.lit("."), nation.cast("string"), F.lit("@mail.com"))
@@ -157,10 +152,6 @@ def customers_from_supplier(supplier: DataFrame) -> DataFrame:
                            F.split_part(_c("s_name"), F.lit("#"), F.lit(2)).alias("lastname"))
 
 
-CUSTOMERS_FROM_SUPPLIER = """SELECT s_suppkey AS customer_id, split_part(s_name, '#', 1) AS firstname,
-  split_part(s_name, '#', 2) AS lastname FROM supplier"""
-
-
 def employees_from_supplier(supplier: DataFrame) -> DataFrame:
     return supplier.select(
         _c("s_suppkey").alias("employee_id"), F.split_part(_c("s_name"), F.lit("#"), F.lit(1)).alias("firstname"),
@@ -186,24 +177,14 @@ def employees_by_region(supplier: DataFrame, nation: DataFrame) -> DataFrame:
             .select(*[e[c] for c in e.columns if c != "department_id"], n.n_regionkey.alias("department_id")))
 
 
-EMPLOYEES_BY_REGION = f"""SELECT e.employee_id, e.firstname, e.lastname, e.job_title, e.status, e.supervisor_id,
-  n.n_regionkey AS department_id FROM ({EMPLOYEES_FROM_SUPPLIER}) e JOIN nation n ON e.department_id = n.n_nationkey"""
-
-
 def departments_from_nation(nation: DataFrame) -> DataFrame:
     return nation.select(_c("n_nationkey").alias("department_id"), _c("n_name").alias("department_name"))
 
 
-DEPARTMENTS_FROM_NATION = "SELECT n_nationkey AS department_id, n_name AS department_name FROM nation"
-
-
 def departments_from_region(region: DataFrame) -> DataFrame:
     return region.select(_c("r_regionkey").alias("department_id"), _c("r_name").alias("department_name"))
 
 
-DEPARTMENTS_FROM_REGION = "SELECT r_regionkey AS department_id, r_name AS department_name FROM region"
-
-
 def supervisors_from_nation(nation: DataFrame) -> DataFrame:
     return nation.select(_c("n_nationkey").alias("supervisor_id"), _c("n_name").alias("firstname"),
                          F.lit("Lead").alias("lastname"), _c("n_regionkey").alias("department_id"))
@@ -218,9 +199,6 @@ def employees_from_customer(customer: DataFrame) -> DataFrame:
                            _c("c_name").alias("lastname"))
 
 
-EMPLOYEES_FROM_CUSTOMER = "SELECT c_custkey AS employee_id, c_mktsegment AS firstname, c_name AS lastname FROM customer"
-
-
 def shifts_from_events(events: DataFrame) -> DataFrame:
     return events.select(
         _c("event_id").alias("shift_id"), _c("user_id").alias("employee_id"),
@@ -230,12 +208,6 @@ def shifts_from_events(events: DataFrame) -> DataFrame:
         F.when(_c("user_id") % 6 != 0, (_c("user_id") % 25).cast("int")).alias("shift_department_id"))
 
 
-SHIFTS_FROM_EVENTS = """SELECT event_id AS shift_id, user_id AS employee_id,
-  CASE WHEN event_type IN ('view', 'click') THEN CAST(event_id % 100 AS INTEGER) END AS showing_id,
-  ts AS shift_start_datetime, ts + INTERVAL 4 HOUR AS shift_end_datetime,
-  CASE WHEN user_id % 6 <> 0 THEN CAST(user_id % 25 AS INTEGER) END AS shift_department_id FROM events"""
-
-
 def concessions_from_customer(customer: DataFrame) -> DataFrame:
     return customer.select(_c("c_custkey").alias("concession_id"), _c("c_name").alias("concession_name"),
                            _c("c_mktsegment").alias("concession_size"))

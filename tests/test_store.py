@@ -6,6 +6,7 @@ import os
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from marquee.operators.orders import seats_left
 from marquee.plans.registry import cinema_datasets, dataset_by_name
@@ -88,7 +89,7 @@ def test_conform_old_layout(spark):
                                 "age int, gender string, city string, pref_pymt_method string, rewards_member boolean")
     ok, bad = conform_customers(old)
     assert rows(ok, "customer_id", "home_city", "rewards_member") == [("C1", "Utica", False)]
-    assert rows(bad, "customer_id") == [("C2",)]
+    assert rows(bad, "customer_id", "reason") == [("C2", "missing: email")]
     orders = spark.createDataFrame([(1, "C1", "24.84", "0.00")],
                                    "order_number long, order_customer_id string, order_total string, order_discount string")
     orders = orders.selectExpr("order_number", "order_customer_id", "cast(order_total as decimal(10,2)) order_total",
@@ -105,6 +106,30 @@ def test_conform_old_layout(spark):
     assert ok.count() == 0 and bad.count() == 1
 
 
+def test_files_of_both_layouts_in_one_folder(spark, scratch, seed):
+    from marquee.sources.conform import conform_concessions, read_mixed
+    folder = os.path.join(scratch, "orders")
+    seed["orders"].limit(4).coalesce(1).write.parquet(folder)
+    old = spark.createDataFrame([(50, "C001", "24.84", "0.00"), (51, "C002", None, "1.00"), (52, "C003", "10.80", None)],
+                                "order_number long, order_customer_id string, order_total string, order_discount string")
+    old.selectExpr("order_number", "order_customer_id", "cast(order_total as decimal(10,2)) order_total", "cast(order_discount as decimal(10,2)) order_discount",
+                   "timestamp_ntz'2026-04-17 18:00:00' created_at").coalesce(1).write.mode("append").parquet(folder)
+    both = read_mixed(spark, folder, "orders")
+    ok, bad = conform_orders(both, derive_subtotal=True)
+    assert ok.columns == seed["orders"].columns and ok.count() == 6
+    assert sorted(rows(ok.where("order_number < 50"))) == sorted(rows(spark.read.parquet(folder).where("order_number < 50").select(*ok.columns)))
+    assert sorted(rows(ok.where("order_number >= 50").selectExpr("order_number", "string(subtotal)", "string(tax)", "string(total)"))) == [
+        (50, "23.00", "1.84", "24.84"), (52, "10.00", "0.80", "10.80")]
+    assert rows(bad, "order_number", "reason") == [(51, "missing: subtotal, tax, total")]
+    assert bad.first()["source_file"].endswith(".parquet")
+    ok, bad = conform_orders(both)
+    assert ok.count() == 4 and bad.count() == 3
+    folder = os.path.join(scratch, "concessions")
+    seed["concessions"].withColumn("stock", F.lit(3)).write.parquet(folder)
+    ok, bad = conform_concessions(read_mixed(spark, folder, "concessions"))
+    assert sorted(rows(ok)) == sorted(rows(seed["concessions"])) and bad.count() == 0
+
+
 def test_registry(spark, seed):
     reg = cinema_datasets(seed)
     assert len(reg) == 11
