@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +52,39 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def one_label(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id, label (0 or 1) of each doc_id that has one label; ids with two different ones are left out."""
+    known = pick(labels, "doc_id", column).where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
+    return known.groupBy("doc_id").agg(F.min(column).alias(column), F.max(column).alias("_other")).where(F.col(column) == F.col("_other")).drop("_other")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def release() -> None:
+    """Gives memory that Arrow and malloc hold free back to the system (a worker process outlives its tasks)."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # malloc_trim is glibc's
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(task):
+    """``task`` (batches -> batches), after which the worker gives free memory back."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
 def worker_store(name: str) -> dict:
     """A dict that lives as long as the Python worker process.
 
@@ -63,7 +93,11 @@ def worker_store(name: str) -> dict:
     Only the last name's store is kept: what an earlier operator held is freed."""
     module = sys.modules.setdefault("_marquee_llm_worker", types.ModuleType("_marquee_llm_worker"))
     if getattr(module, "of", None) != name:
+        held = hasattr(module, "of")
         module.of, module.store = name, {}
+        if held:
+            gc.collect()
+            release()
     return module.store
 
 

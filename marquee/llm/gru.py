@@ -9,7 +9,7 @@ from itertools import islice
 
 import numpy as np
 
-SYMBOLS, CLASSES, EMBED, STATE = 1024, 32, 16, 24
+SYMBOLS, CLASSES, EMBED, STATE = 1024, 32, 12, 16
 MEMBERS = SYMBOLS // CLASSES
 F4 = np.float32
 # Shapes of the parameters, in the order of the flat vector.
@@ -147,7 +147,7 @@ def gradient(p, g, symbols_in, symbols_out, mask, h):
     return h.copy()
 
 
-def train(flat: np.ndarray, texts: Iterable[np.ndarray], start: int, window: int = 16, rows: int = 64, rate: float = 0.01) -> tuple[np.ndarray, int]:
+def train(flat: np.ndarray, texts: Iterable[np.ndarray], start: int, window: int = 16, rows: int = 128, rate: float = 0.015) -> tuple[np.ndarray, int]:
     """One pass of truncated backpropagation (Adam) over whole texts of symbols, and the number of symbols.
 
     ``rows`` texts are read side by side, a window at a time, each with its state carried on; where one ends, the next

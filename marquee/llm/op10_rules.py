@@ -7,7 +7,7 @@ longer precise.  The list becomes one ordered Spark conditional expression.
 
 Defined results: a null or empty text has all counts 0 (base_failed); repeated rows are judged alike; an
 empty table gives an empty result; without labels of both kinds the list is empty and only the base rules
-reject; other columns are ignored by ``judge`` and kept by ``filtered``.
+reject; a doc_id with two different labels is not learned from; other columns are ignored by ``judge`` and kept by ``filtered``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_mod, keeping_columns, pick
+from marquee.llm.common import crc_mod, keeping_columns, one_label, pick, release
 
 #: The most labelled rows that the list is learned from (those of the smallest hash of their id).
 MAX_LABELLED = 20_000
@@ -67,6 +67,7 @@ def stats(text: Column) -> Column:
     @F.arrow_udf(STATS)
     def of(texts: pa.Array) -> pa.Array:
         rows = [counts(x.as_py() or b"") for x in texts]
+        release()
         cols = list(zip(*rows, strict=True)) if rows else [[] for _ in COUNTS]
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], list(COUNTS))
 
@@ -160,8 +161,7 @@ def reject_expression(rules: list[list[Condition]], feature: dict[str, Column])
 
 def learned_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[list[Condition]]:
     """Learns from labelled rows (doc_id, quality) that pass the base rules; those with crc32(doc_id) mod 5 = 0 are held out."""
-    chosen = pick(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").where(crc_mod("doc_id", 5) != 0)
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    chosen = one_label(labels, "quality").where(crc_mod("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", stats(F.col("text")).alias("s"))
     s = lambda c: F.col(f"s.{c}")
     got = rows.where(~base_failed(s)).select("quality", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3000)).alias("part"), *(c.alias(f) for f, c in features(s).items())).toPandas()

@@ -1,8 +1,8 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 A text is a bag of units: its words (lower case, letters alone) and runs of
-single letters joined.  Two units are alike by the subsequences of four letters (the mark before a word counts as one) that they share, each weighted by
-DECAY to the length it spans in either unit, so that gaps and inserted characters weaken a match but do not end it.
+single letters joined.  Two units are alike by the subsequences of four letters (the mark before a word counts as one,
+letters beyond a to z share five codes) that they share, each weighted by DECAY to the length it spans in either unit, so that gaps and inserted characters weaken a match but do not end it.
 
 Training, on a bounded sample of labelled documents at the driver: units that mark toxic documents, whoever their
 neighbours, are witnesses, units of clean documents are the other class; landmarks are drawn from both; units are mapped to
@@ -15,7 +15,7 @@ function of its three highest margins; each distinct word is scored once per wor
 
 Defined results: a null or empty text, or one without letters, has the score of the lowest margin (LOWEST);
 repeated rows score alike; an empty table gives an empty result; without labels of both kinds every score is 0;
-other columns are ignored by ``scored`` and kept by ``filtered``.
+a doc_id with two different labels is not learned from; other columns are ignored by ``scored`` and kept by ``filtered``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_mod, keeping_columns, pick, worker_store
+from marquee.llm.common import crc_mod, keeping_columns, one_label, pick, release, worker_store
 
 #: The most toxic and the most other labelled documents that are learned from (those of the smallest hash of their id).
 MAX_TOXIC, MAX_CLEAN = 2_000, 4_000
@@ -43,24 +43,26 @@ LOWEST, HIGHEST = -2.0, 1.0
 TOP = 3
 #: Words whose margins a worker keeps, and texts that it scores at a time.
 KEPT_WORDS, TEXTS = 1 << 18, 256
-CODES = 64
-#: Subsequences are numbered modulo this prime.
-SLOTS = 1_048_573
+#: Codes of letters: the mark, a to z, five for all others; every subsequence of ORDER codes has a number of its own.
+CODES, MARK = 32, 0
+SLOTS = CODES**ORDER
+#: Near copies among the sampled texts count as one: BANDS x BAND minimum hashes of their words, one equal band links.
+BANDS, BAND = 8, 3
 
 
 def code(c: str) -> int:
-    """1-26 for a-z, a fixed number above for other letters, 0 for the rest (left out)."""
+    """1-26 for a-z, 27-31 for other letters, 0 for the rest (left out)."""
     if "a" <= c <= "z":
         return ord(c) - 96
-    return 27 + ord(c) * 7 % 36 if c.isalpha() else 0
+    return 27 + ord(c) * 7 % 5 if c.isalpha() else 0
 
 
 def units(word: bytes) -> list[tuple[int, ...]]:
-    """Codes of a word's letters with a mark (63) before; long words as overlapping pieces."""
+    """Codes of a word's letters with the mark before; long words as overlapping pieces."""
     codes = [c for c in map(code, word.decode("utf-8", "replace").lower()) if c]
     if len(codes) < ORDER - 1:
         return []
-    codes = [63, *codes]
+    codes = [MARK, *codes]
     if len(codes) <= LONGEST:
         return [tuple(codes)]
     return [tuple(codes[i : i + LONGEST]) for i in range(0, len(codes) - LONGEST // 2, LONGEST // 2)]
@@ -88,7 +90,7 @@ def embed(same_length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     number = np.zeros((len(same_length), len(at)), np.int64)
     for i in range(ORDER):
         number = number * CODES + same_length[:, at[:, i]]
-    return number % SLOTS, np.broadcast_to(weight, number.shape)
+    return number, np.broadcast_to(weight, number.shape)
 
 
 def by_length(all_units: list[tuple[int, ...]]):
@@ -154,6 +156,26 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.05) ->
     return w[:-1], float(w[-1])
 
 
+def near_copies(texts: list[bytes]) -> list[int]:
+    """A number for each text, the same for near copies."""
+    seeds = np.random.default_rng(0).integers(1, 2**32, BANDS * BAND, dtype=np.uint64) | np.uint64(1)
+    parent = list(range(len(texts)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    first: dict = {}
+    for k, t in enumerate(texts):
+        words = np.unique(np.fromiter((zlib.crc32(w) for w in t.split()), np.uint64))
+        if len(words):
+            least = np.array([((words * s) & np.uint64(0xFFFFFFFF)).min() for s in seeds]).reshape(BANDS, BAND)
+            for i, band in enumerate(least.tolist()):
+                parent[root(k)] = root(first.setdefault((i, *band), k))
+    return [root(k) for k in range(len(texts))]
+
+
 def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
     """A machine from labelled texts; None without both kinds."""
     if not toxic.any() or toxic.all():
@@ -162,7 +184,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
     of_word: dict[bytes, tuple[int, ...]] = {}
     bags, seen = [], ([], [])
     for t, kind in zip(texts, toxic, strict=True):
-        words, found = t.split(), []
+        words, found, whole = t.split(), [], zlib.crc32(t)
         for i, w in enumerate(words):
             if (got := of_word.get(w)) is None:
                 got = of_word[w] = tuple(number.setdefault(u, len(number)) for u in units(w))
@@ -170,15 +192,18 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
                 place = zlib.crc32(b" ".join((*words[max(0, i - 1) : i], *words[i + 1 : i + 2])))
                 found += [(u << 32) + place for u in got]
         for w in spelled(words):
-            found += [(number.setdefault(u, len(number)) << 32) + zlib.crc32(t[:64]) for u in units(w)]
+            found += [(number.setdefault(u, len(number)) << 32) + whole for u in units(w)]
         found = np.unique(np.array(found, np.int64))
         bags.append(np.unique(found >> 32).astype(np.int32))
         seen[int(kind)].append(found)
     distinct = list(number)
-    # A unit counts by the different neighbours that it has in documents of a kind: the words of a text that was copied
-    # many times count once, a word put into many texts counts for each.
-    good, bad = (np.bincount((np.unique(np.concatenate(f)) >> 32).astype(np.int64), minlength=len(distinct)) for f in seen)
-    del of_word, seen
+    # A unit counts by the different neighbours that it has in documents of a kind, or by the different documents (near
+    # copies are one) where these are more: the words of a text that was copied many times count once, a word put into
+    # many texts counts for each, if it stands in one phrase alone too.
+    group = near_copies(texts)
+    by_text = [[(bag.astype(np.int64) << 32) + g for bag, g, k in zip(bags, group, toxic, strict=True) if k == kind] for kind in (False, True)]
+    good, bad = (np.maximum(*(np.bincount((np.unique(np.concatenate(f)) >> 32).astype(np.int64), minlength=len(distinct)) for f in (a, b))) for a, b in zip(seen, by_text, strict=True))
+    del of_word, seen, by_text
     del number
     rate = (bad + 0.1) / (toxic.sum() + 1) / ((good + 0.1) / ((~toxic).sum() + 1))
     # First witnesses: units with three neighbours or more in toxic documents, ten times as usual there as in others.
@@ -242,7 +267,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
 
 def learned(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Machine | None:
     """Trains on the texts of labelled rows (doc_id, toxic); those with crc32(doc_id) mod 5 = 0 are held out."""
-    known = pick(labels, "doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(crc_mod("doc_id", 5) != 0).dropDuplicates(["doc_id"])
+    known = one_label(labels, "toxic").where(crc_mod("doc_id", 5) != 0)
     chosen = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, max_toxic), (0, max_clean))]
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
     got = rows.select("doc_id", "toxic", F.col("text").cast("binary").alias("text")).toArrow().sort_by("doc_id")
@@ -268,6 +293,7 @@ def scorer(machine: Machine | None):
             store.update(name=name, known={})
         known = store["known"]
         out = [probabilities(texts[i : i + TEXTS], known) for i in range(0, len(texts), TEXTS)]
+        release()
         return pa.array(np.concatenate([np.zeros(0), *out]))
 
     def probabilities(texts: pa.Array, known: dict) -> np.ndarray:

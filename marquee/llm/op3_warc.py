@@ -1,7 +1,8 @@
 """WARC archives of pages and their chunked record table.
 
 Each task writes one archive (WARC/1.1, one record per page); the payload goes out in chunks of a view on the
-row's buffer, without a copy.  Reading streams an archive and yields rows of at most CHUNK payload bytes: record
+row's buffer, without a copy.  A record's identifier names its page, its archive and its number there, so that
+records of repeated page_ids can be told apart; a revisit refers to the page.  Reading streams an archive and yields rows of at most CHUNK payload bytes: record
 identifier, chunk number, the bytes, the bytes up to here and the SHA-1 of all bytes up to here; the last chunk's
 digest is the payload's and is compared with the record's header.  No record is ever held whole when reading.
 
@@ -30,32 +31,33 @@ from marquee.llm.common import pick, pin, shared_path
 CHUNK = 1 << 18
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK_ROWS = "page_id long, record_type string, refers_to long, chunk long, length long, bytes_so_far long, digest_so_far string, last boolean, payload binary"
+CHUNK_ROWS = "page_id long, record string, record_type string, refers_to long, chunk long, length long, bytes_so_far long, digest_so_far string, last boolean, payload binary"
 
 
 def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def page_urn(page_id: int | None, place: str = "") -> str:
+    """A page's name, and with its place (archive, number in it) that of one record of it."""
+    return f"<urn:page:{'' if page_id is None else page_id}{place}>"
 
 
 def page_of(urn: str | None) -> int | None:
-    number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    number = (urn or "").removeprefix("<urn:page:").removesuffix(">").split(":")[0]
     return int(number) if number else None
 
 
-def heads(page_id, url, digest: str, n_bytes: int, refers_to) -> bytes:
+def heads(page_id, place: str, url, digest: str, n_bytes: int, refers_to) -> bytes:
     """The WARC head and the HTTP head of a record; a revisit has no payload after them."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     revisit = refers_to is not None
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {page_urn(page_id, place)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
-        lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {page_urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (0 if revisit else n_bytes)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
@@ -79,11 +81,12 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        path, out, n = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc", None, 0
+        part = TaskContext.get().partitionId()
+        path, out, n = f"{folder}/part-{part:06d}.warc", None, 0
         for batch in batches:
             for page_id, url, digest, n_bytes, refers_to, payload in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
                 out = out or files.Writer(path)
-                out.write(heads(page_id, url, base32(digest), n_bytes, refers_to))
+                out.write(heads(page_id, f":{part}:{n}", url, base32(digest), n_bytes, refers_to))
                 if refers_to is None:
                     view = memoryview(payload.as_buffer())
                     for i in range(0, n_bytes, CHUNK):
@@ -114,10 +117,11 @@ def read_chunks(path: str, size: int = CHUNK) -> Iterator[tuple]:
             head = dict(x.decode().split(": ", 1) for x in lines[1:])
             http = _head(f)
             n_bytes = int(next(x for x in http if x.startswith(b"Content-Length: "))[16:])
-            page_id, kind, refers_to = page_of(head["WARC-Record-ID"]), head["WARC-Type"], page_of(head.get("WARC-Refers-To"))
+            record = head["WARC-Record-ID"]
+            page_id, kind, refers_to = page_of(record), head["WARC-Type"], page_of(head.get("WARC-Refers-To"))
             declared = head["WARC-Payload-Digest"].removeprefix("sha1:")
             if kind == "revisit":
-                yield page_id, kind, refers_to, 0, 0, n_bytes, declared, True, b""
+                yield page_id, record, kind, refers_to, 0, 0, n_bytes, declared, True, b""
             else:
                 sha, so_far, k = hashlib.sha1(), 0, 0
                 while True:
@@ -127,8 +131,8 @@ def read_chunks(path: str, size: int = CHUNK) -> Iterator[tuple]:
                     last = so_far == n_bytes
                     digest = base64.b32encode(sha.digest()).decode()
                     if (last and digest != declared) or not (data or last):
-                        raise ValueError(f"{path}: the payload of {head['WARC-Record-ID']} does not have its digest")
-                    yield page_id, kind, None, k, len(data), so_far, digest, last, data
+                        raise ValueError(f"{path}: the payload of {record} does not have its digest")
+                    yield page_id, record, kind, None, k, len(data), so_far, digest, last, data
                     k += 1
                     if last:
                         break
@@ -138,7 +142,7 @@ def read_chunks(path: str, size: int = CHUNK) -> Iterator[tuple]:
 def chunk_table(archives: DataFrame, size: int = CHUNK) -> DataFrame:
     """CHUNK_ROWS of all archives (path, records), an archive to a task."""
     names = [x.split()[0] for x in CHUNK_ROWS.split(", ")]
-    kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.bool_(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.bool_(), pa.binary()]
 
     def made(rows) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -149,7 +153,7 @@ def chunk_table(archives: DataFrame, size: int = CHUNK) -> DataFrame:
                 rows, held = [], 0
                 for row in read_chunks(path, size):
                     rows.append(row)
-                    held += row[4] + 200
+                    held += row[5] + 200
                     if held >= 1 << 22:
                         yield made(rows)
                         rows, held = [], 0

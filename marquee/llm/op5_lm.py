@@ -6,7 +6,8 @@ are none, so that all counts of the corpus take part in a score.
 
 Training: the network reads every training document whole, once, its state carried from window to window.  The
 documents are dealt to ROUNDS rounds by a hash of their id; in each round every partition trains a copy of the network
-by truncated backpropagation on its documents of the round, and the copies are averaged by their numbers of symbols.
+by truncated backpropagation on its documents of the round, and the copies are averaged by their numbers of symbols
+(so that the network, though not the counts, depends on how the documents are dealt to partitions).
 Scoring reads whole documents, the state carried from window to window.
 
 Counts of the KNOWN most frequent words travel to the workers (a bounded table); the rest of a document's words are
@@ -78,10 +79,15 @@ class Vocabulary:
         self.symbol_counts[1 : 1 + self.in_network] = self.counts[: self.in_network]
         self.symbol_counts[-1] = self.other_tokens
 
-    def symbols(self, ranks: np.ndarray) -> np.ndarray:
-        """Symbols of words given by rank (-1: not among the known), and the end."""
-        inside = (ranks >= 0) & (ranks < self.in_network)
-        return np.append(np.where(inside, ranks + 1, self.other), 0)
+    def plain(self) -> dict:
+        """What tasks need, in types that a worker without this package can load."""
+        return {k: getattr(self, k) for k in ("words", "counts", "in_network", "other", "other_tokens", "other_distinct", "end_count")}
+
+
+def _symbols(ranks: np.ndarray, vocab: dict) -> np.ndarray:
+    """Symbols of words given by rank (-1: not among the known), and the end."""
+    inside = (ranks >= 0) & (ranks < vocab["in_network"])
+    return np.append(np.where(inside, ranks + 1, vocab["other"]), 0)
 
 
 def _ranks(place: dict, words: list[bytes]) -> np.ndarray:
@@ -93,9 +99,9 @@ def sequences(docs: DataFrame, vocabulary) -> DataFrame:
 
     def read(batches):
         vocab = vocabulary.value
-        place = {w: i for i, w in enumerate(vocab.words[: vocab.in_network])}
+        place = {w: i for i, w in enumerate(vocab["words"][: vocab["in_network"]])}
         for batch in batches:
-            out = [vocab.symbols(_ranks(place, (text.as_py() or b"").lower().split())).astype(np.int16).tobytes() for text in batch.column(1)]
+            out = [_symbols(_ranks(place, (text.as_py() or b"").lower().split()), vocab).astype(np.int16).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["round", "symbols"])
 
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("round"), "text").mapInArrow(read, "round int, symbols binary")
@@ -108,7 +114,7 @@ def trained(parts: DataFrame, flat: np.ndarray, rounds: int = ROUNDS) -> np.ndar
         sent = spark.sparkContext.broadcast(flat)
 
         def fit(batches, sent=sent, k=k):
-            new, n = gru.train(sent.value, (np.frombuffer(x.as_buffer(), np.int16) for b in batches for x in b.column(0)), 0, rate=0.01 / (1 + k))
+            new, n = gru.train(sent.value, (np.frombuffer(x.as_buffer(), np.int16) for b in batches for x in b.column(0)), 0, rate=0.015 / (1 + k))
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(gru.SIZE)), pa.array(new.astype(np.float64) * n), pa.array(np.full(gru.SIZE, n, np.float64))], ["at", "w", "n"])
 
@@ -129,10 +135,10 @@ def _scored(docs: DataFrame, vocabulary, network) -> DataFrame:
         from pyspark import TaskContext
 
         vocab, row = vocabulary.value, TaskContext.get().partitionId() << 33
-        place = {w: i for i, w in enumerate(vocab.words)}
-        log_count = np.log10(vocab.counts + 1.0)
-        outside = np.log10(vocab.other_tokens + vocab.other_distinct + 1.0)
-        end = (np.log10(vocab.end_count + 1.0), int(vocab.end_count > 0))
+        place, inside = {w: i for i, w in enumerate(vocab["words"])}, vocab["in_network"]
+        log_count = np.log10(vocab["counts"] + 1.0)
+        outside = np.log10(vocab["other_tokens"] + vocab["other_distinct"] + 1.0)
+        end = (np.log10(vocab["end_count"] + 1.0), int(vocab["end_count"] > 0))
         for batch in batches:
             sequences, cols = [], [[] for _ in range(7)]
             for text in batch.column(2):
@@ -140,9 +146,9 @@ def _scored(docs: DataFrame, vocabulary, network) -> DataFrame:
                 ranks = _ranks(place, words)
                 known = ranks[ranks >= 0]
                 rest = Counter([words[i] for i in np.flatnonzero(ranks < 0)])
-                sequences.append(vocab.symbols(ranks).astype(np.int16))
+                sequences.append(_symbols(ranks, vocab).astype(np.int16))
                 logs = log_count[known]
-                no_symbol = logs[known >= vocab.in_network].sum() - outside * (ranks[ranks < 0].size + (known >= vocab.in_network).sum())
+                no_symbol = logs[known >= inside].sum() - outside * (ranks[ranks < 0].size + (known >= inside).sum())
                 for c, x in zip(cols, (row, len(words) + 1, len(known) + end[1], logs.sum() + end[0], no_symbol, list(rest), list(rest.values())), strict=True):
                     c.append(x)
                 row += 1
@@ -161,7 +167,7 @@ def score(docs: DataFrame) -> DataFrame:
     training = rows.where(~F.col("held_out"))
     counts = pin(word_counts(training), "counts")
     vocab = Vocabulary(counts)
-    vocabulary = sc.broadcast(vocab)
+    vocabulary = sc.broadcast(vocab.plain())
     parts = pin(sequences(training, vocabulary), "sequences")
     network = sc.broadcast(trained(parts, gru.initial(vocab.symbol_counts)))
     scored = pin(_scored(rows, vocabulary, network), "scored")

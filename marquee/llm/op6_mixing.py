@@ -12,8 +12,10 @@ floor(r) copies, and one more when its fixed hash number lies enough below the f
 source is found by refining a histogram, so that the words taken meet the target to about one document.
 
 Defined results: null or empty text has size 0 and takes 0; a null source is a source of its own and
-comes last; a source of size 0 has target 0; repeated rows are taken alike; an empty table gives an
-empty result; other columns are ignored.
+comes last; a source of size 0 has target 0; rows of equal source, doc_id and size are numbered among
+themselves and drawn by id and number, each for itself, so that they meet their target too (which of
+them stands for which number does not matter to the result where they are the same); a problem that Newton
+steps do not solve is an error; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def multipliers(docs: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
             # Sums of doubles depend on their order in the last digits; without these, reruns agree.
             return y.select(*keep).withColumn("lam", F.round("lam", 10))
         state = y.withColumn("lam", F.col("next")).select(*keep)
-    return state
+    raise RuntimeError(f"the multipliers have not been found in {MAX_STEPS} steps")
 
 
 def _size(text: Column) -> Column:
@@ -101,14 +103,43 @@ def _size(text: Column) -> Column:
 
 
 def _drawn(rows: DataFrame) -> DataFrame:
-    """Adds rate, whole (copies in any case) and rank: a document's number in [0, 1), fixed by its id, less the rate's fraction."""
-    number = F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """Adds rate, whole (copies in any case) and rank: a document's number in [0, 1), fixed by its id (and its number among
+    equal ones), less the rate's fraction."""
+    drawn = F.when(F.col("tie") == 0, F.xxhash64("doc_id", "size")).otherwise(F.xxhash64("doc_id", "size", "tie"))
+    number = F.pmod(drawn, F.lit(1 << 52)) / F.lit(float(1 << 52))
     rows = rows.withColumn("rate", _rate()).withColumn("whole", F.floor("rate").cast("long"))
     return rows.withColumn("rank", number - (F.col("rate") - F.col("whole")))
 
 
+SAME = ("source", "doc_id", "size")
+
+
+def ties(base: DataFrame) -> DataFrame | None:
+    """The (source, doc_id, size) that several rows of ``base`` have; None if there are none."""
+    found = pin(base.groupBy(*SAME).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(c).alias(f"_tied_{c}") for c in SAME)), "ties")
+    return None if found.isEmpty() else found
+
+
+def numbered(rows: DataFrame, tied: DataFrame | None) -> DataFrame:
+    """Adds tie: 0, 1, ... among rows of equal source, doc_id and size, counted by task and then over tasks, so that
+    no task holds all of them."""
+    if tied is None:
+        return rows.withColumn("tie", F.lit(0).cast("long"))
+    columns = rows.columns
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_tied_{c}"))
+    marked = rows.withColumn("_task", F.spark_partition_id()).join(tied.withColumn("_tied", F.lit(True)), same("source") & same("doc_id") & same("size"), "left")
+    alone = marked.where("_tied is null").select(*columns, F.lit(0).cast("long").alias("tie"))
+    several = pin(marked.where("_tied").select(*columns, "_task"), "tied")  # read twice: a row keeps its task
+    counts = several.groupBy(*SAME, "_task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*SAME).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select(*(F.col(c).alias(f"_tied_{c}") for c in SAME), F.col("_task").alias("_of"), before.alias("_first"))
+    within = F.row_number().over(Window.partitionBy(*SAME, "_task").orderBy("_task")) - 1
+    several = several.withColumn("_within", within).join(first, same("source") & same("doc_id") & same("size") & (F.col("_task") == F.col("_of")))
+    return alone.unionByName(several.select(*columns, (F.col("_first") + F.col("_within")).alias("tie")))
+
+
 def source_plan(base: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, bool]:
-    """For each source of ``base`` (doc_id, source, size): key, source_size, target, most, mean, cap, lam, and cut: a document
+    """For each source of ``base`` (doc_id, source, size, tie): key, source_size, target, most, mean, cap, lam, and cut: a document
     whose rank is below it is taken once more.  The flag says that the table is small enough to broadcast."""
     sources = pin(with_targets(ranked_sources(base), weights, share, cap).withColumn("cap", F.lit(float(cap))), "targets")
     small = sources.count() <= BROADCAST_SOURCES
@@ -140,7 +171,7 @@ def source_plan(base: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
 
 
 def with_copies(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
-    """Adds the plan of each row's source, rate and copies to ``rows`` (doc_id, source, size)."""
+    """Adds the plan of each row's source, rate and copies to ``rows`` (doc_id, source, size, tie)."""
     drawn = _drawn(rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("key"))))
     extra = ((F.col("rate") > F.col("whole")) & (F.col("rank") < F.col("cut"))).cast("long")
     return drawn.withColumn("copies", F.col("whole") + extra)
@@ -149,6 +180,7 @@ def with_copies(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, rate, copies for each row of ``docs`` (doc_id, source, text)."""
     base = pin(pick(docs, "doc_id", "source", "text").select("doc_id", "source", _size(F.col("text")).alias("size")), "sizes")
+    base = numbered(base, tied) if (tied := ties(base)) is None else pin(numbered(base, tied), "numbered")
     out = with_copies(base, *source_plan(base, weights, share, cap))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
@@ -156,11 +188,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
     base = pin(pick(docs, "doc_id", "source", "text").select("doc_id", "source", _size(F.col("text")).alias("size")), "sizes")
+    tied = ties(base)
+    base = numbered(base, tied) if tied is None else pin(numbered(base, tied), "numbered")
     plan, small = source_plan(base, weights, share, cap)
 
     def taken(d: DataFrame) -> DataFrame:
         rows = d.select(F.struct(*d.columns).alias("_row"), "doc_id", "source", _size(F.col("text")).alias("size"))
-        times = with_copies(rows, plan, small).where("copies > 0")
+        times = with_copies(numbered(rows, tied), plan, small).where("copies > 0")
         return times.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
     return keeping_columns(docs, ("doc_id", "source", "text"), taken)

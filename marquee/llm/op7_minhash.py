@@ -6,7 +6,7 @@ similarity needs a number of equal coordinates that follows from the similarity
 itself has fewer with a chance of at most MISS; below a similarity of about 0.2 not even one is that sure), so two linked
 classes share one of the COORDINATES - matches + 1 rarest pairs of each: only this prefix is posted.
 
-First merging: in each posting all are paired with the smallest id, its head; pairs whose signatures collide in
+First merging: in each posting all are paired with the smallest class, its head; pairs whose signatures collide in
 that many coordinates are confirmed on full sets; the links give components.  Then skip merging: classes that shared a
 posting met the same head, so a head's members that are not in its component are compared with all its members,
 in blocks of BLOCK x BLOCK classes by products of their shingle incidence.  What is in one component already is not
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import batch_rows, keeping_columns, pick, pin, worker_store
+from marquee.llm.common import batch_rows, keeping_columns, pick, pin, releasing, worker_store
 from marquee.llm.components import components
 
 COORDINATES, MISS = 48, 5e-5
@@ -80,7 +80,7 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, n_shingles, key (of the whole set), pairs (the signature) of each row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, key (of the whole set), pairs (the signature) of each row of ``docs`` (doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -93,31 +93,31 @@ def signed(docs: DataFrame, width: int = SHINGLE, coordinates: int = COORDINATES
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 pairs.append(signature(s, seeds) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(pairs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "pairs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(pairs, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "key", "pairs"])
 
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, key binary, pairs array<long>")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(releasing(sign), "doc_id long, text_hash long, n_shingles long, key binary, pairs array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rep, hashes (binary): the full set of each class in ``wanted`` (rep, key)."""
+    """class, hashes (binary): the full set of each class in ``wanted`` (class, rep, text_hash, key), from a row of its rep."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             ids, out = [], []
-            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for number, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingles(text.as_py() or b"", width).tobytes()
-                if xxhash.xxh3_128_digest(s) == key:  # a repeated doc_id may have another text
-                    ids.append(doc_id)
+                if xxhash.xxh3_128_digest(s) == key:
+                    ids.append(number)
                     out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["rep", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["class", "hashes"])
 
     small = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-    sets = pin(rows.join(small(wanted), "rep").select("rep", "key", "text").mapInArrow(load, "rep long, hashes binary"), "full_sets")
-    return sets if sets.select("rep").distinct().count() == sets.count() else pin(sets.dropDuplicates(["rep"]), "full_sets")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
+    sets = pin(rows.join(small(wanted), ["rep", "text_hash"]).select("class", "key", "text").mapInArrow(releasing(load), "class long, hashes binary"), "full_sets")
+    return sets if sets.select("class").distinct().count() == sets.count() else pin(sets.dropDuplicates(["class"]), "full_sets")
 
 
 def matches_at(percent: int, coordinates: int = COORDINATES) -> int:
@@ -146,9 +146,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["a", "b"])
 
-    with_b = pin(pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b"), "pair_sets")
-    both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(check, "a long, b long")
+    with_b = pin(pairs.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b"), "pair_sets")
+    both = with_b.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(releasing(check), "a long, b long")
 
 
 def _incidence(columns: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -187,47 +187,47 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], other_ids: np.ndarra
 
 
 def blocked_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the members (head, rep, apart) that are apart from their head's component with all members of the head."""
+    """Links of the members (head, class, apart) that are apart from their head's component with all members of the head."""
     sizes = pin(members.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_all"), F.ceil(F.count_if("apart") / BLOCK).cast("int").alias("n_apart")), "head_sizes")
-    m = pin(members.join(sizes, "head"), "members").withColumns({"in_all": F.pmod(F.xxhash64("rep"), F.col("n_all")), "in_apart": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_apart"))})
-    m = m.join(sets, "rep")
-    asked = m.where("apart").select("head", F.col("in_apart").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), "rep", "hashes", F.lit(True).alias("asks"))
-    told = m.select("head", F.explode(F.sequence(F.lit(0), F.col("n_apart") - 1)).alias("i"), F.col("in_all").cast("int").alias("j"), "rep", "hashes", F.lit(False).alias("asks"))
+    m = pin(members.join(sizes, "head"), "members").withColumns({"in_all": F.pmod(F.xxhash64("class"), F.col("n_all")), "in_apart": F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_apart"))})
+    m = m.join(sets, "class")
+    asked = m.where("apart").select("head", F.col("in_apart").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), "class", "hashes", F.lit(True).alias("asks"))
+    told = m.select("head", F.explode(F.sequence(F.lit(0), F.col("n_apart") - 1)).alias("i"), F.col("in_all").cast("int").alias("j"), "class", "hashes", F.lit(False).alias("asks"))
 
     def compare(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy()
-        rep, sets_ = group.column("rep").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
-        parts = [([rep[k] for k in at], [sets_[k] for k in at]) for at in (np.flatnonzero(asks), np.flatnonzero(~asks))]
+        number, sets_ = group.column("class").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
+        parts = [([number[k] for k in at], [sets_[k] for k in at]) for at in (np.flatnonzero(asks), np.flatnonzero(~asks))]
         links = spanning_links(np.array(parts[0][0]), parts[0][1], np.array(parts[1][0]), parts[1][1], percent) if parts[0][0] and parts[1][0] else []
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    both = asked.select("head", F.col("i").cast("int").alias("i"), "j", "rep", "hashes", "asks").unionByName(told)
+    both = asked.select("head", F.col("i").cast("int").alias("i"), "j", "class", "hashes", "asks").unionByName(told)
     return both.groupBy("head", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, width: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
-    """a, b: links between ``classes`` (rep, key, pairs) that connect all that similar sets connect."""
+    """a, b: links between ``classes`` (class, rep, text_hash, key, pairs) that connect all that similar sets connect."""
     matches = matches_at(percent, coordinates)
-    posted = pin(classes.select("rep", F.explode("pairs").alias("pair")), "posted")
+    posted = pin(classes.select("class", F.explode("pairs").alias("pair")), "posted")
     shared = pin(posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    common = posted.join(shared, "pair").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("common"))  # COORDINATES at most
+    common = posted.join(shared, "pair").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("common"))  # COORDINATES at most
     # The rarest pairs come first; those of one document only are before all others and need no posting.
     room = F.lit(coordinates - matches + 1 - coordinates) + F.size("common")
-    prefix = pin(common.where(room > 0).select("rep", F.explode(F.slice("common", F.lit(1), room)).alias("x")).select("rep", F.col("x.pair").alias("pair")), "prefix")
-    heads = pin(prefix.groupBy("pair").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
-    members = pin(prefix.join(heads, "pair").select("head", "rep").distinct(), "met")
-    signatures = classes.select(F.col("rep"), "pairs")
-    pairs = members.where("head <> rep").join(signatures, "rep").withColumnRenamed("pairs", "mine")
-    pairs = pin(pairs, "pairs").join(signatures.select(F.col("rep").alias("head"), "pairs"), "head")
-    close = pin(pairs.where(F.size(F.array_intersect("mine", "pairs")) >= matches).select(F.col("head").alias("a"), F.col("rep").alias("b")), "close")
-    wanted = members.select("rep").distinct().join(classes.select("rep", "key"), "rep")
+    prefix = pin(common.where(room > 0).select("class", F.explode(F.slice("common", F.lit(1), room)).alias("x")).select("class", F.col("x.pair").alias("pair")), "prefix")
+    heads = pin(prefix.groupBy("pair").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
+    members = pin(prefix.join(heads, "pair").select("head", "class").distinct(), "met")
+    signatures = classes.select(F.col("class"), "pairs")
+    pairs = members.where("head <> class").join(signatures, "class").withColumnRenamed("pairs", "mine")
+    pairs = pin(pairs, "pairs").join(signatures.select(F.col("class").alias("head"), "pairs"), "head")
+    close = pin(pairs.where(F.size(F.array_intersect("mine", "pairs")) >= matches).select(F.col("head").alias("a"), F.col("class").alias("b")), "close")
+    wanted = members.select("class").distinct().join(classes.select("class", "rep", "text_hash", "key"), "class")
     sets = full_sets(docs, pin(wanted, "wanted"), width)
     first = pin(confirmed(close, sets, percent), "first_links")
     found = pin(components(first), "first_components")
     of = lambda c, name: found.select(F.col("id").alias(c), F.col("component").alias(name))
-    m = pin(members.join(of("rep", "mine"), "rep", "left"), "members").join(of("head", "heads"), "head", "left")
+    m = pin(members.join(of("class", "mine"), "class", "left"), "members").join(of("head", "heads"), "head", "left")
     # Heads in one component are one head from here on.
-    m = m.select(F.coalesce("heads", "head").alias("head"), "rep", (F.coalesce("mine", "rep") != F.coalesce("heads", "head")).alias("apart"))
+    m = m.select(F.coalesce("heads", "head").alias("head"), "class", (F.coalesce("mine", "class") != F.coalesce("heads", "head")).alias("apart"))
     m = pin(m.distinct(), "members")
     open_heads = pin(m.groupBy("head").agg(F.count_if("apart").alias("n")).where("n > 0").select("head"), "open_heads")
     second = blocked_links(pin(m.join(open_heads, "head"), "open_members"), sets, percent)
@@ -243,18 +243,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
 def _near_duplicates(docs: DataFrame, percent: int, width: int) -> DataFrame:
     rows = pin(signed(docs, width), "signed")
     sets = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = pin(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("pairs").alias("pairs")), "classes")
-    copies = pin(sets.select("doc_id", "key").join(classes.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
-    # A class's copies join it after the links are merged; an id in two classes links them.
-    twice = pin(sets.groupBy("doc_id").agg(F.count_distinct("key").alias("n")).where("n > 1").select("doc_id"), "twice")
+    # Classes have numbers of their own: a doc_id that repeats with different texts is in several.
+    classes = sets.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("pairs").alias("pairs"))
+    classes = classes.select("key", F.col("first.doc_id").alias("rep"), "first.text_hash", "pairs")
+    classes = pin(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     found = links(docs, classes, percent, width)
-    if not twice.isEmpty():
-        found = found.unionAll(copies.join(twice.withColumnRenamed("doc_id", "a"), "a"))
+    twice = pin(sets.groupBy("doc_id").agg(F.count_distinct("key").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if not twice.isEmpty():  # such an id links its classes
+        of_id = pin(sets.join(twice, "doc_id").select("doc_id", "key").distinct().join(classes.select("key", "class"), "key").select("doc_id", "class"), "classes_of_id")
+        found = found.unionAll(of_id.join(of_id.groupBy("doc_id").agg(F.min("class").alias("a")), "doc_id").select("a", F.col("class").alias("b")).where("a <> b"))
     merged = pin(components(found), "components")
-    # Each id's component: that of the smallest class it is in; classes are merged by then.
-    by_class = classes.select("key", "rep").join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    by_class = pin(by_class, "class_components")
-    out = rows.join(by_class, "key", "left")
+    of_class = classes.select("key", "class", "rep").join(merged.withColumnRenamed("id", "class"), "class", "left").select("key", "rep", F.coalesce("component", "class").alias("group"))
+    of_class = pin(of_class, "groups")
+    least = pin(of_class.groupBy("group").agg(F.min("rep").alias("component")), "least")
+    by_key = pin(of_class.join(least, "group").select("key", "component"), "class_components")
+    out = rows.join(by_key, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

@@ -5,7 +5,8 @@ The list's canonical urls build a blocked Bloom filter: a url sets eight bits wi
 only these pages go to the exact join with the list, which removes the false positives.
 
 Defined results: a null url or one without ``://`` has empty host and path; no rule with a path fits an
-empty path; verdict is the rule's, else block if the canonical url is listed, else allow.  Repeated rows
+empty path; verdict is the rule's, else block if the canonical url is listed, else allow.  List entries may stand with
+or without a scheme; one without a host lists nothing, so that pages without a host are never listed.  Repeated rows
 are judged alike; an empty table gives an empty result; an empty list blocks nothing; other columns are ignored.
 """
 
@@ -22,6 +23,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 # Words in host names of betting, drug and tracking sites.
 SPAM_HOST_WORDS = ("casino", "bets", "pills", "ads-track")
+#: The registered query also lists the canonical urls whose md5 comes before this text (an eighth of them, on every host).
+LISTED_BELOW = "2"
 BITS_PER_URL = 16
 #: Filters up to this many blocks (32 bytes of bits each) are broadcast: 8 MB.  Larger ones are joined by shuffle.
 BROADCAST_BLOCKS = 1 << 18
@@ -43,6 +46,12 @@ def canonical(url: Column) -> Column:
                     F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
+def canonical_entry(url: Column) -> Column:
+    """``canonical`` of a list entry, which may stand without a scheme; empty without a host."""
+    whole = F.when(F.instr(url, "://") > 0, url).otherwise(F.concat(F.lit("http://"), url))
+    return F.when(host_of(whole) != "", canonical(whole)).otherwise("")
+
+
 def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits (null if none) and its verdict."""
     name = verdict = None
@@ -74,7 +83,7 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages`` (page_id, url); ``listed`` (url) is the block list."""
     host, path, url = host_of(F.col("url")), path_of(F.col("url")), F.coalesce(F.col("url"), F.lit(""))
-    names = pin(pick(listed, "url").where("url is not null").select(canonical(F.col("url")).alias("canon")).distinct(), "listed")
+    names = pin(pick(listed, "url").where("url is not null").select(canonical_entry(F.col("url")).alias("canon")).where("canon <> ''").distinct(), "listed")
     blocks = max(1, -(-names.count() * BITS_PER_URL // 256))
     bloom = pin(bloom_filter(names, blocks), "bloom")
     rows = pick(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"), canonical(url).alias("canon"))
@@ -93,8 +102,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
 
 
 def spam_list(pages: DataFrame) -> DataFrame:
-    """The block list of the registered query: the urls of pages whose host name holds one of the words."""
-    return pick(pages, "url").where(host_of(F.col("url")).rlike("|".join(SPAM_HOST_WORDS)))
+    """The block list of the registered query: urls whose host name holds one of the words, and those picked by hash."""
+    url = F.col("url")
+    picked = (host_of(url) != "") & (F.md5(canonical(url)) < LISTED_BELOW)
+    return pick(pages, "url").where(host_of(url).rlike("|".join(SPAM_HOST_WORDS)) | picked)
 
 
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,7 +126,7 @@ named AS (
          WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
          WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
   FROM parts),
-listed AS (SELECT DISTINCT canon FROM named WHERE regexp_matches(host, '{"|".join(SPAM_HOST_WORDS)}'))
+listed AS (SELECT DISTINCT canon FROM named WHERE host <> '' AND (regexp_matches(host, '{"|".join(SPAM_HOST_WORDS)}') OR md5(canon) < '{LISTED_BELOW}'))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marquee.llm.common import batch_rows, pick, pin
+from marquee.llm.common import batch_rows, pick, pin, releasing
 from marquee.llm.tokens import Encoder
 
 SEQUENCE, UNIT, END_ID = 2048, 16, 1
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sequence: int
                                           ["shard", "class", "rank", "doc_id", "start", "length", "doc_tokens", "ids_crc32", *["ids"] * keep_ids])
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
+    return rows.mapInArrow(releasing(cut), PIECES + ", ids binary" * keep_ids)
 
 
 def best_pattern(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -124,6 +124,50 @@ def labelled(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_op2_kernel_equals_brute_force():
+    """The sum over numbered subsequences is the kernel: subsequences of four codes, by the span that they take."""
+    from itertools import combinations
+    rng = random.Random(3)
+
+    def features(unit):
+        out = Counter()
+        for at in combinations(range(len(unit)), op2_toxicity.ORDER):
+            out[tuple(unit[i] for i in at)] += op2_toxicity.DECAY ** (at[-1] - at[0] + 1.0)
+        norm = math.sqrt(sum((op2_toxicity.DECAY ** (at[-1] - at[0] + 1.0)) ** 2 for at in combinations(range(len(unit)), op2_toxicity.ORDER)))
+        return {k: v / norm for k, v in out.items()}
+
+    pairs = [("abcd", "ebca"), ("idiot", "iidiiot"), ("stupid", "st" "uzpid"), ("straße", "strasse")]
+    pairs += [tuple("".join(rng.choice("abcdeéøzyx") for _ in range(rng.randint(3, 12))) for _ in range(2)) for _ in range(200)]
+    for x, y in pairs:
+        (u,), (v,) = op2_toxicity.units(x.encode()), op2_toxicity.units(y.encode())
+        f, g = features(u), features(v)
+        rows = []
+        for unit in (u, v):
+            which, w = op2_toxicity.embed(np.array([unit]))
+            rows.append(np.bincount(which[0], w[0], op2_toxicity.SLOTS))
+        assert abs(rows[0] @ rows[1] - sum(w * g.get(k, 0.0) for k, w in f.items())) < 1e-6
+    a, b = (op2_toxicity.embed(np.array(op2_toxicity.units(w)))[0][0, -1] for w in (b"abcd", b"ebca"))
+    assert a != b
+    letters = [np.array([[1 + k % 26, 1 + k // 26 % 26, 1 + k // 676, 1 + k % 7] for k in range(17_576)])]
+    assert len(np.unique(op2_toxicity.embed(letters[0])[0])) == 17_576
+
+
+def test_op2_an_insult_in_one_phrase_and_labels_in_conflict(spark):
+    """An insult that many documents hold in one phrase is learned; copies of one document are one witness."""
+    d, labels = labelled(spark)
+    rng = random.Random(13)
+    texts_ = [" ".join("".join(rng.choice(["th", "er", "on", "an"]) for _ in range(3)) for _ in range(60)) for _ in range(400)]
+    phrase = [(10_000 + i, t + (" zzz wretch zzz" if i % 2 else ""), i % 2) for i, t in enumerate(texts_)]
+    rows = spark.createDataFrame([r[:2] for r in phrase], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, y) for i, _, y in phrase] + [(10_000, 1, 1), (10_001, 1, 0)], "doc_id long, quality int, toxic int")
+    got = collected(op2_toxicity.scored(rows, marks))
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] - 10_000) % 2 for r in held) >= 0.97 * len(held)
+    assert op2_toxicity.near_copies([b"a b c d", b"a b c d", b"x y z w", b""]) == [0, 0, 2, 3]
+    from marquee.llm.common import one_label
+    assert {r["doc_id"] for r in one_label(marks, "toxic").where("doc_id in (10000, 10001, 10002)").collect()} == {10_002}
+
+
 def test_op2_held_out_accuracy_and_edges(spark):
     d, labels = labelled(spark)
     odd = spark.createDataFrame([(5001, None), (5002, ""), (5003, "you i.d.i.o.t and st-upid clo*wn"), (5004, "you iddiot and stuppid cloown"), (5005, "the " * 30000), (None, "the idiot"), (5004, "you iddiot and stuppid cloown")], "doc_id long, text string")
@@ -157,6 +201,8 @@ def test_op3_archives(spark):
         sha.update(payload)
         assert base64.b32encode(sha.digest()).decode() == so_far and len(payload) <= 1000
     assert b"".join(p for _, p, _ in one).decode() == html[0][2]
+    named = [(r["record"], r["chunk"]) for r in collected(chunks)]
+    assert len(set(named)) == len(named)  # also of repeated page_ids
     least = collected(op3_warc.records(op3_warc.chunk_table(op3_warc.write_archives(pages, min_bytes=5))))
     assert all(r["record_type"] == "response" for r in least if r["payload_bytes"] < 5)
     assert op3_warc.chunk_table(op3_warc.write_archives(pages.limit(0))).count() == 0
@@ -236,9 +282,9 @@ def test_op5_training_covers_whole_texts(spark, monkeypatch):
     rows = [(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(n))) for i, n in enumerate([0, 1, 47, 48, 49, 1000, 3, 16, 15])] + [(None, "w1 w2"), (5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
     vocab = op5_lm.Vocabulary(op5_lm.word_counts(df))
-    got = collected(op5_lm.sequences(df, spark.sparkContext.broadcast(vocab)))
+    got = collected(op5_lm.sequences(df, spark.sparkContext.broadcast(vocab.plain())))
     place = {w: i for i, w in enumerate(vocab.words)}
-    exp = [vocab.symbols(np.array([place[w] for w in (t or "").lower().encode().split()], np.int64)).tolist() for _, t in rows]
+    exp = [op5_lm._symbols(np.array([place[w] for w in (t or "").lower().encode().split()], np.int64), vocab.plain()).tolist() for _, t in rows]
     assert sorted(np.frombuffer(r["symbols"], np.int16).tolist() for r in got) == sorted(exp)
     assert {r["round"] for r in got} == set(range(op5_lm.ROUNDS))
     seen, lanes = [], {}
@@ -315,6 +361,35 @@ def test_op6_targets_and_bounds(docs):
     assert op6_mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_op6_many_equal_rows_meet_their_target(spark):
+    rows = [(None, "a", "one two three four five")] * 100 + [(7, "b", "x y z")] * 40 + [(i, "b", "x y z w v u t s r q") for i in range(30)] + [(1, None, "k l")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = collected(op6_mixing.mix(frame))
+    assert len(got) == len(rows)
+    for size, words_ in (("a", 5), ("b", 10), (None, 2)):
+        mine = [r for r in got if (r["source_size"] == {"a": 500, "b": 420, None: 6}[size])]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= words_ and all(r["taken"] <= 2 * r["size"] for r in mine)
+    again = collected(op6_mixing.mix(frame.repartition(3)))
+    key = lambda r: (str(r["doc_id"]), r["size"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    assert sum(len(r["text"].split()) for r in op6_mixing.mixed(frame).collect()) == sum(r["taken"] for r in got)
+
+
+def test_op5_beats_the_base_on_held_out_text(spark):
+    """Words follow one another by a rule that counts alone cannot see; the network's scores are sent without this package's classes."""
+    rng = random.Random(21)
+    nouns, verbs = [f"n{i}" for i in range(20)], [f"v{i}" for i in range(20)]
+    rows = [(i, " ".join(f"the {rng.choice(nouns)} {rng.choice(verbs)} ." for _ in range(rng.randint(30, 60)))) for i in range(700)]
+    got = collected(op5_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)))
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 60 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert sum(r["score"] > r["base_score"] for r in held) > 0.9 * len(held)
+    counts = spark.createDataFrame([(b"a", 3), (b"", 2)], "word binary, n long")
+    import pickle
+    import pickletools
+    assert "marquee" not in "".join(str(arg) for _, arg, _ in pickletools.genops(pickle.dumps(op5_lm.Vocabulary(counts).plain())))
+
+
 def brute_components(rows, width, percent):
     sets = {}
     for i, t in rows:
@@ -350,6 +425,19 @@ def test_op7_pairs_at_the_threshold_of_80(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows[::2])
 
 
+def test_op7_ids_repeated_over_different_texts(spark):
+    """An id in several classes links them, and no class loses the links of its own text."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(500)]
+    one, two, three = ([rng.choice(vocab) for _ in range(120)] for _ in range(3))
+    near = lambda ws, k: " ".join([*ws[:k], "changed", *ws[k + 1 :]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one, 50)), (3, near(two, 60)), (4, " ".join(three)), (5, near(three, 9)), (1, " ".join(one)), (6, near(three, 70)), (6, "alone")]
+    exp = brute_components(rows, 3, 85)
+    for order in (rows, rows[::-1]):
+        got = collected(op7_minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(4)))
+        assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
+
+
 def test_op7_bound_on_missed_pairs():
     assert op7_minhash.matches_at(85) == 30 and op7_minhash.matches_at(100) == 48
     for percent in (60, 70, 80, 85, 95):
@@ -397,6 +485,14 @@ def test_op8_against_sql(spark):
     assert op8_urls.judge(pages.limit(0), pages).count() == 0
 
 
+def test_op8_list_entries_with_and_without_scheme(spark):
+    urls = [None, "", "no scheme", "http://bad.org/x", "https://www.bad.org/x/?ref=1", "http://bad.org/y", "http://other.org", "http://OTHER.org/z", "://", "http:///x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("bad.org/x",), ("http://other.org",), ("",), (None,), ("no scheme",), ("http://",), ("/x",)], "url string")
+    got = {r["page_id"]: r["verdict"] for r in collected(op8_urls.judge(pages, listed))}
+    assert {i for i, v in got.items() if v == "block"} == {3, 4, 6} and len(got) == len(urls)
+
+
 def test_op8_filter_lets_few_others_pass(spark):
     listed = spark.range(20_000).select(F.concat(F.lit("http://h.org/"), "id").alias("url"))
     names = listed.select(op8_urls.canonical(F.col("url")).alias("canon"))
