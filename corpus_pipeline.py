@@ -9,6 +9,12 @@ rereads it as the next stage's docs.  All stages but the last return the columns
 * mixing: documents are repeated or left out so that each source comes near its target share.
 * packing: the rest is packed into sequences; one row per piece: document, start, length, sequence and offset.
 
+Defined results of every stage: documents with null or empty texts are not toxic and fail the base rules of quality;
+near-dedup and mixing, which never see them in ``run``, keep them (no shingles) and take none of them (no words).  Rows that
+repeat a doc_id are judged each by their own text, stay or go together in near-dedup, and are mixed and packed each; equal
+near copies tie on the smallest doc_id; a null doc_id is judged alone; a null source is a source of its own.  An empty table
+passes through as an empty table.  Extra columns, also ones that clash with names used here, are kept up to packing.
+
 Labels are read from sf_dir; those of held-out documents (crc32 of doc_id, modulo 5, is 0) are not learned from.
 """
 
