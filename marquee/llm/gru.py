@@ -1,6 +1,8 @@
 """A gated recurrent network over word symbols with a class-factored softmax, in numpy.
 
-Symbols are dealt to classes of equal number: P(symbol | state) = P(class | state) * P(symbol | class, state)."""
+Symbols are dealt to classes: P(symbol | state) = P(class | state) * P(symbol | class, state).  Words are in classes of
+equal number; the end and the symbol of all other words, which are met most, are classes of their own and need no second
+factor."""
 
 from __future__ import annotations
 
@@ -9,12 +11,13 @@ from itertools import islice
 
 import numpy as np
 
-SYMBOLS, CLASSES, EMBED, STATE = 1024, 32, 12, 16
-MEMBERS = SYMBOLS // CLASSES
+#: Classes of words, words in each; the end is symbol 0, then the words, the last symbol stands for all other words.
+WORD_CLASSES, MEMBERS, EMBED, STATE = 16, 64, 12, 16
+CLASSES, SYMBOLS = WORD_CLASSES + 2, WORD_CLASSES * MEMBERS + 2
 F4 = np.float32
 # Shapes of the parameters, in the order of the flat vector.
 SHAPES = {"e": (SYMBOLS, EMBED), "w": (EMBED, 3 * STATE), "u": (STATE, 3 * STATE), "b": (3 * STATE,), "cw": (STATE, CLASSES), "cb": (CLASSES,),
-          "mw": (CLASSES, STATE, MEMBERS), "mb": (CLASSES, MEMBERS)}
+          "mw": (WORD_CLASSES, STATE, MEMBERS), "mb": (WORD_CLASSES, MEMBERS)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
@@ -27,22 +30,32 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def class_of(symbols: np.ndarray) -> np.ndarray:
+    """Words' classes come first, then the end's and that of the other words."""
+    cls = (symbols - 1) // MEMBERS
+    cls[symbols == 0] = WORD_CLASSES
+    cls[symbols == SYMBOLS - 1] = WORD_CLASSES + 1
+    return cls
+
+
 def initial(counts: np.ndarray, seed: int = 0) -> np.ndarray:
     """Small random weights; the output offsets are the symbols' own log frequencies."""
     rng = np.random.default_rng(seed)
     flat = (rng.standard_normal(SIZE) * 0.1).astype(F4)
     p = views(flat)
-    by_class = (counts + 0.5).reshape(CLASSES, MEMBERS)
+    some = counts + 0.5
+    words = some[1:-1].reshape(WORD_CLASSES, MEMBERS)
+    by_class = np.concatenate([words.sum(axis=1), some[[0, -1]]])
     p["b"][:] = 0
-    p["cb"][:] = np.log(by_class.sum(axis=1) / by_class.sum())
-    p["mb"][:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
+    p["cb"][:] = np.log(by_class / by_class.sum())
+    p["mb"][:] = np.log(words / words.sum(axis=1, keepdims=True))
     p["mw"][:] *= 0.1
     p["cw"][:] *= 0.1
     return flat
 
 
 def step(p, table, symbols, h):
-    """Next state, and what the backward pass needs. ``table``: each symbol's input to the gates."""
+    """Next state. ``table``: each symbol's input to the gates."""
     x, a = table[symbols], h @ p["u"]
     gates, n = x[:, : 2 * STATE], x[:, 2 * STATE :]
     gates += a[:, : 2 * STATE]
@@ -56,14 +69,16 @@ def step(p, table, symbols, h):
     out = h - n
     out *= z
     out += n
-    return out, (h, z, r, n, an)
+    return out
 
 
 def _by_class(h, symbols):
-    """Order of the rows by class, the bounds of each class in it, the states in that order and the members."""
-    cls = symbols // MEMBERS
-    order = np.argsort(cls, kind="stable")
-    return cls, order, np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist(), h[order], (symbols % MEMBERS)[order]
+    """The classes; the rows that are words in order of class, the bounds of each class in them, their states and members."""
+    cls = class_of(symbols)
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    ends = np.searchsorted(cls[order], np.arange(WORD_CLASSES + 1)).tolist()
+    order = order[: ends[-1]]
+    return cls, order, ends, h[order], ((symbols - 1) % MEMBERS)[order]
 
 
 def _chosen(logits, which):
@@ -86,8 +101,8 @@ def log_probability(p, h, symbols):
     """Natural log probability of each symbol given its state (rows of ``h``)."""
     cls, order, ends, by_class, member = _by_class(h, symbols)
     out = _chosen(h @ p["cw"] + p["cb"], cls)
-    inside = np.empty(len(h), out.dtype)
-    for c in range(CLASSES):
+    inside = np.empty(len(order), out.dtype)
+    for c in range(WORD_CLASSES):
         a, b = ends[c], ends[c + 1]
         if a < b:
             inside[a:b] = _chosen(by_class[a:b] @ p["mw"][c] + p["mb"][c], member[a:b])
@@ -99,26 +114,37 @@ def gradient(p, g, symbols_in, symbols_out, mask, h):
     """Adds to ``g`` the gradient over one window (time x rows); returns the last state (truncated there)."""
     steps, rows = symbols_in.shape
     table = p["e"] @ p["w"] + p["b"]
-    before, z, r, n, an = (np.empty((steps, rows, STATE), F4) for _ in range(5))
-    hs = np.empty((steps, rows, STATE), F4)
+    gates, sums = table[symbols_in], np.empty((steps, rows, 3 * STATE), F4)  # what ``step`` has, kept for the way back
+    z, r, n, an = gates[:, :, :STATE], gates[:, :, STATE : 2 * STATE], gates[:, :, 2 * STATE :], sums[:, :, 2 * STATE :]
+    states = np.empty((steps + 1, rows, STATE), F4)
+    states[0] = h
+    before, hs = states[:-1], states[1:]
     for t in range(steps):
-        hs[t], (before[t], z[t], r[t], n[t], an[t]) = step(p, table, symbols_in[t], h)
-        h = hs[t]
+        a = np.matmul(before[t], p["u"], out=sums[t])
+        both = gates[t, :, : 2 * STATE]
+        both += a[:, : 2 * STATE]
+        np.negative(both, out=both)
+        np.exp(both, out=both)
+        both += 1
+        np.reciprocal(both, out=both)
+        n[t] += r[t] * an[t]
+        np.tanh(n[t], out=n[t])
+        h = np.subtract(before[t], n[t], out=hs[t])
+        h *= z[t]
+        h += n[t]
     flat, weight = hs.reshape(-1, STATE), mask.ravel().astype(F4) / F4(max(1, mask.sum()))
     cls, order, ends, by_class, member = _by_class(flat, symbols_out.ravel())
     d = _softmax_error(flat @ p["cw"] + p["cb"], cls, weight)
     g["cw"] += flat.T @ d
     g["cb"] += d.sum(axis=0)
-    dh_out, inside, weight = d @ p["cw"].T, np.empty_like(flat), weight[order]
-    for c in range(CLASSES):
+    dh_out, inside, weight = d @ p["cw"].T, np.empty_like(by_class), weight[order]
+    for c in range(WORD_CLASSES):
         a, b = ends[c], ends[c + 1]
         if a < b:
             d = _softmax_error(by_class[a:b] @ p["mw"][c] + p["mb"][c], member[a:b], weight[a:b])
             g["mw"][c] += by_class[a:b].T @ d
             g["mb"][c] += d.sum(axis=0)
             inside[a:b] = d @ p["mw"][c].T
-        else:
-            inside[a:b] = 0
     dh_out[order] += inside
     dh_out = dh_out.reshape(steps, rows, STATE)
     # What each gate passes back for a unit of the state's gradient.
@@ -147,7 +173,7 @@ def gradient(p, g, symbols_in, symbols_out, mask, h):
     return h.copy()
 
 
-def train(flat: np.ndarray, texts: Iterable[np.ndarray], start: int, window: int = 16, rows: int = 128, rate: float = 0.015) -> tuple[np.ndarray, int]:
+def train(flat: np.ndarray, texts: Iterable[np.ndarray], start: int, window: int = 16, rows: int = 256, rate: float = 0.01) -> tuple[np.ndarray, int]:
     """One pass of truncated backpropagation (Adam) over whole texts of symbols, and the number of symbols.
 
     ``rows`` texts are read side by side, a window at a time, each with its state carried on; where one ends, the next
@@ -183,11 +209,21 @@ def train(flat: np.ndarray, texts: Iterable[np.ndarray], start: int, window: int
         flat -= F4(rate * min(1, now / (window * 32)) ** 0.5) * (m / F4(1 - 0.9**k)) / (np.sqrt(v / F4(1 - 0.99**k)) + F4(1e-6))
 
 
-def score(flat: np.ndarray, texts: list[np.ndarray], start: int, window: int = 32) -> np.ndarray:
-    """Natural log probability of each whole symbol sequence.  All are read together, a window at a time; the state
-    of each is carried on, and those that have ended leave."""
+def score(flat: np.ndarray, texts: list[np.ndarray], start: int, window: int = 32, rows: int = 1_024) -> np.ndarray:
+    """Natural log probability of each whole symbol sequence; ``rows`` of like length are read together."""
     p = views(flat)
     table = p["e"] @ p["w"] + p["b"]
+    out = np.zeros(len(texts))
+    order = np.argsort(-np.fromiter(map(len, texts), np.int64, len(texts)), kind="stable")
+    for i in range(0, len(texts), rows):
+        at = order[i : i + rows]
+        out[at] = _score(p, table, [texts[k] for k in at], start, window)
+    return out
+
+
+def _score(p, table, texts: list[np.ndarray], start: int, window: int) -> np.ndarray:
+    """``score`` of texts that are all read together, a window at a time; the state of each is carried on, and those
+    that have ended leave."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     order = np.argsort(-lengths, kind="stable")
     lengths, total = lengths[order], np.zeros(len(texts))
@@ -206,7 +242,7 @@ def score(flat: np.ndarray, texts: list[np.ndarray], start: int, window: int = 3
             if not n:
                 break
             h = h[:n] if n < len(h) else h
-            h, _ = step(p, table, before[:n], h)
+            h = step(p, table, before[:n], h)
             before = now[t]
             states.append(h)
             symbols.append(before[:n])

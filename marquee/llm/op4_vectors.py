@@ -30,12 +30,13 @@ from marquee.llm.common import pick, pin
 from marquee.llm.components import components
 
 THRESHOLD = 0.9
-BLOCK = 1_024
+#: Vectors of a block (a vector is dealt to as many blocks as it must meet, so large blocks are few copies), and of a tile of it.
+BLOCK, TILE = 8_192, 1_024
 #: What is added to an angle or a distance before a bound is trusted.
 SLACK = 1e-6
 #: Vectors that centroids are fitted on (those of the smallest hash), and the most centroids.
 MAX_SAMPLE, MAX_CELLS = 20_000, 4_096
-PER_CELL, ROUNDS, CENTRE_GAP = 1_024, 8, 0.8
+PER_CELL, ROUNDS, CENTRE_GAP = 8_192, 8, 0.8
 #: Vectors that are compared with all centres at a time.
 AT_ONCE = 512
 
@@ -119,33 +120,33 @@ def placed(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def block_links(group: pa.Table, threshold: float) -> pa.Table:
-    """Links between the two blocks (or within the one) of a group: class, links (weighted count), or a, b (a spanning link)."""
+    """Links between the two blocks (or within the one) of a group: class, links (weighted count), or a, b (a spanning link).
+
+    Blocks are multiplied a tile at a time, so that memory does not grow with the square of a block."""
     i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
     mine = group.column("block").to_numpy()
     d = group.column("d")[0].as_py()
     v = unit(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
     ids, rep, weight = (group.column(c).to_numpy() for c in ("class", "rep", "weight"))
     left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-    x, y = np.nonzero(v[left] @ v[right].T >= threshold)
-    x, y = left[x], right[y]
-    if i == j:
-        x, y = x[x < y], y[x < y]
-    count = np.bincount(x, weight[y], len(ids)) + np.bincount(y, weight[x], len(ids))
-    parent = np.arange(len(ids))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
-    spans = []
-    for p, q in zip(x.tolist(), y.tolist(), strict=True):
-        s, t = root(p), root(q)
-        if s != t:
-            parent[max(s, t)] = min(s, t)
-            spans.append((int(rep[p]), int(rep[q])))
-            if len(spans) == len(ids) - 1:
-                break
+    count, label, spans = np.zeros(len(ids)), np.arange(len(ids)), []
+    for p in range(0, len(left), TILE):
+        for q in range(p if i == j else 0, len(right), TILE):
+            x, y = left[p : p + TILE], right[q : q + TILE]
+            near = v[x] @ v[y].T >= threshold
+            if i == j and p == q:
+                near = np.triu(near, 1)
+            rows = np.flatnonzero(near.any(axis=1))
+            if not len(rows):
+                continue
+            count[x] += near @ weight[y]
+            count[y] += weight[x] @ near
+            for k in rows.tolist():
+                met = y[near[k]]
+                of = label[met]
+                for other in np.unique(of[of != label[x[k]]]).tolist():
+                    spans.append((int(rep[x[k]]), int(rep[met[of == other][0]])))
+                    label[label == other] = label[x[k]]
     some = np.flatnonzero(count)
     none = [None] * len(spans)
     return pa.table({"class": pa.array([*ids[some].tolist(), *none], pa.int64()), "links": pa.array([*count[some].astype(np.int64).tolist(), *none], pa.int64()),

@@ -20,10 +20,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +35,37 @@ HELD_WORDS = 300_000
 END = b""  # no word is empty
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (binary; A-Z lower-cased, null: none) in a row, and where each text's begin and end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    words = lists.flatten()
+    some = pc.not_equal(words, "")
+    upto = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))
+    return words.filter(some), upto[lists.offsets.to_numpy()]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), n over the rows of ``docs`` (text binary); each row has an end."""
 
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
     def count(batches):
-        held: Counter = Counter()
+        held, rows = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                words = (text.as_py() or b"").lower().split()
-                held.update(words)
-                held[END] += 1
-                if len(held) > HELD_WORDS:
-                    yield made(held)
-                    held = Counter()
+            words, _ = words_of(batch.column(0))
+            found = words.value_counts()
+            held.append(pa.table([found.field(0).view(pa.binary()), found.field(1)], ["word", "n"]))
+            held.append(pa.table([pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["word", "n"]))
+            rows += len(found) + 1
+            if rows > HELD_WORDS:
+                held = [summed(held)]
+                rows = held[0].num_rows
+                if rows > HELD_WORDS // 2:
+                    yield from held[0].to_batches(max_chunksize=100_000)
+                    held, rows = [], 0
         if held:
-            yield made(held)
-
-    def made(held) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            yield from summed(held).to_batches(max_chunksize=100_000)
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -84,14 +96,21 @@ class Vocabulary:
         return {k: getattr(self, k) for k in ("words", "counts", "in_network", "other", "other_tokens", "other_distinct", "end_count")}
 
 
-def _symbols(ranks: np.ndarray, vocab: dict) -> np.ndarray:
-    """Symbols of words given by rank (-1: not among the known), and the end."""
-    inside = (ranks >= 0) & (ranks < vocab["in_network"])
-    return np.append(np.where(inside, ranks + 1, vocab["other"]), 0)
+def _ranked(texts: pa.Array, known: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of the texts, their ranks among ``known`` (-1: none), and where each text's words begin and end."""
+    words, bounds = words_of(texts)
+    return words, pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64), bounds
+
+
+def _with_ends(values: np.ndarray, bounds: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` of words with ``end`` behind each text's, and where each text begins."""
+    return np.insert(values, bounds[1:], end), bounds[:-1] + np.arange(len(bounds) - 1)
 
 
-def _ranks(place: dict, words: list[bytes]) -> np.ndarray:
-    return np.array([place.get(w, -1) for w in words], np.int64)
+def _symbols(ranks: np.ndarray, vocab: dict) -> np.ndarray:
+    """Symbols of words given by rank (-1: not among the known)."""
+    inside = (ranks >= 0) & (ranks < vocab["in_network"])
+    return np.where(inside, ranks + 1, vocab["other"]).astype(np.int16)
 
 
 def sequences(docs: DataFrame, vocabulary) -> DataFrame:
@@ -99,10 +118,13 @@ def sequences(docs: DataFrame, vocabulary) -> DataFrame:
 
     def read(batches):
         vocab = vocabulary.value
-        place = {w: i for i, w in enumerate(vocab["words"][: vocab["in_network"]])}
+        known = pa.array(vocab["words"][: vocab["in_network"]], pa.binary()).view(pa.string())
         for batch in batches:
-            out = [_symbols(_ranks(place, (text.as_py() or b"").lower().split()), vocab).astype(np.int16).tobytes() for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["round", "symbols"])
+            _, ranks, bounds = _ranked(batch.column(1), known)
+            symbols, begin = _with_ends(_symbols(ranks, vocab), bounds, 0)
+            offsets = (2 * np.append(begin, len(symbols))).astype(np.int32)
+            out = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(symbols)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["round", "symbols"])
 
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("round"), "text").mapInArrow(read, "round int, symbols binary")
 
@@ -114,7 +136,7 @@ def trained(parts: DataFrame, flat: np.ndarray, rounds: int = ROUNDS) -> np.ndar
         sent = spark.sparkContext.broadcast(flat)
 
         def fit(batches, sent=sent, k=k):
-            new, n = gru.train(sent.value, (np.frombuffer(x.as_buffer(), np.int16) for b in batches for x in b.column(0)), 0, rate=0.015 / (1 + k))
+            new, n = gru.train(sent.value, (np.frombuffer(x.as_buffer(), np.int16) for b in batches for x in b.column(0)), 0, rate=0.01 / (1 + k))
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(gru.SIZE)), pa.array(new.astype(np.float64) * n), pa.array(np.full(gru.SIZE, n, np.float64))], ["at", "w", "n"])
 
@@ -135,27 +157,29 @@ def _scored(docs: DataFrame, vocabulary, network) -> DataFrame:
         from pyspark import TaskContext
 
         vocab, row = vocabulary.value, TaskContext.get().partitionId() << 33
-        place, inside = {w: i for i, w in enumerate(vocab["words"])}, vocab["in_network"]
-        log_count = np.log10(vocab["counts"] + 1.0)
+        known_words, inside = pa.array(vocab["words"], pa.binary()).view(pa.string()), vocab["in_network"]
+        log_count = np.append(np.log10(vocab["counts"] + 1.0), 0.0)  # the last one (-1) for words that are not known
         outside = np.log10(vocab["other_tokens"] + vocab["other_distinct"] + 1.0)
         end = (np.log10(vocab["end_count"] + 1.0), int(vocab["end_count"] > 0))
         for batch in batches:
-            sequences, cols = [], [[] for _ in range(7)]
-            for text in batch.column(2):
-                words = (text.as_py() or b"").lower().split()
-                ranks = _ranks(place, words)
-                known = ranks[ranks >= 0]
-                rest = Counter([words[i] for i in np.flatnonzero(ranks < 0)])
-                sequences.append(_symbols(ranks, vocab).astype(np.int16))
-                logs = log_count[known]
-                no_symbol = logs[known >= inside].sum() - outside * (ranks[ranks < 0].size + (known >= inside).sum())
-                for c, x in zip(cols, (row, len(words) + 1, len(known) + end[1], logs.sum() + end[0], no_symbol, list(rest), list(rest.values())), strict=True):
-                    c.append(x)
-                row += 1
-            score = gru.score(network.value, sequences, 0) / np.log(10)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            names = ["row", "n_tokens", "known", "log_counts", "no_symbol", "rest", "times"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "held_out", "network", *names])
+            n = batch.num_rows
+            words, ranks, bounds = _ranked(batch.column(2), known_words)
+            symbols, begin = _with_ends(_symbols(ranks, vocab), bounds, 0)
+            score = gru.score(network.value, np.split(symbols, begin[1:]) if n else [], 0) / np.log(10)
+            per_text = lambda values, last: np.add.reduceat(_with_ends(values, bounds, last)[0], begin) if n else np.zeros(0)  # noqa: B023, E731
+            logs = log_count[ranks]
+            known = per_text((ranks >= 0).astype(np.int64), end[1])
+            no_symbol = per_text(np.where((ranks < 0) | (ranks >= inside), logs - outside, 0.0), 0.0)
+            # The other words of each text, each different one once: groups come in order of the texts.
+            rest = np.flatnonzero(ranks < 0)
+            owner = np.searchsorted(bounds, rest, side="right") - 1
+            groups = pa.table([pa.array(owner), words.take(pa.array(rest)).view(pa.binary())], ["at", "word"]).group_by(["at", "word"], use_threads=False).aggregate([("word", "count")])
+            offsets = np.append(0, np.cumsum(np.bincount(groups.column("at").to_numpy(), minlength=n))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), groups.column(c).combine_chunks()) for c in ("word", "word_count")]
+            numbers = [pa.array(row + np.arange(n)), pa.array(np.diff(bounds) + 1), pa.array(known.astype(np.int64)), pa.array(per_text(logs, end[0])), pa.array(no_symbol)]
+            row += n
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score), *numbers, *lists],
+                                             ["doc_id", "held_out", "network", "row", "n_tokens", "known", "log_counts", "no_symbol", "rest", "times"])
 
     return docs.mapInArrow(read, "doc_id long, held_out boolean, network double, row long, n_tokens long, known long, log_counts double, no_symbol double, rest array<binary>, times array<long>")
 

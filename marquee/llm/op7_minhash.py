@@ -32,7 +32,8 @@ from marquee.llm.components import components
 
 COORDINATES, MISS = 48, 5e-5
 SHINGLE, PERCENT = 3, 85
-BLOCK = 64
+#: Classes of a block, and shingles of all of them (8 bytes each): long texts are compared in smaller blocks.
+BLOCK, BLOCK_SHINGLES = 64, 1 << 20
 #: Tables of ids up to this many rows (16 bytes each) are broadcast.
 BROADCAST_IDS = 1 << 20
 KEPT_WORDS = 1 << 17
@@ -187,8 +188,9 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], other_ids: np.ndarra
 
 
 def blocked_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the members (head, class, apart) that are apart from their head's component with all members of the head."""
-    sizes = pin(members.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_all"), F.ceil(F.count_if("apart") / BLOCK).cast("int").alias("n_apart")), "head_sizes")
+    """Links of the members (head, class, apart, n_shingles) that are apart from their head's component with all members of the head."""
+    blocks = lambda some: F.ceil(F.greatest(F.count_if(some) / BLOCK, F.sum(F.when(some, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    sizes = pin(members.groupBy("head").agg(blocks(F.lit(True)).alias("n_all"), blocks(F.col("apart")).alias("n_apart")), "head_sizes")
     m = pin(members.join(sizes, "head"), "members").withColumns({"in_all": F.pmod(F.xxhash64("class"), F.col("n_all")), "in_apart": F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_apart"))})
     m = m.join(sets, "class")
     asked = m.where("apart").select("head", F.col("in_apart").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), "class", "hashes", F.lit(True).alias("asks"))
@@ -206,7 +208,7 @@ def blocked_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, width: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
-    """a, b: links between ``classes`` (class, rep, text_hash, key, pairs) that connect all that similar sets connect."""
+    """a, b: links between ``classes`` (class, rep, text_hash, key, pairs, n_shingles) that connect all that similar sets connect."""
     matches = matches_at(percent, coordinates)
     posted = pin(classes.select("class", F.explode("pairs").alias("pair")), "posted")
     shared = pin(posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1"), "shared")
@@ -230,7 +232,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, width: in
     m = m.select(F.coalesce("heads", "head").alias("head"), "class", (F.coalesce("mine", "class") != F.coalesce("heads", "head")).alias("apart"))
     m = pin(m.distinct(), "members")
     open_heads = pin(m.groupBy("head").agg(F.count_if("apart").alias("n")).where("n > 0").select("head"), "open_heads")
-    second = blocked_links(pin(m.join(open_heads, "head"), "open_members"), sets, percent)
+    open_members = m.join(open_heads, "head").join(classes.select("class", "n_shingles"), "class")
+    second = blocked_links(pin(open_members, "open_members"), sets, percent)
     return first.unionAll(pin(second, "second_links"))
 
 
@@ -244,8 +247,8 @@ def _near_duplicates(docs: DataFrame, percent: int, width: int) -> DataFrame:
     rows = pin(signed(docs, width), "signed")
     sets = rows.where("n_shingles > 0 and doc_id is not null")
     # Classes have numbers of their own: a doc_id that repeats with different texts is in several.
-    classes = sets.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("pairs").alias("pairs"))
-    classes = classes.select("key", F.col("first.doc_id").alias("rep"), "first.text_hash", "pairs")
+    classes = sets.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("pairs").alias("pairs"), F.first("n_shingles").alias("n_shingles"))
+    classes = classes.select("key", F.col("first.doc_id").alias("rep"), "first.text_hash", "pairs", "n_shingles")
     classes = pin(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     found = links(docs, classes, percent, width)
     twice = pin(sets.groupBy("doc_id").agg(F.count_distinct("key").alias("n")).where("n > 1").select("doc_id"), "twice")

@@ -222,7 +222,10 @@ def linked(n: int, links) -> list[int]:
     return [root(i) for i in range(n)]
 
 
-def test_op4_against_brute_force(spark):
+@pytest.mark.parametrize(("block", "tile"), [(8192, 1024), (256, 100)])
+def test_op4_against_brute_force(spark, monkeypatch, block, tile):
+    monkeypatch.setattr(op4_vectors, "BLOCK", block)
+    monkeypatch.setattr(op4_vectors, "TILE", tile)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 16))
     near = [b + rng.normal(size=16) * s for b in base[:20] for s in (0.05, 0.15, 0.3, 0.4)]
@@ -248,7 +251,7 @@ def test_op4_against_brute_force(spark):
 
 def test_op4_finds_all_pairs_among_many_cells(spark, monkeypatch):
     """Pairs just above the threshold, without other structure, in some 150 cells: the nearest cells of the two often differ."""
-    for name, n in (("PER_CELL", 8), ("MAX_SAMPLE", 300), ("BLOCK", 128)):
+    for name, n in (("PER_CELL", 8), ("MAX_SAMPLE", 300), ("BLOCK", 128), ("TILE", 50)):
         monkeypatch.setattr(op4_vectors, name, n)
     rng, cos = np.random.default_rng(40), 0.8001
     one, aside = (op4_vectors.unit(rng.normal(size=(600, 64))) for _ in range(2))
@@ -284,7 +287,7 @@ def test_op5_training_covers_whole_texts(spark, monkeypatch):
     vocab = op5_lm.Vocabulary(op5_lm.word_counts(df))
     got = collected(op5_lm.sequences(df, spark.sparkContext.broadcast(vocab.plain())))
     place = {w: i for i, w in enumerate(vocab.words)}
-    exp = [op5_lm._symbols(np.array([place[w] for w in (t or "").lower().encode().split()], np.int64), vocab.plain()).tolist() for _, t in rows]
+    exp = [[*op5_lm._symbols(np.array([place[w] for w in (t or "").lower().encode().split()], np.int64), vocab.plain()).tolist(), 0] for _, t in rows]
     assert sorted(np.frombuffer(r["symbols"], np.int16).tolist() for r in got) == sorted(exp)
     assert {r["round"] for r in got} == set(range(op5_lm.ROUNDS))
     seen, lanes = [], {}
