@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_mod, keeping_columns, one_label, pick, release
+from marquee.llm.common import batch_rows, crc_mod, keeping_columns, one_label, pick, pin_any, release
 
 #: The most labelled rows that the list is learned from (those of the smallest hash of their id).
 MAX_LABELLED = 20_000
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+#: Rows that a Python worker gets at a time when documents are filtered.
+ROWS = 1_000
 #: A rule must be this precise on the rows kept for pruning, and cover so many bad rows.
 MIN_PRECISION, MIN_COVER = 0.9, 5
 MAX_RULES, MAX_CONDITIONS, CUTS = 24, 4, 24
@@ -181,7 +183,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns; written once, ROWS whole texts at a time."""
     rules, s = learned_rules(docs, labels), lambda c: F.col(f"_stats.{c}")
     kept = ~base_failed(s) & ~reject_expression(rules, features(s))
-    return keeping_columns(docs, ("text",), lambda d: d.withColumn("_stats", stats(F.col("text"))).where(kept))
+    with batch_rows(docs.sparkSession, ROWS):
+        return pin_any(keeping_columns(docs, ("text",), lambda d: d.withColumn("_stats", stats(F.col("text"))).where(kept)), "kept")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_mod, keeping_columns, one_label, pick, release, worker_store
+from marquee.llm.common import batch_rows, crc_mod, keeping_columns, one_label, pick, pin_any, release, worker_store
 
 #: The most toxic and the most other labelled documents that are learned from (those of the smallest hash of their id).
 MAX_TOXIC, MAX_CLEAN = 2_000, 4_000
@@ -43,6 +43,8 @@ LOWEST, HIGHEST = -2.0, 1.0
 TOP = 3
 #: Words whose margins a worker keeps, and texts that it scores at a time.
 KEPT_WORDS, TEXTS = 1 << 18, 256
+#: Rows that a Python worker gets at a time when documents are filtered.
+ROWS = 1_000
 #: Codes of letters: the mark, a to z, five for all others; every subsequence of ORDER codes has a number of its own.
 CODES, MARK = 32, 0
 SLOTS = CODES**ORDER
@@ -325,6 +327,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; written once, ROWS whole texts at a time."""
     score = scorer(learned(docs, labels))
-    return keeping_columns(docs, ("text",), lambda d: d.withColumn("_score", score(F.col("text"))).where(F.col("_score") < 0.5))
+    with batch_rows(docs.sparkSession, ROWS):
+        return pin_any(keeping_columns(docs, ("text",), lambda d: d.withColumn("_score", score(F.col("text"))).where(F.col("_score") < 0.5)), "not_toxic")

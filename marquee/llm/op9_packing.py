@@ -119,8 +119,10 @@ def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, max_co
         pivot = inverse[out] / d[out]
         inverse -= np.outer(d, pivot)
         inverse[out] = pivot
-        if step % 100 == 99:
-            inverse = np.linalg.inv(np.array(columns, float).T)
+        if step % 100 == 99:  # Newton's step for an inverse takes rounding errors out, by products alone
+            basis = np.array(columns, float).T
+            for _ in range(2):
+                inverse = inverse @ (2 * np.eye(m) - basis @ inverse)
         x = np.maximum(inverse @ demand, 0)
     # Whole times of each pattern; it never places more of a length than there are.
     left, out_patterns = demand.astype(np.int64).copy(), []

@@ -19,7 +19,7 @@ from marquee.llm.common import worker_store
 
 #: Distinct parts in each of the two generations kept per worker process (about 200 bytes each), and bits that tell
 #: which parts (by hash) were met before.
-KEPT_PARTS, MET_BITS = 1 << 18, 1 << 23
+KEPT_PARTS, MET_BITS = 1 << 17, 1 << 23
 #: Bytes of text that are split at a time; longer texts are cut at blanks.
 AT_ONCE = 1 << 21
 LATIN_END = "ɐ"
