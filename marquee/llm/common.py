@@ -30,11 +30,6 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pin_any(df: DataFrame, name: str) -> DataFrame:
-    """``pin`` for a frame whose columns may clash or have names that Parquet does not take."""
-    return pin(df.toDF(*(f"_{i}" for i in range(len(df.columns)))), name).toDF(*df.columns)
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The columns ``names`` by exact name; other columns, also ones that differ in case only or
     repeat a name (the first one counts), cannot make them ambiguous."""

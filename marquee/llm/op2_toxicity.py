@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import batch_rows, crc_mod, keeping_columns, one_label, pick, pin_any, release, worker_store
+from marquee.llm.common import crc_mod, keeping_columns, one_label, pick, release, worker_store
 
 #: The most toxic and the most other labelled documents that are learned from (those of the smallest hash of their id).
 MAX_TOXIC, MAX_CLEAN = 2_000, 4_000
@@ -43,8 +43,6 @@ LOWEST, HIGHEST = -2.0, 1.0
 TOP = 3
 #: Words whose margins a worker keeps, and texts that it scores at a time.
 KEPT_WORDS, TEXTS = 1 << 18, 256
-#: Rows that a Python worker gets at a time when documents are filtered.
-ROWS = 1_000
 #: Codes of letters: the mark, a to z, five for all others; every subsequence of ORDER codes has a number of its own.
 CODES, MARK = 32, 0
 SLOTS = CODES**ORDER
@@ -59,15 +57,15 @@ def code(c: str) -> int:
     return 27 + ord(c) * 7 % 5 if c.isalpha() else 0
 
 
-def units(word: bytes) -> list[tuple[int, ...]]:
+def units(word: bytes) -> list[bytes]:
     """Codes of a word's letters with the mark before; long words as overlapping pieces."""
     codes = [c for c in map(code, word.decode("utf-8", "replace").lower()) if c]
     if len(codes) < ORDER - 1:
         return []
-    codes = [MARK, *codes]
+    codes = bytes([MARK, *codes])
     if len(codes) <= LONGEST:
-        return [tuple(codes)]
-    return [tuple(codes[i : i + LONGEST]) for i in range(0, len(codes) - LONGEST // 2, LONGEST // 2)]
+        return [codes]
+    return [codes[i : i + LONGEST] for i in range(0, len(codes) - LONGEST // 2, LONGEST // 2)]
 
 
 def spelled(words: list[bytes]) -> list[bytes]:
@@ -89,13 +87,13 @@ def _triples(n: int):
 def embed(same_length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Subsequence numbers and weights of units of one length (rows of codes)."""
     at, weight = _triples(same_length.shape[1])
-    number = np.zeros((len(same_length), len(at)), np.int64)
+    number = np.zeros((len(same_length), len(at)), np.int32)
     for i in range(ORDER):
         number = number * CODES + same_length[:, at[:, i]]
     return number, np.broadcast_to(weight, number.shape)
 
 
-def by_length(all_units: list[tuple[int, ...]]):
+def by_length(all_units: list[bytes]):
     """Places and code matrices of units, a length at a time, in blocks of bounded size."""
     lengths = np.fromiter(map(len, all_units), np.int32, len(all_units))
     for n in np.unique(lengths):
@@ -103,7 +101,7 @@ def by_length(all_units: list[tuple[int, ...]]):
         block = max(1, 500_000 // len(_triples(int(n))[1])) if n >= ORDER else len(places)
         for i in range(0, len(places), block):
             p = places[i : i + block]
-            yield p, np.array([all_units[j] for j in p], np.int64)
+            yield p, np.frombuffer(b"".join([all_units[j] for j in p]), np.uint8).reshape(len(p), n).astype(np.int32)
 
 
 def highest(margins) -> list[float]:
@@ -120,11 +118,12 @@ class Machine:
     slopes: np.ndarray
     shift: float
 
-    def margins(self, all_units: list[tuple[int, ...]]) -> np.ndarray:
+    def margins(self, all_units: list[bytes]) -> np.ndarray:
         out = np.full(len(all_units), LOWEST)
         for p, codes in by_length(all_units):
             which, w = embed(codes)
-            out[p] = (self.weight[which] * w).sum(axis=1) + self.offset
+            if which.size:
+                out[p] = self.weight[which] @ w[0].astype(np.float32) + self.offset
         return np.clip(out, LOWEST, HIGHEST)
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
@@ -182,7 +181,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
     """A machine from labelled texts; None without both kinds."""
     if not toxic.any() or toxic.all():
         return None
-    number: dict[tuple, int] = {}  # units by number, in order of appearance
+    number: dict[bytes, int] = {}  # units by number, in order of appearance
     of_word: dict[bytes, tuple[int, ...]] = {}
     bags, seen = [], ([], [])
     for t, kind in zip(texts, toxic, strict=True):
@@ -327,7 +326,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns; written once, ROWS whole texts at a time."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     score = scorer(learned(docs, labels))
-    with batch_rows(docs.sparkSession, ROWS):
-        return pin_any(keeping_columns(docs, ("text",), lambda d: d.withColumn("_score", score(F.col("text"))).where(F.col("_score") < 0.5)), "not_toxic")
+    return keeping_columns(docs, ("text",), lambda d: d.withColumn("_score", score(F.col("text"))).where(F.col("_score") < 0.5))

@@ -143,12 +143,12 @@ def test_op2_kernel_equals_brute_force():
         f, g = features(u), features(v)
         rows = []
         for unit in (u, v):
-            which, w = op2_toxicity.embed(np.array([unit]))
+            which, w = op2_toxicity.embed(np.array([list(unit)], np.int32))
             rows.append(np.bincount(which[0], w[0], op2_toxicity.SLOTS))
         assert abs(rows[0] @ rows[1] - sum(w * g.get(k, 0.0) for k, w in f.items())) < 1e-6
-    a, b = (op2_toxicity.embed(np.array(op2_toxicity.units(w)))[0][0, -1] for w in (b"abcd", b"ebca"))
+    a, b = (op2_toxicity.embed(np.array([list(op2_toxicity.units(w)[0])], np.int32))[0][0, -1] for w in (b"abcd", b"ebca"))
     assert a != b
-    letters = [np.array([[1 + k % 26, 1 + k // 26 % 26, 1 + k // 676, 1 + k % 7] for k in range(17_576)])]
+    letters = [np.array([[1 + k % 26, 1 + k // 26 % 26, 1 + k // 676, 1 + k % 7] for k in range(17_576)], np.int32)]
     assert len(np.unique(op2_toxicity.embed(letters[0])[0])) == 17_576
 
 
