@@ -170,10 +170,11 @@ def _scored(docs: DataFrame, vocabulary, network) -> DataFrame:
             logs = log_count[ranks]
             known = per_text((ranks >= 0).astype(np.int64), end[1])
             no_symbol = per_text(np.where((ranks < 0) | (ranks >= inside), logs - outside, 0.0), 0.0)
-            # The other words of each text, each different one once: groups come in order of the texts.
+            # The other words of each text, each different one once; Arrow's groups come in no order.
             rest = np.flatnonzero(ranks < 0)
             owner = np.searchsorted(bounds, rest, side="right") - 1
             groups = pa.table([pa.array(owner), words.take(pa.array(rest)).view(pa.binary())], ["at", "word"]).group_by(["at", "word"], use_threads=False).aggregate([("word", "count")])
+            groups = groups.take(pa.array(np.argsort(groups.column("at").to_numpy(), kind="stable")))
             offsets = np.append(0, np.cumsum(np.bincount(groups.column("at").to_numpy(), minlength=n))).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), groups.column(c).combine_chunks()) for c in ("word", "word_count")]
             numbers = [pa.array(row + np.arange(n)), pa.array(np.diff(bounds) + 1), pa.array(known.astype(np.int64)), pa.array(per_text(logs, end[0])), pa.array(no_symbol)]

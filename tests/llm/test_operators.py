@@ -279,6 +279,20 @@ def test_op5_base_and_model(docs):
     assert op5_lm.score(docs.limit(0)).count() == 0
 
 
+def test_op5_words_beyond_the_table_count_for_their_own_text(spark, monkeypatch):
+    """Most words are beyond the table that travels to the workers, many texts are read at a time."""
+    monkeypatch.setattr(op5_lm, "KNOWN", 5)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(3_000 * rng.random() ** 3)}" for _ in range(rng.randint(0, 60)))) for i in range(600)]
+    toks = {i: [*words(t), b""] for i, t in rows}
+    c = Counter(w for i, ws in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(c.values()), len(c)
+    got = collected(op5_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)))
+    assert sorted(r["doc_id"] for r in got) == sorted(toks)
+    wrong = [r for r in got if r["n_known"] != sum(c[w] > 0 for w in toks[r["doc_id"]]) or abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in toks[r["doc_id"]])) > 1e-6 * abs(r["base_score"])]
+    assert wrong == []
+
+
 def test_op5_training_covers_whole_texts(spark, monkeypatch):
     """The rounds' texts together are all texts, whole; the network trains on each symbol of them once."""
     from marquee.llm import gru
