@@ -46,6 +46,8 @@ KEPT_WORDS, TEXTS = 1 << 18, 256
 #: Codes of letters: the mark, a to z, five for all others; every subsequence of ORDER codes has a number of its own.
 CODES, MARK = 32, 0
 SLOTS = CODES**ORDER
+#: Words whose units the driver keeps while it reads the sample, units counted at a time, rows of a matrix product.
+READ_WORDS, COUNTED, PRODUCT_ROWS = 1 << 16, 1 << 14, 1 << 11
 #: Near copies among the sampled texts count as one: BANDS x BAND minimum hashes of their words, one equal band links.
 BANDS, BAND = 8, 3
 
@@ -152,8 +154,12 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.05) ->
         if before is not None and (active == before).all():
             break
         before = active
-        a = x[active] * cost[active, None]
-        w = np.linalg.solve(keep + a.T @ x[active], a.T @ y[active])
+        h, g = keep.copy(), np.zeros(len(w))
+        for at in np.array_split(np.flatnonzero(active), active.sum() // PRODUCT_ROWS + 1):
+            a = x[at] * cost[at, None]
+            h += a.T @ x[at]
+            g += a.T @ y[at]
+        w = np.linalg.solve(h, g)
     return w[:-1], float(w[-1])
 
 
@@ -177,15 +183,30 @@ def near_copies(texts: list[bytes]) -> list[int]:
     return [root(k) for k in range(len(texts))]
 
 
+def different(bags: list[np.ndarray], of_text, n: int) -> np.ndarray:
+    """How many different numbers each of ``n`` units has; ``of_text(k, a, b)`` has a number after the unit's (in the
+    lower 32 bits) for each of places a to b of the sorted units bags[k]."""
+    out = np.zeros(n, np.int64)
+    for first in range(0, n, COUNTED):
+        bounds = [np.searchsorted(bag, (first, first + COUNTED)) for bag in bags]
+        parts = [of_text(k, a, b) for k, (a, b) in enumerate(bounds) if a < b]
+        if parts:
+            got = (np.unique(np.concatenate(parts)) >> 32) - first
+            out[first : first + COUNTED] = np.bincount(got, minlength=min(COUNTED, n - first))
+    return out
+
+
 def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
     """A machine from labelled texts; None without both kinds."""
     if not toxic.any() or toxic.all():
         return None
     number: dict[bytes, int] = {}  # units by number, in order of appearance
     of_word: dict[bytes, tuple[int, ...]] = {}
-    bags, seen = [], ([], [])
-    for t, kind in zip(texts, toxic, strict=True):
+    bags, seen = [], []
+    for t in texts:
         words, found, whole = t.split(), [], zlib.crc32(t)
+        if len(of_word) > READ_WORDS:
+            of_word.clear()
         for i, w in enumerate(words):
             if (got := of_word.get(w)) is None:
                 got = of_word[w] = tuple(number.setdefault(u, len(number)) for u in units(w))
@@ -196,16 +217,24 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
             found += [(number.setdefault(u, len(number)) << 32) + whole for u in units(w)]
         found = np.unique(np.array(found, np.int64))
         bags.append(np.unique(found >> 32).astype(np.int32))
-        seen[int(kind)].append(found)
+        seen.append(found)
+    del of_word
     distinct = list(number)
+    del number
     # A unit counts by the different neighbours that it has in documents of a kind, or by the different documents (near
     # copies are one) where these are more: the words of a text that was copied many times count once, a word put into
     # many texts counts for each, if it stands in one phrase alone too.
     group = near_copies(texts)
-    by_text = [[(bag.astype(np.int64) << 32) + g for bag, g, k in zip(bags, group, toxic, strict=True) if k == kind] for kind in (False, True)]
-    good, bad = (np.maximum(*(np.bincount((np.unique(np.concatenate(f)) >> 32).astype(np.int64), minlength=len(distinct)) for f in (a, b))) for a, b in zip(seen, by_text, strict=True))
-    del of_word, seen, by_text
-    del number
+
+    def counts(kind: bool) -> np.ndarray:
+        of = np.flatnonzero(toxic == kind)
+        neighbours = different([seen[k] >> 32 for k in of], lambda k, a, b: seen[of[k]][a:b], len(distinct))
+        documents = different([bags[k] for k in of], lambda k, a, b: (bags[of[k]][a:b].astype(np.int64) << 32) + group[of[k]], len(distinct))
+        return np.maximum(neighbours, documents)
+
+    good, bad = counts(False), counts(True)
+    del seen
+    release()
     rate = (bad + 0.1) / (toxic.sum() + 1) / ((good + 0.1) / ((~toxic).sum() + 1))
     # First witnesses: units with three neighbours or more in toxic documents, ten times as usual there as in others.
     witnesses = {int(u): int(bad[u]) for u in np.flatnonzero((bad >= 3) & (rate >= 10))}
@@ -228,13 +257,15 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
         values, vectors = np.linalg.eigh(landmark @ landmark.T)
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T  # K_mm^-1/2
         pos, neg = sorted(witnesses), sorted(others - witnesses.keys())
-        x = np.vstack([_kernel_rows([distinct[k] for k in u[i : i + 512]], places_of, len(which)) @ landmark.T @ root for u in (pos, neg) for i in range(0, len(u), 512)])
+        x = np.vstack([_kernel_rows([distinct[k] for k in u[i : i + 128]], places_of, len(which)) @ landmark.T @ root for u in (pos, neg) for i in range(0, len(u), 128)])
         y = np.append(np.ones(len(pos)), -np.ones(len(neg)))
         # A unit counts by its neighbours, and both classes alike.
         cost = np.sqrt(np.append(bad[pos], good[neg]) + 1.0)
         for k in (y > 0, y < 0):
             cost[k] *= len(y) / 2 / cost[k].sum()
         w, offset = _svm(x, y, cost)
+        del x, places_of
+        release()
         weight = np.zeros(SLOTS, np.float32)
         weight[which] = (root @ w) @ landmark
         machine = Machine(weight, offset, np.zeros(TOP), 0.0)
@@ -247,6 +278,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Machine | None:
         worst = sorted(np.flatnonzero((margin > -0.5) & (good > 0) & (rate < 3)).tolist(), key=lambda u: (-min(margin[u], 1) * good[u], u))
         others |= set(worst[: MAX_UNITS // 2])
         hard = worst
+        release()
     x = np.array([highest(margin[bag].tolist()) for bag in bags])
     x, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(TOP + 1)
     for _ in range(60):  # logistic fit by Newton steps; weights below zero are held at zero
@@ -272,8 +304,11 @@ def learned(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_
     chosen = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, max_toxic), (0, max_clean))]
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
     got = rows.select("doc_id", "toxic", F.col("text").cast("binary").alias("text")).toArrow().sort_by("doc_id")
-    texts = [x or b"" for x in got.column("text").to_pylist()]
-    machine = train(texts, toxic := np.array(got.column("toxic").to_pylist(), bool))
+    texts, toxic = [x or b"" for x in got.column("text").to_pylist()], np.array(got.column("toxic").to_pylist(), bool)
+    del got
+    release()
+    machine = train(texts, toxic)
+    release()
     if machine is not None:  # the sample has more toxic documents than the labels have
         n = known.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("*").alias("all")).first()
         machine.shift += float(np.log(n["toxic"] / (n["all"] - n["toxic"])) - np.log(toxic.sum() / (~toxic).sum()))
