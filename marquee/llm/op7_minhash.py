@@ -8,8 +8,8 @@ classes share one of the COORDINATES - matches + 1 rarest pairs of each: only th
 
 First merging: in each posting all are paired with the smallest class, its head; pairs whose signatures collide in
 that many coordinates are confirmed on full sets; the links give components.  Then skip merging: classes that shared a
-posting met the same head, so a head's members that are not in its component are compared with all its members,
-in blocks of BLOCK x BLOCK classes by products of their shingle incidence.  What is in one component already is not
+posting met the same head, so a head's members that are not in its component are compared with all its members of a
+size that can be similar, in blocks of BLOCK x BLOCK classes by products of their shingle incidence.  What is in one component already is not
 compared again.  Blocks yield links that span what they connect, never all pairs.
 
 Defined results: null or blank texts have no shingles and link with nothing (each row its own component); rows that
@@ -34,6 +34,8 @@ COORDINATES, MISS = 48, 5e-5
 SHINGLE, PERCENT = 3, 85
 #: Classes of a block, and shingles of all of them (8 bytes each): long texts are compared in smaller blocks.
 BLOCK, BLOCK_SHINGLES = 64, 1 << 20
+#: A band of sizes spans so many times the ratio that two similar sets' sizes have at most.
+BAND = 3
 #: Tables of ids up to this many rows (16 bytes each) are broadcast.
 BROADCAST_IDS = 1 << 20
 KEPT_WORDS = 1 << 17
@@ -135,6 +137,13 @@ def similar(inter, a, b, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose class is among ``ids`` (class): what a join does not need is not shuffled for it."""
+    ids = pin(ids.distinct(), "ids")
+    small = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda x: x)
+    return rows.join(small(ids), "class", "left_semi")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose full sets are similar enough."""
 
@@ -147,8 +156,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["a", "b"])
 
-    with_b = pin(pairs.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b"), "pair_sets")
-    both = with_b.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
+    with_b = pin(pairs.join(only(sets, pairs.select(F.col("b").alias("class"))).select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b"), "pair_sets")
+    both = with_b.join(only(sets, pairs.select(F.col("a").alias("class"))).select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
     return both.mapInArrow(releasing(check), "a long, b long")
 
 
@@ -187,24 +196,46 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], other_ids: np.ndarra
     return out
 
 
+def by_size(members: DataFrame, percent: int) -> DataFrame:
+    """head, band, class, asks, n_shingles: the members (head, class, apart, n_shingles) of each head by bands of sizes.
+
+    A class that is apart asks in the band of its own size; every class is told in each band that a similar set's size can
+    be in, if one of those that ask there has such a size.  Bands without two classes go."""
+    width = max(BAND * math.log(100 / percent), 0.01)
+    band = lambda size, more=0.0: F.floor(F.log(size) / width + more).cast("int")
+    n = F.col("n_shingles")
+    told = members.withColumn("band", F.explode(F.sequence(band(n * percent / 100, -1e-6), band(n * 100 / percent, 1e-6))))
+    told = pin(told.select("head", "band", "class", (F.col("apart") & (F.col("band") == band(n))).alias("asks"), "n_shingles"), "told")
+    sizes = F.when(F.col("asks"), n)
+    asked = told.groupBy("head", "band").agg(F.min(sizes).alias("least"), F.max(sizes).alias("most"), F.count("*").alias("n")).where("least is not null and n > 1")
+    fits = (n * 100 >= F.col("least") * percent) & (n * percent <= F.col("most") * 100)
+    return told.join(pin(asked, "asked").drop("n"), ["head", "band"]).where(fits).drop("least", "most")
+
+
+def block_rows(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """head, band, i, j, class, hashes, asks, told: what block (i, j) of those that ask and of all in a band compares, once each."""
+    key = ["head", "band"]
+    blocks = lambda some: F.ceil(F.greatest(F.count_if(some) / BLOCK, F.sum(F.when(some, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    banded = pin(by_size(members, percent), "banded")
+    sizes = pin(banded.groupBy(key).agg(blocks(F.lit(True)).alias("n_all"), blocks(F.col("asks")).alias("n_apart"), F.count("*").alias("n")).where("n > 1").drop("n"), "head_sizes")
+    m = pin(banded.join(sizes, key), "members").withColumns({"in_all": F.pmod(F.xxhash64("class"), F.col("n_all")), "in_apart": F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_apart"))})
+    m = m.join(only(sets, banded.select("class")), "class")
+    asked = m.where("asks").select(*key, F.col("in_apart").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), "in_all", "class", "hashes", F.lit(True).alias("asks"), F.lit(False).alias("told"))
+    told = m.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_apart") - 1))).select(*key, "i", F.col("in_all").cast("int").alias("j"), "class", "hashes", (F.col("asks") & (F.col("i") == F.col("in_apart"))).alias("asks"), F.lit(True).alias("told"))
+    return asked.where("j <> in_all").drop("in_all").unionByName(told)
+
+
 def blocked_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of the members (head, class, apart, n_shingles) that are apart from their head's component with all members of the head."""
-    blocks = lambda some: F.ceil(F.greatest(F.count_if(some) / BLOCK, F.sum(F.when(some, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
-    sizes = pin(members.groupBy("head").agg(blocks(F.lit(True)).alias("n_all"), blocks(F.col("apart")).alias("n_apart")), "head_sizes")
-    m = pin(members.join(sizes, "head"), "members").withColumns({"in_all": F.pmod(F.xxhash64("class"), F.col("n_all")), "in_apart": F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_apart"))})
-    m = m.join(sets, "class")
-    asked = m.where("apart").select("head", F.col("in_apart").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), "class", "hashes", F.lit(True).alias("asks"))
-    told = m.select("head", F.explode(F.sequence(F.lit(0), F.col("n_apart") - 1)).alias("i"), F.col("in_all").cast("int").alias("j"), "class", "hashes", F.lit(False).alias("asks"))
 
     def compare(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy()
+        asks, told = (group.column(c).to_numpy() for c in ("asks", "told"))
         number, sets_ = group.column("class").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
-        parts = [([number[k] for k in at], [sets_[k] for k in at]) for at in (np.flatnonzero(asks), np.flatnonzero(~asks))]
+        parts = [([number[k] for k in at], [sets_[k] for k in at]) for at in (np.flatnonzero(asks), np.flatnonzero(told))]
         links = spanning_links(np.array(parts[0][0]), parts[0][1], np.array(parts[1][0]), parts[1][1], percent) if parts[0][0] and parts[1][0] else []
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    both = asked.select("head", F.col("i").cast("int").alias("i"), "j", "class", "hashes", "asks").unionByName(told)
-    return both.groupBy("head", "i", "j").applyInArrow(compare, "a long, b long")
+    return block_rows(members, sets, percent).groupBy("head", "band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, width: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
@@ -218,7 +249,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, width: in
     prefix = pin(common.where(room > 0).select("class", F.explode(F.slice("common", F.lit(1), room)).alias("x")).select("class", F.col("x.pair").alias("pair")), "prefix")
     heads = pin(prefix.groupBy("pair").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
     members = pin(prefix.join(heads, "pair").select("head", "class").distinct(), "met")
-    signatures = classes.select(F.col("class"), "pairs")
+    signatures = only(classes.select("class", "pairs"), members.select("class"))
     pairs = members.where("head <> class").join(signatures, "class").withColumnRenamed("pairs", "mine")
     pairs = pin(pairs, "pairs").join(signatures.select(F.col("class").alias("head"), "pairs"), "head")
     close = pin(pairs.where(F.size(F.array_intersect("mine", "pairs")) >= matches).select(F.col("head").alias("a"), F.col("class").alias("b")), "close")
