@@ -28,8 +28,8 @@ from marquee.llm.tokens import Encoder
 
 MAGIC = b"S8B1"
 END_ID = 2
-#: Texts that a Python worker gets at a time.
-ROWS = 1_000
+#: Texts that a Python worker gets at a time, and bytes of them that are split at once.
+ROWS, AT_ONCE = 2_000, 1 << 23
 
 
 class ShardWriter:
@@ -110,7 +110,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
         path = f"{folder}/shard-{shard:06d}.s8b"
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts, AT_ONCE), strict=True):
                 out = out or ShardWriter(path)
                 out.add(doc_id, np.concatenate([ids, end]))
         if out:

@@ -127,6 +127,7 @@ class Encoder:
         """The ids of different parts, each standing after a blank."""
         got = list(map(self.known.get, parts))
         older, tokenize, lead, lower = self.older.get, self.model.tokenize, self.lead, self.drops_space
+        met = self.met
         for i, ids in enumerate(got):
             if ids is None:
                 part = parts[i]
@@ -135,7 +136,11 @@ class Encoder:
                         ids = array("I", [t.id for t in tokenize(lead + (part.lower() if lower else part).decode())]).tobytes()
                     else:
                         ids = self._part(part)
-                self._keep(part, ids)
+                bit = hash(part) & (MET_BITS - 1)
+                if met[bit >> 3] >> (bit & 7) & 1:
+                    self._keep(part, ids)
+                else:
+                    met[bit >> 3] |= 1 << (bit & 7)
                 got[i] = ids
         if len(self.ends) > KEPT_PARTS:
             self.ends.clear()
@@ -151,7 +156,7 @@ class Encoder:
                 out.append(self._whole(segment))
         return b"".join(out)
 
-    def _pieces(self, text: bytes) -> list[tuple[bytes, bytes]]:
+    def _pieces(self, text: bytes, at_once: int = AT_ONCE) -> list[tuple[bytes, bytes]]:
         """A text as (ids, rest) pieces: the ids come first, the rest's parts each stand after white space."""
         if self.drops_space:
             first, rest = b"", text
@@ -161,7 +166,7 @@ class Encoder:
             cut = min((x for x in (text.find(b" "), text.find(b"\n")) if x >= 0), default=len(text))
             first, rest = self._whole(text[:cut].decode()) if cut else b"", text[cut:]
         out = []
-        while len(rest) > AT_ONCE and (m := _CUT.search(rest, AT_ONCE)):
+        while len(rest) > at_once and (m := _CUT.search(rest, at_once)):
             out.append((first, rest[: m.start()]))
             first, rest = b"", rest[m.start() :]
         return [*out, (first, rest)]
@@ -187,12 +192,13 @@ class Encoder:
         values, begin = np.frombuffer(b"".join(of_part), "<u4"), np.cumsum(size) - size
         n = size[entry]
         ends = np.cumsum(n)
-        at = np.repeat(begin[entry] - (ends - n), n)
-        at += np.arange(len(at))
+        kind = np.int32 if max(len(values), n.sum()) < 1 << 31 else np.int64  # of places: half the memory to go through
+        at = np.repeat((begin[entry] - (ends - n)).astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
         return values[at], np.append(0, ends)[offsets[1:]]
 
-    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids (little-endian unsigned 32-bit integers) of each text."""
+    def encode_all(self, texts: list[bytes], at_once: int = AT_ONCE) -> list[np.ndarray]:
+        """The ids (little-endian unsigned 32-bit integers) of each text; the more bytes are split at once, the fewer parts are looked up."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         group: list = []
         held = 0
@@ -203,8 +209,8 @@ class Encoder:
                 out[k].append(ids[begin:end])
 
         for k, text in enumerate(texts):
-            for piece in self._pieces(text):
-                if held and held + len(piece[1]) > AT_ONCE:
+            for piece in self._pieces(text, at_once):
+                if held and held + len(piece[1]) > at_once:
                     done()
                     group, held = [], 0
                 group.append((k, piece))

@@ -92,6 +92,16 @@ def test_encoder_equals_library(name):
         assert e.encode(t.encode()) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_encoder_splits_texts_together(monkeypatch):
+    """The ids do not depend on how many bytes are split at once; the more, the fewer parts are looked up."""
+    e, some, looked_up = Encoder(public_path("word_bpe_49k.json")), [(t or "").encode() for _, t, _ in texts()], []
+    ids_of = e._ids_of
+    monkeypatch.setattr(e, "_ids_of", lambda parts: looked_up.append(len(parts)) or ids_of(parts))
+    got = [(b"".join(x.tobytes() for x in e.encode_all(some, n)), sum(looked_up)) for n in (1 << 12, 1 << 20)]
+    assert got[0][0] == got[1][0] == b"".join(map(e.encode, some))
+    assert len(looked_up) > 2 and got[1][1] - got[0][1] < got[0][1] / 2
+
+
 def test_op1_files_hold_all_ids(docs):
     vocabulary = public_path("word_bpe_49k.json")
     shards = op1_tokens.write_shards(clashing(docs), vocabulary)
@@ -152,6 +162,15 @@ def test_op2_kernel_equals_brute_force():
     assert len(np.unique(op2_toxicity.embed(letters[0])[0])) == 17_576
 
 
+def test_op2_counts_by_ranges_of_units(monkeypatch):
+    monkeypatch.setattr(op2_toxicity, "COUNTED", 7)
+    rng = np.random.default_rng(3)
+    bags = [np.unique(rng.integers(0, 40, rng.integers(0, 20))) for _ in range(30)]
+    group = rng.integers(0, 4, len(bags)).tolist()
+    got = op2_toxicity.different(bags, lambda k, a, b: (bags[k][a:b].astype(np.int64) << 32) + group[k], 41)
+    assert got.tolist() == [len({g for bag, g in zip(bags, group, strict=True) if u in bag}) for u in range(41)]
+
+
 def test_op2_an_insult_in_one_phrase_and_labels_in_conflict(spark):
     """An insult that many documents hold in one phrase is learned; copies of one document are one witness."""
     d, labels = labelled(spark)
@@ -429,6 +448,20 @@ def test_op7_against_brute_force(docs, width, percent):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == sorted(i for i, _, _ in texts() if exp[i][1] == i)
 
 
+def test_op7_compares_only_sizes_that_fit(spark):
+    """Members of a head whose sizes cannot be similar are not sent to a block; those that can, once each."""
+    sizes = {0: [10, 20, 40, 80, 160, 320], 10: [100, 100, 100], 20: [85, 100, 118, 50], 30: [1, 1]}
+    rows = [(head, head + k, k > 0, n) for head, ns in sizes.items() for k, n in enumerate(ns)]
+    members = spark.createDataFrame(rows, "head long, class long, apart boolean, n_shingles long")
+    sets = spark.createDataFrame([(c, np.arange(n, dtype=np.uint64).tobytes()) for _, c, _, n in rows], "class long, hashes binary")
+    got = collected(op7_minhash.block_rows(members, sets, 85))
+    met = {(r["head"], r["class"]) for r in got}
+    assert met == {(10, 10), (10, 11), (10, 12), (20, 20), (20, 21), (20, 22), (30, 30), (30, 31)}
+    assert sum(r["head"] == 10 for r in got) == 3 and sum(r["head"] == 30 for r in got) == 2
+    links = {frozenset((r["a"], r["b"])) for r in collected(op7_minhash.blocked_links(members, sets, 85))}
+    assert {c for x in links for c in x} == {10, 11, 12, 20, 21, 30, 31}
+
+
 def test_op7_pairs_at_the_threshold_of_80(spark):
     """Pairs at similarity 0.8 exactly that have 27 to 29 equal coordinates; no other text shares any."""
     seeds, rows = op7_minhash._seeds(op7_minhash.COORDINATES), []
