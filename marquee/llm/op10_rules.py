@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import crc_mod, keeping_columns, one_label, pick, release
+from marquee.llm.common import crc_mod, keeping_columns, one_label, pick, pin, release
 
 #: The most labelled rows that the list is learned from (those of the smallest hash of their id).
 MAX_LABELLED = 20_000
@@ -163,6 +163,9 @@ def learned_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     """Learns from labelled rows (doc_id, quality) that pass the base rules; those with crc32(doc_id) mod 5 = 0 are held out."""
     chosen = one_label(labels, "quality").where(crc_mod("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", stats(F.col("text")).alias("s"))
+    # Written before it is filtered: a filter on the counts would go below the join and count every row there, and again
+    # above it in a second Python worker of each task (workers outlive their tasks).
+    rows = pin(rows, "labelled")
     s = lambda c: F.col(f"s.{c}")
     got = rows.where(~base_failed(s)).select("quality", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3000)).alias("part"), *(c.alias(f) for f, c in features(s).items())).toPandas()
     got = got.sort_values(list(got.columns))

@@ -625,3 +625,19 @@ def test_op10_counts_and_list(spark, docs):
     kept = op10_rules.filtered(d.select("*", F.lit("x").alias("Text")), labels)
     assert kept.columns == ["doc_id", "text", "Text"] and kept.count() == 600
     assert op10_rules.judge(d, labels.limit(0)).where("kept").count() == 700 and op10_rules.judge(d.limit(0), labels).count() == 0
+
+
+def test_op10_counts_sampled_texts_once(spark, tmp_path, monkeypatch):
+    """The list is learned from one count of each sampled text; no other text is counted, and a task needs one worker."""
+    d, labels = labelled(spark)
+    counts, seen = op10_rules.counts, f"{tmp_path}/seen"
+
+    def noted(text):
+        with open(seen, "a") as f:
+            f.write("x\n")
+        return counts(text)
+
+    monkeypatch.setattr(op10_rules, "counts", noted)
+    op10_rules.learned_rules(d, labels, 50)
+    with open(seen) as f:
+        assert len(f.readlines()) == 50
